@@ -90,6 +90,6 @@ def line_stats(notebooks: DataFrame, starts: list[str]) -> DataFrame:
 
 
 def with_code(notebooks: DataFrame) -> DataFrame:
-    """Adds ``code`` and its lower-cased form, each computed once per notebook."""
+    """Adds ``code`` and its case-folded form, each computed once per notebook."""
     coded = notebooks.withColumn("code", all_code(F.col("cells")))
-    return coded.withColumn("folded", F.lower("code"))
+    return coded.withColumn("folded", text.fold(F.col("code")))

@@ -68,28 +68,37 @@ def each(matches: Column, to_row: Callable[[Column], Column]) -> Column:
     return F.transform(matches, to_row)
 
 
-def each_or(matches: Column, to_row: Callable[[Column], Column], none: Column) -> Column:
-    """One row per match, or the row ``none`` where there is no match."""
-    return F.when(F.size(matches) > 0, each(matches, to_row)).otherwise(F.array(none))
+def repeat_or(count: Column, row: Column, none: Column) -> Column:
+    """``row`` once per match, or the row ``none`` where there is no match."""
+    return F.when(count > 0, F.array_repeat(row, count)).otherwise(F.array(none))
 
 
-NO_MATCHES = "array<string>"
-
-
-def code_matches(
-    pattern: str, group: int = 0, *, needs: Sequence[str] = (), dotall: bool = False
-) -> Column:
-    """Matches of ``pattern`` in the notebook's code.
+def code_matches(pattern: str, group: int = 0, *, needs: Sequence[str], dotall: bool = False) -> Column:
+    """Matches of ``pattern`` in the notebook's code, as written there.
 
     ``needs`` are lower-case fragments one of which every match contains; code
-    with none of them is not searched.
+    with none of them is not searched.  No fragments: always searched.
     """
     found = text.find_all(F.col("code"), pattern, group, dotall=dotall)
     if not needs:
         return found
-    return F.when(text.contains_any(F.col("folded"), needs), found).otherwise(F.array().cast(NO_MATCHES))
+    return F.when(text.contains_any(F.col("folded"), needs), found).otherwise(F.array().cast("array<string>"))
+
+
+def code_count(pattern: str, *, needs: Sequence[str], dotall: bool = False) -> Column:
+    """How often ``pattern`` occurs in the notebook's code."""
+    count = F.regexp_count("folded", F.lit(text.folded_regex(pattern, dotall=dotall)))
+    return F.when(text.contains_any(F.col("folded"), needs), count).otherwise(0)
+
+
+def code_has(pattern: str, *, needs: Sequence[str], dotall: bool = False) -> Column:
+    found = F.col("folded").rlike(text.folded_regex(pattern, dotall=dotall))
+    return text.contains_any(F.col("folded"), needs) & found
 
 
-def code_has(pattern: str, *, needs: Sequence[str] = (), dotall: bool = False) -> Column:
-    found = text.has(F.col("code"), pattern, dotall=dotall)
-    return text.contains_any(F.col("folded"), needs) & found if needs else found
+def any_on_line(alternatives: Sequence[str], *, needs: Sequence[str]) -> Column:
+    """One of several ``head.*tail`` patterns occurs on some line."""
+    found = F.lit(False)
+    for pattern in alternatives:
+        found = found | F.col("folded").rlike(text.folded_regex(text.first_on_line(pattern)))
+    return text.contains_any(F.col("folded"), needs) & found

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ...functions import fixed, text
 from ..cells import comment_lines, written_lines
-from .base import CODE, Check, Rule, code_has, code_matches, each, failed, one, passed, quoted
+from .base import CODE, Check, Rule, any_on_line, code_has, code_matches, each, failed, one, passed, quoted
 
 
 def metastore(p: dict) -> Check:
-    found = code_has(fixed.OLD_METASTORE, needs=["dbf", "e_meta"])
+    found = code_has(fixed.OLD_METASTORE, needs=["dbfs", "hive_metastore"])
     return Check(lambda m: one(m["found"], failed(fixed.CATALOG_BAD), passed(fixed.CATALOG_OK)), {"found": found})
 
 
@@ -41,7 +41,7 @@ def comments(p: dict) -> Check:
 
 
 def version_control(p: dict) -> Check:
-    found = code_has(fixed.REPO_RUN, needs=["repo"])
+    found = any_on_line(fixed.REPO_RUN.split("|"), needs=["repos"])
     return Check(
         lambda m: one(m["found"], passed(fixed.VERSION_CONTROL_OK), failed(fixed.VERSION_CONTROL_BAD)), {"found": found}
     )
@@ -51,8 +51,8 @@ def isolation(p: dict) -> Check:
     return Check(
         lambda m: one(m["any"] & ~m["mixed"], passed(fixed.ISOLATION_OK), failed(fixed.ISOLATION_BAD)),
         {
-            "any": code_has(fixed.ENVIRONMENT_PATH, needs=["dev/", "ging/", "prod/"]),
-            "mixed": code_has(fixed.MIXED_ENVIRONMENTS, needs=["dev/", "ging/"]),
+            "any": code_has(fixed.ENVIRONMENT_PATH, needs=["dev/", "staging/", "prod/"]),
+            "mixed": any_on_line(fixed.MIXED_ENVIRONMENTS.strip("()").split("|"), needs=["dev/", "staging/"]),
         },
     )
 
@@ -73,7 +73,7 @@ def tagging(p: dict) -> Check:
 
     def in_statement(table: Column) -> Column:
         checks = [
-            F.when(~text.has(table["rest"], fixed.TABLE_PROPERTY[0] + tag.lower() + fixed.TABLE_PROPERTY[1], dotall=True), F.lit(tag))
+            F.when(~table["rest"].rlike(text.java_regex(fixed.TABLE_PROPERTY[0] + tag.lower() + fixed.TABLE_PROPERTY[1], dotall=True)), F.lit(tag))
             for tag in tags
         ]
         missing = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
@@ -87,7 +87,9 @@ def tagging(p: dict) -> Check:
     scan = {"tables": code_matches(fixed.TABLE_NAME, 1, needs=["create table"])}
     if statement:
         scan["rests"] = code_matches(rest, 2, needs=["create table"], dotall=True)
-    scan["comment"] = code_has(fixed.OWNER_COMMENT, needs=["#"])
+    scan["comment"] = text.contains_any(F.col("folded"), ["owner", "classification", "purpose"]) & code_has(
+        text.first_on_line(fixed.OWNER_COMMENT), needs=["#"]
+    )
 
     def rows(m: dict) -> Column:
         if statement:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import fixed, text
 from ..cells import cell_text, code_cells, first_n_cells
 from .base import (
-    CODE, HEAD, LANGUAGE, TITLES, Check, Rule, code_has, code_matches, each, failed, no_rows, one, passed, quoted,
+    CODE, HEAD, LANGUAGE, TITLES, Check, Rule, code_count, code_has, code_matches, each, failed, no_rows, one, passed, quoted,
 )
 
 
@@ -41,7 +41,7 @@ def missing_titles(p: dict) -> Check:
 
 def string_types(p: dict) -> Check:
     def rows(m: dict) -> Column:
-        count = F.size(m["character_types"])
+        count = m["character_types"]
         return (
             F.when(count > 0, F.array(failed(quoted(fixed.STRING_TYPES_BAD, count.cast("string")))))
             .when(m["creates_table"], F.array(passed(fixed.STRING_TYPES_OK)))
@@ -49,7 +49,7 @@ def string_types(p: dict) -> Check:
         )
 
     return Check(rows, {
-        "character_types": code_matches(fixed.CHARACTER_TYPE, needs=["char"]),
+        "character_types": code_count(fixed.CHARACTER_TYPE, needs=["char"]),
         "creates_table": code_has(fixed.CREATE_TABLE, needs=["create table"]),
     })
 
@@ -67,9 +67,14 @@ def table_columns(bodies: Column) -> Column:
     return F.flatten(F.transform(bodies, of_body))
 
 
+# Matches what fixed.TABLE_BODY matches: the body runs from the first opening
+# bracket to the first closing one.  Written without backtracking, which is
+# quadratic where brackets are opened and never closed.
+TABLE_BODY = r"CREATE TABLE[^(]*+\(([^)]*+)\)"
+
+
 def table_bodies() -> Column:
-    # A body ends at its first closing bracket.
-    return code_matches(fixed.TABLE_BODY, 1, needs=["create table"], dotall=True)
+    return code_matches(TABLE_BODY, 1, needs=["create table"])
 
 
 def nullability(p: dict) -> Check:
@@ -88,7 +93,7 @@ def notebook_references(p: dict) -> Check:
             passed(quoted(fixed.REFERENCE_OK, path))
         )
 
-    return Check(lambda m: each(m["runs"], row), {"runs": code_matches(fixed.NOTEBOOK_RUN, 1, needs=["dbut"])})
+    return Check(lambda m: each(m["runs"], row), {"runs": code_matches(fixed.NOTEBOOK_RUN, 1, needs=["dbutils.notebook.run"])})
 
 
 RULES = [

@@ -9,7 +9,7 @@ from ...functions import fixed
 from .base import CODE, Check, Rule, code_has, code_matches, each, failed, one, passed
 
 # Fragments every match of a stock pattern has; other patterns are always searched.
-SECRET_NEEDS = dict(zip(fixed.SECRETS, (["bearer"], ["dap"], ["word"])))
+SECRET_NEEDS = dict(zip(fixed.SECRETS, (["bearer"], ["dapi"], ["password"])))
 
 
 def secret_matches(p: dict) -> Column:
@@ -28,7 +28,7 @@ def secrets(p: dict) -> Check:
 
 
 def access_controls(p: dict) -> Check:
-    found = code_has(fixed.GRANTS, needs=["grant", "revo", "e catalog"])
+    found = code_has(fixed.GRANTS, needs=["grant", "revoke", "use catalog"])
     return Check(lambda m: one(m["found"], passed(fixed.ACCESS_OK), failed(fixed.ACCESS_BAD)), {"found": found})
 
 

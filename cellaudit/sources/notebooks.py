@@ -106,14 +106,11 @@ def _present_but_not(variant: Column, name: str, kind: str) -> Column:
 
 def _looks_like_object(content: Column) -> Column:
     # The parser accepts any JSON value and stops after the first one; an object
-    # must also open and close the text.  Only a text ending in 64 blanks is
-    # trimmed as a whole.
-    blanks = F.lit(text.JSON_BLANKS)
-    tail = F.rtrim(F.right(content, F.lit(64)), blanks)
-    closes = F.when(tail != "", F.endswith(tail, F.lit("}"))).otherwise(
-        F.endswith(F.rtrim(content, blanks), F.lit("}"))
-    )
-    return F.startswith(F.ltrim(content, blanks), F.lit("{")) & closes
+    # must also open and close the text.  Texts are trimmed only where needed.
+    blanks, opening, closing = F.lit(text.JSON_BLANKS), F.lit("{"), F.lit("}")
+    opens = F.startswith(content, opening) | F.startswith(F.ltrim(content, blanks), opening)
+    closes = F.endswith(content, closing) | F.endswith(F.rtrim(content, blanks), closing)
+    return opens & closes
 
 
 def notebook_language(document: Column) -> Column:
@@ -139,34 +136,34 @@ def _cell_parts(cell: Column) -> Column:
 
 
 def _cell_kinds(cell: Column) -> Column:
+    kind = F.schema_of_variant(cell["source"])
+    lines = F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(cell["source"], "$", "array<string>"))
     return F.struct(
-        cell["cell_type"].alias("cell_type"),
-        cell["source"].alias("source"),
-        cell["title"].alias("title"),
-        cell["not_a_cell"].alias("not_a_cell"),
-        F.schema_of_variant(cell["source"]).alias("source_kind"),
+        *[cell[name].alias(name) for name in ("cell_type", "source", "title", "not_a_cell")],
+        kind.alias("kind"),
+        lines.alias("lines"),
         F.schema_of_variant(cell["title"]).alias("title_kind"),
     )
 
 
 def _cell(cell: Column, pos: Column) -> Column:
-    kind, title_kind = cell["source_kind"], cell["title_kind"]
-    lines = F.try_variant_get(cell["source"], "$", "array<string>")
+    kind, lines, title_kind = cell["kind"], cell["lines"], cell["title_kind"]
+    nothing = F.lit(None).cast("string")
     # Missing source is no lines; source given as one string is one line.
     source = (
-        F.when(kind == "STRING", F.array(F.try_variant_get(cell["source"], "$", "string")))
-        .when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), lines)
+        F.when(lines.isNotNull(), lines)
+        .when(kind == "STRING", F.array(F.try_variant_get(cell["source"], "$", "string")))
         .otherwise(F.array().cast("array<string>"))
     )
     source_problem = (
         F.when(cell["not_a_cell"], F.lit(BAD_CELLS))
-        .when(kind.isNull() | (kind == "STRING"), F.lit(None).cast("string"))
+        .when(kind.isNull() | (kind == "STRING"), nothing)
         .when(kind == "VOID", F.lit(fixed.NULL_SOURCE))
-        .when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(lines, lambda line: line.isNull()), F.lit(None))
+        .when(lines.isNotNull() & ~F.exists(lines, lambda line: line.isNull()), nothing)
         .otherwise(F.lit(BAD_SOURCE))
     )
     title_problem = (
-        F.when(title_kind.isNull() | (title_kind == "STRING"), F.lit(None).cast("string"))
+        F.when(title_kind.isNull() | (title_kind == "STRING"), nothing)
         .when(title_kind == "VOID", F.lit(fixed.NULL_TITLE))
         .otherwise(F.lit(BAD_TITLE))
     )
