@@ -7,7 +7,7 @@ one array.  There is no shuffle, and no Python unless a Python rule is given.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -238,21 +238,3 @@ def run_validation(
         "by_rule": summary.summary_by_rule(findings),
         "by_notebook": summary.summary_by_notebook(findings),
     }
-
-
-# ---- UDX2 ------------------------------------------------------------------------
-def python_rule(rule_key: str, label: str, fn: Callable[[str], list[tuple[str, str]]], domain: str = fixed.CUSTOM) -> Rule:
-    """A rule in Python: ``fn(code)`` gives ``[(status, details), ...]``.
-
-    Code reaches Python in Arrow batches and only in audits that have such a
-    rule; the built-in rules stay as they are.
-    """
-    import pandas as pd
-
-    from .rules.base import ROWS, Check
-
-    def rows(code: pd.Series) -> pd.Series:
-        return pd.Series([[{"status": s, "details": d} for s, d in fn(text_)] for text_ in code])
-
-    udf = F.pandas_udf(rows, ROWS)
-    return Rule(domain, rule_key, label, CODE, lambda _p: Check(lambda m: m["rows"], {"rows": udf(F.col("code"))}))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, shared, text
+from ..functions.rows import kept
 from .catalog import DEFAULT_CATALOG, Setting
 from .cells import code_cells
 from .engine import active_rules, domain_reads, identified, prepared, with_problems
@@ -140,13 +141,13 @@ def request_id(system: Column, user_hash: Column) -> Column:
 
 
 def _undecided(notebooks: DataFrame, catalog: Sequence[Setting]) -> tuple[DataFrame, list[tuple[VerdictRule, Setting]]]:
-    """Readable notebooks with one flag per switched-on rule that needs an answer."""
+    """Notebooks with one flag per switched-on rule that needs an answer."""
     listed = _settings(catalog)
     rules = [(rule, listed[rule.rule_key]) for rule in VERDICT_RULES if rule.rule_key in listed]
     reads = domain_reads(catalog, active_rules(catalog))
-    base = with_problems(prepared(notebooks), reads).filter("readable")
+    base = with_problems(prepared(notebooks), reads)
     flags = {
-        f"ask_{rule.rule_key}": F.col(f"problem_{rule.domain}").isNull() & rule.undecided(setting.parameters)
+        f"ask_{rule.rule_key}": F.col("readable") & F.col(f"problem_{rule.domain}").isNull() & rule.undecided(setting.parameters)
         for rule, setting in rules
     }
     return base.withColumns({"code_hash": F.sha2("code", 256), **flags}), rules
@@ -205,12 +206,12 @@ def title_prompt(titles: Column) -> Column:
 
 def title_links(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
     """``(path, copy, batch, titles, system, request_id)``; no shuffle."""
-    if TITLES_KEY not in _settings(catalog):
-        catalog = []
     reads = domain_reads(catalog, active_rules(catalog))
-    base = with_problems(prepared(notebooks), reads).filter("readable")
-    base = base.filter(F.col(f"problem_{fixed.CODE_QUALITY}").isNull()) if catalog else base.filter(F.lit(False))
-    rows = base.select("path", "copy", F.inline(title_batches(F.col("cells"))))
+    asked_at_all = TITLES_KEY in _settings(catalog)
+    base = with_problems(prepared(notebooks), reads)
+    problem = F.col(f"problem_{fixed.CODE_QUALITY}") if asked_at_all else F.lit("not asked")
+    batches = F.when(F.col("readable") & problem.isNull(), title_batches(F.col("cells")))
+    rows = base.select("path", "copy", F.inline(batches))
     asked = rows.withColumn("system", title_prompt(F.col("titles")))
     return asked.withColumn("request_id", request_id(F.col("system"), F.sha2(F.lit(""), 256)))
 
@@ -383,7 +384,7 @@ def name_descriptive(names: DataFrame, responses: DataFrame, column: str = "name
 
 def blank_space(notebooks: DataFrame, responses: DataFrame) -> DataFrame:
     """``(path, unnecessary, explanation)`` on unnecessary whitespace; null where unanswered."""
-    coded = prepared(notebooks).filter("readable").select("path", "code")
+    coded = kept(prepared(notebooks), F.col("readable"), "path", "code")
     links = single_requests(coded, fixed.PROMPT_BLANK_SPACE, "code").select("path", "request_id")
     answered = links.join(responses, "request_id", "left")
     unnecessary = F.when(F.col("error").isNotNull(), F.lit(False)).otherwise(contains_true(F.col("content")))

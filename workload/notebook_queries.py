@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellaudit.functions import fixed, shared
+from cellaudit.functions.rows import kept
 from cellaudit.operators import cells, engine
 from cellaudit.operators.catalog import DEFAULT_CATALOG, attach_severity, enable_rules, rule_catalog
-from cellaudit.operators.rules import custom, failed, passed
+from cellaudit.operators.extend import python_rule, register_rule
+from cellaudit.operators.rules import failed, passed
 from cellaudit.sources import notebooks as source
 
 from . import oracle as o
@@ -24,7 +26,13 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable notebooks whose code can be put together."""
-    return parsed(spark, sf_dir).filter("readable").filter(engine.code_problem().isNull())
+    fine = F.col("readable") & engine.code_problem().isNull()
+    return kept(parsed(spark, sf_dir), fine, "path", "cells", "cells_problem")
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intact notebooks all of whose titles can be read as well."""
+    return kept(intact(spark, sf_dir), engine.title_problem().isNull(), "path", "cells")
 
 
 INTACT = "readable AND code_problem IS NULL"
@@ -95,7 +103,7 @@ corpus AS (SELECT *, replace(path, '/Workspace/', '/') AS key FROM nb)"""
 )
 def src3(spark, sf_dir):
     wanted = source.load_requested(corpus(spark, sf_dir), request_lines(spark, sf_dir))
-    return source.parse_notebooks(wanted).filter("readable").select("path", "copy", "language")
+    return kept(source.parse_notebooks(wanted), F.col("readable"), "path", "copy", "language")
 
 
 @query("src4_normalize_path", f"{o.WITH} SELECT path, replace(path, '/Workspace/', '/') AS key FROM nb")
@@ -143,7 +151,8 @@ def prj1(spark, sf_dir):
 
 @query("prj2_notebook_language", f"{o.WITH} SELECT language, count(*) AS notebooks FROM nb WHERE readable GROUP BY language")
 def prj2(spark, sf_dir):
-    return parsed(spark, sf_dir).filter("readable").groupBy("language").agg(F.count(F.lit(1)).alias("notebooks"))
+    read = kept(parsed(spark, sf_dir), F.col("readable"), "language")
+    return read.groupBy("language").agg(F.count(F.lit(1)).alias("notebooks"))
 
 
 HEAD_TEXT = "CASE d % 3 WHEN 0 THEN '# Header' WHEN 1 THEN '# Notebook' ELSE '' END"
@@ -159,7 +168,7 @@ IGNORED_TEXT = o.lit(o.fx.IGNORED)
     FROM nb, (SELECT unnest(range(5)) AS pos) p WHERE {INTACT} AND title_problem IS NULL""",
 )
 def prj3(spark, sf_dir):
-    books = intact(spark, sf_dir).filter(engine.title_problem().isNull())
+    books = titled(spark, sf_dir)
     exploded = cells.explode_cells(books)
     joined = F.coalesce(F.array_join("source", "\n"), F.lit(""))
     return exploded.select("path", "pos", "cell_type", F.sha2(joined, 256).alias("text_sha"), "title")
@@ -207,7 +216,7 @@ def prj6_long(spark, sf_dir):
 
 @query("prj7_cell_titles", f"{o.WITH} SELECT path, title FROM nb WHERE {INTACT} AND title_problem IS NULL AND title IS NOT NULL")
 def prj7(spark, sf_dir):
-    books = intact(spark, sf_dir).filter(engine.title_problem().isNull())
+    books = titled(spark, sf_dir)
     return books.select("path", F.explode(cells.cell_titles(F.col("cells"))).alias("title"))
 
 
@@ -415,7 +424,7 @@ def fnd9(spark, sf_dir):
 def udx1(spark, sf_dir):
     size = F.length("code")
     details = F.concat(size.cast("string"), F.lit(" characters"))
-    rule = custom.register_rule("code_size", "Code Size", lambda: F.array(F.when(size > 3000, failed(details)).otherwise(passed(details))))
+    rule = register_rule("code_size", "Code Size", lambda: F.array(F.when(size > 3000, failed(details)).otherwise(passed(details))))
     findings = engine.validate(corpus(spark, sf_dir), [], extra=[rule]).filter(F.col("rule_key") == "code_size")
     return findings.select("notebook_path", "rule", "status", "details")
 
@@ -433,6 +442,6 @@ def longest_word(code: str) -> list[tuple[str, str]]:
       'longest word has ' || n || ' characters' AS details FROM longest""",
 )
 def udx2(spark, sf_dir):
-    rule = engine.python_rule("longest_word", "Longest Word", longest_word)
+    rule = python_rule("longest_word", "Longest Word", longest_word)
     findings = engine.validate(corpus(spark, sf_dir), [], extra=[rule]).filter(F.col("rule_key") == "longest_word")
     return findings.select("notebook_path", "rule", "status", "details")
