@@ -1 +1,450 @@
 """Queries on accumulated findings: summaries, reports, increments, sinks, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cellaudit.functions import fixed, shared
+from cellaudit.operators import engine, incremental, summary
+from cellaudit.operators.catalog import DEFAULT_CATALOG, rule_catalog
+from cellaudit.plans import reports
+from cellaudit.sources import findings as store
+from cellaudit.streaming import jobs
+
+from . import oracle as o
+from .fixture import corpus, documents, notebooks_from, table
+from .notebook_queries import CATALOG, SHOWN
+from .registry import query
+
+AS_OF = "2024-01-31"
+RULE_KEYS = {
+    "signup": "avoid_select_star",
+    "error": "no_hard_coded_secrets",
+    "click": "documentation_and_comments",
+    "view": "header_section_exists",
+    "purchase": "not_in_the_catalog",
+}
+ENVIRONMENTS = ["dev", "staging", "prod"]
+
+
+def _case(values: dict[str, str], key: Column) -> Column:
+    chosen = F.lit(None).cast("string")
+    for name, value in values.items():
+        chosen = F.when(key == name, value).otherwise(chosen)
+    return chosen
+
+
+def history_from(events: DataFrame) -> DataFrame:
+    """Findings of many runs, one per event: its user is the notebook, its type the rule."""
+    user, event = F.col("user_id"), F.col("event_type")
+    status = F.when((event == "error") | (F.col("value") < 20), "Failed").when(F.col("value") > 150, "Pending").otherwise("Passed")
+    return events.select(
+        event.alias("rule"),
+        status.alias("status"),
+        F.col("props").alias("details"),
+        F.concat(F.lit("/Users/u"), user.cast("string")).alias("notebook_path"),
+        F.col("ts").alias("audit_time"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("audit_id"),
+        _case(RULE_KEYS, event).alias("rule_key"),
+        F.col("event_id").alias("seq"),
+        F.col("ts").alias("validation_timestamp"),
+        F.to_date("ts").alias("run_date"),
+        (user % 40).cast("int").alias("pr_number"),
+        F.concat(F.lit("feature/"), (user % 40).cast("string")).alias("pr_branch"),
+        F.element_at(F.array(*[F.lit(e) for e in ENVIRONMENTS]), (user % 3).cast("int") + 1).alias("env"),
+    )
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return history_from(events)
+
+
+HISTORY = f"""history AS (SELECT event_type AS rule,
+    CASE WHEN event_type = 'error' OR value < 20 THEN 'Failed' WHEN value > 150 THEN 'Pending' ELSE 'Passed' END AS status,
+    props AS details, '/Users/u' || user_id AS notebook_path, sha256(event_id::VARCHAR) AS audit_id,
+    CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RULE_KEYS.items())} END AS rule_key,
+    event_id AS seq, ts AS validation_timestamp, ts::DATE AS run_date, (user_id % 40)::INT AS pr_number, 'feature/' || (user_id % 40) AS pr_branch,
+    ['dev', 'staging', 'prod'][user_id % 3 + 1] AS env FROM events)"""
+WITH = "WITH " + HISTORY
+COUNTS = "count(*) FILTER (WHERE status = 'Passed') AS passed, count(*) FILTER (WHERE status = 'Failed') AS failed, count(*) FILTER (WHERE status = 'Pending') AS pending"
+
+
+def rate(passed: str = "count(*) FILTER (WHERE status = 'Passed')", total: str = "count(*)") -> str:
+    """Percent rounded half up to two decimals, in whole numbers."""
+    return f"((20000 * {passed} + {total}) // (2 * {total})) / 100.0"
+
+
+def printed(df: DataFrame) -> DataFrame:
+    """Dates and times as text, so that clients' date types do not matter."""
+    shown = {}
+    for c, t in df.dtypes:
+        if t == "date":
+            shown[c] = F.col(c).cast("string")
+        elif t == "timestamp":
+            shown[c] = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return df.withColumns(shown)
+
+
+STAMP = "strftime(validation_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS validation_timestamp"
+
+
+# ---- summaries -------------------------------------------------------------------------
+@query(
+    "agg1_summary_total",
+    f"""{WITH} SELECT count(*) AS total_results, count(*) FILTER (WHERE status = 'Passed') AS passed_results, count(*) FILTER (WHERE status = 'Failed') AS failed_results,
+      count(*) FILTER (WHERE status = 'Pending') AS pending_results, count(*) FILTER (WHERE status = 'Passed')::DOUBLE / count(*)::DOUBLE AS pass_rate FROM history""",
+)
+def agg1(spark, sf_dir):
+    return summary.summary_total(history(spark, sf_dir))
+
+
+@query("agg2_summary_by_rule", f"{WITH} SELECT rule, {COUNTS} FROM history GROUP BY rule")
+def agg2(spark, sf_dir):
+    return summary.summary_by_rule(history(spark, sf_dir))
+
+
+@query("agg2_rules_of_the_corpus", f"{o.WITH}, found AS {o.findings_sql()} SELECT rule, {COUNTS} FROM found GROUP BY rule")
+def agg2_corpus(spark, sf_dir):
+    """Summary of an audit as it is evaluated."""
+    return summary.summary_by_rule(engine.validate(corpus(spark, sf_dir)))
+
+
+@query("agg3_summary_by_notebook", f"{WITH} SELECT notebook_path, {COUNTS} FROM history GROUP BY notebook_path")
+def agg3(spark, sf_dir):
+    return summary.summary_by_notebook(history(spark, sf_dir))
+
+
+@query(
+    "agg4_summary_cube",
+    f"""{WITH} SELECT CASE grouping_id(rule, notebook_path) WHEN 3 THEN 'total' WHEN 1 THEN 'rule' ELSE 'notebook' END AS level, rule, notebook_path, {COUNTS}
+    FROM history GROUP BY GROUPING SETS ((), (rule), (notebook_path))""",
+)
+def agg4(spark, sf_dir):
+    return summary.summary_cube(history(spark, sf_dir))
+
+
+WITH_SEVERITY = "graded AS (SELECT h.*, c.severity, c.domain FROM history h LEFT JOIN catalog c USING (rule_key))"
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellaudit.operators.catalog import attach_severity
+
+    return attach_severity(history(spark, sf_dir), rule_catalog(spark))
+
+
+@query(
+    "agg5_summary_by_severity_category",
+    f"{WITH}, {CATALOG}, {WITH_SEVERITY} SELECT severity, domain, grouping_id(severity, domain) AS level, {COUNTS} FROM graded GROUP BY ROLLUP (severity, domain)",
+)
+def agg5(spark, sf_dir):
+    return summary.summary_by_severity_category(graded(spark, sf_dir))
+
+
+@query(
+    "agg6_batch_run_summary",
+    f"""{o.WITH}, found AS {o.findings_sql()} SELECT count(DISTINCT path) AS total_notebooks,
+      count(DISTINCT path) - count(*) FILTER (WHERE rule = {o.lit(fixed.ACCESS_LABEL)}) AS successful_validations, count(*) FILTER (WHERE rule = {o.lit(fixed.ACCESS_LABEL)}) AS failed_validations,
+      count(*) FILTER (WHERE status = 'Passed') AS total_passed, count(*) FILTER (WHERE status = 'Failed') AS total_failed FROM found""",
+)
+def agg6(spark, sf_dir):
+    return summary.batch_run_summary(engine.validate(corpus(spark, sf_dir)))
+
+
+@query(
+    "agg7_quality_gate",
+    f"""{WITH}, {CATALOG}, {WITH_SEVERITY}, gates AS (SELECT pr_number, count(*) FILTER (WHERE status = 'Failed' AND severity = 'error') AS blocking FROM graded GROUP BY pr_number)
+    SELECT pr_number, blocking, blocking = 0 AS gate_open, CASE WHEN blocking = 0 THEN 0 ELSE 1 END AS exit_code FROM gates""",
+)
+def agg7(spark, sf_dir):
+    return summary.quality_gate(graded(spark, sf_dir), ["pr_number"], severity_floor="error")
+
+
+# ---- reports ---------------------------------------------------------------------------
+RECENT = f"WHERE validation_timestamp >= DATE '{AS_OF}' - INTERVAL 30 DAY"
+
+
+@query(
+    "rpt1_daily_success_trend",
+    f"""{WITH} SELECT run_date::VARCHAR AS date, count(*) AS total_validations, count(*) FILTER (WHERE status = 'Passed') AS passed, {rate()} AS success_rate
+    FROM history {RECENT} GROUP BY run_date""",
+)
+def rpt1(spark, sf_dir):
+    return printed(reports.daily_success_trend(history(spark, sf_dir), AS_OF))
+
+
+@query(
+    "rpt2_pr_success_rate",
+    f"""{WITH} SELECT pr_number, pr_branch, count(*) AS total_validations, count(*) FILTER (WHERE status = 'Passed') AS passed_validations, {rate()} AS success_rate
+    FROM history {RECENT} GROUP BY pr_number, pr_branch""",
+)
+def rpt2(spark, sf_dir):
+    return reports.pr_success_rate(history(spark, sf_dir), AS_OF)
+
+
+@query(
+    "rpt3_latest_findings",
+    f"""{WITH}, {CATALOG}, {WITH_SEVERITY} SELECT notebook_path, domain, rule, status, {STAMP}, audit_id
+    FROM (SELECT * FROM graded ORDER BY graded.validation_timestamp DESC, audit_id LIMIT 100)""",
+)
+def rpt3(spark, sf_dir):
+    return printed(reports.latest_findings(graded(spark, sf_dir)))
+
+
+@query("rpt4_pr_detail", f"{WITH} SELECT pr_number, pr_branch, notebook_path, rule, status, {STAMP}, audit_id FROM history WHERE pr_number = 12")
+def rpt4(spark, sf_dir):
+    return printed(reports.pr_detail(history(spark, sf_dir), 12))
+
+
+@query(
+    "rpt5_failures_by_category",
+    f"{WITH}, {CATALOG}, {WITH_SEVERITY} SELECT domain, count(*) AS failures FROM graded WHERE status = 'Failed' GROUP BY domain",
+)
+def rpt5(spark, sf_dir):
+    return reports.failures_by_category(history(spark, sf_dir), rule_catalog(spark))
+
+
+@query(
+    "rpt6_top_offenders",
+    f"{WITH} SELECT notebook_path, count(*) AS failures FROM history WHERE status = 'Failed' GROUP BY notebook_path ORDER BY failures DESC, notebook_path LIMIT 10",
+)
+def rpt6(spark, sf_dir):
+    return reports.top_offenders(history(spark, sf_dir), 10)
+
+
+@query(
+    "rpt6_top_offenders_by_domain",
+    f"""{WITH}, {CATALOG}, {WITH_SEVERITY}, counted AS (SELECT domain, notebook_path, count(*) AS failures FROM graded WHERE status = 'Failed' GROUP BY ALL)
+    SELECT * FROM (SELECT *, rank() OVER (PARTITION BY domain ORDER BY failures DESC)::INT AS rank FROM counted) WHERE rank <= 5""",
+)
+def rpt6_domain(spark, sf_dir):
+    return reports.top_offenders_by_domain(graded(spark, sf_dir), 5)
+
+
+@query(
+    "rpt7_failure_tickets",
+    f"""{WITH} SELECT {o.lit(fixed.TICKET_TITLE)} || rule AS title, notebook_path AS notebook, details, audit_id FROM history
+    WHERE status = 'Failed' AND run_date >= DATE '2024-01-15'""",
+)
+def rpt7(spark, sf_dir):
+    """Tickets were filed up to the middle of the month."""
+    all_findings = history(spark, sf_dir)
+    filed = all_findings.filter(F.col("run_date") < F.lit("2024-01-15").cast("date")).select("audit_id")
+    return reports.failure_tickets(all_findings, filed)
+
+
+def _payload_counts(prefix: str = "") -> str:
+    return ", ".join(f"'\"{s.lower()}{prefix}\":' || count(*) FILTER (WHERE status = '{s}')" for s in fixed.STATUSES)
+
+
+NOTEBOOK_JSON = "'{' || concat_ws(',', " + _payload_counts() + ") || '}'"
+
+
+@query(
+    "rpt8_monitoring_payload",
+    f"""{WITH},
+    rules AS (SELECT rule, '"' || rule || '":' || {NOTEBOOK_JSON} AS part FROM history GROUP BY rule),
+    run AS (SELECT '{{' || concat_ws(',', '"total_results":' || count(*), {_payload_counts('_results')}, '"rule_summary":{{' || (SELECT string_agg(part, ',' ORDER BY rule) FROM rules) || '}}') || '}}' AS payload FROM history)
+    SELECT 'run' AS kind, '' AS name, payload FROM run
+    UNION ALL SELECT 'notebook', notebook_path, {NOTEBOOK_JSON} FROM history GROUP BY notebook_path""",
+)
+def rpt8(spark, sf_dir):
+    """The pass rate is left out of the compared text: engines print doubles differently."""
+    payload = reports.monitoring_payload(history(spark, sf_dir))
+    return payload.withColumn("payload", F.regexp_replace("payload", '"pass_rate":[^,]*,', ""))
+
+
+def by_environment(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Each environment's own table; production has columns the others lack."""
+    everything = history(spark, sf_dir)
+    tables = {env: everything.filter(F.col("env") == env).drop("env", "pr_number", "pr_branch") for env in ENVIRONMENTS}
+    tables["prod"] = everything.filter(F.col("env") == "prod").drop("env")
+    return tables
+
+
+@query(
+    "rpt9_multi_env_report",
+    f"{WITH} SELECT rule, {', '.join(f'''count(*) FILTER (WHERE env = '{e}') AS {e}''' for e in ENVIRONMENTS)} FROM history WHERE status = 'Failed' GROUP BY rule",
+)
+def rpt9(spark, sf_dir):
+    return reports.multi_env_report(by_environment(spark, sf_dir))
+
+
+@query(
+    "rpt10_multi_repo_report",
+    f"{WITH} SELECT env AS repo, count(*) AS total_validations, count(*) FILTER (WHERE status = 'Passed') AS passed, {rate()} AS success_rate FROM history GROUP BY env",
+)
+def rpt10(spark, sf_dir):
+    return reports.multi_repo_report(by_environment(spark, sf_dir))
+
+
+@query(
+    "rpt11_regressions",
+    f"""{WITH}, runs AS (SELECT notebook_path, rule, run_date, bool_or(status = 'Failed') AS failed FROM history GROUP BY ALL),
+    compared AS (SELECT *, lag(failed) OVER (PARTITION BY notebook_path, rule ORDER BY run_date) AS before FROM runs)
+    SELECT notebook_path, rule, run_date::VARCHAR AS run_date, CASE WHEN failed THEN 'newly failing' ELSE 'newly fixed' END AS change FROM compared WHERE failed <> before""",
+)
+def rpt11(spark, sf_dir):
+    return printed(reports.regressions(history(spark, sf_dir)))
+
+
+# ---- increments ------------------------------------------------------------------------
+def corpus_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of the run before: French documents were not there yet, long ones
+    had another ending, and there were notebooks that are gone by now."""
+    now = documents(spark, sf_dir)
+    was = now.filter(F.col("lang") != "fr").withColumn(
+        "text", F.when(F.col("n_chars") > 3000, F.concat("text", F.lit("\nGRANT x"))).otherwise(F.col("text"))
+    )
+    gone = now.filter(F.col("lang") == "de").withColumn("doc_id", F.col("doc_id") + 100_000_000)
+    return notebooks_from(was.unionByName(gone))
+
+
+@query(
+    "inc1_changed_only",
+    # where cells are an object, the notebook does not hold the text that was changed
+    f"{o.WITH} SELECT path FROM nb JOIN documents ON doc_id = d WHERE lang = 'fr' OR (n_chars > 3000 AND k <> {o.fx.CELLS_OBJECT})",
+)
+def inc1(spark, sf_dir):
+    now = corpus(spark, sf_dir)
+    changed = incremental.changed_paths(now, incremental.snapshot(corpus_before(spark, sf_dir)))
+    return incremental.changed_only(now, changed).select("path")
+
+
+@query("inc2_reuse_unchanged", o.all_findings_sql())
+def inc2(spark, sf_dir):
+    """Old findings kept and changed notebooks audited again: as if all had been."""
+    before = corpus_before(spark, sf_dir)
+    findings_before = shared.stored(engine.validate(before), "before")
+    found = incremental.reuse_unchanged(corpus(spark, sf_dir), incremental.snapshot(before), findings_before)
+    return found.select(*SHOWN)
+
+
+FILES = """files AS (SELECT CASE WHEN lang = 'en' THEN 'notebooks/' WHEN lang = 'fr' THEN 'src/' ELSE 'notebooks/sub/' END || source || '/f' || doc_id
+  || CASE WHEN n_chars % 2 = 0 THEN '.py' ELSE '.sql' END AS file_path FROM documents)"""
+
+
+@query(
+    "inc4_repo_to_workspace_path",
+    f"""WITH {FILES} SELECT file_path, '/Workspace/Repos/org/repo/' || CASE WHEN starts_with(file_path, 'notebooks/') THEN regexp_replace(file_path, '\\.py$', '') ELSE file_path END AS workspace_path FROM files""",
+)
+def inc4(spark, sf_dir):
+    folder = F.when(F.col("lang") == "en", "notebooks/").when(F.col("lang") == "fr", "src/").otherwise("notebooks/sub/")
+    ending = F.when(F.col("n_chars") % 2 == 0, ".py").otherwise(".sql")
+    name = F.concat(folder, "source", F.lit("/f"), F.col("doc_id").cast("string"), ending)
+    files = table(spark, sf_dir, "documents").select(name.alias("file_path"))
+    return files.withColumn("workspace_path", incremental.repo_to_workspace_path(F.col("file_path"), "org/repo"))
+
+
+# ---- sinks and the history table -------------------------------------------------------
+def _masked(details: str = "details") -> str:
+    prefix = o.lit(fixed.SECRET_FOUND)
+    return f"CASE WHEN starts_with({details}, {prefix}) THEN {details}[:length({prefix}) + 4] || '***' ELSE {details} END"
+
+
+WRITTEN = f"{o.WITH}, found AS {o.findings_sql()} SELECT rule, status, {_masked()} AS details, path AS notebook_path, {o.audit_id()} AS audit_id FROM found"
+FIELDS = ["rule", "status", "details", "notebook_path", "audit_id"]
+
+
+@query("snk2_write_table", WRITTEN)
+def snk2(spark, sf_dir):
+    """Written as a table of the session's catalog, read back by name."""
+    location = shared.new_location(spark, "table")
+    name = "findings_" + location.rsplit("-", 1)[1]
+    store.write_table(engine.validate(corpus(spark, sf_dir)), name, path=location)
+    return spark.table(name).select(*FIELDS)
+
+
+@query(
+    "snk3_append_history",
+    f"""{WITH} SELECT notebook_path, rule, status, audit_id, run_date::VARCHAR AS run_date, 'run-' || CASE WHEN env = 'prod' THEN 'b' ELSE 'a' END AS validation_run_id,
+      'test' AS validation_source, CASE WHEN env = 'prod' THEN pr_branch END AS pr_branch FROM history""",
+)
+def snk3(spark, sf_dir):
+    """Two runs appended, the second with a column more; read back with both schemas."""
+    location = shared.new_location(spark, "history")
+    everything = history(spark, sf_dir).drop("run_date", "pr_number")
+    stamp = F.col("validation_timestamp")
+    store.append_history(everything.filter(F.col("env") != "prod").drop("pr_branch"), location, "run-a", "test", stamp)
+    store.append_history(everything.filter(F.col("env") == "prod"), location, "run-b", "test", stamp)
+    back = store.load_findings(spark, location)
+    return printed(back).select("notebook_path", "rule", "status", "audit_id", "run_date", "validation_run_id", "validation_source", "pr_branch")
+
+
+@query(
+    "src7_load_findings",
+    f"{WITH} SELECT run_date::VARCHAR AS run_date, status, count(*) AS n FROM history WHERE run_date >= DATE '2024-01-20' GROUP BY ALL",
+)
+def src7(spark, sf_dir):
+    """The stored history, only its latest days read."""
+    location = shared.new_location(spark, "history")
+    everything = history(spark, sf_dir).drop("run_date")
+    store.append_history(everything, location, "run-a", "test", F.col("validation_timestamp"))
+    recent = store.load_findings(spark, location).filter(F.col("run_date") >= F.lit("2024-01-20").cast("date"))
+    return printed(recent.groupBy("run_date", "status").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("snk4_write_json", WRITTEN)
+def snk4(spark, sf_dir):
+    location = shared.new_location(spark, "json")
+    found = engine.validate(corpus(spark, sf_dir))
+    store.write_json(found, location)
+    return spark.read.schema(found.select(*store.FIELDS).schema).json(location).select(*FIELDS)
+
+
+@query("snk5_write_csv", WRITTEN)
+def snk5(spark, sf_dir):
+    location = shared.new_location(spark, "csv")
+    found = engine.validate(corpus(spark, sf_dir))
+    store.write_csv(found, location)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    return reader.schema(found.select(*store.FIELDS).schema).csv(location).select(*FIELDS)
+
+
+def _html(value: str) -> str:
+    return f"replace(replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(
+    "snk6_html_rows",
+    f"""{o.WITH}, found AS {o.findings_sql()}
+    SELECT path AS notebook_path, 'head' AS part, '<h2>' || {_html('path')} || '</h2><p>Total validations: ' || count(*) || '</p><p class="passed">Passed: ' || count(*) FILTER (WHERE status = 'Passed')
+      || '</p><p class="failed">Failed: ' || count(*) FILTER (WHERE status = 'Failed') || '</p><p class="pending">Pending: ' || count(*) FILTER (WHERE status = 'Pending') || '</p>' AS html FROM found GROUP BY path
+    UNION ALL SELECT path, 'row', '<tr><td>' || {_html('path')} || '</td><td>' || {_html('rule')} || '</td><td class="' || lower(status) || '">' || status || '</td><td>' || {_html('details')} || '</td></tr>' FROM found""",
+)
+def snk6(spark, sf_dir):
+    return store.html_rows(engine.validate(corpus(spark, sf_dir))).select("notebook_path", "part", "html")
+
+
+# ---- streams ---------------------------------------------------------------------------
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str, schema: str | T.StructType) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("str1_scheduled_audit", o.all_findings_sql())
+def str1(spark, sf_dir):
+    """Notebooks arriving on a stream, audited in one scheduled run."""
+    arriving = notebooks_from(stream(spark, sf_dir, "documents", DOCUMENTS))
+    location = shared.new_location(spark, "audited")
+    jobs.scheduled_audit(arriving, location, shared.new_location(spark, "progress")).awaitTermination()
+    return spark.read.parquet(location).select(*SHOWN)
+
+
+@query(
+    "str2_streaming_trend",
+    f"""{WITH} SELECT run_date::VARCHAR AS date, count(*) AS total_validations, count(*) FILTER (WHERE status = 'Passed') AS passed FROM history
+    WHERE run_date + INTERVAL 1 DAY <= (SELECT max(validation_timestamp) FROM history) - INTERVAL 1 DAY GROUP BY run_date""",
+)
+def str2(spark, sf_dir):
+    """Days closed by the watermark, from a stream that delivers every finding twice."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arriving = stream(spark, sf_dir, "events", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = arriving.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).select(*events.columns)
+    location = shared.new_location(spark, "trend")
+    jobs.run_trend(history_from(twice), location, shared.new_location(spark, "progress")).awaitTermination()
+    return printed(spark.read.parquet(location))

@@ -399,9 +399,9 @@ def fnd8(spark, sf_dir):
 @query(
     "fnd9_run_validation",
     f"""{o.WITH}, found AS {o.findings_sql()}, chosen AS (SELECT * FROM found WHERE path IN ({', '.join(o.lit(p) for p in CHOSEN)}))
-    SELECT 'total' AS level, 'all' AS name, count_if(status = 'Passed') AS passed, count_if(status = 'Failed') AS failed, count_if(status = 'Pending') AS pending FROM chosen
-    UNION ALL SELECT 'rule', rule, count_if(status = 'Passed'), count_if(status = 'Failed'), count_if(status = 'Pending') FROM chosen GROUP BY rule
-    UNION ALL SELECT 'notebook', path, count_if(status = 'Passed'), count_if(status = 'Failed'), count_if(status = 'Pending') FROM chosen GROUP BY path""",
+    SELECT 'total' AS level, 'all' AS name, count(*) FILTER (WHERE status = 'Passed') AS passed, count(*) FILTER (WHERE status = 'Failed') AS failed, count(*) FILTER (WHERE status = 'Pending') AS pending FROM chosen
+    UNION ALL SELECT 'rule', rule, count(*) FILTER (WHERE status = 'Passed'), count(*) FILTER (WHERE status = 'Failed'), count(*) FILTER (WHERE status = 'Pending') FROM chosen GROUP BY rule
+    UNION ALL SELECT 'notebook', path, count(*) FILTER (WHERE status = 'Passed'), count(*) FILTER (WHERE status = 'Failed'), count(*) FILTER (WHERE status = 'Pending') FROM chosen GROUP BY path""",
 )
 def fnd9(spark, sf_dir):
     run = engine.run_validation(corpus(spark, sf_dir), CHOSEN)

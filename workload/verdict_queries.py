@@ -10,7 +10,7 @@ from cellaudit.operators import engine, verdicts
 from cellaudit.operators.catalog import DEFAULT_CATALOG
 
 from . import oracle as o
-from .fixture import corpus, table
+from .fixture import corpus, documents, table
 from .registry import query
 
 # The answer to a question is chosen by the first hex digit of its id.
@@ -213,7 +213,7 @@ def line_notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cells = F.array_join(F.transform(F.split("text", "\n"), cell), ",")
     content = F.concat(F.lit('{"cells":['), cells, F.lit("]}"))
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/Lines/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
+    return documents(spark, sf_dir).select(F.concat(F.lit("/Lines/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
 
 
 def title_responses(title_links: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def mdl7(spark, sf_dir):
 def _single(key: str, system: str, error_text: str, flag: str) -> str:
     return f"""asked AS (SELECT {key} AS shown, sha256({o.lit(system)} || chr(10) || sha256(asked_text)) AS request_id FROM things),
     answered AS ({sql_answers('asked')})
-    SELECT shown AS {key}, CASE WHEN error IS NOT NULL THEN FALSE ELSE contains(content, 'True') END AS {flag},
+    SELECT shown AS {key}, (CASE WHEN error IS NOT NULL THEN FALSE ELSE contains(content, 'True') END)::VARCHAR AS {flag},
       CASE WHEN error IS NOT NULL THEN {error_text} ELSE content END AS explanation FROM answered"""
 
 
@@ -331,7 +331,7 @@ def _single(key: str, system: str, error_text: str, flag: str) -> str:
 def mdl9(spark, sf_dir):
     names = table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("name"))
     asked = verdicts.single_requests(names.distinct(), fixed.PROMPT_NAME, "name")
-    return verdicts.name_descriptive(names, responses(asked))
+    return verdicts.name_descriptive(names, responses(asked)).withColumn("descriptive", F.col("descriptive").cast("string"))
 
 
 @query(
@@ -346,7 +346,8 @@ def mdl10(spark, sf_dir):
 
     books = with_code(intact(spark, sf_dir)).withColumn("readable", F.lit(True))
     asked = verdicts.single_requests(books, fixed.PROMPT_BLANK_SPACE, "code")
-    return verdicts.blank_space(books, responses(asked.dropDuplicates(["request_id"])))
+    found = verdicts.blank_space(books, responses(asked.dropDuplicates(["request_id"])))
+    return found.withColumn("unnecessary", F.col("unnecessary").cast("string"))
 
 
 # ---- everything ----------------------------------------------------------------------
