@@ -58,7 +58,7 @@ def active_rules(catalog: Iterable[Setting], extra: Sequence[Rule] = ()) -> list
 def finding(domain: Column, rule_key: Column, rule: Column, severity: Column, status: Column, details: Column, seq: Column) -> Column:
     names = ["domain", "rule_key", "rule", "severity", "status", "details", "seq"]
     values = [domain, rule_key, rule, severity, status, details, seq]
-    return F.struct(*[value.alias(name) for name, value in zip(names, values)]).cast(FINDING)
+    return F.struct(*[value.alias(name) for name, value in zip(names, values)])
 
 
 def identified(rows: DataFrame, run_id: str = "") -> DataFrame:

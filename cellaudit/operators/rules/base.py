@@ -1,9 +1,10 @@
 """What a rule is, and the few ways rules build their finding rows.
 
-A rule contributes two things to the audit's projections: ``scan`` columns (one
-text search each, so every search is written and run once per notebook) and
-``rows``, an ``array<struct<status,details>>`` built from them.  How many rows a
-notebook gets is part of a rule's meaning: none, one, or one per match.
+A rule contributes two things to the audit's projections: ``scan`` columns, what
+it finds in a notebook (each search is written and run once), and ``rows``, an
+``array<struct<status,details>>`` built from the scan columns only, so that texts
+are left behind before findings are put together.  How many rows a notebook gets
+is part of a rule's meaning: none, one, or one per match.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def failed(details: Column | str) -> Column:
 
 def _row(status: str, details: Column | str) -> Column:
     details = F.lit(details) if isinstance(details, str) else details
-    return F.struct(F.lit(status).alias("status"), details.alias("details")).cast(ROW)
+    return F.struct(F.lit(status).alias("status"), details.alias("details"))
 
 
 def no_rows() -> Column:

@@ -71,4 +71,4 @@ def register_rule(rule_key: str, label: str, rows: Callable[[], Column], domain:
     ``rows`` may use the columns ``path``, ``language``, ``cells``, ``code`` and
     ``folded``; build rows with ``passed`` and ``failed``.
     """
-    return Rule(domain, rule_key, label, CODE, lambda _p: Check(lambda _m: rows()))
+    return Rule(domain, rule_key, label, CODE, lambda _p: Check(lambda m: m["rows"], {"rows": rows()}))

@@ -27,7 +27,9 @@ def has_header(cells: Column, p: dict) -> Column:
 
 
 def header_section(p: dict) -> Check:
-    return Check(lambda _: one(has_header(F.col("cells"), p), passed(fixed.HEADER_OK), failed(fixed.HEADER_BAD)))
+    return Check(
+        lambda m: one(m["header"], passed(fixed.HEADER_OK), failed(fixed.HEADER_BAD)), {"header": has_header(F.col("cells"), p)}
+    )
 
 
 def title_of(cell: Column) -> Column:
@@ -36,7 +38,7 @@ def title_of(cell: Column) -> Column:
 
 def missing_titles(p: dict) -> Check:
     untitled = F.filter(code_cells(F.col("cells")), lambda cell: title_of(cell) == "")
-    return Check(lambda _: each(untitled, lambda _cell: failed(fixed.TITLE_MISSING)))
+    return Check(lambda m: F.array_repeat(failed(fixed.TITLE_MISSING), m["untitled"]), {"untitled": F.size(untitled)})
 
 
 def string_types(p: dict) -> Check:

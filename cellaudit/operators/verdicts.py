@@ -32,7 +32,7 @@ RESPONSE_SCHEMA = "request_id string, content string, error string"
 # ---- reading an answer: MDL4, MDL5, MDL6 ------------------------------------------
 def _or_error(verdict: Column, error_details: Column) -> Column:
     """An error counts as failed; no answer yet is pending."""
-    pending = F.struct(F.lit(fixed.PENDING).alias("status"), F.lit(fixed.UNANSWERED).alias("details")).cast(ROW)
+    pending = F.struct(F.lit(fixed.PENDING).alias("status"), F.lit(fixed.UNANSWERED).alias("details"))
     return (
         F.when(F.col("error").isNotNull(), failed(error_details))
         .when(F.col("content").isNull(), pending)

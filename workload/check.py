@@ -23,16 +23,17 @@ TABLES = [
 ]
 
 
-def local_spark(cores: str = "8") -> SparkSession:
-    return (
+def local_spark(cores: str = "8", folder: str | None = None) -> SparkSession:
+    """A local session; ``folder`` stands in for the cluster's shared folder."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", folder) if folder else builder).getOrCreate()
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
