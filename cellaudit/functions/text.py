@@ -99,6 +99,14 @@ def folded_regex(pattern: str, *, dotall: bool = False) -> str:
     return java_regex(lowered, dotall=dotall, ignore_case=False)
 
 
+def literals(pattern: str) -> list[str]:
+    """The words of a pattern that is nothing but alternative literals, folded."""
+    words = [re.sub(r"\\(\W)", r"\1", word) for word in pattern.split("|")]
+    if any(set(re.sub(r"\\\W", "", word)) & set("\\.*+?()[]{}^$") for word in pattern.split("|")):
+        raise ValueError(f"more than plain alternatives: {pattern}")
+    return [word.lower() for word in words]
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """True where ``text`` holds one of ``words``, exactly as written."""
     test = F.contains(text, F.lit(words[0]))

@@ -1,12 +1,14 @@
 """Evaluating rules on notebooks: one row per finding.
 
-The whole evaluation is narrow.  Code text is put together once per notebook,
-each search runs once over it, and the findings of all rules are exploded from
-one array.  There is no shuffle, and no Python unless a Python rule is given.
+The whole evaluation is narrow.  Code text is put together once per notebook and
+each search runs once over it.  Every rule fills one slot of an array with its
+rows; slots and rows are then exploded, and a slot's number says which rule it
+is.  There is no shuffle, and no Python unless a Python rule is given.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -19,11 +21,8 @@ from . import summary
 from .catalog import DEFAULT_CATALOG, Setting
 from .cells import cell_text, first_n_cells, with_code
 from .rules import BUILT_IN, Rule, custom
-from .rules.base import CODE, HEAD, TITLES
+from .rules.base import CODE, HEAD, LANGUAGE, TITLES, failed
 
-FINDING = (
-    "struct<domain:string,rule_key:string,rule:string,severity:string,status:string,details:string,seq:int>"
-)
 FINDING_COLUMNS = [
     "rule", "status", "details", "notebook_path", "audit_time", "audit_id", "domain", "rule_key", "severity", "seq",
 ]
@@ -55,10 +54,13 @@ def active_rules(catalog: Iterable[Setting], extra: Sequence[Rule] = ()) -> list
 
 
 # ---- FND1 ------------------------------------------------------------------------
-def finding(domain: Column, rule_key: Column, rule: Column, severity: Column, status: Column, details: Column, seq: Column) -> Column:
-    names = ["domain", "rule_key", "rule", "severity", "status", "details", "seq"]
-    values = [domain, rule_key, rule, severity, status, details, seq]
-    return F.struct(*[value.alias(name) for name, value in zip(names, values)])
+LABEL = "struct<domain:string,rule_key:string,rule:string,severity:string>"
+
+
+def labels(rows: Sequence[tuple[str | None, str, str, str]]) -> Column:
+    """What the slots of an audit stand for, as one constant array."""
+    names = ["domain", "rule_key", "rule", "severity"]
+    return F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), f"array<{LABEL}>")
 
 
 def identified(rows: DataFrame, run_id: str = "") -> DataFrame:
@@ -103,54 +105,29 @@ def head_problem(p: dict) -> Column:
     return F.coalesce(F.col("cells_problem"), reason)
 
 
-def domain_problem(reads: dict[str, dict]) -> Column:
-    """The first problem the rules of a domain meet, in order; null if none.
-
-    ``reads`` holds what its rules read, each with the parameters that matter.
-    """
+def with_problems(notebooks: DataFrame, reads: dict[str, dict[str, dict]]) -> DataFrame:
+    """One column per kind of reading, with what goes wrong in it."""
     reasons = {CODE: lambda p: code_problem(), TITLES: lambda p: title_problem(), HEAD: head_problem}
-    found = [reasons[what](p) for what, p in reads.items() if what in reasons]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+    needed = {what: p for domain in reads.values() for what, p in domain.items() if what in reasons}
+    return notebooks.withColumns({f"problem_{what}": reasons[what](p) for what, p in needed.items()})
 
 
-# ---- FND2, FND3 --------------------------------------------------------------------
-def prepared(notebooks: DataFrame) -> DataFrame:
-    """Parsed notebooks with their code; a raw corpus is parsed first."""
-    if "content" in notebooks.columns:
-        notebooks = source.parse_notebooks(notebooks)
-    return notebooks if "folded" in notebooks.columns else with_code(notebooks)
-
-
-def _rule_findings(a: Active, rows: Column) -> Column:
-    r = a.rule
-    return F.transform(
-        rows,
-        lambda row, i: finding(
-            F.lit(r.domain), F.lit(r.rule_key), F.lit(r.label), F.lit(a.severity), row["status"], row["details"], i
-        ),
-    )
-
-
-def _domain_findings(domain: str, active: Sequence[Active], scanned: dict) -> Column:
-    rows = [_rule_findings(a, a.rule.check(a.parameters).rows(scanned[a.rule.rule_key])) for a in active]
-    fine = F.concat(*rows) if rows else F.array().cast(f"array<{FINDING}>")
-    name = fixed.DOMAIN_NAMES[domain]
-    reason = F.col(f"problem_{domain}")
-    error = finding(
-        F.lit(domain), F.lit("domain_error"), F.lit(f"{name} Error"), F.lit("error"), F.lit(fixed.FAILED),
-        F.concat(F.lit(fixed.DOMAIN_ERROR_PREFIX), reason), F.lit(0),
-    )
-    return F.when(reason.isNotNull(), F.array(error)).otherwise(fine)
+def domain_problem(reads: dict[str, dict]) -> Column:
+    """The first problem the rules of a domain meet, in order; null if none."""
+    found = [F.col(f"problem_{what}") for what in reads if what != LANGUAGE]
+    return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def access_finding(path: Column, reason: Column) -> Column:
-    details = F.concat(F.lit(fixed.ACCESS_PREFIX), path, F.lit(": "), reason)
-    none = F.lit(None).cast("string")
-    return finding(none, F.lit("notebook_access"), F.lit(fixed.ACCESS_LABEL), F.lit("error"), F.lit(fixed.FAILED), details, F.lit(0))
+# ---- FND2, FND3 --------------------------------------------------------------------
+def parsed(notebooks: DataFrame) -> DataFrame:
+    """Parsed notebooks; a raw corpus is parsed first."""
+    return source.parse_notebooks(notebooks) if "content" in notebooks.columns else notebooks
 
 
-def with_problems(notebooks: DataFrame, reads: dict[str, dict[str, dict]]) -> DataFrame:
-    return notebooks.withColumns({f"problem_{domain}": domain_problem(what) for domain, what in reads.items()})
+def prepared(notebooks: DataFrame) -> DataFrame:
+    """Parsed notebooks with their code."""
+    books = parsed(notebooks)
+    return books if "folded" in books.columns else with_code(books)
 
 
 def domain_reads(catalog: Iterable[Setting], active: Sequence[Active]) -> dict[str, dict[str, dict]]:
@@ -179,42 +156,68 @@ def validate(
     """
     active = active_rules(catalog, extra)
     reads = domain_reads(catalog, active)
-    base = with_problems(prepared(notebooks), reads)
-
-    scans, scanned = {}, {}
-    for a in active:
-        check = a.rule.check(a.parameters)
-        names = {name: f"{a.rule.rule_key}__{name}" for name in check.scan}
-        scans.update({names[name]: column for name, column in check.scan.items()})
-        scanned[a.rule.rule_key] = {name: F.col(full) for name, full in names.items()}
-    searched = base.withColumns(scans) if scans else base
-
-    domains = [
-        _domain_findings(domain, [a for a in active if a.rule.domain == domain], scanned)
-        for domain in DOMAIN_ORDER
-        if domain in reads
-    ]
-    findings = F.concat(*domains) if domains else F.array().cast(f"array<{FINDING}>")
-    unreadable = access_finding(F.col("path"), F.concat(F.lit(fixed.ACCESS_UNREADABLE), F.col("path")))
-    rows = searched.select(
-        F.col("path").alias("notebook_path"),
-        "copy",
-        F.explode(F.when(F.col("readable"), findings).otherwise(F.array(unreadable))).alias("finding"),
+    base = with_problems(parsed(notebooks), reads)
+
+    # Slots: what can go wrong first, then the rules; their order is the findings' order.
+    scans: dict[str, Column] = {}
+    cell_scans: dict[str, Column] = {}
+    slots: list[tuple[tuple, Column]] = [(ACCESS, F.when(~F.col("readable"), _unreadable()))]
+    for domain in DOMAIN_ORDER:
+        if domain not in reads:
+            continue
+        problem = domain_problem(reads[domain])
+        stopped = F.col("readable") & problem.isNotNull()
+        going = F.col("readable") & problem.isNull()
+        name = f"{fixed.DOMAIN_NAMES[domain]} Error"
+        error = F.array(failed(F.concat(F.lit(fixed.DOMAIN_ERROR_PREFIX), problem)))
+        slots.append(((domain, "domain_error", name, "error"), F.when(stopped, error)))
+        for a in active:
+            if a.rule.domain == domain:
+                check = a.rule.check(a.parameters)
+                names = {part: f"{a.rule.rule_key}__{part}" for part in [*check.scan, *check.from_cells]}
+                scans.update({names[part]: column for part, column in check.scan.items()})
+                cell_scans.update({names[part]: column for part, column in check.from_cells.items()})
+                rows = check.rows({part: F.col(full) for part, full in names.items()})
+                slots.append(((domain, a.rule.rule_key, a.rule.label, a.severity), F.when(going, rows)))
+
+    # What looks at cells is taken together with the code, so that cells, texts of
+    # the same size as the code, go no further.
+    coded = prepared(base.withColumns(cell_scans) if cell_scans else base)
+    searched = coded.withColumns(scans) if scans else coded
+    by_slot = searched.select(
+        F.col("path").alias("notebook_path"), "copy", F.posexplode(F.array(*[rows for _, rows in slots])).alias("slot", "rows")
     )
-    return identified(rows.select("notebook_path", "copy", "finding.*"), run_id)
+    by_row = by_slot.select("notebook_path", "copy", "slot", F.posexplode("rows").alias("seq", "row"))
+    label = F.get(labels([label for label, _ in slots]), F.col("slot"))
+    named = by_row.select("notebook_path", "copy", label.alias("label"), "row.status", "row.details", "seq")
+    return identified(named.select("*", "label.*"), run_id)
+
+
+ACCESS = (None, "notebook_access", fixed.ACCESS_LABEL, "error")
+
+
+def _unreadable() -> Column:
+    return F.array(failed(_access_details(F.concat(F.lit(fixed.ACCESS_UNREADABLE), F.col("path")))))
+
+
+def _access_details(reason: Column) -> Column:
+    return F.concat(F.lit(fixed.ACCESS_PREFIX), F.col("path"), F.lit(": "), reason)
 
 
 # ---- SRC6 ------------------------------------------------------------------------
 def missing_findings(corpus: DataFrame, requested: DataFrame, run_id: str = "") -> DataFrame:
     """One access finding for every request of a notebook the corpus lacks."""
     missing = source.missing_notebooks(corpus, requested)
-    reason = F.concat(F.lit(fixed.ACCESS_MISSING), F.col("path"))
+    named = zip(["domain", "rule_key", "rule", "severity"], ACCESS)
     rows = missing.select(
         F.col("path").alias("notebook_path"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-        access_finding(F.col("path"), reason).alias("finding"),
+        *[F.lit(value).cast("string").alias(name) for name, value in named],
+        F.lit(fixed.FAILED).alias("status"),
+        _access_details(F.concat(F.lit(fixed.ACCESS_MISSING), F.col("path"))).alias("details"),
+        F.lit(0).alias("seq"),
     )
-    return identified(rows.select("notebook_path", "copy", "finding.*"), run_id)
+    return identified(rows, run_id)
 
 
 def validate_requested(

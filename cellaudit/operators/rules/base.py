@@ -26,8 +26,11 @@ LANGUAGE, HEAD, TITLES, CODE = "language", "head", "titles", "code"
 
 @dataclass(frozen=True)
 class Check:
+    """``from_cells`` holds the scan columns that look at cells instead of code."""
+
     rows: Callable[[dict[str, Column]], Column]
     scan: dict[str, Column] = field(default_factory=dict)
+    from_cells: dict[str, Column] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -92,11 +95,16 @@ def code_count(pattern: str, *, needs: Sequence[str], dotall: bool = False) -> C
     return F.when(text.contains_any(F.col("folded"), needs), count).otherwise(0)
 
 
-def code_has(pattern: str, *, needs: Sequence[str], dotall: bool = False) -> Column:
-    found = F.col("folded").rlike(text.folded_regex(pattern, dotall=dotall))
+def code_has(pattern: str, *, needs: Sequence[str]) -> Column:
+    found = F.col("folded").rlike(text.folded_regex(pattern))
     return text.contains_any(F.col("folded"), needs) & found
 
 
+def code_has_word(pattern: str) -> Column:
+    """For patterns that are plain alternatives: no regex is needed."""
+    return text.contains_any(F.col("folded"), text.literals(pattern))
+
+
 def any_on_line(alternatives: Sequence[str], *, needs: Sequence[str]) -> Column:
     """One of several ``head.*tail`` patterns occurs on some line."""
     found = F.lit(False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions import fixed, text
 from ..cells import comment_lines, written_lines
-from .base import CODE, Check, Rule, any_on_line, code_has, code_matches, each, failed, one, passed, quoted
+from .base import CODE, Check, Rule, any_on_line, code_has, code_has_word, code_matches, each, failed, one, passed, quoted
 
 
 def metastore(p: dict) -> Check:
@@ -51,7 +51,7 @@ def isolation(p: dict) -> Check:
     return Check(
         lambda m: one(m["any"] & ~m["mixed"], passed(fixed.ISOLATION_OK), failed(fixed.ISOLATION_BAD)),
         {
-            "any": code_has(fixed.ENVIRONMENT_PATH, needs=["dev/", "staging/", "prod/"]),
+            "any": code_has_word(fixed.ENVIRONMENT_PATH),
             "mixed": any_on_line(fixed.MIXED_ENVIRONMENTS.strip("()").split("|"), needs=["dev/", "staging/"]),
         },
     )

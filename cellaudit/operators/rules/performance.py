@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ...functions import fixed, text
-from .base import CODE, Check, Rule, code_count, code_has, each, failed, no_rows, passed, repeat_or
+from .base import CODE, Check, Rule, code_count, code_has_word, each, failed, no_rows, passed, repeat_or
 
 
 def select_star(p: dict) -> Check:
@@ -24,7 +24,7 @@ def select_star(p: dict) -> Check:
 
 
 def partitions_or_clusters() -> Column:
-    return code_has(fixed.PARTITIONED_OR_CLUSTERED, needs=["partitioned by", "clustered by"])
+    return code_has_word(fixed.PARTITIONED_OR_CLUSTERED)
 
 
 def partitioning(p: dict) -> Check:
@@ -42,7 +42,7 @@ def vectorization(p: dict) -> Check:
 
 
 def uses_cache() -> Column:
-    return code_has(fixed.CACHING, needs=[".cache()", "cache table"])
+    return code_has_word(fixed.CACHING)
 
 
 def cache(p: dict) -> Check:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import fixed, text
 from ..cells import cell_text, code_cells, first_n_cells
 from .base import (
-    CODE, HEAD, LANGUAGE, TITLES, Check, Rule, code_count, code_has, code_matches, each, failed, no_rows, one, passed, quoted,
+    CODE, HEAD, LANGUAGE, TITLES, Check, Rule, code_count, code_has_word, code_matches, each, failed, no_rows, one, passed, quoted,
 )
 
 
@@ -28,7 +28,8 @@ def has_header(cells: Column, p: dict) -> Column:
 
 def header_section(p: dict) -> Check:
     return Check(
-        lambda m: one(m["header"], passed(fixed.HEADER_OK), failed(fixed.HEADER_BAD)), {"header": has_header(F.col("cells"), p)}
+        lambda m: one(m["header"], passed(fixed.HEADER_OK), failed(fixed.HEADER_BAD)),
+        from_cells={"header": has_header(F.col("cells"), p)},
     )
 
 
@@ -38,7 +39,9 @@ def title_of(cell: Column) -> Column:
 
 def missing_titles(p: dict) -> Check:
     untitled = F.filter(code_cells(F.col("cells")), lambda cell: title_of(cell) == "")
-    return Check(lambda m: F.array_repeat(failed(fixed.TITLE_MISSING), m["untitled"]), {"untitled": F.size(untitled)})
+    return Check(
+        lambda m: F.array_repeat(failed(fixed.TITLE_MISSING), m["untitled"]), from_cells={"untitled": F.size(untitled)}
+    )
 
 
 def string_types(p: dict) -> Check:
@@ -52,7 +55,7 @@ def string_types(p: dict) -> Check:
 
     return Check(rows, {
         "character_types": code_count(fixed.CHARACTER_TYPE, needs=["char"]),
-        "creates_table": code_has(fixed.CREATE_TABLE, needs=["create table"]),
+        "creates_table": code_has_word(fixed.CREATE_TABLE),
     })
 
 

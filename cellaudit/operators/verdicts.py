@@ -20,7 +20,7 @@ from ..functions import fixed, shared, text
 from ..functions.rows import kept
 from .catalog import DEFAULT_CATALOG, Setting
 from .cells import code_cells
-from .engine import active_rules, domain_reads, identified, prepared, with_problems
+from .engine import active_rules, domain_problem, domain_reads, identified, parsed, prepared, with_problems
 from .rules.base import ROW, failed, passed
 from .rules.performance import partitions_or_clusters, uses_cache
 from .rules.quality import title_of
@@ -145,9 +145,9 @@ def _undecided(notebooks: DataFrame, catalog: Sequence[Setting]) -> tuple[DataFr
     listed = _settings(catalog)
     rules = [(rule, listed[rule.rule_key]) for rule in VERDICT_RULES if rule.rule_key in listed]
     reads = domain_reads(catalog, active_rules(catalog))
-    base = with_problems(prepared(notebooks), reads)
+    base = prepared(with_problems(parsed(notebooks), reads))
     flags = {
-        f"ask_{rule.rule_key}": F.col("readable") & F.col(f"problem_{rule.domain}").isNull() & rule.undecided(setting.parameters)
+        f"ask_{rule.rule_key}": F.col("readable") & domain_problem(reads[rule.domain]).isNull() & rule.undecided(setting.parameters)
         for rule, setting in rules
     }
     return base.withColumns({"code_hash": F.sha2("code", 256), **flags}), rules
@@ -208,8 +208,8 @@ def title_links(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT
     """``(path, copy, batch, titles, system, request_id)``; no shuffle."""
     reads = domain_reads(catalog, active_rules(catalog))
     asked_at_all = TITLES_KEY in _settings(catalog)
-    base = with_problems(prepared(notebooks), reads)
-    problem = F.col(f"problem_{fixed.CODE_QUALITY}") if asked_at_all else F.lit("not asked")
+    base = with_problems(parsed(notebooks), reads)
+    problem = domain_problem(reads[fixed.CODE_QUALITY]) if asked_at_all else F.lit("not asked")
     batches = F.when(F.col("readable") & problem.isNull(), title_batches(F.col("cells")))
     rows = base.select("path", "copy", F.inline(batches))
     asked = rows.withColumn("system", title_prompt(F.col("titles")))
@@ -354,15 +354,15 @@ def verdict_findings(
     notebooks: DataFrame, responses: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), run_id: str = ""
 ) -> DataFrame:
     """All findings of rules a model decides, given the stored responses."""
-    parsed = prepared(notebooks)
-    by_code = join_verdicts(request_links(parsed, catalog), responses, catalog, run_id)
-    by_title = title_findings(title_links(parsed, catalog), responses, catalog, run_id)
+    books = parsed(notebooks)
+    by_code = join_verdicts(request_links(books, catalog), responses, catalog, run_id)
+    by_title = title_findings(title_links(books, catalog), responses, catalog, run_id)
     return by_code.unionByName(by_title)
 
 
 def all_requests(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
-    parsed = prepared(notebooks)
-    return build_requests(parsed, catalog).unionByName(batch_title_prompts(parsed, catalog))
+    books = parsed(notebooks)
+    return build_requests(books, catalog).unionByName(batch_title_prompts(books, catalog))
 
 
 # ---- MDL9, MDL10 ----------------------------------------------------------------------
