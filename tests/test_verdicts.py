@@ -148,3 +148,32 @@ def test_titles_are_not_asked_about_when_their_rule_is_off(spark):
     off = enable_rules(DEFAULT_CATALOG, off=["descriptive_cell_titles"])
     assert verdicts.title_links(books, off).count() == 0
     assert verdicts.title_links(books, []).count() == 0
+
+
+def test_a_question_shared_by_many_copies_is_split(spark):
+    """The skewed side of the verdict join is narrow, and adaptive execution splits it."""
+    rows = 60_000
+    hot = spark.range(rows).select(
+        F.concat(F.lit("/copy/"), F.col("id").cast("string")).alias("path"), F.lit(1).alias("copy"), F.lit("efficient_joins").alias("rule_key"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("request_id"),
+    )
+    links = hot.repartition(4)
+    stored = spark.range(rows).select(F.col("id").cast("string").alias("request_id"), F.lit("True").alias("content"), F.lit(None).cast("string").alias("error"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name) for name in settings if spark.conf.get(name, None) is not None}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = verdicts.join_verdicts(links, stored)
+        assert len(found.collect()) == rows
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.set(name, before[name]) if name in before else spark.conf.unset(name)
