@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, shared, text
+from ..functions.rows import repeated
 from ..sources import notebooks as source
 from . import summary
 from .catalog import DEFAULT_CATALOG, Setting
@@ -65,7 +66,12 @@ def labels(rows: Sequence[tuple[str | None, str, str, str]]) -> Column:
 
 def identified(rows: DataFrame, run_id: str = "") -> DataFrame:
     """Adds time and id.  The id is a hash of what the finding is about, so a
-    retried task or a repeated run writes the same id again."""
+    retried task or a repeated run writes the same id again.
+
+    Findings of a notebook that was requested n times come n times.
+    """
+    keys = ["notebook_path", "rule", "seq"]
+    rows = repeated(rows, keys) if "copies" in rows.columns else rows.withColumn("copy", F.lit(1))
     parts = [F.lit(run_id), F.col("notebook_path"), F.col("copy").cast("string"), F.col("rule"), F.col("seq").cast("string")]
     with_id = rows.withColumn("audit_id", F.sha2(F.concat_ws("|", *parts), 256))
     return with_id.withColumn("audit_time", F.current_timestamp()).select(*FINDING_COLUMNS)
@@ -119,6 +125,11 @@ def domain_problem(reads: dict[str, dict]) -> Column:
 
 
 # ---- FND2, FND3 --------------------------------------------------------------------
+def copies_of(notebooks: DataFrame) -> list[str]:
+    """The column that says how often a notebook was requested, if there is one."""
+    return ["copies"] if "copies" in notebooks.columns else []
+
+
 def parsed(notebooks: DataFrame) -> DataFrame:
     """Parsed notebooks; a raw corpus is parsed first."""
     return source.parse_notebooks(notebooks) if "content" in notebooks.columns else notebooks
@@ -184,12 +195,13 @@ def validate(
     # the same size as the code, go no further.
     coded = prepared(base.withColumns(cell_scans) if cell_scans else base)
     searched = coded.withColumns(scans) if scans else coded
+    copies = copies_of(searched)
     by_slot = searched.select(
-        F.col("path").alias("notebook_path"), "copy", F.posexplode(F.array(*[rows for _, rows in slots])).alias("slot", "rows")
+        F.col("path").alias("notebook_path"), *copies, F.posexplode(F.array(*[rows for _, rows in slots])).alias("slot", "rows")
     )
-    by_row = by_slot.select("notebook_path", "copy", "slot", F.posexplode("rows").alias("seq", "row"))
+    by_row = by_slot.select("notebook_path", *copies, "slot", F.posexplode("rows").alias("seq", "row"))
     label = F.get(labels([label for label, _ in slots]), F.col("slot"))
-    named = by_row.select("notebook_path", "copy", label.alias("label"), "row.status", "row.details", "seq")
+    named = by_row.select("notebook_path", *copies, label.alias("label"), "row.status", "row.details", "seq")
     return identified(named.select("*", "label.*"), run_id)
 
 
@@ -211,7 +223,7 @@ def missing_findings(corpus: DataFrame, requested: DataFrame, run_id: str = "")
     named = zip(["domain", "rule_key", "rule", "severity"], ACCESS)
     rows = missing.select(
         F.col("path").alias("notebook_path"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        "copies",
         *[F.lit(value).cast("string").alias(name) for name, value in named],
         F.lit(fixed.FAILED).alias("status"),
         _access_details(F.concat(F.lit(fixed.ACCESS_MISSING), F.col("path"))).alias("details"),

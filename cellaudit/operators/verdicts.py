@@ -20,7 +20,7 @@ from ..functions import fixed, shared, text
 from ..functions.rows import kept
 from .catalog import DEFAULT_CATALOG, Setting
 from .cells import code_cells
-from .engine import active_rules, domain_problem, domain_reads, identified, parsed, prepared, with_problems
+from .engine import active_rules, copies_of, domain_problem, domain_reads, identified, parsed, prepared, with_problems
 from .rules.base import ROW, failed, passed
 from .rules.performance import partitions_or_clusters, uses_cache
 from .rules.quality import title_of
@@ -164,10 +164,12 @@ def _questions(rules: Sequence[tuple[VerdictRule, Setting]]) -> Column:
 
 # ---- MDL1 ---------------------------------------------------------------------------
 def request_links(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
-    """``(path, copy, rule_key, request_id)`` for every answer a notebook's code needs."""
+    """``(path, rule_key, request_id)`` for every answer a notebook's code needs."""
     flagged, rules = _undecided(notebooks, catalog)
-    asked = flagged.select("path", "copy", "code_hash", F.explode(_questions(rules)).alias("q"))
-    return asked.select("path", "copy", F.col("q.rule_key").alias("rule_key"), request_id(F.col("q.system"), F.col("code_hash")).alias("request_id"))
+    copies = copies_of(flagged)
+    asked = flagged.select("path", *copies, "code_hash", F.explode(_questions(rules)).alias("q"))
+    question = request_id(F.col("q.system"), F.col("code_hash"))
+    return asked.select("path", *copies, F.col("q.rule_key").alias("rule_key"), question.alias("request_id"))
 
 
 def build_requests(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
@@ -205,13 +207,13 @@ def title_prompt(titles: Column) -> Column:
 
 
 def title_links(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
-    """``(path, copy, batch, titles, system, request_id)``; no shuffle."""
+    """``(path, batch, titles, system, request_id)``; no shuffle."""
     reads = domain_reads(catalog, active_rules(catalog))
     asked_at_all = TITLES_KEY in _settings(catalog)
     base = with_problems(parsed(notebooks), reads)
     problem = domain_problem(reads[fixed.CODE_QUALITY]) if asked_at_all else F.lit("not asked")
     batches = F.when(F.col("readable") & problem.isNull(), title_batches(F.col("cells")))
-    rows = base.select("path", "copy", F.inline(batches))
+    rows = base.select("path", *copies_of(base), F.inline(batches))
     asked = rows.withColumn("system", title_prompt(F.col("titles")))
     return asked.withColumn("request_id", request_id(F.col("system"), F.sha2(F.lit(""), 256)))
 
@@ -243,7 +245,7 @@ def parse_title_verdicts(content: Column) -> Column:
 
 
 def title_verdicts(links: DataFrame, responses: DataFrame) -> DataFrame:
-    """Per title its verdict, ``(path, copy, seq, title, status, details)``.
+    """Per title its verdict, ``(path, seq, title, status, details)``.
 
     Answer lines are matched to titles by position over the whole notebook:
     lines beyond the last title are dropped, titles without a line get no row.
@@ -264,14 +266,15 @@ def title_verdicts(links: DataFrame, responses: DataFrame) -> DataFrame:
         .when(F.col("content").isNull(), for_all(fixed.PENDING, F.lit(fixed.UNANSWERED)))
         .otherwise(lines)
     )
-    batches = joined.select("path", "copy", F.struct("batch", "titles", verdicts.alias("verdicts")).alias("b"))
-    whole = batches.groupBy("path", "copy").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    flat = whole.select("path", "copy", F.flatten("bs.titles").alias("titles"), F.flatten("bs.verdicts").alias("verdicts"))
+    copies = copies_of(joined)
+    batches = joined.select("path", *copies, F.struct("batch", "titles", verdicts.alias("verdicts")).alias("b"))
+    whole = batches.groupBy("path", *copies).agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    flat = whole.select("path", *copies, F.flatten("bs.titles").alias("titles"), F.flatten("bs.verdicts").alias("verdicts"))
     kept = F.slice("verdicts", 1, F.size("titles"))
-    rows = flat.select("path", "copy", "titles", F.posexplode(kept).alias("seq", "v"))
+    rows = flat.select("path", *copies, "titles", F.posexplode(kept).alias("seq", "v"))
     titled = rows.withColumn("title", F.get("titles", F.col("seq")))
     details = F.concat(F.lit(fixed.TITLE_VERDICT[0]), F.col("title"), F.lit(fixed.TITLE_VERDICT[1]), F.col("v.explanation"))
-    return titled.select("path", "copy", "seq", "title", F.col("v.status").alias("status"), details.alias("details"))
+    return titled.select("path", *copies, "seq", "title", F.col("v.status").alias("status"), details.alias("details"))
 
 
 # ---- MDL7 ---------------------------------------------------------------------------
@@ -322,7 +325,7 @@ def join_verdicts(links: DataFrame, responses: DataFrame, catalog: Sequence[Sett
 
     rows = joined.select(
         F.col("path").alias("notebook_path"),
-        "copy",
+        *copies_of(links),
         "rule_key",
         pick(lambda rule, _: F.lit(rule.domain)).alias("domain"),
         pick(lambda rule, _: F.lit(rule.label)).alias("rule"),
@@ -338,7 +341,7 @@ def title_findings(links: DataFrame, responses: DataFrame, catalog: Sequence[Set
     verdicts = title_verdicts(links, responses)
     rows = verdicts.select(
         F.col("path").alias("notebook_path"),
-        "copy",
+        *copies_of(links),
         F.lit(fixed.CODE_QUALITY).alias("domain"),
         F.lit(TITLES_KEY).alias("rule_key"),
         F.lit(fixed.LABEL_TITLE_VERDICT).alias("rule"),

@@ -72,11 +72,14 @@ def _wanted(requested: DataFrame) -> DataFrame:
 
 
 def load_requested(corpus: DataFrame, requested: DataFrame) -> DataFrame:
-    """The requested notebooks; one asked for n times comes n times, as copy 1..n."""
+    """The requested notebooks, each once, with how often it was asked for.
+
+    Whatever is computed from them is repeated at the end (``rows.repeated``), not
+    the notebooks: one asked for a million times is parsed and evaluated once.
+    """
     wanted = _wanted(requested).withColumn("key", normalize_path(F.col("path")))
     have = corpus.select(normalize_path(F.col("path")).alias("key"), "content")
-    joined = wanted.join(have, "key")
-    return joined.select("path", "content", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return wanted.join(have, "key").select("path", "content", "copies")
 
 
 def notebook_exists(corpus: DataFrame, requested: DataFrame) -> DataFrame:
@@ -183,16 +186,14 @@ def parse_notebooks(corpus: DataFrame) -> DataFrame:
     ``readable`` is false for text that is no JSON object or whose language
     cannot be read; such a notebook gets one access finding and nothing else.
     ``cells_problem`` says why cells cannot be walked at all; problems of single
-    cells sit in the cells.  Other columns (``copy``) pass through.
+    cells sit in the cells.  Other columns (``copies``) pass through.
     """
     # Of keys given twice the last one counts.
     corpus.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    carried = [c for c in corpus.columns if c not in ("path", "content", "copy")]
-    copy = F.col("copy") if "copy" in corpus.columns else F.lit(1)
+    carried = [c for c in corpus.columns if c not in ("path", "content")]
 
     parsed = corpus.select(
         "path",
-        copy.cast("int").alias("copy"),
         *carried,
         F.when(_looks_like_object(F.col("content")), F.from_json("content", "variant", JSON_OPTIONS)).alias("document"),
     )
@@ -205,7 +206,6 @@ def parse_notebooks(corpus: DataFrame) -> DataFrame:
     )
     unpacked = parsed.select(
         "path",
-        "copy",
         *carried,
         readable.alias("readable"),
         notebook_language(doc).alias("language"),
@@ -217,7 +217,6 @@ def parse_notebooks(corpus: DataFrame) -> DataFrame:
                            "source_problem:string,title_problem:string>>")
     return unpacked.select(
         "path",
-        "copy",
         *carried,
         "readable",
         F.when(F.col("readable"), F.col("language")).alias("language"),

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tests.helpers import code_cell, corpus, notebook
 
 from cellaudit.functions import fixed
@@ -81,8 +83,8 @@ def test_requested_paths(spark, tmp_path):
     lines.write_text("  /Workspace/a \n\n/a\n/a\n\t/b \n   \n/missing\n")
     books = corpus(spark, []).sparkSession.createDataFrame([("/a", "{}"), ("/Workspace/b", "{}"), ("/c", "{}")], "path string, content string")
     wanted = source.paths_from_file(spark, str(lines))
-    found = source.load_requested(books, wanted).select("path", "copy").collect()
-    assert sorted(map(tuple, found)) == [("/Workspace/a", 1), ("/a", 1), ("/a", 2), ("/b", 1)]
+    found = source.load_requested(books, wanted).select("path", "copies").collect()
+    assert sorted(map(tuple, found)) == [("/Workspace/a", 1), ("/a", 2), ("/b", 1)]
     assert sorted(map(tuple, source.notebook_exists(books, wanted).collect())) == [
         ("/Workspace/a", True), ("/a", True), ("/b", True), ("/missing", False),
     ]
@@ -94,3 +96,15 @@ def test_notebook_without_cells_keeps_an_empty_row(spark):
     rows = cells.explode_cells(source.parse_notebooks(corpus(spark, ["{}", notebook(code_cell("a"))]))).collect()
     assert sorted((r["path"], r["pos"], r["cell_type"]) for r in rows if r["pos"] is not None) == [("1", 0, "code")]
     assert [r["path"] for r in rows if r["pos"] is None] == ["0"]
+
+
+def test_a_notebook_asked_for_very_often(spark):
+    """Evaluated once; its findings are repeated piece by piece, none lost."""
+    often = 2500
+    wanted = spark.range(often).select(F.lit("/a").alias("path")).union(spark.createDataFrame([("/b",)], "path string"))
+    books = spark.createDataFrame([("/a", notebook(code_cell("SELECT *"))), ("/b", "[]")], "path string, content string")
+    once = engine.validate(books).groupBy("notebook_path").count().collect()
+    found = engine.validate(source.load_requested(books, wanted))
+    many = found.groupBy("notebook_path").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("audit_id").alias("ids")).collect()
+    expected = {r["notebook_path"]: r["count"] * (often if r["notebook_path"] == "/a" else 1) for r in once}
+    assert {r["notebook_path"]: r["n"] for r in many} == {r["notebook_path"]: r["ids"] for r in many} == expected

@@ -154,7 +154,7 @@ def test_a_question_shared_by_many_copies_is_split(spark):
     """The skewed side of the verdict join is narrow, and adaptive execution splits it."""
     rows = 60_000
     hot = spark.range(rows).select(
-        F.concat(F.lit("/copy/"), F.col("id").cast("string")).alias("path"), F.lit(1).alias("copy"), F.lit("efficient_joins").alias("rule_key"),
+        F.concat(F.lit("/copy/"), F.col("id").cast("string")).alias("path"), F.lit("efficient_joins").alias("rule_key"),
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("request_id"),
     )
     links = hot.repartition(4)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellaudit.functions import fixed, shared
-from cellaudit.functions.rows import kept
+from cellaudit.functions.rows import kept, repeated
 from cellaudit.operators import cells, engine
 from cellaudit.operators.catalog import DEFAULT_CATALOG, attach_severity, enable_rules, rule_catalog
 from cellaudit.operators.extend import python_rule, register_rule
@@ -103,7 +103,7 @@ corpus AS (SELECT *, replace(path, '/Workspace/', '/') AS key FROM nb)"""
 )
 def src3(spark, sf_dir):
     wanted = source.load_requested(corpus(spark, sf_dir), request_lines(spark, sf_dir))
-    return kept(source.parse_notebooks(wanted), F.col("readable"), "path", "copy", "language")
+    return repeated(kept(source.parse_notebooks(wanted), F.col("readable"), "path", "copies", "language"), ["path"])
 
 
 @query("src4_normalize_path", f"{o.WITH} SELECT path, replace(path, '/Workspace/', '/') AS key FROM nb")
