@@ -2,8 +2,9 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Every query is run once to warm up and then timed, its whole result going to a
-sink that keeps nothing.  The stored corpus is written before the clock starts.
+Every query is run three times, its whole result going to a sink that keeps
+nothing, and the fastest run counts.  The time includes building and planning the
+query.  The stored corpus is written before the clock starts.
 """
 
 from __future__ import annotations
@@ -54,14 +55,16 @@ def main() -> None:
 
     seconds = {}
     for name, make in runs.items():
-        for _ in range(2):
+        times = []
+        for _ in range(3):
             start = time.perf_counter()
             make().write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+            times.append(time.perf_counter() - start)
+        seconds[name] = round(min(times), 3)
     print(
         json.dumps(
             {
-                "metric": "headline queries, warm, total",
+                "metric": "headline queries, best of three, total",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

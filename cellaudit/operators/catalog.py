@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 SCHEMA = (
-    "domain string, rule_key string, label string, enabled boolean, severity string, "
-    "type string, description string, parameters map<string,string>"
+    "domain: string, rule_key: string, label: string, enabled: boolean, severity: string, "
+    "type: string, description: string, parameters: map<string,string>"
 )
+SCHEMA_NAMES = ["domain", "rule_key", "label", "enabled", "severity", "type", "description", "parameters"]
 MAX_RULES = 10_000
+TOO_MANY = f"a catalog holds at most {MAX_RULES} rules"
 
 
 @dataclass(frozen=True)
@@ -98,23 +100,26 @@ def enable_rules(
 
 
 def rule_catalog(spark: SparkSession, catalog: Iterable[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
-    """The catalog as a table; list and number parameters are kept as JSON."""
-    rows = []
-    for row in catalog:
-        values = asdict(row)
-        values["parameters"] = {name: json.dumps(value) for name, value in row.parameters.items()}
-        rows.append([values[name] for name in SCHEMA_NAMES])
-    return spark.createDataFrame(rows, SCHEMA)
+    """The catalog as a table; list and number parameters are kept as JSON.
+
+    It is a constant of the plan, so Spark knows how small it is when joining it.
+    """
+    rows = [_as_row(asdict(row)) for row in catalog]
+    if len(rows) > MAX_RULES:
+        raise ValueError(TOO_MANY)
+    constant = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{SCHEMA}>>")
+    return spark.range(1).select(F.inline(constant))
 
 
-SCHEMA_NAMES = ["domain", "rule_key", "label", "enabled", "severity", "type", "description", "parameters"]
+def _as_row(row: dict) -> dict:
+    return {**row, "parameters": {name: json.dumps(value) for name, value in row["parameters"].items()}}
 
 
 def read_catalog(table: DataFrame) -> list[Setting]:
     """Settings from a catalog table.  Settings shape the plan, so the driver needs them."""
     rows = table.select(*SCHEMA_NAMES).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
-        raise ValueError(f"a catalog holds at most {MAX_RULES} rules")
+        raise ValueError(TOO_MANY)
     return [
         Setting(**{**row.asDict(), "parameters": {k: json.loads(v) for k, v in (row["parameters"] or {}).items()}})
         for row in rows

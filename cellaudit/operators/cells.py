@@ -85,8 +85,7 @@ def line_stats(notebooks: DataFrame, starts: list[str]) -> DataFrame:
         F.size("lines").alias("total_lines"),
         F.size(comment_lines(F.col("lines"), starts)).alias("comment_lines"),
     )
-    ratio = F.when(F.col("total_lines") > 0, F.col("comment_lines") / F.col("total_lines"))
-    return counted.withColumn("comment_ratio", ratio)
+    return counted.withColumn("comment_ratio", F.try_divide("comment_lines", "total_lines"))
 
 
 def with_code(notebooks: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def comments(p: dict) -> Check:
 
     def rows(m: dict) -> Column:
         total, commented = m["counts"]["total"], m["counts"]["commented"]
-        ratio = commented / total
+        ratio = F.try_divide(commented, total)
         share = text.percent_text(ratio)
         short = F.concat(F.lit(before), share, F.lit(f"{after}{least:.1%}{end}"))
         return F.array(

@@ -82,20 +82,25 @@ def load_requested(corpus: DataFrame, requested: DataFrame) -> DataFrame:
     return wanted.join(have, "key").select("path", "content", "copies")
 
 
+def _keys_present(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
+    # The corpus is filtered by the requests first: a short list is broadcast, and
+    # of the corpus only the paths asked for are shuffled.
+    have = corpus.select(normalize_path(F.col("path")).alias("key"))
+    return have.join(wanted.select("key"), "key", "left_semi").distinct()
+
+
 def notebook_exists(corpus: DataFrame, requested: DataFrame) -> DataFrame:
     """Every distinct requested path with a flag: is it in the corpus?"""
-    have = corpus.select(normalize_path(F.col("path")).alias("key")).distinct()
     wanted = _wanted(requested).select("path", normalize_path(F.col("path")).alias("key"))
-    found = have.withColumn("found", F.lit(True))
+    found = _keys_present(corpus, wanted).withColumn("found", F.lit(True))
     return wanted.join(found, "key", "left").select("path", F.col("found").isNotNull().alias("present"))
 
 
 # ---- SRC6 ------------------------------------------------------------------
 def missing_notebooks(corpus: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested paths the corpus lacks, with how often each was asked for."""
-    have = corpus.select(normalize_path(F.col("path")).alias("key"))
     wanted = _wanted(requested).withColumn("key", normalize_path(F.col("path")))
-    return wanted.join(have, "key", "left_anti").select("path", "copies")
+    return wanted.join(_keys_present(corpus, wanted), "key", "left_anti").select("path", "copies")
 
 
 # ---- PRJ1, PRJ2 ------------------------------------------------------------

@@ -9,7 +9,7 @@ from tests.helpers import code_cell, corpus, findings, notebook
 
 from cellaudit.functions import fixed, shared
 from cellaudit.operators import engine, extend, summary
-from cellaudit.operators.catalog import DEFAULT_CATALOG, Setting, enable_rules, read_catalog, rule_catalog, rules_version
+from cellaudit.operators.catalog import DEFAULT_CATALOG, Setting, attach_severity, enable_rules, read_catalog, rule_catalog, rules_version
 from cellaudit.operators.rules import failed, passed
 from workload.fixture import corpus as made_corpus
 
@@ -178,3 +178,9 @@ def test_quality_gate(spark):
     assert gates == {1: 1, 2: 1, 3: 0}
     gates = {r["pr"]: r["gate_open"] for r in summary.quality_gate(found, ["pr"], "error").collect()}
     assert gates == {1: True, 2: False, 3: True}
+
+
+def test_findings_do_not_move_to_meet_the_catalog(spark, stored):
+    """A rule may hold a large share of all findings; they are not shuffled by rule."""
+    plan = plan_of(attach_severity(engine.validate(stored), rule_catalog(spark)))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

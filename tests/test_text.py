@@ -105,3 +105,17 @@ def test_percent_text_is_what_printf_prints(spark):
     rows = df.select("c", "n", text.percent_text(F.col("c") / F.col("n"))).collect()
     wrong = [(c, n, t, f"{c / n:.1%}") for c, n, t in rows if t != f"{c / n:.1%}"]
     assert wrong == []
+
+
+def test_literals():
+    assert text.literals(fixed.CACHING) == [".cache()", "cache table"]
+    assert text.literals(fixed.GRANTS) == ["grant", "revoke", "use catalog"]
+    for pattern in (fixed.SELECT_STAR, fixed.CHARACTER_TYPE, fixed.TABLE_NAME, "a.b", "(a|b)"):
+        with pytest.raises(ValueError):
+            text.literals(pattern)
+
+
+@pytest.mark.parametrize("pattern", [fixed.CREATE_TABLE, fixed.PARTITIONED_OR_CLUSTERED, fixed.CACHING, fixed.GRANTS, fixed.ENVIRONMENT_PATH])
+def test_words_instead_of_patterns(texts, pattern):
+    found = collected(texts, text.contains_any(F.col("folded"), text.literals(pattern)))
+    assert found == [bool(m) for m in expected(pattern)]
