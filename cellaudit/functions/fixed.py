@@ -63,6 +63,37 @@ LABEL_VERSION_CONTROL = "Version Control Integration"
 LABEL_ISOLATION = "Data Isolation"
 LABEL_TAGGING = "Metadata Tagging"
 
+# Order in which findings of a notebook are listed.
+LABEL_ORDER = [
+    ACCESS_LABEL,
+    "Code Quality Validator Error",
+    LABEL_LANGUAGES,
+    LABEL_HEADER,
+    LABEL_TITLE,
+    LABEL_TITLE_VERDICT,
+    LABEL_STRING_TYPES,
+    LABEL_NULLABILITY,
+    LABEL_IDEMPOTENCY,
+    LABEL_REFERENCES,
+    "Performance Validator Error",
+    LABEL_SELECT_STAR,
+    LABEL_PARTITIONING,
+    LABEL_JOINS,
+    LABEL_VECTORIZATION,
+    LABEL_CACHE,
+    LABEL_VIEWS,
+    "Security Validator Error",
+    LABEL_SECRETS,
+    LABEL_ACCESS_CONTROLS,
+    LABEL_INJECTION,
+    "Governance Validator Error",
+    LABEL_CATALOG,
+    LABEL_COMMENTS,
+    LABEL_VERSION_CONTROL,
+    LABEL_ISOLATION,
+    LABEL_TAGGING,
+]
+
 # ---- result texts ---------------------------------------------------------
 LANGUAGE_OK = "Notebook uses valid language: "
 LANGUAGE_BAD = ("Notebook language '", "' is not in valid languages: ")

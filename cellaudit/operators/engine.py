@@ -240,6 +240,16 @@ def validate_requested(
     return found.unionByName(missing_findings(corpus, requested, run_id))
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings sorted for reading: by notebook, then as its rules were evaluated.
+
+    Sorting by more than the path splits a notebook with very many findings.
+    """
+    known = F.array_position(F.lit(fixed.LABEL_ORDER), F.col("rule"))
+    last = F.when(known > 0, known).otherwise(len(fixed.LABEL_ORDER) + 1)
+    return findings.orderBy("notebook_path", last, "rule", "seq", "audit_id")
+
+
 # ---- FND9 ------------------------------------------------------------------------
 def run_validation(
     corpus: DataFrame, paths: list[str] | None = None, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), *, run_id: str = ""

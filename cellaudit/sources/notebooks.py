@@ -52,8 +52,13 @@ def normalize_path(path: Column) -> Column:
 
 # ---- SRC2, SRC3, SRC5 ------------------------------------------------------
 def select_paths(corpus: DataFrame, paths: list[str]) -> DataFrame:
-    """The notebooks of a short list of paths, as a filter on the scan."""
-    return corpus.filter(F.col("path").isin(paths))
+    """The notebooks of a short list of paths, with or without workspace prefix.
+
+    Both forms are listed, so the filter is on the plain column and reaches the scan.
+    """
+    prefix = fixed.WORKSPACE_PREFIX
+    keys = {"/" + path.removeprefix(prefix) if path.startswith(prefix) else path for path in paths}
+    return corpus.filter(F.col("path").isin(sorted(keys | {prefix + key.removeprefix("/") for key in keys})))
 
 
 def paths_from_file(spark: SparkSession, location: str) -> DataFrame:

@@ -184,3 +184,23 @@ def test_findings_do_not_move_to_meet_the_catalog(spark, stored):
     """A rule may hold a large share of all findings; they are not shuffled by rule."""
     plan = plan_of(attach_severity(engine.validate(stored), rule_catalog(spark)))
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_parsed_notebooks_can_be_stored(stored):
+    """Parsing once for several audits gives the same findings."""
+    books = shared.stored(engine.prepared(stored), "books")
+    assert rows_of(engine.validate(books)) == rows_of(engine.validate(stored))
+
+
+def test_listing_order(spark):
+    book = notebook(code_cell("SELECT *\nselect *\nCREATE TABLE t (a INT, b DATE)"))
+    found = engine.validate(corpus(spark, [book, "[]"]), run_id="r")
+    listed = engine.in_order(found).collect()
+    assert [r["rule"] for r in listed if r["notebook_path"] == "0"] == [
+        fixed.LABEL_LANGUAGES, fixed.LABEL_HEADER, fixed.LABEL_TITLE, fixed.LABEL_STRING_TYPES, fixed.LABEL_NULLABILITY, fixed.LABEL_NULLABILITY,
+        fixed.LABEL_SELECT_STAR, fixed.LABEL_SELECT_STAR, fixed.LABEL_VECTORIZATION, fixed.LABEL_ACCESS_CONTROLS, fixed.LABEL_CATALOG,
+        fixed.LABEL_COMMENTS, fixed.LABEL_TAGGING,
+    ]
+    assert [r["seq"] for r in listed if r["rule"] == fixed.LABEL_NULLABILITY] == [0, 1]
+    names = [f"{name} Error" for domain, name in fixed.DOMAIN_NAMES.items() if domain != fixed.CUSTOM]
+    assert set(names) <= set(fixed.LABEL_ORDER)

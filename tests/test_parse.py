@@ -108,3 +108,11 @@ def test_a_notebook_asked_for_very_often(spark):
     many = found.groupBy("notebook_path").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("audit_id").alias("ids")).collect()
     expected = {r["notebook_path"]: r["count"] * (often if r["notebook_path"] == "/a" else 1) for r in once}
     assert {r["notebook_path"]: r["n"] for r in many} == {r["notebook_path"]: r["ids"] for r in many} == expected
+
+
+def test_selected_paths_reach_the_scan(spark, tmp_path):
+    books = spark.createDataFrame([("/a", "{}"), ("/Workspace/b", "{}"), ("/c", "{}"), ("/Workspace/d", "{}")], "path string, content string")
+    books.write.parquet(str(tmp_path / "books"))
+    chosen = source.select_paths(spark.read.parquet(str(tmp_path / "books")), ["/Workspace/a", "/b", "/Workspace/d", "/none"])
+    assert sorted(r["path"] for r in chosen.collect()) == ["/Workspace/b", "/Workspace/d", "/a"]
+    assert "PushedFilters: [In(path" in chosen._jdf.queryExecution().executedPlan().toString()
