@@ -33,7 +33,7 @@ def scheduled_audit(
 
 # ---- STR2 ------------------------------------------------------------------------
 def streaming_trend(history: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Daily totals and passes of arriving findings.
+    """Daily totals and passes of arriving findings; days are those of UTC.
 
     A finding delivered twice counts once; one later than ``delay`` behind the
     newest is dropped.  State is one row per open day and the ids of ``delay``.
@@ -42,7 +42,9 @@ def streaming_trend(history: DataFrame, delay: str = "1 day") -> DataFrame:
     daily = once.groupBy(F.window("validation_timestamp", "1 day")).agg(
         F.count(F.lit(1)).alias("total_validations"), F.count_if(F.col("status") == fixed.PASSED).alias("passed")
     )
-    return daily.select(F.to_date("window.start").alias("date"), "total_validations", "passed")
+    # Windows start at midnight UTC; the date is named as it is there, in any session time zone.
+    midnight = F.to_utc_timestamp("window.start", F.current_timezone())
+    return daily.select(F.to_date(midnight).alias("date"), "total_validations", "passed")
 
 
 def run_trend(

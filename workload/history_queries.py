@@ -442,9 +442,11 @@ def str1(spark, sf_dir):
 )
 def str2(spark, sf_dir):
     """Days closed by the watermark, from a stream that delivers every finding twice."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    arriving = stream(spark, sf_dir, "events", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    twice = arriving.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).select(*events.columns)
+    schema = table(spark, sf_dir, "events").schema
+    # the stored times have no zone; taken as UTC
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    arriving = stream(spark, sf_dir, "events", schema).withColumn("ts", utc)
+    twice = arriving.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).select(*schema.names)
     location = shared.new_location(spark, "trend")
     jobs.run_trend(history_from(twice), location, shared.new_location(spark, "progress")).awaitTermination()
     return printed(spark.read.parquet(location))
