@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, secret_scan
+from . import minhash, packing, quality_cnn, quality_rules, secret_scan
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_cnn.scored(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op10_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"))
