@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality_cnn, quality_rules, secret_scan
+from . import embedding_dedup, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.linked(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identified(docs, language_id.train(docs))
+
+
+@_query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op6_embedding_dedup", embedding_dedup.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op9_url_filter", url_rank.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rank.judged(table(spark, sf_dir, "pages"), url_rank.rule_table(spark))

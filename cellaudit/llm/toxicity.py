@@ -1,13 +1,14 @@
 """Toxic documents by two Kneser-Ney language models, one per class.
 
-Each class has a bigram model of words with absolute discounting.  It backs off to the
+Each class has a bigram model of words; counts are numbers of texts, and what is taken
+off counts of one, two and more follows from how many there are.  It backs off to the
 class's continuation counts (before how many different words a word stands) and these
 back off to the continuation counts of both classes together, so a rare expression gets
 its probability from what the classes share.  A text is compared by the difference of
 its log-likelihoods under both models, divided by its length: over the whole text and
 over its windows of ``WINDOW`` words, which overlap by half, of which the most toxic
-counts.  A logistic curve over the two, fitted on sampled rows that were not counted,
-makes a probability of them.
+counts.  A logistic curve over the two and a rising function over that, both fitted on
+sampled rows that were not counted, make a probability of them.
 
 Counts come from a bounded sample of the labelled rows (``PER_LABEL`` whole texts of each
 label); Spark counts them, and the ``VOCABULARY`` and ``BIGRAMS`` most frequent entries
@@ -35,8 +36,10 @@ from .tables import fold, stored
 
 PER_LABEL = 3000
 VOCABULARY, BIGRAMS = 1 << 17, 1 << 18
-DISCOUNT = 0.75
-WINDOW = 48
+#: Words that follow so many different words have counts of their own in each class; rarer
+#: ones have the shared counts alone, or copied texts would be known by heart.
+COMMON = 10
+WINDOW = 3
 THRESHOLD = 0.7
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -60,6 +63,7 @@ class Model:
     pairs: np.ndarray = field(default_factory=lambda: np.empty(0))  # sorted keys of known bigrams
     seen: np.ndarray = field(default_factory=lambda: np.empty(0))  # class, bigram: probability beyond that
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    knots: np.ndarray = field(default_factory=lambda: np.empty((2, 0)))  # places on the curve and their probabilities
 
     def numbers(self) -> dict[bytes, int]:
         """Word numbers; made once in a process."""
@@ -89,7 +93,7 @@ class Model:
         at = np.minimum(np.searchsorted(self.pairs, key[may]), max(len(self.pairs) - 1, 0))
         hit = self.pairs[at] == key[may] if len(self.pairs) else np.zeros(0, bool)
         p[:, may[hit]] += self.seen[:, at[hit]]
-        value = np.log(p[1]) - np.log(p[0])
+        value = np.where(w == h, 0.0, np.log(p[1]) - np.log(p[0]))  # repeating a word adds nothing
         total = np.concatenate([[0.0], np.cumsum(value)])
         out[full, 0] = (total[ends] - total[ends - counts])[full] / counts[full]
         steps = np.maximum(-(-(counts[full] - WINDOW) // (WINDOW // 2)), 0) + 1
@@ -110,59 +114,80 @@ class Model:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         z = self.curve[0] + self.differences(texts) @ self.curve[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        smooth = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 0.98 * np.interp(z, *self.knots) + 0.02 * smooth
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
-    """(h, w, c0, c1): how often each word follows another in texts of either label; h is empty at a start."""
+    """(h, w, c0, c1): in how many texts of either label a word follows another; h is empty at a start."""
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for label, text in zip(frame["label"], frame["text"], strict=True):
                 found = [x.decode("utf-8", "replace") for x in words(text)]
-                yield pd.DataFrame({"label": np.int32(label), "h": ["", *found[:-1]] if found else [], "w": found})
+                both = sorted(set(zip(["", *found], found, strict=False)))
+                yield pd.DataFrame({"label": np.int32(label), "h": [h for h, _ in both], "w": [w for _, w in both]})
 
     tokens = rows.select("label", "text").mapInPandas(pairs, "label int, h string, w string")
     return tokens.groupBy("h", "w").agg(*(F.count(F.when(F.col("label") == c, 1)).alias(f"c{c}") for c in (0, 1)))
 
 
+def _steps(counts: str) -> list:
+    """How many entries have a count of 1, 2, 3 or 4, and the sum of all counts."""
+    return [*(F.count(F.when(F.col(counts) == k, 1)).alias(f"{counts}_{k}") for k in range(1, 5)), F.sum(counts).alias(f"{counts}_s"), F.count(F.when(F.col(counts) > 2, 1)).alias(f"{counts}_m")]
+
+
+def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
+    """What to take off counts of 0, 1, 2 and more, from how many entries have small counts."""
+    y = ones / max(ones + 2 * twos, 1)
+    found = [k - (k + 1) * y * above / max(own, 1) for k, own, above in ((1, ones, twos), (2, twos, threes), (3, threes, fours))]
+    return np.array([0.0, *(np.clip(d, 0.3 * k, k - 0.05) for k, d in enumerate(found, 1))])
+
+
+def _less(counts: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - off[np.minimum(counts, 3).astype(int)], 0)
+
+
 def _count(rows: DataFrame) -> Model:
     """Both models, without the curve, from the counted rows."""
     types = stored(_bigrams(rows), "bigrams")
     some = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    after = types.groupBy("w").agg(F.count("*").alias("n"), some("c0").alias("n0"), some("c1").alias("n1"))
-    after = after.orderBy(F.desc("n"), "w").limit(VOCABULARY).toPandas()
-    before = types.groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"), some("c0").alias("f0"), some("c1").alias("f1"))
-    before = before.orderBy(F.desc(F.col("s0") + F.col("s1")), "h").limit(VOCABULARY + 1).toPandas()
-    often = types.where("c0 + c1 > 1").orderBy(F.desc(F.col("c0") + F.col("c1")), "h", "w").limit(BIGRAMS).toPandas()
-    totals = types.agg(F.count("*").alias("n"), some("c0").alias("n0"), some("c1").alias("n1")).first()
-    distinct = types.groupBy("w").agg(some("c0").alias("n0"), some("c1").alias("n1")).agg(F.count("*").alias("n"), some("n0").alias("n0"), some("n1").alias("n1")).first()
+    after = stored(types.groupBy("w").agg(F.count("*").alias("n"), some("c0").alias("n0"), some("c1").alias("n1")), "continuations")
+    of_words = after.agg(F.count("*").alias("words"), F.sum("n").alias("total"), *_steps("n0"), *_steps("n1")).first()
+    of_types = types.agg(*_steps("c0"), *_steps("c1")).first()
+    after = after.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "w").limit(VOCABULARY)
+    common = after.select("w")
+    often = types.join(common, "w").join(common.select(F.col("w").alias("h")).unionByName(types.sparkSession.createDataFrame([("",)], "h string")), "h")
+    before = often.select("h").distinct().join(types, "h").groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toPandas()
+    often = often.where(F.col("c0") + F.col("c1") >= COMMON).orderBy(F.desc(F.col("c0") + F.col("c1")), "h", "w").limit(BIGRAMS).toPandas()
+    after = after.toPandas()
 
     number = {w: i + 1 for i, w in enumerate(after["w"])}
     size = len(number) + 2
-    number_h = {**number, "": size - 1}
-    shared = np.full(size, 0.5 / (totals["n"] + 0.5 * (distinct["n"] + 1)))
-    shared[1:-1] = (after["n"].to_numpy() + 0.5) / (totals["n"] + 0.5 * (distinct["n"] + 1))
-    backoff, left = np.empty((2, size)), np.ones((2, size))
-    for c in (0, 1):
-        n = max(totals[f"n{c}"], 1)
-        own = np.zeros(size)
-        own[1:-1] = np.maximum(after[f"n{c}"].to_numpy() - DISCOUNT, 0)
-        backoff[c] = own / n + DISCOUNT * max(distinct[f"n{c}"], 1) / n * shared
-    spot = before["h"].map(number_h)
-    ok = spot.notna().to_numpy()
-    sums = np.ones((2, size))
-    for c in (0, 1):
-        s, f = before[f"s{c}"].to_numpy()[ok], before[f"f{c}"].to_numpy()[ok]
-        at = spot[ok].astype(int).to_numpy()
-        sums[c, at] = np.maximum(s, 1)
-        left[c, at] = np.where(s > 0, DISCOUNT * f / np.maximum(s, 1), 1.0)
-    h, w = often["h"].map(number_h), often["w"].map(number)
+    h, w = often["h"].map({**number, "": size - 1}), often["w"].map(number)
     known = (h.notna() & w.notna()).to_numpy()
     h, w = h[known].astype(np.int64).to_numpy(), w[known].astype(np.int64).to_numpy()
+    spot = before["h"].map({**number, "": size - 1})
+    listed = spot.notna().to_numpy()
+    spot = spot[listed].astype(np.int64).to_numpy()
+
+    shared = np.full(size, 0.5 / (of_words["total"] + 0.5 * (of_words["words"] + 1)))
+    shared[1:-1] *= 2 * after["n"].to_numpy() + 1
+    backoff, left, seen = np.empty((2, size)), np.ones((2, size)), np.empty((2, len(h)))
+    for c in (0, 1):
+        own, n = np.zeros(size), f"n{c}"
+        off = discounts(*(of_words[f"{n}_{k}"] for k in range(1, 5)))
+        own[1:-1] = _less(after[n].to_numpy(), off)
+        total = max(of_words[f"{n}_s"], 1)
+        backoff[c] = (own + (total - own.sum()) * shared) / total
+        c_ = f"c{c}"
+        off = discounts(*(of_types[f"{c_}_{k}"] for k in range(1, 5)))
+        total = np.ones(size)
+        total[spot] = np.maximum(before[f"s{c}"].to_numpy()[listed], 1)
+        seen[c] = _less(often[c_].to_numpy()[known], off) / total[h]
+        np.subtract.at(left[c], h, seen[c])
     keys = h.astype(np.uint64) * np.uint64(size) + w.astype(np.uint64)
     order = np.argsort(keys)
-    seen = np.stack([np.maximum(often[f"c{c}"].to_numpy()[known] - DISCOUNT, 0) / sums[c, h] for c in (0, 1)])
     return Model(vocabulary=[x.encode() for x in after["w"]], backoff=backoff, left=left, pairs=keys[order], seen=seen[:, order])
 
 
@@ -180,6 +205,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
     return beta / np.concatenate([[1.0], scale])
 
 
+def rising(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Knots of the rising function that fits best: neighbours that fall are pooled."""
+    blocks: list[list[float]] = []
+    for at, value, w in sorted(zip(z.tolist(), y.tolist(), weight.tolist(), strict=True)):
+        blocks.append([value * w, w, at, at])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, w, low, high = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + w, blocks[-1][2], high]
+    ends = [(at, total / w) for total, w, low, high in blocks for at in (low, high)]
+    return np.array(ends).T
+
+
 def learnable(key: Column) -> Column:
     """Rows from which may be learned; the others are held out."""
     return ~fold(key, 3, 1)
@@ -204,7 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     if len(set(y)) < 2:
         return Model(constant=counts[1] / sum(counts.values()))
     weight = np.where(y == 1, counts[1] / max(y.sum(), 1), counts[0] / max((1 - y).sum(), 1)) * len(y) / sum(counts.values())
-    model.curve = logistic(found[["whole", "worst"]].to_numpy(), y, weight)
+    x = found[["whole", "worst"]].to_numpy()
+    model.curve = logistic(x, y, weight)
+    model.knots = rising(model.curve[0] + x @ model.curve[1:], y, weight)
     return model
 
 
