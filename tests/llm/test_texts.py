@@ -1,0 +1,203 @@
+"""Operators that look at each text for itself: spans, pieces, packing, rules, copies."""
+
+import math
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from cellaudit.llm import minhash, packing, pieces, quality_rules, secret_scan
+from cellaudit.llm.queries import QUERIES
+
+from . import brute
+
+ODD = [
+    None, "", " ", "\n", "a", "a b c", "a  b", " a\n\nb ", "x\ty z", "a <|endoftext|> b", "\x1c a b", "日本語 é ́ 😀 ▁ x▁", "it's a 'd'll 12,5 x",
+    "word " * 3000, "ab" * 20000, "\n".join(["same line here"] * 40), "&&& ### | <>", "\x00 \x00", "A1 " * 7,
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, measures int, Kept string, n_words int, key int, a int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns that clash."""
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", len(t or ""), 1, "x", 2, 3, 4) for i, t in enumerate(ODD)]
+    rows += [rows[5], rows[6], (None, "a b c d e f g", None, None, None, None, None, None, None, None), (5, "other text for five " * 9, "en", "s", 1, 1, "x", 2, 3, 4)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def test_ids_are_the_tokenizer_s(documents):
+    tokenizer, encoder = Tokenizer.from_file(packing.VOCABULARY), packing.encoder(packing.VOCABULARY)
+    for text in [*filter(None, ODD), *documents.values()]:
+        if len(text) < 30000:
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_against_brute_force(spark, sf_dir, documents):
+    tokenizer = Tokenizer.from_file(packing.VOCABULARY)
+    rows, seen = defaultdict(list), set()
+    for r in QUERIES["op7_packing"](spark, sf_dir).collect():
+        rows[r.doc_id].append(r)
+        assert r.sequence_id not in seen and r.offset == 0
+        seen.add(r.sequence_id)
+    assert set(rows) == set(documents)
+    for key, text in documents.items():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted(rows[key], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and 0 < r.length <= 1024 and math.log2(r.length).is_integer()
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_packing_odd(odd, empty, tmp_path):
+    out = packing.packed(odd)
+    assert out.groupBy("doc_id").count().count() == len(ODD) + 1
+    assert packing.digest(packing.packed(empty)).count() == 0
+    packing.write_buckets(out, str(tmp_path / "out"))
+    assert {p.name for p in (tmp_path / "out").glob("length=*")} == {f"length={r.length}" for r in out.select("length").distinct().collect()}
+    assert packing.decomposition(2047) == [1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1] and packing.decomposition(0) == []
+    with pytest.raises(ValueError):
+        packing.packed(odd, most=1000)
+
+
+def test_secrets_against_brute_force(spark, sf_dir, documents):
+    found = {r.doc_id: r for r in QUERIES["op4_secret_scan"](spark, sf_dir).collect()}
+    assert set(found) == set(documents)
+    for key, text in documents.items():
+        want = brute.base_spans(text)
+        listed = [s for s in found[key].spans.split(",") if s]
+        assert [s for s in listed if not s.startswith("literal")] == [f"{k}:{a}:{b}" for a, b, k in want]
+        assert found[key].n_assign == sum(k == "assign" for _, _, k in want)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('db_password = "hunter2!Xy9"', ["hunter2!Xy9"]),
+        ('a = "s3cr3tValue99"\nb = a + "zz"\npassword = b', ["s3cr3tValue99"]),
+        ('password = later\nlater = "Zx81-kk-09-qw"', ["Zx81-kk-09-qw"]),
+        ('{"clientSecret": "abcDEF123456ghi"}', ["abcDEF123456ghi"]),
+        ("x = y\ny = x\ntoken = x", []),
+        ("PASSWORD=changeme", []),
+        ("the token: of words, and", []),
+        ('colour = "s3cr3tValue99"', []),
+    ],
+)
+def test_literals(text, want):
+    assert [text[a:b] for a, b in secret_scan.literals(text)] == want
+
+
+def test_random_spans():
+    rng = random.Random(3)
+    parts = ["password", "TOKEN", "api_key", "apikey", '"', "'", " ", "=", ":", "AKIA", "ABCD12345678901234", "0123456789abcdef", "deadbeef", "\n", "é", "K", "ſecret", "abcdefghijkl", "="]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert [s for s in secret_scan.spans(text) if s[2] != "literal"] == brute.base_spans(text)
+
+
+def test_masking(odd, empty):
+    out = secret_scan.without_secrets(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert secret_scan.without_secrets(empty).count() == 0 and secret_scan.secret_spans(odd).count() == odd.count()
+    assert secret_scan.masked('x token = "abcdefghijkl123" y') == 'x [SECRET]" y'
+    assert secret_scan.masked("plain") == "plain" and secret_scan.masked(None) is None
+
+
+def test_pieces_round_trip(documents):
+    codec = pieces.codec()
+    for text in [*filter(None, ODD), *documents.values()]:
+        assert codec.decode(np.frombuffer(codec.encode(text), "<u4")) == text
+
+
+def test_pieces_against_brute_force():
+    rng = random.Random(5)
+    codec = pieces.codec()
+    for _ in range(300):
+        known = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))): -float(rng.randrange(1, 9)) for _ in range(12)}
+        automaton = pieces.Automaton([(p, i, s) for i, (p, s) in enumerate(known.items())])
+        text = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 14)))
+        found = automaton.segment(text, -20.0)
+        assert "".join(text[a:b] for a, b, _ in found) == text
+        assert sum(known[text[a:b]] if n >= 0 else -20.0 for a, b, n in found) == brute.viterbi(text, known, -20.0)
+    text = "▁the▁quick,▁brown▁▁fox 12.5"
+    whole = codec._unit(text.replace(" ", "▁"))
+    assert codec._marked(text.replace(" ", "▁")) == whole
+
+
+def test_pieces_query(spark, sf_dir, documents, odd, empty):
+    for r in QUERIES["op2_sentencepiece"](spark, sf_dir).collect():
+        assert r.decoded_crc32 == zlib.crc32((documents[r.doc_id] or "").encode()) and (r.n_ids > 0) == bool(documents[r.doc_id])
+    assert pieces.digest(odd).count() == odd.count() and pieces.digest(empty).count() == 0
+
+
+def test_rules_odd(spark, odd, empty):
+    rows = quality_rules.verdicts(odd).collect()
+    assert len(rows) == odd.count() and quality_rules.verdicts(empty).count() == 0
+    by_id = {r.doc_id: r for r in rows if r.doc_id != 5}
+    for i, text in enumerate(ODD):
+        if i == 5:
+            continue
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        covered = {k + d for k, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)} if len(words) < 500 else set(range(len(words)))
+        r = by_id[i]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(covered))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", text or ""))
+    kept = quality_rules.kept_documents(odd)
+    assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in rows)
+
+
+def test_rules_plan_has_no_python(spark, sf_dir):
+    plan = QUERIES["op8_quality_rules"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_copies_against_brute_force(spark, sf_dir, documents, words):
+    found = {r.doc_id: r for r in minhash.linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), words).collect()}
+    want = brute.near_copies(documents.items(), words)
+    assert {k: (r.n_shingles, r.component_id) for k, r in found.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found.values())
+
+
+def test_crowd_of_near_copies(spark):
+    """A large group, some of it just below the wanted similarity, beside lone texts."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            text[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(text)))
+    rows += [(2000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(50)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found == brute.near_copies(rows, 4)
+
+
+def test_near_copies_odd(odd, empty):
+    rows = minhash.linked(odd).collect()
+    assert len(rows) == odd.count() and minhash.linked(empty).count() == 0
+    by_id = defaultdict(set)
+    for r in rows:
+        by_id[r.doc_id].add(r.component_id)
+    assert all(len(v) == 1 for v in by_id.values()) and by_id[None] == {None} and by_id[1] == {1}
+    assert [r.kept for r in rows if r.doc_id is None] == [True]
+    out = minhash.without_near_duplicates(odd, 5)
+    assert out.columns == odd.columns and out.count() >= 10
