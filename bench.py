@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cellaudit.functions import shared  # noqa: E402
 from cellaudit.operators import engine, summary  # noqa: E402
 from workload import QUERIES  # noqa: E402
+from workload.registry import with_folder  # noqa: E402
 from workload.check import local_spark  # noqa: E402
 from workload.fixture import corpus  # noqa: E402
 
@@ -44,7 +45,7 @@ HEADLINES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_spark(cpus)
+    spark = with_folder(local_spark(cpus))
     spark.sparkContext.setLogLevel("ERROR")
 
     stored = shared.stored(corpus(spark, sf_dir), "corpus")

@@ -21,8 +21,6 @@ SCHEMA = (
     "type: string, description: string, parameters: map<string,string>"
 )
 SCHEMA_NAMES = ["domain", "rule_key", "label", "enabled", "severity", "type", "description", "parameters"]
-MAX_RULES = 10_000
-TOO_MANY = f"a catalog holds at most {MAX_RULES} rules"
 
 
 @dataclass(frozen=True)
@@ -105,8 +103,6 @@ def rule_catalog(spark: SparkSession, catalog: Iterable[Setting] = tuple(DEFAULT
     It is a constant of the plan, so Spark knows how small it is when joining it.
     """
     rows = [_as_row(asdict(row)) for row in catalog]
-    if len(rows) > MAX_RULES:
-        raise ValueError(TOO_MANY)
     constant = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{SCHEMA}>>")
     return spark.range(1).select(F.inline(constant))
 
@@ -117,27 +113,36 @@ def _as_row(row: dict) -> dict:
 
 def read_catalog(table: DataFrame) -> list[Setting]:
     """Settings from a catalog table.  Settings shape the plan, so the driver needs them."""
-    rows = table.select(*SCHEMA_NAMES).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(TOO_MANY)
+    rows = table.select(*SCHEMA_NAMES).collect()
     return [
         Setting(**{**row.asDict(), "parameters": {k: json.loads(v) for k, v in (row["parameters"] or {}).items()}})
         for row in rows
     ]
 
 
-def rules_version(catalog: Iterable[Setting]) -> str:
-    """A hash that changes whenever an enabled rule or one of its parameters does."""
-    active = [asdict(row) for row in catalog if row.enabled]
+def rules_version(catalog: Iterable[Setting], extra: Iterable = ()) -> str:
+    """A hash that changes whenever an enabled rule or one of its parameters does.
+
+    The order of rows and their descriptions don't matter.  ``extra``: rules of
+    one's own, known by domain, key and label; a new label marks a new version.
+    """
+    rows = [{k: v for k, v in asdict(row).items() if k != "description"} for row in catalog if row.enabled]
+    own = [{"domain": rule.domain, "rule_key": rule.rule_key, "label": rule.label, "own": True} for rule in extra]
+    active = sorted(rows + own, key=lambda row: json.dumps(row, sort_keys=True))
     return hashlib.sha256(json.dumps(active, sort_keys=True).encode()).hexdigest()
 
 
 # ---- FND8 ----------------------------------------------------------------------
 def attach_severity(findings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Severity and domain from the catalog, for findings stored without them.
+    """Severity and domain: the finding's own, else those of the catalog.
 
-    No broadcast is forced: the catalog is small and Spark sees its size.
+    Findings that no rule made (unreadable notebooks, errors of a domain) are in no
+    catalog and keep what they say.  No broadcast is forced: the catalog is small
+    and Spark sees its size.
     """
-    known = catalog.select("rule_key", "severity", "domain")
-    bare = findings.drop("severity", "domain")
-    return bare.join(known, "rule_key", "left")
+    names = ["severity", "domain"]
+    known = catalog.select("rule_key", *[F.col(name).alias(f"listed_{name}") for name in names])
+    own = {name: F.col(name) if name in findings.columns else F.lit(None).cast("string") for name in names}
+    joined = findings.join(known, "rule_key", "left")
+    filled = joined.withColumns({name: F.coalesce(own[name], F.col(f"listed_{name}")) for name in names})
+    return filled.drop(*[f"listed_{name}" for name in names])

@@ -233,10 +233,15 @@ def missing_findings(corpus: DataFrame, requested: DataFrame, run_id: str = "")
 
 
 def validate_requested(
-    corpus: DataFrame, requested: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), *, run_id: str = ""
+    corpus: DataFrame,
+    requested: DataFrame,
+    catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
+    *,
+    extra: Sequence[Rule] = (),
+    run_id: str = "",
 ) -> DataFrame:
     """Findings for a list of requested paths, missing ones included."""
-    found = validate(source.load_requested(corpus, requested), catalog, run_id=run_id)
+    found = validate(source.load_requested(corpus, requested), catalog, extra=extra, run_id=run_id)
     return found.unionByName(missing_findings(corpus, requested, run_id))
 
 
@@ -252,11 +257,16 @@ def in_order(findings: DataFrame) -> DataFrame:
 
 # ---- FND9 ------------------------------------------------------------------------
 def run_validation(
-    corpus: DataFrame, paths: list[str] | None = None, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), *, run_id: str = ""
+    corpus: DataFrame,
+    paths: list[str] | None = None,
+    catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
+    *,
+    extra: Sequence[Rule] = (),
+    run_id: str = "",
 ) -> dict[str, DataFrame]:
     """Findings and their summaries; findings are computed and stored once."""
     chosen = corpus if paths is None else source.select_paths(corpus, paths)
-    findings = shared.stored(validate(chosen, catalog, run_id=run_id), "findings")
+    findings = shared.stored(validate(chosen, catalog, extra=extra, run_id=run_id), "findings")
     return {
         "findings": findings,
         "total": summary.summary_total(findings),

@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from ..functions import shared
 from .catalog import DEFAULT_CATALOG, Setting, rules_version
 from .engine import validate
+from .rules.base import Rule
 
 
-def snapshot(corpus: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
+def snapshot(
+    corpus: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), extra: Sequence[Rule] = ()
+) -> DataFrame:
     """What a run saw: ``(path, content_hash, rules_version)``, for the next run."""
     return corpus.select(
-        "path", F.sha2("content", 256).alias("content_hash"), F.lit(rules_version(catalog)).alias("rules_version")
+        "path", F.sha2("content", 256).alias("content_hash"), F.lit(rules_version(catalog, extra)).alias("rules_version")
     )
 
 
 # ---- INC1 ------------------------------------------------------------------------
-def changed_paths(corpus: DataFrame, before: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
+def changed_paths(
+    corpus: DataFrame, before: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), extra: Sequence[Rule] = ()
+) -> DataFrame:
     """Paths that are new, have new content, or were last audited under other rules.
 
     Only paths and hashes are shuffled.  The result is stored: it is used more
     than once, and its true size then decides how notebooks are joined to it.
     """
     keys = ["path", "content_hash", "rules_version"]
-    changed = snapshot(corpus, catalog).join(before.select(*keys), keys, "left_anti")
+    changed = snapshot(corpus, catalog, extra).join(before.select(*keys), keys, "left_anti")
     return shared.stored(changed.select("path"), "changed")
 
 
@@ -44,6 +49,8 @@ def reuse_unchanged(
     findings_before: DataFrame,
     catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
     run_id: str = "",
+    *,
+    extra: Sequence[Rule] = (),
 ) -> DataFrame:
     """Findings of the whole corpus, evaluated only for changed notebooks.
 
@@ -51,8 +58,8 @@ def reuse_unchanged(
     left out is usually little, so the large table of findings is filtered by a
     short stored list rather than matched against the whole corpus.
     """
-    changed = changed_paths(corpus, before, catalog)
-    fresh = validate(changed_only(corpus, changed), catalog, run_id=run_id)
+    changed = changed_paths(corpus, before, catalog, extra)
+    fresh = validate(changed_only(corpus, changed), catalog, extra=extra, run_id=run_id)
     removed = before.select("path").join(corpus.select("path"), "path", "left_anti")
     outdated = shared.stored(changed.unionByName(removed), "outdated")
     same = findings_before.join(outdated, findings_before["notebook_path"] == outdated["path"], "left_anti")

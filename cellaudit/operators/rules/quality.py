@@ -63,7 +63,7 @@ def table_columns(bodies: Column) -> Column:
     """Columns declared in table bodies: name, type and NOT NULL, in order."""
 
     def of_body(body: Column) -> Column:
-        names, types, markers = [text.find_all(body, fixed.TABLE_COLUMN, group) for group in (1, 2, 3)]
+        names, types, markers = [text.find_all(body, TABLE_COLUMN, group) for group in (1, 2, 3)]
         typed = F.zip_with(names, types, lambda name, kind: F.struct(name.alias("name"), kind.alias("type")))
         return F.zip_with(
             typed, markers, lambda column, marker: F.struct(column["name"].alias("name"), column["type"].alias("type"), marker.alias("marker"))
@@ -72,14 +72,19 @@ def table_columns(bodies: Column) -> Column:
     return F.flatten(F.transform(bodies, of_body))
 
 
+# Matches what fixed.TABLE_COLUMN matches.  A name starts where a word does, or where
+# the match before ended; the plain form tries every character of a long word.
+TABLE_COLUMN = r"(?:\G|(?<!\w))(\w++)\s+(STRING|INT|TIMESTAMP|DATE|BIGINT|DECIMAL|BOOLEAN)\s*(NOT NULL)?"
+
 # Matches what fixed.TABLE_BODY matches: the body runs from the first opening
-# bracket to the first closing one.  Written without backtracking, which is
-# quadratic where brackets are opened and never closed.
-TABLE_BODY = r"CREATE TABLE[^(]*+\(([^)]*+)\)"
+# bracket to the first closing one.  Where there is none, no later head has one
+# either, so the rest is taken at once, with an empty body that is left out.
+TABLE_BODY = r"CREATE TABLE[^(]*+(?:\(([^)]*+)\)|.*+)"
 
 
 def table_bodies() -> Column:
-    return code_matches(TABLE_BODY, 1, needs=["create table"])
+    bodies = code_matches(TABLE_BODY, 1, needs=["create table"], dotall=True)
+    return F.filter(bodies, lambda body: body != "")
 
 
 def nullability(p: dict) -> Check:

@@ -13,16 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.days import utc_day
 from ..operators.catalog import attach_severity
 
 DAYS = 30
 
 
 def _recent(history: DataFrame, as_of: str, days: int) -> DataFrame:
-    since = F.date_sub(F.lit(as_of).cast("date"), days)
-    # The timestamp decides; the date is there for partition pruning.
-    recent = history.filter(F.col("validation_timestamp") >= since.cast("timestamp"))
-    return recent.filter(F.col("run_date") >= since) if "run_date" in history.columns else recent
+    """The findings of the day ``as_of`` and so many days before it."""
+    last = F.lit(as_of).cast("date")
+    recent = history.filter(utc_day(F.col("validation_timestamp")).between(F.date_sub(last, days), last))
+    if "run_date" not in history.columns:
+        return recent
+    # The time decides; the date is there for partition pruning, a day wider for histories dated in another zone.
+    return recent.filter(F.col("run_date").between(F.date_sub(last, days + 1), F.date_add(last, 1)))
 
 
 def _rate(passed: Column, total: Column) -> Column:
@@ -38,7 +42,7 @@ def _success(groups: DataFrame, by: list[Column | str], total: str, passed: str)
 
 # ---- RPT1 --------------------------------------------------------------------------
 def daily_success_trend(history: DataFrame, as_of: str, days: int = DAYS) -> DataFrame:
-    day = F.to_date("validation_timestamp").alias("date")
+    day = utc_day(F.col("validation_timestamp")).alias("date")
     return _success(_recent(history, as_of, days), [day], "total_validations", "passed").orderBy(F.desc("date"))
 
 
@@ -66,7 +70,7 @@ def pr_detail(history: DataFrame, pr_number: int) -> DataFrame:
 def failures_by_category(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Failures per domain.  Counted per rule first: what meets the catalog is one row per rule."""
     failed = findings.filter(F.col("status") == fixed.FAILED)
-    per_rule = failed.groupBy("rule_key").agg(F.count(F.lit(1)).alias("n"))
+    per_rule = failed.groupBy("rule_key", *[c for c in findings.columns if c == "domain"]).agg(F.count(F.lit(1)).alias("n"))
     return attach_severity(per_rule, catalog).groupBy("domain").agg(F.sum("n").alias("failures"))
 
 
@@ -80,13 +84,17 @@ def top_offenders(findings: DataFrame, k: int) -> DataFrame:
 def top_offenders_by_domain(findings: DataFrame, k: int) -> DataFrame:
     """Up to rank k in every domain, ties included.
 
-    Few domains mean few window groups, but the rank limit is applied in every
-    task before the shuffle, so a group receives its leaders and not all notebooks.
+    Ranks are found among the different numbers of failures, which are few, and
+    joined back; however many notebooks tie, no task gets all of a domain.
     """
     failed = findings.filter(F.col("status") == fixed.FAILED)
     counted = failed.groupBy("domain", "notebook_path").agg(F.count(F.lit(1)).alias("failures"))
-    ranked = counted.withColumn("rank", F.rank().over(Window.partitionBy("domain").orderBy(F.desc("failures"))))
-    return ranked.filter(F.col("rank") <= k)
+    numbers = counted.groupBy("domain", "failures").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("domain").orderBy(F.desc("failures")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = numbers.withColumn("rank", F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).filter(F.col("rank") <= k)
+    leading = ranked.select(F.col("domain").alias("in_domain"), F.col("failures").alias("with_failures"), F.col("rank").cast("int").alias("rank"))
+    same = F.col("domain").eqNullSafe(F.col("in_domain")) & (F.col("failures") == F.col("with_failures"))
+    return counted.join(leading, same).select("domain", "notebook_path", "failures", "rank")
 
 
 # ---- RPT7 --------------------------------------------------------------------------
@@ -116,16 +124,17 @@ def monitoring_payload(findings: DataFrame) -> DataFrame:
     """
     per_rule = findings.groupBy("rule").agg(*_counts())
     counts = [s.lower() for s in fixed.STATUSES]
-    total = sum((F.sum(c) for c in counts), F.lit(0))
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in counts}
+    total = sum(sums.values(), F.lit(0))
     run = per_rule.agg(
-        *[F.sum(c).alias(f"{c}_results") for c in counts],
+        *[column.alias(f"{c}_results") for c, column in sums.items()],
         total.alias("total_results"),
         F.array_sort(F.collect_list(F.struct("rule", F.struct(*counts).alias("counts")))).alias("rules"),
     )
     summary = F.struct(
         "total_results",
         *[f"{c}_results" for c in counts],
-        (F.col("passed_results") / F.col("total_results")).alias("pass_rate"),
+        F.when(F.col("total_results") > 0, F.col("passed_results") / F.col("total_results")).otherwise(0.0).alias("pass_rate"),
         F.map_from_entries("rules").alias("rule_summary"),
     )
     run_document = run.select(F.lit("run").alias("kind"), F.lit("").alias("name"), F.to_json(summary).alias("payload"))
@@ -161,12 +170,18 @@ def multi_repo_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 def regressions(history: DataFrame) -> DataFrame:
     """Rules of a notebook that newly fail or are newly fixed against the run before.
 
-    A run's findings are first reduced to one row per notebook, rule and run, so a
+    Runs are told apart by ``validation_run_id`` and follow one another by their
+    latest time; a history without ids has one run per ``run_date``.  A run's findings are first reduced to one row per notebook, rule and run, so a
     window group has as many rows as there were runs, however many findings.
     """
     key = ["notebook_path", "rule"]
-    per_run = history.groupBy(*key, "run_date").agg(F.bool_or(F.col("status") == fixed.FAILED).alias("failed"))
-    before = F.lag("failed").over(Window.partitionBy(*key).orderBy("run_date"))
+    named = "validation_run_id" in history.columns
+    run = "validation_run_id" if named else "run_date"
+    per_run = history.groupBy(*key, run).agg(
+        F.bool_or(F.col("status") == fixed.FAILED).alias("failed"), F.max("validation_timestamp" if named else "run_date").alias("at")
+    )
+    before = F.lag("failed").over(Window.partitionBy(*key).orderBy("at", run))
     compared = per_run.withColumn("failed_before", before)
     changed = compared.filter(F.col("failed") != F.col("failed_before"))
-    return changed.select(*key, "run_date", F.when(F.col("failed"), "newly failing").otherwise("newly fixed").alias("change"))
+    days = [utc_day(F.col("at")).alias("run_date")] if named else []
+    return changed.select(*key, run, *days, F.when(F.col("failed"), "newly failing").otherwise("newly fixed").alias("change"))

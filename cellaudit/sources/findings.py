@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.days import utc_day
 
 FIELDS = ["rule", "status", "details", "notebook_path", "audit_time", "audit_id"]
 
@@ -34,6 +35,20 @@ def write_table(
 
 
 # ---- SNK3 ------------------------------------------------------------------------
+def of_run(
+    findings: DataFrame, run_id: str, run_source: str, timestamp: Column | None = None, redact: bool = True
+) -> DataFrame:
+    """Findings as a history holds them: with the columns of their run, secrets masked."""
+    run = _stored_form(findings, redact).withColumns(
+        {
+            "validation_timestamp": F.current_timestamp() if timestamp is None else timestamp,
+            "validation_run_id": F.lit(run_id),
+            "validation_source": F.lit(run_source),
+        }
+    )
+    return run.withColumn("run_date", utc_day(F.col("validation_timestamp")))
+
+
 def append_history(
     findings: DataFrame, location: str, run_id: str, run_source: str, timestamp: Column | None = None, redact: bool = True
 ) -> None:
@@ -42,15 +57,7 @@ def append_history(
     ``timestamp`` defaults to now.  Tasks write straight into the day's folder: a
     run mostly is one day, so a shuffle by date would leave one task to write it.
     """
-    run = _stored_form(findings, redact).withColumns(
-        {
-            "validation_timestamp": F.current_timestamp() if timestamp is None else timestamp,
-            "validation_run_id": F.lit(run_id),
-            "validation_source": F.lit(run_source),
-        }
-    )
-    dated = run.withColumn("run_date", F.to_date("validation_timestamp"))
-    dated.write.mode("append").partitionBy("run_date").parquet(location)
+    of_run(findings, run_id, run_source, timestamp, redact).write.mode("append").partitionBy("run_date").parquet(location)
 
 
 # ---- SRC7 ------------------------------------------------------------------------

@@ -28,9 +28,12 @@ BAD_TITLE = "cell title is not a string"
 def load_notebook_files(spark: SparkSession, location: str, suffix: str = ".ipynb") -> DataFrame:
     """One row per notebook file under ``location``; path as seen from there."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-    root = location.rstrip("/")
-    full = F.col("_metadata.file_path")
-    after_root = F.substring_index(full, root, -1)
+    # Spark names files by their qualified, encoded path; the root is put in that form, too.
+    where = spark._jvm.org.apache.hadoop.fs.Path(location)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    full = F.regexp_replace(decoded, "^file:/+", "file:/")
+    after_root = F.substr(full, F.lit(len(root) + 1))
     return files.text(location, wholetext=True).select(
         F.regexp_replace(after_root, rf"\Q{suffix}\E$", "").alias("path"), F.col("value").alias("content")
     )
@@ -118,8 +121,8 @@ def _present_but_not(variant: Column, name: str, kind: str) -> Column:
 
 
 def _looks_like_object(content: Column) -> Column:
-    # The parser accepts any JSON value and stops after the first one; an object
-    # must also open and close the text.  Texts are trimmed only where needed.
+    # The parser accepts any JSON value; an object opens and closes the text.  Texts
+    # are trimmed only where needed.
     blanks, opening, closing = F.lit(text.JSON_BLANKS), F.lit("{"), F.lit("}")
     opens = F.startswith(content, opening) | F.startswith(F.ltrim(content, blanks), opening)
     closes = F.endswith(content, closing) | F.endswith(F.rtrim(content, blanks), closing)
@@ -202,11 +205,15 @@ def parse_notebooks(corpus: DataFrame) -> DataFrame:
     corpus.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     carried = [c for c in corpus.columns if c not in ("path", "content")]
 
-    parsed = corpus.select(
-        "path",
-        *carried,
-        F.when(_looks_like_object(F.col("content")), F.from_json("content", "variant", JSON_OPTIONS)).alias("document"),
-    )
+    # The parser stops after the first value.  So the text is read as the first element
+    # of a list whose second one is the text's length: whatever follows the object is
+    # an error or makes the list another one.
+    content = F.col("content")
+    size = F.length(content)
+    listed = F.from_json(F.concat(F.lit("["), content, F.lit(","), size.cast("string"), F.lit("]")), "array<variant>", JSON_OPTIONS)
+    read = corpus.select("path", *carried, size.alias("size"), F.when(_looks_like_object(content), listed).alias("listed"))
+    whole = (F.size("listed") == 2) & (F.try_variant_get(F.get("listed", F.lit(1)), "$", "bigint") == F.col("size"))
+    parsed = read.select("path", *carried, F.when(whole, F.get("listed", F.lit(0))).alias("document"))
     doc = F.col("document")
     readable = (
         doc.isNotNull()

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed
+from ..functions.days import utc_day
 from ..operators.catalog import DEFAULT_CATALOG, Setting
 from ..operators.engine import validate
+from ..operators.rules.base import Rule
+from ..sources.findings import of_run
 
 
 # ---- STR1 ------------------------------------------------------------------------
@@ -20,13 +23,18 @@ def scheduled_audit(
     checkpoint: str,
     catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
     run_id: str = "",
+    *,
+    extra: Sequence[Rule] = (),
+    run_source: str = "schedule",
+    redact: bool = True,
 ) -> StreamingQuery:
     """Audits the notebooks that arrived since the last run, then stops.
 
+    What it writes is a history that reports can read, found secrets masked.
     ``arriving`` streams ``(path, content)``.  Evaluation keeps no state, so it is
     the batch evaluation; the checkpoint remembers what was read.
     """
-    findings = validate(arriving, catalog, run_id=run_id)
+    findings = of_run(validate(arriving, catalog, extra=extra, run_id=run_id), run_id, run_source, redact=redact)
     writer = findings.writeStream.format("parquet").option("path", location).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
 
@@ -43,8 +51,7 @@ def streaming_trend(history: DataFrame, delay: str = "1 day") -> DataFrame:
         F.count(F.lit(1)).alias("total_validations"), F.count_if(F.col("status") == fixed.PASSED).alias("passed")
     )
     # Windows start at midnight UTC; the date is named as it is there, in any session time zone.
-    midnight = F.to_utc_timestamp("window.start", F.current_timezone())
-    return daily.select(F.to_date(midnight).alias("date"), "total_validations", "passed")
+    return daily.select(utc_day(F.col("window.start")).alias("date"), "total_validations", "passed")
 
 
 def run_trend(

@@ -85,11 +85,8 @@ def _cell(kind: str, source: Column, title: Column | None = None) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a table of fewer files than cores is spread over the cores,
-    since one small file would be one task.  Larger tables are read as they lie."""
-    stored = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return stored.repartition(cores, "doc_id") if len(stored.inputFiles()) < cores else stored
+    """The documents, read as they lie."""
+    return table(spark, sf_dir, "documents")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellaudit.functions import fixed, shared
+from cellaudit.functions.days import utc_day, utc_time
 from cellaudit.operators import engine, incremental, summary
 from cellaudit.operators.catalog import DEFAULT_CATALOG, rule_catalog
 from cellaudit.plans import reports
@@ -50,7 +51,7 @@ def history_from(events: DataFrame) -> DataFrame:
         _case(RULE_KEYS, event).alias("rule_key"),
         F.col("event_id").alias("seq"),
         F.col("ts").alias("validation_timestamp"),
-        F.to_date("ts").alias("run_date"),
+        utc_day(F.col("ts")).alias("run_date"),
         (user % 40).cast("int").alias("pr_number"),
         F.concat(F.lit("feature/"), (user % 40).cast("string")).alias("pr_branch"),
         F.element_at(F.array(*[F.lit(e) for e in ENVIRONMENTS]), (user % 3).cast("int") + 1).alias("env"),
@@ -58,8 +59,9 @@ def history_from(events: DataFrame) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return history_from(events)
+    """The stored times have no zone; they are taken as UTC."""
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return history_from(table(spark, sf_dir, "events").withColumn("ts", utc))
 
 
 HISTORY = f"""history AS (SELECT event_type AS rule,
@@ -84,7 +86,7 @@ def printed(df: DataFrame) -> DataFrame:
         if t == "date":
             shown[c] = F.col(c).cast("string")
         elif t == "timestamp":
-            shown[c] = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            shown[c] = F.date_format(utc_time(F.col(c)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return df.withColumns(shown)
 
 
@@ -163,7 +165,7 @@ def agg7(spark, sf_dir):
 
 
 # ---- reports ---------------------------------------------------------------------------
-RECENT = f"WHERE validation_timestamp >= DATE '{AS_OF}' - INTERVAL 30 DAY"
+RECENT = f"WHERE validation_timestamp >= DATE '{AS_OF}' - INTERVAL 30 DAY AND validation_timestamp < DATE '{AS_OF}' + INTERVAL 1 DAY"
 
 
 @query(
@@ -290,6 +292,32 @@ def rpt11(spark, sf_dir):
     return printed(reports.regressions(history(spark, sf_dir)))
 
 
+RUN = "'run-' || run_date || CASE WHEN hour(validation_timestamp) < 12 THEN '-2' ELSE '-1' END"
+
+
+@query(
+    "rpt11_regressions_by_run",
+    f"""{WITH}, runs AS (SELECT notebook_path, rule, {RUN} AS validation_run_id, bool_or(status = 'Failed') AS failed, max(validation_timestamp) AS latest FROM history GROUP BY ALL),
+    compared AS (SELECT *, lag(failed) OVER (PARTITION BY notebook_path, rule ORDER BY latest, validation_run_id) AS before FROM runs)
+    SELECT notebook_path, rule, validation_run_id, latest::DATE::VARCHAR AS run_date, CASE WHEN failed THEN 'newly failing' ELSE 'newly fixed' END AS change FROM compared WHERE failed <> before""",
+)
+def rpt11_by_run(spark, sf_dir):
+    """Two runs a day, whose ids sort against their times."""
+    found = history(spark, sf_dir)
+    early = F.hour(utc_time(F.col("validation_timestamp"))) < 12
+    run = F.concat(F.lit("run-"), F.col("run_date").cast("string"), F.when(early, "-2").otherwise("-1"))
+    return printed(reports.regressions(found.withColumn("validation_run_id", run)))
+
+
+@query(
+    "rpt5_failures_of_the_corpus",
+    f"""{o.WITH}, found AS {o.findings_sql()} SELECT domain, count(*) AS failures FROM found WHERE status = 'Failed' GROUP BY domain""",
+)
+def rpt5_corpus(spark, sf_dir):
+    """Over findings of an audit, those included that no rule of the catalog made."""
+    return reports.failures_by_category(engine.validate(corpus(spark, sf_dir)), rule_catalog(spark))
+
+
 # ---- increments ------------------------------------------------------------------------
 def corpus_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus of the run before: French documents were not there yet, long ones
@@ -423,7 +451,8 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, schema: str | T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream, be it one file or a folder of files."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
 
 
 @query("str1_scheduled_audit", o.all_findings_sql())
@@ -431,7 +460,7 @@ def str1(spark, sf_dir):
     """Notebooks arriving on a stream, audited in one scheduled run."""
     arriving = notebooks_from(stream(spark, sf_dir, "documents", DOCUMENTS))
     location = shared.new_location(spark, "audited")
-    jobs.scheduled_audit(arriving, location, shared.new_location(spark, "progress")).awaitTermination()
+    jobs.scheduled_audit(arriving, location, shared.new_location(spark, "progress"), redact=False).awaitTermination()
     return spark.read.parquet(location).select(*SHOWN)
 
 
