@@ -220,8 +220,12 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
     return df.select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score at least ``THRESHOLD``, with the columns they came with."""
+def kept_documents(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """The documents that score at least ``THRESHOLD``, with the columns they came with.
+
+    ``examples``: documents to learn from, if not these; filters before this one may
+    have left no poor ones.
+    """
     name = fresh(docs, "quality_score")
-    df = docs.withColumn(name, score(F.col("text"), train(docs, labels)))
+    df = docs.withColumn(name, score(F.col("text"), train(docs if examples is None else examples, labels)))
     return df.where(F.col(name) >= THRESHOLD).select(*docs.columns)

@@ -20,8 +20,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds good; it learns from this stage's own input."""
-    return quality_cnn.kept_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier finds good; it learns from the documents before any filter."""
+    return quality_cnn.kept_documents(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

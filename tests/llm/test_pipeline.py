@@ -39,7 +39,7 @@ def test_decisions(spark, stages):
     given, out = stages["quality_rules"]
     assert ids(out) == {r.doc_id for r in quality_rules.verdicts(given).collect() if r.kept}
     given, out = stages["quality_classifier"]
-    net = quality_cnn.train(given, spark.read.parquet(f"{SF}/labels.parquet"))
+    net = quality_cnn.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     assert ids(out) == {r.doc_id for r in quality_cnn.scored(given, net).collect() if r.predicted}
     given, out = stages["near_duplicates"]
     groups = brute.near_copies([(r.doc_id, r.text) for r in given.collect()], 5)
