@@ -135,9 +135,23 @@ def test_pieces_against_brute_force():
         found = automaton.segment(text, -20.0)
         assert "".join(text[a:b] for a, b, _ in found) == text
         assert sum(known[text[a:b]] if n >= 0 else -20.0 for a, b, n in found) == brute.viterbi(text, known, -20.0)
-    text = "▁the▁quick,▁brown▁▁fox 12.5"
-    whole = codec._unit(text.replace(" ", "▁"))
-    assert codec._marked(text.replace(" ", "▁")) == whole
+    text = "the quick, brown  fox 12.5"
+    assert codec.encode(text) == codec._unit("▁" + text.replace(" ", "▁"))
+
+
+def test_pieces_side_by_side():
+    codec, rng = pieces.codec(), random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz▁ETAé0.,\nßж漢🙂"
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 20, 48, 49, 90]))) for _ in range(3000)]
+    words = list(dict.fromkeys(words + ["", "▁", "▁the", "▁international"]))
+    order, ids, ends = codec.automaton.together(words, codec.unknown)
+    assert 500 < len(order) < len(words)
+    ids, ends = codec._spelt_in_bytes(ids, ends)
+    start = 0
+    for at, end in zip(order, ends, strict=True):
+        assert ids[start:end].tobytes() == codec._unit(words[at])
+        start = end
+    assert start == len(ids) and [len(x) for x in codec.automaton.together([], -1.0)] == [0, 0, 0]
 
 
 def test_pieces_query(spark, sf_dir, documents, odd, empty):
