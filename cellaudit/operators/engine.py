@@ -66,14 +66,17 @@ def labels(rows: Sequence[tuple[str | None, str, str, str]]) -> Column:
 
 def identified(rows: DataFrame, run_id: str = "") -> DataFrame:
     """Adds time and id.  The id is a hash of what the finding is about, so a
-    retried task or a repeated run writes the same id again.
+    retried task writes the same id again, and so does a run repeated under its ``run_id``.
+    Texts come with their lengths, so that no two findings spell the same.
 
     Findings of a notebook that was requested n times come n times.
     """
     keys = ["notebook_path", "rule", "seq"]
     rows = repeated(rows, keys) if "copies" in rows.columns else rows.withColumn("copy", F.lit(1))
-    parts = [F.lit(run_id), F.col("notebook_path"), F.col("copy").cast("string"), F.col("rule"), F.col("seq").cast("string")]
-    with_id = rows.withColumn("audit_id", F.sha2(F.concat_ws("|", *parts), 256))
+    texts = [F.lit(run_id), *[F.coalesce(name, F.lit("")) for name in ("notebook_path", "domain", "rule_key", "rule")]]
+    parts = [part for text in texts for part in (F.length(text).cast("string"), text)]
+    numbers = [F.col(name).cast("string") for name in ("copy", "seq")]
+    with_id = rows.withColumn("audit_id", F.sha2(F.concat_ws("|", *parts, *numbers), 256))
     return with_id.withColumn("audit_time", F.current_timestamp()).select(*FINDING_COLUMNS)
 
 

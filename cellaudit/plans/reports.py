@@ -7,7 +7,9 @@ Filters on ``run_date`` reach the partitions of the stored history.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from ..functions.days import utc_day
 from ..operators.catalog import attach_severity
 
 DAYS = 30
+#: What a failure has in common with itself in another run.
+SAME_FAILURE = ("notebook_path", "rule", "details")
 
 
 def _recent(history: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -98,16 +102,26 @@ def top_offenders_by_domain(findings: DataFrame, k: int) -> DataFrame:
 
 
 # ---- RPT7 --------------------------------------------------------------------------
-def failure_tickets(findings: DataFrame, filed: DataFrame | None = None) -> DataFrame:
-    """One ticket per failed finding that none was filed for yet (by ``audit_id``)."""
+def failure_tickets(findings: DataFrame, filed: DataFrame | None = None, by: Sequence[str] = ("audit_id",)) -> DataFrame:
+    """One ticket per failed finding that none was filed for yet.
+
+    ``by``: what two findings of one failure share, found in ``filed`` as well.  Ids
+    differ from run to run; ``SAME_FAILURE`` knows a failure again in later runs, and
+    one that a notebook has several times is one ticket then.
+    """
     failed = findings.filter(F.col("status") == fixed.FAILED)
-    tickets = failed.select(
+    if filed is not None:
+        known = filed.select(*[F.col(name).alias(f"filed_{name}") for name in by])
+        same = [F.col(name).eqNullSafe(F.col(f"filed_{name}")) for name in by]
+        failed = failed.join(known, reduce(and_, same), "left_anti")
+    if tuple(by) != ("audit_id",):
+        failed = failed.dropDuplicates(list(by))
+    return failed.select(
         F.concat(F.lit(fixed.TICKET_TITLE), F.col("rule")).alias("title"),
         F.col("notebook_path").alias("notebook"),
         "details",
         "audit_id",
     )
-    return tickets if filed is None else tickets.join(filed.select("audit_id"), "audit_id", "left_anti")
 
 
 # ---- RPT8 --------------------------------------------------------------------------

@@ -148,6 +148,23 @@ def test_tickets_are_filed_once(spark):
     assert reports.failure_tickets(found).count() == 2
 
 
+def test_a_failure_of_another_night_has_its_ticket(spark):
+    rows = "rule string, status string, notebook_path string, details string, audit_id string"
+    first = spark.createDataFrame([("R", "Failed", "a", "d", "1"), ("R", "Failed", "a", None, "2")], rows)
+    night = [("R", "Failed", "a", "d", "3"), ("R", "Failed", "a", None, "4"), ("R", "Failed", "a", "e", "5"), ("R", "Failed", "a", "e", "6")]
+    second = spark.createDataFrame(night, rows)
+    assert [r["details"] for r in reports.failure_tickets(second, first, reports.SAME_FAILURE).collect()] == ["e"]
+    assert reports.failure_tickets(second, first).count() == 4
+
+
+def test_ids_tell_rules_with_one_label_apart(spark):
+    cut = "path string, domain string, rule_key string, rule string, severity string, status string, details string, seq int"
+    same = [("a|b", "custom", key, "Same", "error", "Failed", "d", 0) for key in ("one", "two")]
+    rows = spark.createDataFrame([*same, ("a", "custom", "one", "b|Same", "error", "Failed", "d", 0)], cut)
+    ids = engine.identified(rows.withColumnRenamed("path", "notebook_path")).select("audit_id").distinct()
+    assert ids.count() == 3
+
+
 def test_scheduled_audit_sees_each_notebook_once(spark, tmp_path):
     incoming, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     for wave in (books(spark, a="x", b="SELECT *"), books(spark, c="y")):

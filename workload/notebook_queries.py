@@ -129,7 +129,7 @@ def src5(spark, sf_dir):
       SELECT path, copy, {o.lit(fixed.ACCESS_PREFIX)} || path || ': ' || {o.lit(fixed.ACCESS_MISSING)} || path
       FROM numbered WHERE key NOT IN (SELECT key FROM corpus))
     SELECT path AS notebook_path, {o.lit(fixed.ACCESS_LABEL)} AS rule, 'Failed' AS status, details,
-      sha256(concat_ws('|', '', path, copy::VARCHAR, {o.lit(fixed.ACCESS_LABEL)}, '0')) AS audit_id FROM failures""",
+      {o.audit_id(copy="copy::VARCHAR", domain="NULL", key="'notebook_access'", rule=o.lit(fixed.ACCESS_LABEL), seq="0")} AS audit_id FROM failures""",
 )
 def src6(spark, sf_dir):
     findings = engine.validate_requested(corpus(spark, sf_dir), request_lines(spark, sf_dir))

@@ -245,8 +245,12 @@ def findings_sql(settings=tuple(ON_BY_DEFAULT), domains=tuple(DOMAINS), override
     return "(" + " UNION ALL ".join(f"({part})" for part in parts) + ")"
 
 
-def audit_id(run_id: str = "", path: str = "path", copy: str = "'1'") -> str:
-    return f"sha256(concat_ws('|', {lit(run_id)}, {path}, {copy}, rule, seq::VARCHAR))"
+def audit_id(
+    run_id: str = "", path: str = "path", copy: str = "'1'", domain: str = "domain", key: str = "rule_key", rule: str = "rule", seq: str = "seq"
+) -> str:
+    texts = [lit(run_id), *[f"coalesce({text}, '')" for text in (path, domain, key, rule)]]
+    parts = ", ".join(f"length({text})::VARCHAR, {text}" for text in texts)
+    return f"sha256(concat_ws('|', {parts}, {copy}, {seq}::VARCHAR))"
 
 
 def all_findings_sql(run_id: str = "", **kwargs) -> str:

@@ -289,7 +289,7 @@ TITLE_LABEL = o.lit(fixed.LABEL_TITLE_VERDICT)
 @query(
     "r03b_title_verdicts",
     f"WITH {TITLE_VERDICTS} SELECT path AS notebook_path, {TITLE_LABEL} AS rule, status, details, seq, "
-    f"sha256(concat_ws('|', '', path, '1', {TITLE_LABEL}, seq::VARCHAR)) AS audit_id, 'warning' AS severity FROM matched",
+    f"{o.audit_id(domain=o.lit(fixed.CODE_QUALITY), key=o.lit('descriptive_cell_titles'), rule=TITLE_LABEL)} AS audit_id, 'warning' AS severity FROM matched",
 )
 def r03b(spark, sf_dir):
     asked = verdicts.title_links(line_notebooks(spark, sf_dir))
