@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hash values that decide about sampling lie below this.
 _SPAN = 1 << 52
 
 
-def sampled(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, all if there are fewer; by hash of the key.
+def chosen(rows: DataFrame, key: str, label: str, per_label: int) -> Column:
+    """Condition that about ``per_label`` rows of each label meet, all if there are fewer.
 
     One pass counts the labels; a row is taken if the hash of its key lies below its
     label's share.  The choice depends on the rows alone, not on their order.
@@ -21,7 +21,12 @@ def sampled(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     for value, n in sorted(counts.items(), key=str):
         if value is not None:
             limit = F.when(F.col(label) == F.lit(value), F.lit(int(_SPAN * min(1.0, per_label / n)))).otherwise(limit)
-    return rows.where(place < limit)
+    return place < limit
+
+
+def sampled(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
+    """The rows that ``chosen`` takes."""
+    return rows.where(chosen(rows, key, label, per_label))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, learnable, per_label: int) -> DataFrame:

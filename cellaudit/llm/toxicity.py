@@ -10,9 +10,12 @@ over its windows of ``WINDOW`` words, which overlap by half, of which the most t
 counts.  A logistic curve over the two and a rising function over that, both fitted on
 sampled rows that were not counted, make a probability of them.
 
-Counts come from a bounded sample of the labelled rows (``PER_LABEL`` whole texts of each
-label); Spark counts them, and the ``VOCABULARY`` and ``BIGRAMS`` most frequent entries
-become the model.  Scores read whole texts.
+All labelled rows that may be learned from are counted, by Spark, apart from a bounded
+sample on which the curve is fitted (at most a quarter of ``PER_LABEL`` whole texts of each
+label).  A first count finds the words that occur ``COMMON`` times or more, of which the
+``VOCABULARY`` most frequent get numbers; all others are one unknown word.  A second one
+counts the bigrams of numbers, of which the ``BIGRAMS`` most frequent go into the model;
+both bounds keep what every task holds within some 20 MB.  Scores read whole texts.
 
 Defined results: null texts and texts without words have difference 0; texts of any
 length are read; repeated rows get equal scores; without rows of both labels every score
@@ -21,6 +24,7 @@ is the share of label 1, 0 without labels; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .learning import labelled_texts
+from .learning import chosen
 from .tables import fold, stored
 
 PER_LABEL = 3000
@@ -41,6 +45,8 @@ VOCABULARY, BIGRAMS = 1 << 17, 1 << 18
 COMMON = 10
 WINDOW = 3
 THRESHOLD = 0.7
+#: Different words that a task gathers before it hands their counts on.
+_GATHERED = 1 << 18
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FILTER = 22
@@ -118,18 +124,53 @@ class Model:
         return 0.98 * np.interp(z, *self.knots) + 0.02 * smooth
 
 
-def _bigrams(rows: DataFrame) -> DataFrame:
-    """(h, w, c0, c1): in how many texts of either label a word follows another; h is empty at a start."""
+def _vocabulary(rows: DataFrame) -> list[bytes]:
+    """The most frequent words with ``COMMON`` occurrences or more."""
+
+    def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[bytes] = Counter()
+        for text in chain.from_iterable(frame["text"] for frame in frames):
+            found.update(words(text))
+            if len(found) >= _GATHERED:
+                yield pd.DataFrame({"w": list(found), "n": list(found.values())})
+                found.clear()
+        if found:
+            yield pd.DataFrame({"w": list(found), "n": list(found.values())})
+
+    found = rows.select("text").mapInPandas(occurrences, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [bytes(r.w) for r in found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
+
+
+def _bigrams(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    """(h, w, c0, c1): in how many texts of either label a word follows another, by their numbers."""
+    size = len(vocabulary) + 2
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = {w: i + 1 for i, w in enumerate(vocabulary)}.get
+        kept: tuple[list, list] = ([], [])
+        gathered = 0
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for label, keys in enumerate(kept):
+                if keys:
+                    both, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pd.DataFrame({"key": both, "c0": n * (label == 0), "c1": n * (label == 1)})
+                    keys.clear()
+
         for frame in frames:
             for label, text in zip(frame["label"], frame["text"], strict=True):
-                found = [x.decode("utf-8", "replace") for x in words(text)]
-                both = sorted(set(zip(["", *found], found, strict=False)))
-                yield pd.DataFrame({"label": np.int32(label), "h": [h for h, _ in both], "w": [w for _, w in both]})
+                w = np.array([get(x, 0) for x in words(text)], np.int64)
+                if len(w):
+                    kept[label].append(np.unique(np.concatenate([[size - 1], w[:-1]]) * size + w))
+                    gathered += len(kept[label][-1])
+                if gathered >= 4 * _GATHERED:
+                    yield from counted()
+                    gathered = 0
+        yield from counted()
 
-    tokens = rows.select("label", "text").mapInPandas(pairs, "label int, h string, w string")
-    return tokens.groupBy("h", "w").agg(*(F.count(F.when(F.col("label") == c, 1)).alias(f"c{c}") for c in (0, 1)))
+    found = rows.select("label", "text").mapInPandas(pairs, "key long, c0 long, c1 long")
+    found = found.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return found.select(F.expr(f"key div {size}").alias("h"), (F.col("key") % size).alias("w"), "c0", "c1")
 
 
 def _steps(counts: str) -> list:
@@ -150,45 +191,47 @@ def _less(counts: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _count(rows: DataFrame) -> Model:
     """Both models, without the curve, from the counted rows."""
-    types = stored(_bigrams(rows), "bigrams")
+    listed = _vocabulary(rows)
+    start = len(listed) + 1
+    types = stored(_bigrams(rows, listed), "bigrams")
     some = lambda c: F.count(F.when(F.col(c) > 0, 1))
-    after = stored(types.groupBy("w").agg(F.count("*").alias("n"), some("c0").alias("n0"), some("c1").alias("n1")), "continuations")
+    after = types.groupBy("w").agg(F.count("*").alias("n"), some("c0").alias("n0"), some("c1").alias("n1"))
     of_words = after.agg(F.count("*").alias("words"), F.sum("n").alias("total"), *_steps("n0"), *_steps("n1")).first()
     of_types = types.agg(*_steps("c0"), *_steps("c1")).first()
-    after = after.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    common = after.select("w")
-    often = types.join(common, "w").join(common.select(F.col("w").alias("h")).unionByName(types.sparkSession.createDataFrame([("",)], "h string")), "h")
-    before = often.select("h").distinct().join(types, "h").groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toPandas()
-    often = often.where(F.col("c0") + F.col("c1") >= COMMON).orderBy(F.desc(F.col("c0") + F.col("c1")), "h", "w").limit(BIGRAMS).toPandas()
-    after = after.toPandas()
-
-    number = {w: i + 1 for i, w in enumerate(after["w"])}
-    size = len(number) + 2
-    h, w = often["h"].map({**number, "": size - 1}), often["w"].map(number)
-    known = (h.notna() & w.notna()).to_numpy()
-    h, w = h[known].astype(np.int64).to_numpy(), w[known].astype(np.int64).to_numpy()
-    spot = before["h"].map({**number, "": size - 1})
-    listed = spot.notna().to_numpy()
-    spot = spot[listed].astype(np.int64).to_numpy()
-
-    shared = np.full(size, 0.5 / (of_words["total"] + 0.5 * (of_words["words"] + 1)))
+    # At most one row for each numbered word, and as many bigrams as the model takes.
+    after = after.where((F.col("n") >= COMMON) & (F.col("w") > 0)).toPandas().sort_values("w")
+    before = types.where("h > 0").groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toPandas()
+    often = types.where((F.col("c0") + F.col("c1") >= COMMON) & (F.col("h") > 0) & (F.col("w") > 0))
+    often = often.orderBy(F.desc(F.col("c0") + F.col("c1")), "h", "w").limit(BIGRAMS).toPandas()
+
+    vocabulary = [listed[w - 1] for w in after["w"]]
+    size = len(vocabulary) + 2
+    number = np.zeros(start + 1, np.int64)  # words without counts of their own are unknown ones
+    number[after["w"].to_numpy(np.int64)] = np.arange(1, size - 1)
+    number[start] = size - 1
+    h, w = number[often["h"].to_numpy(np.int64)], number[often["w"].to_numpy(np.int64)]
+    known = (h > 0) & (w > 0)
+    h, w = h[known], w[known]
+    spot = number[before["h"].to_numpy(np.int64)]
+
+    shared = np.full(size, 0.5 / ((of_words["total"] or 0) + 0.5 * (of_words["words"] + 1)))
     shared[1:-1] *= 2 * after["n"].to_numpy() + 1
     backoff, left, seen = np.empty((2, size)), np.ones((2, size)), np.empty((2, len(h)))
     for c in (0, 1):
         own, n = np.zeros(size), f"n{c}"
         off = discounts(*(of_words[f"{n}_{k}"] for k in range(1, 5)))
         own[1:-1] = _less(after[n].to_numpy(), off)
-        total = max(of_words[f"{n}_s"], 1)
+        total = max(of_words[f"{n}_s"] or 0, 1)
         backoff[c] = (own + (total - own.sum()) * shared) / total
         c_ = f"c{c}"
         off = discounts(*(of_types[f"{c_}_{k}"] for k in range(1, 5)))
         total = np.ones(size)
-        total[spot] = np.maximum(before[f"s{c}"].to_numpy()[listed], 1)
+        total[spot[spot > 0]] = np.maximum(before[f"s{c}"].to_numpy()[spot > 0], 1)
         seen[c] = _less(often[c_].to_numpy()[known], off) / total[h]
         np.subtract.at(left[c], h, seen[c])
     keys = h.astype(np.uint64) * np.uint64(size) + w.astype(np.uint64)
     order = np.argsort(keys)
-    return Model(vocabulary=[x.encode() for x in after["w"]], backoff=backoff, left=left, pairs=keys[order], seen=seen[:, order])
+    return Model(vocabulary=vocabulary, backoff=backoff, left=left, pairs=keys[order], seen=seen[:, order])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -223,19 +266,23 @@ def learnable(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    marked = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    counts = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
+    marked = marked.where(learnable(F.col("doc_id")) & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    counts = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model(constant=float(sum(k for k in counts)))
-    rows = stored(labelled_texts(docs, labels, "toxic", learnable, per_label).withColumn("part", F.pmod(F.shiftright(F.xxhash64("doc_id"), 9), F.lit(4))), "learned")
-    model = _count(rows.where("part > 0"))
+    quarter = F.pmod(F.shiftright(F.xxhash64("doc_id"), 9), F.lit(4)) == 0
+    marked = marked.withColumn("apart", chosen(marked, "doc_id", "label", per_label) & quarter)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = stored(texts.join(marked, "doc_id"), "learned")
+    model = _count(rows.where("NOT apart"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = model.differences(frame["text"].tolist())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "whole": found[:, 0], "worst": found[:, 1]})
 
-    apart = rows.where("part = 0").select("doc_id", "label", "text")
+    apart = rows.where("apart").select("doc_id", "label", "text")
     found = apart.mapInPandas(measure, "doc_id long, label int, whole double, worst double").toPandas().sort_values(["doc_id", "label"])
     y = found["label"].to_numpy(float)
     if len(set(y)) < 2:

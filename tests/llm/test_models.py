@@ -1,6 +1,7 @@
 """Classifiers: held-out accuracy, and what they make of odd input."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,3 +99,21 @@ def test_rising():
     z, y = np.array([3.0, 1, 2, 4, 5]), np.array([1.0, 0, 1, 0, 1])
     knots = toxicity.rising(z, y, np.ones(5))
     assert (np.diff(knots[1]) >= 0).all() and np.interp(1, *knots) == 0 and np.interp(3, *knots) == pytest.approx(2 / 3)
+
+
+def test_all_labelled_texts_are_counted(spark, docs, labels):
+    """Counts of words and bigrams equal those of plain loops over every row."""
+    rows = docs.join(labels, "doc_id").select(labels.toxic.cast("int").alias("label"), "text").where("text IS NOT NULL")
+    listed = toxicity._vocabulary(rows)
+    plain = [(r.label, toxicity.words(r.text)) for r in rows.collect()]
+    often = Counter(w for _, x in plain for w in x)
+    assert listed == sorted((w for w, n in often.items() if n >= toxicity.COMMON), key=lambda w: (-often[w], w))
+    number = {w: i + 1 for i, w in enumerate(listed)}
+    want = Counter()
+    for label, x in plain:
+        at = [number.get(w, 0) for w in x]
+        want.update((label, h, w) for h, w in set(zip([len(listed) + 1, *at], at, strict=False)))
+    got = {}
+    for r in toxicity._bigrams(rows, listed).collect():
+        got.update({(c, r.h, r.w): n for c, n in enumerate((r.c0, r.c1)) if n})
+    assert got == dict(want) and len(got) > 1000
