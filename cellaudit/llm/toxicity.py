@@ -13,7 +13,8 @@ sampled rows that were not counted, make a probability of them.
 All labelled rows that may be learned from are counted, by Spark, apart from a bounded
 sample on which the curve is fitted (at most a quarter of ``PER_LABEL`` whole texts of each
 label).  A first count finds the words that occur ``COMMON`` times or more, of which the
-``VOCABULARY`` most frequent get numbers; all others are one unknown word.  A second one
+``VOCABULARY`` most frequent get numbers of their own; rarer ones share the remaining
+31-bit numbers by hash, so that they still count as different neighbours.  A second one
 counts the bigrams of numbers, of which the ``BIGRAMS`` most frequent go into the model;
 both bounds keep what every task holds within some 20 MB.  Scores read whole texts.
 
@@ -28,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -47,6 +49,7 @@ WINDOW = 3
 THRESHOLD = 0.7
 #: Different words that a task gathers before it hands their counts on.
 _GATHERED = 1 << 18
+_CODES = 1 << 31
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FILTER = 22
@@ -124,6 +127,13 @@ class Model:
         return 0.98 * np.interp(z, *self.knots) + 0.02 * smooth
 
 
+def coded(found: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """Numbers of words: their own, or by hash beyond these and that of a text's start."""
+    own, rest = len(number) + 2, _CODES - len(number) - 2
+    get = number.get
+    return np.array([get(x) or own + crc32(x) % rest for x in found], np.int64)
+
+
 def _vocabulary(rows: DataFrame) -> list[bytes]:
     """The most frequent words with ``COMMON`` occurrences or more."""
 
@@ -143,10 +153,10 @@ def _vocabulary(rows: DataFrame) -> list[bytes]:
 
 def _bigrams(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     """(h, w, c0, c1): in how many texts of either label a word follows another, by their numbers."""
-    size = len(vocabulary) + 2
+    start = len(vocabulary) + 1
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = {w: i + 1 for i, w in enumerate(vocabulary)}.get
+        number = {w: i + 1 for i, w in enumerate(vocabulary)}
         kept: tuple[list, list] = ([], [])
         gathered = 0
 
@@ -159,9 +169,9 @@ def _bigrams(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
 
         for frame in frames:
             for label, text in zip(frame["label"], frame["text"], strict=True):
-                w = np.array([get(x, 0) for x in words(text)], np.int64)
+                w = coded(words(text), number)
                 if len(w):
-                    kept[label].append(np.unique(np.concatenate([[size - 1], w[:-1]]) * size + w))
+                    kept[label].append(np.unique(np.concatenate([[start], w[:-1]]) * _CODES + w))
                     gathered += len(kept[label][-1])
                 if gathered >= 4 * _GATHERED:
                     yield from counted()
@@ -170,7 +180,7 @@ def _bigrams(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
 
     found = rows.select("label", "text").mapInPandas(pairs, "key long, c0 long, c1 long")
     found = found.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    return found.select(F.expr(f"key div {size}").alias("h"), (F.col("key") % size).alias("w"), "c0", "c1")
+    return found.select(F.expr(f"key div {_CODES}").alias("h"), (F.col("key") % _CODES).alias("w"), "c0", "c1")
 
 
 def _steps(counts: str) -> list:
@@ -199,9 +209,9 @@ def _count(rows: DataFrame) -> Model:
     of_words = after.agg(F.count("*").alias("words"), F.sum("n").alias("total"), *_steps("n0"), *_steps("n1")).first()
     of_types = types.agg(*_steps("c0"), *_steps("c1")).first()
     # At most one row for each numbered word, and as many bigrams as the model takes.
-    after = after.where((F.col("n") >= COMMON) & (F.col("w") > 0)).toPandas().sort_values("w")
-    before = types.where("h > 0").groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toPandas()
-    often = types.where((F.col("c0") + F.col("c1") >= COMMON) & (F.col("h") > 0) & (F.col("w") > 0))
+    after = after.where((F.col("n") >= COMMON) & (F.col("w") < start)).toPandas().sort_values("w")
+    before = types.where(F.col("h") <= start).groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toPandas()
+    often = types.where((F.col("c0") + F.col("c1") >= COMMON) & (F.col("h") <= start) & (F.col("w") < start))
     often = often.orderBy(F.desc(F.col("c0") + F.col("c1")), "h", "w").limit(BIGRAMS).toPandas()
 
     vocabulary = [listed[w - 1] for w in after["w"]]

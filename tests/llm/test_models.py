@@ -111,7 +111,8 @@ def test_all_labelled_texts_are_counted(spark, docs, labels):
     number = {w: i + 1 for i, w in enumerate(listed)}
     want = Counter()
     for label, x in plain:
-        at = [number.get(w, 0) for w in x]
+        at = toxicity.coded(x, number).tolist()
+        assert all(a == number[w] if w in number else a > len(listed) + 1 for a, w in zip(at, x, strict=True))
         want.update((label, h, w) for h, w in set(zip([len(listed) + 1, *at], at, strict=False)))
     got = {}
     for r in toxicity._bigrams(rows, listed).collect():
