@@ -12,11 +12,12 @@ sampled rows that were not counted, make a probability of them.
 
 All labelled rows that may be learned from are counted, by Spark, apart from a bounded
 sample on which the curve is fitted (at most a quarter of ``PER_LABEL`` whole texts of each
-label).  A first count finds the words that occur ``COMMON`` times or more, of which the
-``VOCABULARY`` most frequent get numbers of their own; rarer ones share the remaining
-31-bit numbers by hash, so that they still count as different neighbours.  A second one
-counts the bigrams of numbers, of which the ``BIGRAMS`` most frequent go into the model;
-both bounds keep what every task holds within some 20 MB.  Scores read whole texts.
+label).  A first count finds the words that occur ``COMMON`` times or more, which get
+numbers of their own; rarer ones share the remaining 31-bit numbers by hash, so that they
+still count as different neighbours.  A second one counts the bigrams of numbers, of which
+all found in ``COMMON`` texts or more go into the model.  Neither has an upper bound: the
+model, which the driver gathers and every task holds, grows with the different words and
+bigrams found so often.  Scores read whole texts.
 
 Defined results: null texts and texts without words have difference 0; texts of any
 length are read; repeated rows get equal scores; without rows of both labels every score
@@ -41,7 +42,6 @@ from .learning import chosen
 from .tables import fold, stored
 
 PER_LABEL = 3000
-VOCABULARY, BIGRAMS = 1 << 17, 1 << 18
 #: Words that follow so many different words have counts of their own in each class; rarer
 #: ones have the shared counts alone, or copied texts would be known by heart.
 COMMON = 10
@@ -135,7 +135,7 @@ def coded(found: list[bytes], number: dict[bytes, int]) -> np.ndarray:
 
 
 def _vocabulary(rows: DataFrame) -> list[bytes]:
-    """The most frequent words with ``COMMON`` occurrences or more."""
+    """All words with ``COMMON`` occurrences or more, the most frequent first."""
 
     def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[bytes] = Counter()
@@ -148,7 +148,7 @@ def _vocabulary(rows: DataFrame) -> list[bytes]:
             yield pd.DataFrame({"w": list(found), "n": list(found.values())})
 
     found = rows.select("text").mapInPandas(occurrences, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [bytes(r.w) for r in found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
+    return found.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "w").select("w").toArrow()["w"].to_pylist()
 
 
 def _bigrams(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
@@ -208,11 +208,11 @@ def _count(rows: DataFrame) -> Model:
     after = types.groupBy("w").agg(F.count("*").alias("n"), some("c0").alias("n0"), some("c1").alias("n1"))
     of_words = after.agg(F.count("*").alias("words"), F.sum("n").alias("total"), *_steps("n0"), *_steps("n1")).first()
     of_types = types.agg(*_steps("c0"), *_steps("c1")).first()
-    # At most one row for each numbered word, and as many bigrams as the model takes.
-    after = after.where((F.col("n") >= COMMON) & (F.col("w") < start)).toPandas().sort_values("w")
-    before = types.where(F.col("h") <= start).groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toPandas()
+    # One row for each numbered word at most, and all bigrams that are common.
+    after = after.where((F.col("n") >= COMMON) & (F.col("w") < start)).toArrow().to_pandas().sort_values("w")
+    before = types.where(F.col("h") <= start).groupBy("h").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1")).toArrow().to_pandas()
     often = types.where((F.col("c0") + F.col("c1") >= COMMON) & (F.col("h") <= start) & (F.col("w") < start))
-    often = often.orderBy(F.desc(F.col("c0") + F.col("c1")), "h", "w").limit(BIGRAMS).toPandas()
+    often = often.toArrow().to_pandas()
 
     vocabulary = [listed[w - 1] for w in after["w"]]
     size = len(vocabulary) + 2

@@ -118,3 +118,19 @@ def test_all_labelled_texts_are_counted(spark, docs, labels):
     for r in toxicity._bigrams(rows, listed).collect():
         got.update({(c, r.h, r.w): n for c, n in enumerate((r.c0, r.c1)) if n})
     assert got == dict(want) and len(got) > 1000
+
+
+def test_model_holds_all_common_words_and_bigrams(spark):
+    """Neither words nor bigrams found often enough are cut, however many there are."""
+    many = [f"w{i}" for i in range((1 << 17) + 500)]
+    rows = spark.createDataFrame([(i % 2, " ".join(many)) for i in range(toxicity.COMMON)], "label int, text string")
+    assert len(toxicity._vocabulary(rows)) == len(many)
+    some = [f"w{i}" for i in range(520)]
+    pairs = " ".join(f"{a} {b}" for a in some for b in some)
+    texts = [(i % 2, pairs) for i in range(toxicity.COMMON + 1)] + [(1, "w7 bad")] * toxicity.COMMON
+    texts += [(1, f"{w} bad") for w in some[10 : 10 + toxicity.COMMON]]
+    model = toxicity._count(spark.createDataFrame(texts, "label int, text string").repartition(4))
+    number, size = {w: i + 1 for i, w in enumerate(model.vocabulary)}, len(model.vocabulary) + 2
+    held = set(model.pairs.tolist())
+    assert {number[a.encode()] * size + number[b.encode()] for a in some for b in some} <= held
+    assert number[b"w7"] * size + number[b"bad"] in held
