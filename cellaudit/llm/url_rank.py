@@ -37,6 +37,8 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 12
 WRITTEN = 4
+#: Ranks that differ by less than this part of them are equal: room for the order of sums.
+TIE = 1e-9
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^"'/?#\s>]+)"""
 
 
@@ -120,7 +122,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
         F.count(F.when(F.col("best.rule_verdict") == "block", 1)).cast("double").alias("blocked"),
     )
     rank = ranks(edges(parts, hosts), stored(seeds, "seeds"))
-    bad = stored(rank.where(F.round("distrust", 9) > F.round("trust", 9)).select("host", F.lit(True).alias("bad")), "blocked")
+    bad = stored(rank.where(F.col("distrust") > F.col("trust") * (1 + TIE)).select("host", F.lit(True).alias("bad")), "blocked")
     own = F.when(F.col("bad"), "block").otherwise("allow")
     out = ruled.drop("html").join(bad, "host", "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.rule_verdict"), own).alias("verdict"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellaudit.llm import components, embedding_dedup, url_rank
 from cellaudit.llm.queries import ORACLES, QUERIES
@@ -70,6 +71,21 @@ def test_urls(spark):
     assert url_rank.judged(pages.where("1 = 0"), url_rank.rule_table(spark)).count() == 0
 
 
+def test_verdicts_do_not_shrink_with_the_input(spark):
+    """A host is blocked by any distrust beyond its trust, also where ranks lie below 1e-10."""
+    rules = url_rank.rule_table(spark, [("bad.org/", "block"), ("far.org/", "block")])
+    link = '<a href="//bad.org/">'
+    few = [(0, "http://bad.org/", ""), (1, "http://big.net/", link * 100_000), (2, "http://small.net/", link), (3, "http://none.net/", "")]
+    few = spark.createDataFrame(few, "page_id long, url string, html string")
+    crowd = spark.range(1000, 201_000).selectExpr("id AS page_id", "concat('http://far.org/', id) AS url", "'' AS html")
+    for pages in (few, few.unionByName(crowd)):
+        found = url_rank.judged(pages, rules).where("page_id < 1000").collect()
+        assert {r.page_id: r.verdict for r in found} == {0: "block", 1: "block", 2: "block", 3: "allow"}
+    tied = spark.createDataFrame([("a.org", "b.org", 1.0), ("b.org", "a.org", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a.org", 3.0, 3.0)], "host string, allowed double, blocked double")
+    assert url_rank.ranks(tied, seeds).where(F.col("distrust") > F.col("trust") * (1 + url_rank.TIE)).count() == 0
+
+
 def test_many_hosts_of_a_name(spark):
     rules = url_rank.rule_table(spark, [("b.org/", "block"), ("a.b.org/", "allow")])
     pages = spark.createDataFrame([(1, "http://b.org/x", ""), (2, "http://x.a.b.org/y", ""), (3, "http://ab.org/", "")], "page_id long, url string, html string")
