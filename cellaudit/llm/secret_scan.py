@@ -2,12 +2,17 @@
 
 Three patterns find assignments, access keys and long hexadecimal numbers wherever they
 stand.  Beside them a lexer reads the text as source or configuration: names, string
-literals, bare values, operators.  Every ``name = value``, ``name: value`` or
-``"name": value`` is a pair; a value is literals joined by ``+`` or names of constants,
-whose literals are passed on to the names they are assigned to, over any number of
-steps.  A literal is scored by the most sensitive name that it reaches and by how much
-it looks like a secret; those of a score of ``MIN_SCORE`` or more are spans of kind
-``literal``, which hold the value without its quotes.
+literals with or without prefix, in one or three quotes, bare values, operators.  Every
+``name = value``, ``name: value``, ``"name": value`` or ``x["name"] = value`` is a pair;
+a value is literals joined by ``+`` or names of constants, in brackets or not (there also
+literals side by side and lists of them), whose literals are passed on to the names they
+are assigned to, over any number of steps.  An apostrophe directly behind a letter opens
+a literal only if that is a prefix or ends a keyword; what three quotes hold is read like
+the text around it, too; of an f-string, the parts between its fields are
+literals and names that are fields are passed on.  A literal is scored by the most
+sensitive name that it reaches and by how much it looks like a secret, one of several
+lines by its strongest line without spaces; those of a score of ``MIN_SCORE`` or more are
+spans of kind ``literal``, which hold the value without its quotes.
 
 One narrow pass, no shuffle.  Defined results: null and empty texts have no spans; whole
 texts are read, whatever their length; repeated rows are read each for itself; an empty
@@ -47,17 +52,25 @@ MIN_LITERAL = 6
 
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "connection", "bearer")
 _HEX_BYTES = bytes(48 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+_PREFIX = r"(?:[bB][rR]?|[rR][bBfF]?|[fF][rR]?|[uU])"
+#: Words behind which code without spaces may open an apostrophe; behind other letters it is one of prose.
+_BEFORE = "|".join(rf"(?<=\b{w})" for w in ("return", "case", "typeof", "yield", "import", "from", "print", "echo", "else", "and", "or", "not", "in", "of", "if", "is"))
+#: Not behind a backslash that stands alone.
+_EVEN = r"(?:(?<!\\)|(?<=\\\\))"
 _LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\\\n]*`)
+    rf"""(?P<string>(?:(?<!\w){_PREFIX})?(?:(?<!\\)\"{{3}}(?s:.*?){_EVEN}\"{{3}}|"(?:[^"\\\n]|\\.)*")
+        |(?:(?<!\w)(?:{_PREFIX})?|{_BEFORE})(?:(?<!\\)'{{3}}(?s:.*?){_EVEN}'{{3}}|'(?:[^'\\\n]|\\.)*')|`[^`\\\n]*`)
     |(?P<op>:=|=>|[=!<>]=|[=:+])
     |(?P<word>[^\W\d][\w.\-/@$]*)
-    |(?P<bare>[^\s"'`=:+,;(){}\[\]]+)
-    |(?P<end>[\n;,{}()\[\]])""",
+    |(?P<bare>[^\s"'`=:+,;(){{}}\[\]]+)
+    |(?P<end>[\n;,{{}}()\[\]])""",
     re.VERBOSE,
 )
 _PARTS = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _BINDS = {"=", ":", ":=", "=>"}
+_QUOTED = re.compile(r"([A-Za-z]{0,2})(\"{3}|'{3}|[\"'`])")
+_FIELD = re.compile(r"(?<!\{)\{(?:([^\W\d]\w*)(?=[}:!=]))?[^{}]*\}(?!\})")
 
 
 def sensitivity(name: str) -> float:
@@ -69,6 +82,8 @@ def sensitivity(name: str) -> float:
 
 def strength(value: str) -> float:
     """From 0 to 1: how much a literal looks like a secret; 0 for short ones and stand-ins."""
+    if "\n" in value:
+        return max((strength(x) for line in value.splitlines() if " " not in (x := line.strip())), default=0.0)
     if len(value) < MIN_LITERAL or PLACEHOLDER.match(value) or " " in value.strip() and len(value.split()) > 4:
         return 0.0
     counts = Counter(value)
@@ -81,24 +96,70 @@ def _tokens(text: str) -> list[tuple[str, str, int, int]]:
     return [(m.lastgroup, m[0], m.start(), m.end()) for m in _LEX.finditer(text)]
 
 
+def _inside(literal: str) -> tuple[str, int, int]:
+    """Prefix of a string literal, and where what it holds starts and ends."""
+    prefix, quote = _QUOTED.match(literal).groups()
+    return prefix.lower(), len(prefix) + len(quote), len(literal) - len(quote)
+
+
+def _name(tokens: list[tuple[str, str, int, int]], i: int) -> str | None:
+    """The name that ends at a token: a word, a string, or what stands in a subscript."""
+    if tokens[i][1] == "]" and i > 2 and tokens[i - 2][1] == "[" and tokens[i - 3][0] in ("word", "string", "end"):
+        i -= 1
+    kind, text = tokens[i][:2]
+    if kind == "string":
+        _, start, end = _inside(text)
+        return text[start:end]
+    return text if kind == "word" else None
+
+
+def _value(tokens: list[tuple[str, str, int, int]], i: int) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans of the literals and the names that the value starting at a token refers to."""
+    spans, refs = [], []
+    depth, wanted, beside = 0, True, False
+    for j in range(i, len(tokens)):
+        what, value, start, end = tokens[j]
+        if what == "string" and (wanted or beside and depth):
+            prefix, first, last = _inside(value)
+            at = first
+            for field in _FIELD.finditer(value, first, last) if "f" in prefix else ():
+                spans += [(start + at, start + field.start())] if at < field.start() else []
+                refs += [field[1]] if field[1] else []
+                at = field.end()
+            spans += [(start + at, start + last)] if at < last or at == first else []
+            wanted, beside = False, True
+        elif what in ("word", "bare") and wanted:
+            refs.append(value)
+            spans += [(start, end)] if what == "bare" or any(c.isdigit() for c in value) else []
+            wanted = beside = False
+        elif value in ("(", "[") and what == "end" and wanted:
+            depth += 1
+        elif value == "\n" and depth:
+            continue
+        elif value == "," and depth:
+            wanted, beside = True, False
+        elif value in (")", "]") and what == "end" and depth:
+            depth -= 1
+            wanted = False
+        elif value == "+" and j > i:
+            wanted, beside = True, False
+        else:
+            break
+    return spans, refs
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
     """Every name with the spans of its literals and the names that its value refers to."""
     tokens = _tokens(text)
+    for kind, literal, at, _ in tokens:
+        if kind == "string" and literal.endswith(('"' * 3, "'" * 3)):  # may hold configuration or code
+            _, start, end = _inside(literal)
+            for name, spans, refs in pairs(literal[start:end]):
+                yield name, [(a + at + start, b + at + start) for a, b in spans], refs
     for i, (kind, op, _, _) in enumerate(tokens[1:-1], 1):
-        if kind != "op" or op not in _BINDS or tokens[i - 1][0] not in ("word", "string"):
+        if kind != "op" or op not in _BINDS or (name := _name(tokens, i - 1)) is None:
             continue
-        name = tokens[i - 1][1].strip("\"'`")
-        spans, refs = [], []
-        for j in range(i + 1, len(tokens)):
-            what, value, start, end = tokens[j]
-            joined = j > i + 1 and tokens[j - 1][1] == "+"
-            if what == "string" and (j == i + 1 or joined):
-                spans.append((start + 1, end - 1))
-            elif what in ("word", "bare") and (j == i + 1 or joined):
-                refs.append(value)
-                spans += [(start, end)] if what == "bare" or any(c.isdigit() for c in value) else []
-            elif not (value == "+" and j > i + 1):
-                break
+        spans, refs = _value(tokens, i + 1)
         if spans or refs:
             yield name, spans, refs
 
