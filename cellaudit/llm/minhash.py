@@ -355,6 +355,16 @@ def linked(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) ->
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` without those that another document of their group stands for."""
+    """``docs`` without those that another document of their group stands for.
+
+    Of rows that repeat a doc_id with the same text one stays; only such rows are shuffled.
+    """
     gone = linked(docs, words, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(stored(gone, "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    left = docs.join(stored(gone, "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().where("count > 1")
+    again = stored(again.select("again"), "again")
+    if not again.limit(1).count():
+        return left
+    is_again = F.col("doc_id") == F.col("again")
+    repeated = left.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, is_again, "left_anti").unionByName(repeated)

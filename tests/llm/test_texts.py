@@ -258,6 +258,18 @@ def test_crowd_of_near_copies(spark):
     assert found == brute.near_copies(rows, 4)
 
 
+def test_repeated_rows_stay_once(spark):
+    """One row of each kept id and text, also in a group with near copies; null ids and other texts stay."""
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, one, "a")] * 3 + [(2, two, "b"), (2, two, "b"), (3, one, "c"), (3, one, "c"), (4, two + " x", "d"), (5, "other words", "e"), (6, None, "f"), (6, None, "f")]
+    rows += [(7, "p q r s t u v", "g"), (7, "k l m n o p q", "g"), (None, "a b c d e f g", "h"), (None, "a b c d e f g", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, count string").repartition(3)
+    out = minhash.without_near_duplicates(df, 5)
+    assert out.columns == df.columns
+    found = sorted((r.doc_id or 0, r.text or "", r["count"]) for r in out.collect())
+    assert found == sorted([(1, one, "a"), (2, two, "b"), (5, "other words", "e"), (6, "", "f"), (7, "p q r s t u v", "g"), (7, "k l m n o p q", "g"), *[(0, "a b c d e f g", "h")] * 2])
+
+
 def test_near_copies_odd(odd, empty):
     rows = minhash.linked(odd).collect()
     assert len(rows) == odd.count() and minhash.linked(empty).count() == 0
