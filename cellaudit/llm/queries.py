@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank
+from . import embedding_dedup, id_files, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_url_filter", url_rank.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rank.judged(table(spark, sf_dir, "pages"), url_rank.rule_table(spark))
+
+
+@_query("op11_id_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(table(spark, sf_dir, "documents"))
