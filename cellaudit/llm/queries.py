@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, id_files, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank
+from . import embedding_dedup, id_files, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank, whitening
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_id_files")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
