@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, id_files, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank, whitening
+from . import embedding_dedup, hard_negatives, id_files, language_id, minhash, packing, pieces, quality_cnn, quality_rules, secret_scan, toxicity, url_rank, whitening
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_hard_negatives", hard_negatives.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
