@@ -24,8 +24,12 @@ def new_location(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it read back."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return it read back.
+
+    ``by``: a column of few values; rows of one value are files of their own, so
+    that reading one value reads nothing else.
+    """
     location = new_location(df.sparkSession, name)
-    df.write.parquet(location)
+    (df.write.partitionBy(by) if by else df.write).parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)

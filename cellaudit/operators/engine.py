@@ -9,8 +9,8 @@ is.  There is no shuffle, and no Python unless a Python rule is given.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,17 +156,34 @@ def domain_reads(catalog: Iterable[Setting], active: Sequence[Active]) -> dict[s
     return reads
 
 
-def validate(
+@dataclass(frozen=True)
+class Question:
+    """A slot for what a model has to decide: ``rows`` makes questions of a rule's scan
+    columns; ``of`` is the text rule that leaves some notebooks undecided."""
+
+    domain: str
+    label: tuple
+    rows: Callable[[dict[str, Column]], Column]
+    of: Active | None = None
+    from_cells: dict[str, Column] = field(default_factory=dict)
+
+
+#: What a row of an audit holds if questions are part of it.
+TAGGED = "struct<status:string,details:string,request_id:string,batch:int,titles:array<string>>"
+FINDING, QUESTION, TITLES_ASKED = "finding", "question", "titles"
+
+
+def evaluated(
     notebooks: DataFrame,
-    catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
-    *,
+    catalog: Sequence[Setting],
     extra: Sequence[Rule] = (),
-    run_id: str = "",
-) -> DataFrame:
-    """All findings the text of the notebooks decides.
+    *,
+    text_rules: bool = True,
+    questions: Sequence[Question] = (),
+) -> tuple[DataFrame, list[tuple]]:
+    """``(notebook_path, slot, seq, row)`` of one narrow pass, and what the slots stand for.
 
-    Rules that need a model's answer are in ``verdicts``.  Order within a
-    notebook is domain, rule, match; ``seq`` counts the rows of one rule.
+    Order of slots is domain, rule; ``seq`` counts the rows of one slot.
     """
     active = active_rules(catalog, extra)
     reads = domain_reads(catalog, active)
@@ -175,39 +192,83 @@ def validate(
     # Slots: what can go wrong first, then the rules; their order is the findings' order.
     scans: dict[str, Column] = {}
     cell_scans: dict[str, Column] = {}
-    slots: list[tuple[tuple, Column]] = [(ACCESS, F.when(~F.col("readable"), _unreadable()))]
+    slots: list[tuple[tuple, Column]] = []
+
+    def scanned(rule_key: str, scan: dict[str, Column], from_cells: dict[str, Column]) -> dict[str, Column]:
+        names = {part: f"{rule_key}__{part}" for part in [*scan, *from_cells]}
+        scans.update({names[part]: column for part, column in scan.items()})
+        cell_scans.update({names[part]: column for part, column in from_cells.items()})
+        return {part: F.col(full) for part, full in names.items()}
+
+    def tagged(rows: Column) -> Column:
+        if not questions:
+            return rows
+        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("request_id", "string"), ("batch", "int"), ("titles", "array<string>"))]
+        return F.transform(rows, lambda row: F.struct(row["status"].alias("status"), row["details"].alias("details"), *nothing))
+
+    if text_rules:
+        slots.append((ACCESS, tagged(F.when(~F.col("readable"), _unreadable()))))
     for domain in DOMAIN_ORDER:
         if domain not in reads:
             continue
         problem = domain_problem(reads[domain])
         stopped = F.col("readable") & problem.isNotNull()
         going = F.col("readable") & problem.isNull()
-        name = f"{fixed.DOMAIN_NAMES[domain]} Error"
-        error = F.array(failed(F.concat(F.lit(fixed.DOMAIN_ERROR_PREFIX), problem)))
-        slots.append(((domain, "domain_error", name, "error"), F.when(stopped, error)))
-        for a in active:
-            if a.rule.domain == domain:
-                check = a.rule.check(a.parameters)
-                names = {part: f"{a.rule.rule_key}__{part}" for part in [*check.scan, *check.from_cells]}
-                scans.update({names[part]: column for part, column in check.scan.items()})
-                cell_scans.update({names[part]: column for part, column in check.from_cells.items()})
-                rows = check.rows({part: F.col(full) for part, full in names.items()})
-                slots.append(((domain, a.rule.rule_key, a.rule.label, a.severity), F.when(going, rows)))
+        if text_rules:
+            name = f"{fixed.DOMAIN_NAMES[domain]} Error"
+            error = F.array(failed(F.concat(F.lit(fixed.DOMAIN_ERROR_PREFIX), problem)))
+            slots.append(((domain, "domain_error", name, "error"), tagged(F.when(stopped, error))))
+            for a in active:
+                if a.rule.domain == domain:
+                    check = a.rule.check(a.parameters)
+                    rows = check.rows(scanned(a.rule.rule_key, check.scan, check.from_cells))
+                    slots.append(((domain, a.rule.rule_key, a.rule.label, a.severity), tagged(F.when(going, rows))))
+        for q in questions:
+            if q.domain == domain:
+                check = q.of.rule.check(q.of.parameters) if q.of else None
+                found = scanned(q.label[1], check.scan if check else {}, {**(check.from_cells if check else {}), **q.from_cells})
+                slots.append((q.label, F.when(going, q.rows(found))))
 
     # What looks at cells is taken together with the code, so that cells, texts of
     # the same size as the code, go no further.
     coded = prepared(base.withColumns(cell_scans) if cell_scans else base)
+    if questions:
+        scans["code_hash"] = F.sha2("code", 256)
     searched = coded.withColumns(scans) if scans else coded
     copies = copies_of(searched)
+    if not slots:
+        slots.append((ACCESS, F.array().cast(f"array<{TAGGED}>")))
     by_slot = searched.select(
         F.col("path").alias("notebook_path"), *copies, F.posexplode(F.array(*[rows for _, rows in slots])).alias("slot", "rows")
     )
     by_row = by_slot.select("notebook_path", *copies, "slot", F.posexplode("rows").alias("seq", "row"))
-    label = F.get(labels([label for label, _ in slots]), F.col("slot"))
-    named = by_row.select("notebook_path", *copies, label.alias("label"), "row.status", "row.details", "seq")
+    return by_row, [label for label, _ in slots]
+
+
+def labelled(rows: DataFrame, slots: Sequence[tuple], run_id: str = "") -> DataFrame:
+    """Findings of rows ``(notebook_path, slot, seq, status, details)``."""
+    label = F.get(labels([slot[:4] for slot in slots]), F.col("slot"))
+    named = rows.select("notebook_path", *copies_of(rows), label.alias("label"), "status", "details", "seq")
     return identified(named.select("*", "label.*"), run_id)
 
 
+def validate(
+    notebooks: DataFrame,
+    catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
+    *,
+    extra: Sequence[Rule] = (),
+    run_id: str = "",
+) -> DataFrame:
+    """All findings the text of the notebooks decides.
+
+    Rules that need a model's answer are in ``verdicts``, both kinds together in
+    ``audit``.  Order within a notebook is domain, rule, match; ``seq`` counts the
+    rows of one rule.
+    """
+    rows, slots = evaluated(notebooks, catalog, extra)
+    return labelled(rows.select("*", "row.status", "row.details"), slots, run_id)
+
+
 ACCESS = (None, "notebook_access", fixed.ACCESS_LABEL, "error")
 
 

@@ -2,15 +2,17 @@
 
 The model call itself is the caller's function or service.  Around it:
 
-* ``request_links`` says which notebook needs which answer; it is narrow.
+* ``tagged`` says in one pass which notebook needs which answer, beside the findings
+  of the text rules; its rows are narrow.
 * ``build_requests`` holds every distinct question once, with its text, so copies
-  of a notebook are asked about once and texts are shuffled at most once.
+  of a notebook are asked about once.  Questions are compared by their ids; texts are
+  fetched afterwards, for those that have no answer yet.
 * responses are joined back on ``request_id``.  The text never takes part in a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +22,13 @@ from ..functions import fixed, shared, text
 from ..functions.rows import kept
 from .catalog import DEFAULT_CATALOG, Setting
 from .cells import code_cells
-from .engine import active_rules, copies_of, domain_problem, domain_reads, identified, parsed, prepared, with_problems
-from .rules.base import ROW, failed, passed
-from .rules.performance import partitions_or_clusters, uses_cache
+from .engine import FINDING, QUESTION, TITLES_ASKED, Question, active_rules, copies_of, evaluated, identified, prepared
+from .responses import SCHEMA as RESPONSE_SCHEMA
+from .responses import ResponseStore, answered_by
+from .rules.base import ROW, Rule, failed, passed
 from .rules.quality import title_of
-from .rules.security import secret_matches
 
-RESPONSE_SCHEMA = "request_id string, content string, error string"
+REQUEST_SCHEMA = "request_id string, system string, user string"
 
 
 # ---- reading an answer: MDL4, MDL5, MDL6 ------------------------------------------
@@ -89,35 +91,32 @@ def verdict_injection() -> Column:
 # ---- the rules ----------------------------------------------------------------------
 @dataclass(frozen=True)
 class VerdictRule:
-    """``undecided``: does this notebook's code need an answer; ``read``: answer to row."""
+    """``undecided``: what the text rule of the same key found leaves it open (None: there
+    is no such rule, all code needs an answer); ``read``: answer to row."""
 
     domain: str
     rule_key: str
     label: str
-    undecided: Callable[[dict], Column]
+    undecided: Callable[[dict[str, Column]], Column] | None
     prompt: str
     read: Callable[[], Column]
 
 
-def _always(_p: dict) -> Column:
-    return F.lit(True)
-
-
 VERDICT_RULES = [
-    VerdictRule(fixed.CODE_QUALITY, "notebook_idempotency", fixed.LABEL_IDEMPOTENCY, _always,
+    VerdictRule(fixed.CODE_QUALITY, "notebook_idempotency", fixed.LABEL_IDEMPOTENCY, None,
                 fixed.PROMPT_RESTARTABLE, verdict_contains_true),
     VerdictRule(fixed.PERFORMANCE, "partitioning_and_clustering", fixed.LABEL_PARTITIONING,
-                lambda _p: ~partitions_or_clusters(), fixed.PROMPT_PARTITIONING,
+                lambda m: ~m["found"], fixed.PROMPT_PARTITIONING,
                 lambda: verdict_pattern(fixed.PARTITIONING_BAD, fixed.PARTITIONING_BAD)),
-    VerdictRule(fixed.PERFORMANCE, "efficient_joins", fixed.LABEL_JOINS, _always,
+    VerdictRule(fixed.PERFORMANCE, "efficient_joins", fixed.LABEL_JOINS, None,
                 fixed.PROMPT_JOINS, verdict_contains_true),
     VerdictRule(fixed.PERFORMANCE, "cache_usage", fixed.LABEL_CACHE,
-                lambda _p: ~uses_cache(), fixed.PROMPT_CACHE,
+                lambda m: ~m["found"], fixed.PROMPT_CACHE,
                 lambda: verdict_pattern(fixed.CACHE_BAD, fixed.CACHE_BAD)),
     VerdictRule(fixed.SECURITY, "no_hard_coded_secrets", fixed.LABEL_SECRETS,
-                lambda p: F.size(secret_matches(p)) == 0, fixed.PROMPT_SECRETS,
+                lambda m: F.size(m["secrets"]) == 0, fixed.PROMPT_SECRETS,
                 lambda: verdict_pattern(fixed.SECRET_UNCLEAR, fixed.SECRET_ERROR)),
-    VerdictRule(fixed.SECURITY, "sql_injection_risks", fixed.LABEL_INJECTION, _always,
+    VerdictRule(fixed.SECURITY, "sql_injection_risks", fixed.LABEL_INJECTION, None,
                 fixed.PROMPT_INJECTION, verdict_injection),
 ]
 # A prompt in the catalog replaces the stock one for these.
@@ -140,51 +139,148 @@ def request_id(system: Column, user_hash: Column) -> Column:
     return F.sha2(F.concat(system, F.lit("\n"), user_hash), 256)
 
 
-def _undecided(notebooks: DataFrame, catalog: Sequence[Setting]) -> tuple[DataFrame, list[tuple[VerdictRule, Setting]]]:
-    """Notebooks with one flag per switched-on rule that needs an answer."""
+def _asking(catalog: Sequence[Setting]) -> list[tuple[VerdictRule, Setting]]:
+    """Switched-on rules that a model decides."""
     listed = _settings(catalog)
-    rules = [(rule, listed[rule.rule_key]) for rule in VERDICT_RULES if rule.rule_key in listed]
-    reads = domain_reads(catalog, active_rules(catalog))
-    base = prepared(with_problems(parsed(notebooks), reads))
-    flags = {
-        f"ask_{rule.rule_key}": F.col("readable") & domain_problem(reads[rule.domain]).isNull() & rule.undecided(setting.parameters)
-        for rule, setting in rules
-    }
-    return base.withColumns({"code_hash": F.sha2("code", 256), **flags}), rules
+    return [(rule, listed[rule.rule_key]) for rule in VERDICT_RULES if rule.rule_key in listed]
+
+
+def code_questions(catalog: Sequence[Setting]) -> list[Question]:
+    """One slot per rule: at most one question, about the notebook's code."""
+    active = {a.rule.rule_key: a for a in active_rules(catalog)}
+
+    def slot(rule: VerdictRule, setting: Setting) -> Question:
+        def rows(found: dict[str, Column]) -> Column:
+            question = request_id(F.lit(_prompt(rule, setting)), F.col("code_hash"))
+            asked = F.array(_asked(question))
+            return asked if rule.undecided is None else F.when(rule.undecided(found), asked)
+
+        label = (rule.domain, rule.rule_key, rule.label, setting.severity, QUESTION)
+        return Question(rule.domain, label, rows, active[rule.rule_key] if rule.undecided else None)
+
+    return [slot(rule, setting) for rule, setting in _asking(catalog)]
+
+
+def title_questions(catalog: Sequence[Setting]) -> list[Question]:
+    """One slot: a question per batch of titles."""
+    setting = _settings(catalog).get(TITLES_KEY)
+    if setting is None:
+        return []
+
+    def rows(found: dict[str, Column]) -> Column:
+        return F.transform(
+            found["batches"],
+            lambda b: _asked(request_id(title_prompt(b["titles"]), F.sha2(F.lit(""), 256)), b["batch"], b["titles"]),
+        )
+
+    label = (fixed.CODE_QUALITY, TITLES_KEY, fixed.LABEL_TITLE_VERDICT, setting.severity, TITLES_ASKED)
+    return [Question(fixed.CODE_QUALITY, label, rows, from_cells={"batches": title_batches(F.col("cells"))})]
+
 
+def _asked(question: Column, batch: Column | None = None, titles: Column | None = None) -> Column:
+    nothing = F.lit(None)
+    return F.struct(
+        nothing.cast("string").alias("status"),
+        nothing.cast("string").alias("details"),
+        question.alias("request_id"),
+        (nothing if batch is None else batch).cast("int").alias("batch"),
+        (nothing if titles is None else titles).cast("array<string>").alias("titles"),
+    )
 
-def _questions(rules: Sequence[tuple[VerdictRule, Setting]]) -> Column:
-    """Rows (rule_key, system) of the flags that are set."""
-    asked = [
-        F.when(F.col(f"ask_{rule.rule_key}"), F.struct(F.lit(rule.rule_key).alias("rule_key"), F.lit(_prompt(rule, setting)).alias("system")))
-        for rule, setting in rules
-    ]
-    return F.array_compact(F.array(*asked))
+
+# ---- one pass: findings, questions and title batches ----------------------------------
+def tagged(
+    notebooks: DataFrame,
+    catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG),
+    *,
+    extra: Sequence[Rule] = (),
+    text_rules: bool = True,
+    titles: bool = True,
+    code: bool = True,
+) -> tuple[DataFrame, list[tuple]]:
+    """``(notebook_path, slot, seq, status, details, request_id, batch, titles, tag)`` and the slots.
+
+    One parse and one search of every notebook give findings (``tag`` finding), questions
+    about its code (question) and about its titles (titles).  Rows are narrow: no text.
+    """
+    questions = (code_questions(catalog) if code else []) + (title_questions(catalog) if titles else [])
+    rows, slots = evaluated(notebooks, catalog, extra, text_rules=text_rules, questions=questions)
+    if not questions:
+        nothing = {"request_id": "string", "batch": "int", "titles": "array<string>"}
+        flat = rows.select("*", "row.status", "row.details", *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()])
+    else:
+        flat = rows.select("*", "row.*")
+    tags = F.array(*[F.lit(slot[4] if len(slot) > 4 else FINDING) for slot in slots])
+    return flat.drop("row").withColumn("tag", F.get(tags, F.col("slot"))), slots
+
+
+def question_links(rows: DataFrame, slots: Sequence[tuple]) -> DataFrame:
+    """``(path, rule_key, request_id)`` of tagged rows."""
+    keys = F.array(*[F.lit(slot[1]) for slot in slots])
+    asked = rows.filter(F.col("tag") == QUESTION)
+    return asked.select(F.col("notebook_path").alias("path"), *copies_of(rows), F.get(keys, F.col("slot")).alias("rule_key"), "request_id")
+
+
+def batch_links(rows: DataFrame) -> DataFrame:
+    """``(path, batch, titles, system, request_id)`` of tagged rows."""
+    asked = rows.filter(F.col("tag") == TITLES_ASKED)
+    return asked.select(
+        F.col("notebook_path").alias("path"), *copies_of(rows), "batch", "titles", title_prompt(F.col("titles")).alias("system"), "request_id"
+    )
 
 
 # ---- MDL1 ---------------------------------------------------------------------------
 def request_links(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
     """``(path, rule_key, request_id)`` for every answer a notebook's code needs."""
-    flagged, rules = _undecided(notebooks, catalog)
-    copies = copies_of(flagged)
-    asked = flagged.select("path", *copies, "code_hash", F.explode(_questions(rules)).alias("q"))
-    question = request_id(F.col("q.system"), F.col("code_hash"))
-    return asked.select("path", *copies, F.col("q.rule_key").alias("rule_key"), question.alias("request_id"))
+    return question_links(*tagged(notebooks, catalog, text_rules=False, titles=False))
+
+
+def distinct_questions(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(request_id, path, rule_key, rows)``: every distinct question once, with the
+    first notebook that asks it and how many rows of the corpus have that path.
+
+    Ids and paths only; what ``known`` (``request_id``) holds is left out.
+    """
+    asked = links.select("request_id", "path", "rule_key")
+    if known is not None:
+        asked = asked.join(known.select("request_id"), "request_id", "left_anti")
+    by_path = asked.groupBy("request_id", "path", "rule_key").agg(F.count(F.lit(1)).alias("rows"))
+    first = by_path.groupBy("request_id").agg(F.min(F.struct("path", "rule_key", "rows")).alias("first"))
+    return first.select("request_id", "first.*")
 
 
-def build_requests(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
+def with_texts(asked: DataFrame, notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
+    """``(request_id, system, user)`` of distinct questions: their notebooks are looked up.
+
+    Only those notebooks are unpacked.  A short list is broadcast and no text moves; a
+    long one is the side that a hash join builds, so texts are never sorted.
+    """
+    asked = shared.stored(asked, "asked")
+    wanted = asked.groupBy("path").agg(F.collect_set(F.struct("request_id", "rule_key", "rows")).alias("wanted"))
+    chosen = notebooks.drop("copies").join(wanted.hint("shuffle_hash"), "path")
+    coded = prepared(chosen).withColumn("code_hash", F.sha2("code", 256))
+    prompts = F.create_map(*[F.lit(x) for rule, setting in _asking(catalog) for x in (rule.rule_key, _prompt(rule, setting))])
+    each = coded.select("code", "code_hash", F.explode("wanted").alias("w")).withColumn("system", F.element_at(prompts, F.col("w.rule_key")))
+    # a path may stand for other code as well, where the corpus holds it more than once
+    asks = request_id(F.col("system"), F.col("code_hash")) == F.col("w.request_id")
+    found = kept(each, asks, F.col("w.request_id").alias("request_id"), F.col("system"), F.col("code").alias("user"), F.col("w.rows").alias("rows"))
+    if asked.filter(F.col("rows") > 1).isEmpty():
+        return found.drop("rows")
+    once = found.filter(F.col("rows") == 1).drop("rows")
+    return once.unionByName(found.filter(F.col("rows") > 1).drop("rows").distinct())
+
+
+def build_requests(
+    notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), known: DataFrame | None = None
+) -> DataFrame:
     """Every distinct question once: ``(request_id, system, user)``.
 
-    Equal code is brought together by its hash (copies collapse before the
-    shuffle), and only then multiplied by the prompts, so text moves once.
+    Questions are told apart by their ids first, in narrow rows; ``known``: answers that
+    there are already.  Then the text of one notebook per question is fetched.
     """
-    flagged, rules = _undecided(notebooks, catalog)
-    flags = [f"ask_{rule.rule_key}" for rule, _ in rules]
-    distinct_code = flagged.groupBy("code_hash").agg(F.first("code").alias("user"), *[F.bool_or(flag).alias(flag) for flag in flags])
-    # Two rules with the same prompt share a question.
-    prompts = F.array_distinct(F.transform(_questions(rules), lambda q: q["system"]))
-    asked = distinct_code.select("code_hash", "user", F.explode(prompts).alias("system"))
-    return asked.select(request_id(F.col("system"), F.col("code_hash")).alias("request_id"), "system", "user")
+    if not _asking(catalog):
+        return notebooks.sparkSession.createDataFrame([], REQUEST_SCHEMA)
+    return with_texts(distinct_questions(request_links(notebooks, catalog), known), notebooks, catalog)
 
 
 # ---- MDL2 ---------------------------------------------------------------------------
@@ -208,20 +304,19 @@ def title_prompt(titles: Column) -> Column:
 
 def title_links(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
     """``(path, batch, titles, system, request_id)``; no shuffle."""
-    reads = domain_reads(catalog, active_rules(catalog))
-    asked_at_all = TITLES_KEY in _settings(catalog)
-    base = with_problems(parsed(notebooks), reads)
-    problem = domain_problem(reads[fixed.CODE_QUALITY]) if asked_at_all else F.lit("not asked")
-    batches = F.when(F.col("readable") & problem.isNull(), title_batches(F.col("cells")))
-    rows = base.select("path", *copies_of(base), F.inline(batches))
-    asked = rows.withColumn("system", title_prompt(F.col("titles")))
-    return asked.withColumn("request_id", request_id(F.col("system"), F.sha2(F.lit(""), 256)))
+    return batch_links(tagged(notebooks, catalog, text_rules=False, code=False)[0])
 
 
-def batch_title_prompts(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
+def title_requests(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The distinct title questions, as requests with an empty user text."""
-    links = title_links(notebooks, catalog)
-    return links.select("request_id", "system", F.lit("").alias("user")).dropDuplicates(["request_id"])
+    asked = links.select("request_id", "titles")
+    if known is not None:
+        asked = asked.join(known.select("request_id"), "request_id", "left_anti")
+    return asked.distinct().select("request_id", title_prompt(F.col("titles")).alias("system"), F.lit("").alias("user"))
+
+
+def batch_title_prompts(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
+    return title_requests(title_links(notebooks, catalog))
 
 
 # ---- MDL3 ---------------------------------------------------------------------------
@@ -278,32 +373,20 @@ def title_verdicts(links: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 # ---- MDL7 ---------------------------------------------------------------------------
-def score_requests(requests: DataFrame, answer: Callable[[str, str], str], parallelism: int) -> DataFrame:
+def score_requests(
+    requests: DataFrame, answer: Callable[[str, str], str], parallelism: int, store: ResponseStore | None = None
+) -> DataFrame:
     """Apply ``answer(system, user)`` to every request, ``parallelism`` at a time.
 
-    An exception becomes the row's ``error``.  The answers are written once to
-    the shared folder, so reading them again never asks again.
+    An exception becomes the row's ``error``.  With a ``store``, only questions that it
+    can't answer are asked, and all its answers are returned.  Without one, answers are
+    written once to the shared folder, so reading them again never asks again.
     """
-
-    def answered(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        def ask(system: str, user: str) -> tuple[str | None, str | None]:
-            try:
-                return answer(system, user), None
-            except Exception as e:  # noqa: BLE001 - any failure is data here
-                return None, str(e)
-
-        for batch in batches:
-            pairs = [ask(s, u) for s, u in zip(batch["system"], batch["user"])]
-            yield pd.DataFrame(
-                {"request_id": batch["request_id"], "content": [c for c, _ in pairs], "error": [e for _, e in pairs]},
-                dtype=object,
-            )
-
+    if store is not None:
+        return store.score(requests, answer, parallelism)
     # Spread by the question's hash: repeatable, and even whatever the texts are.
     spread = requests.repartition(parallelism, "request_id")
-    return shared.stored(spread.mapInPandas(answered, RESPONSE_SCHEMA), "responses")
+    return shared.stored(spread.mapInPandas(answered_by(answer), RESPONSE_SCHEMA), "responses")
 
 
 # ---- MDL8 ---------------------------------------------------------------------------
@@ -313,8 +396,7 @@ def join_verdicts(links: DataFrame, responses: DataFrame, catalog: Sequence[Sett
     Both sides are narrow.  If copies make one question very frequent, it is the
     left side that is skewed, which adaptive execution splits.
     """
-    listed = _settings(catalog)
-    rules = [(rule, listed[rule.rule_key]) for rule in VERDICT_RULES if rule.rule_key in listed]
+    rules = _asking(catalog)
     joined = links.join(responses, "request_id", "left")
 
     def pick(value: Callable[[VerdictRule, Setting], Column]) -> Column:
@@ -353,19 +435,41 @@ def title_findings(links: DataFrame, responses: DataFrame, catalog: Sequence[Set
     return identified(rows, run_id)
 
 
+def answered_findings(
+    rows: DataFrame, slots: Sequence[tuple], responses: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), run_id: str = ""
+) -> DataFrame:
+    """Findings of the questions among tagged rows, given the responses."""
+    by_code = join_verdicts(question_links(rows, slots), responses, catalog, run_id)
+    return by_code.unionByName(title_findings(batch_links(rows), responses, catalog, run_id))
+
+
 def verdict_findings(
     notebooks: DataFrame, responses: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), run_id: str = ""
 ) -> DataFrame:
-    """All findings of rules a model decides, given the stored responses."""
-    books = parsed(notebooks)
-    by_code = join_verdicts(request_links(books, catalog), responses, catalog, run_id)
-    by_title = title_findings(title_links(books, catalog), responses, catalog, run_id)
-    return by_code.unionByName(by_title)
+    """All findings of rules a model decides, given the stored responses.
 
+    Notebooks are unpacked once; questions are stored and read by their kind.
+    """
+    rows, slots = tagged(notebooks, catalog, text_rules=False)
+    return answered_findings(shared.stored(rows, "questions", by="tag"), slots, responses, catalog, run_id)
 
-def all_requests(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG)) -> DataFrame:
-    books = parsed(notebooks)
-    return build_requests(books, catalog).unionByName(batch_title_prompts(books, catalog))
+
+def all_requests(
+    notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), known: DataFrame | None = None
+) -> DataFrame:
+    """Every distinct question about code and titles, but for those ``known``."""
+    rows, slots = tagged(notebooks, catalog, text_rules=False)
+    return requests_of(shared.stored(rows, "questions", by="tag"), slots, notebooks, catalog, known)
+
+
+def requests_of(
+    rows: DataFrame, slots: Sequence[tuple], notebooks: DataFrame, catalog: Sequence[Setting], known: DataFrame | None = None
+) -> DataFrame:
+    """The distinct questions among tagged rows with their texts, but for those ``known``."""
+    by_title = title_requests(batch_links(rows), known)
+    if not _asking(catalog):
+        return by_title
+    return with_texts(distinct_questions(question_links(rows, slots), known), notebooks, catalog).unionByName(by_title)
 
 
 # ---- MDL9, MDL10 ----------------------------------------------------------------------

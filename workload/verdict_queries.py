@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellaudit.functions import fixed, text
-from cellaudit.operators import engine, verdicts
+from cellaudit.functions import fixed, shared, text
+from cellaudit.operators import audit, engine, verdicts
 from cellaudit.operators.catalog import DEFAULT_CATALOG
+from cellaudit.operators.responses import ResponseStore
 
 from . import oracle as o
-from .fixture import corpus, documents, table
+from .fixture import corpus, documents, notebooks_from, table
 from .registry import query
 
 # The answer to a question is chosen by the first hex digit of its id.
@@ -364,3 +365,85 @@ def with_verdicts(spark, sf_dir):
     asked = verdicts.join_verdicts(verdicts.request_links(books), responses(verdicts.build_requests(books)))
     both = decided.unionByName(asked)
     return both.select("rule", "status", "details", "notebook_path", "rule_key", "seq")
+
+
+# ---- all 21 rules in one pass ----------------------------------------------------------
+# Every notebook of the fixture has at most one titled code cell: one batch of one title.
+FIRST_LINE = (
+    f"list_filter(list_transform(regexp_split_to_array(content, '{LINE_ENDS}'), lambda x: trim(x, {o.lit(text.BLANKS)})), lambda x: x <> '')[1]"
+)
+TITLE_LINE = f"""title_asked AS (SELECT path, title, sha256({o.lit(fixed.PROMPT_TITLES)} || '1. ' || title || chr(10) || chr(10) || sha256('')) AS request_id
+  FROM nb WHERE readable AND title IS NOT NULL AND title_problem IS NULL AND head_problem IS NULL AND code_problem IS NULL),
+title_answers AS ({sql_answers('title_asked')}),
+title_lines AS (SELECT *, {FIRST_LINE} AS line FROM title_answers),
+title_words AS (SELECT *, instr(line, ' ') AS s, substr(line, instr(line, ' ') + 1) AS rest FROM title_lines),
+title_read AS (SELECT path, title, error, content, line,
+    CASE WHEN error IS NOT NULL THEN 'Failed' WHEN content IS NULL THEN 'Pending'
+      WHEN s > 0 AND contains(lower(CASE WHEN instr(rest, ' ') > 0 THEN substr(rest, 1, instr(rest, ' ') - 1) ELSE rest END), 'true') THEN 'Passed' ELSE 'Failed' END AS status,
+    CASE WHEN error IS NOT NULL THEN {ERROR_TEXT} WHEN content IS NULL THEN {o.lit(fixed.UNANSWERED)} WHEN s = 0 THEN {o.lit(fixed.VERDICT_PARSE_ERROR)}
+      WHEN instr(rest, ' ') > 0 THEN substr(rest, instr(rest, ' ') + 1) ELSE '' END AS explanation
+  FROM title_words WHERE content IS NULL OR line IS NOT NULL),
+title_rows AS (SELECT path, {TITLE_LABEL} AS rule, status, {o.lit(fixed.TITLE_VERDICT[0])} || title || {o.lit(fixed.TITLE_VERDICT[1])} || explanation AS details,
+    0::INT AS seq, {o.lit(fixed.CODE_QUALITY)} AS domain, 'descriptive_cell_titles' AS rule_key, 'warning' AS severity FROM title_read)"""
+ALL_ROWS = f"""everything AS (SELECT path, rule, status, details, seq, domain, rule_key, severity FROM found
+  UNION ALL SELECT path, rule, status, details, seq, domain, rule_key, severity FROM rows
+  UNION ALL SELECT path, rule, status, details, seq, domain, rule_key, severity FROM title_rows)"""
+WHOLE_AUDIT = f"{ANSWERED}, rows AS ({VERDICT_ROWS}), found AS {o.findings_sql()}, {TITLE_LINE}, {ALL_ROWS}"
+
+
+def all_responses(asked: DataFrame) -> DataFrame:
+    """Stored answers to all questions of an audit, titles included."""
+    return responses(asked.select("request_id"))
+
+
+@query("fnd2_all_rules_in_one_pass", f"{WHOLE_AUDIT} SELECT {SHOWN}, {o.audit_id()} AS audit_id FROM everything")
+def all_rules(spark, sf_dir):
+    """Text rules, code verdicts and title verdicts: the corpus is read and searched once."""
+    whole = audit.open_audit(corpus(spark, sf_dir))
+    asked = whole.links().select("request_id").unionByName(whole.title_links().select("request_id")).distinct()
+    return whole.complete(all_responses(asked)).select("rule", "status", "details", "notebook_path", "domain", "rule_key", "severity", "seq", "audit_id")
+
+
+@query(
+    "mdl1_all_requests",
+    f"""{o.WITH}, {LINKS}, {TITLE_LINE} SELECT DISTINCT request_id, sha256(system) AS system_sha, sha256(code) AS user_sha FROM links
+    UNION ALL SELECT DISTINCT request_id, sha256({o.lit(fixed.PROMPT_TITLES)} || '1. ' || title || chr(10)), sha256('') FROM title_asked""",
+)
+def mdl1_all(spark, sf_dir):
+    """Every distinct question with its text, looked up after questions were told apart."""
+    asked = verdicts.all_requests(corpus(spark, sf_dir))
+    return asked.select("request_id", F.sha2("system", 256).alias("system_sha"), F.sha2("user", 256).alias("user_sha"))
+
+
+# ---- MDL7: a second night --------------------------------------------------------------
+def digest_model(system: str, user: str) -> str:
+    """Stands in for a model: its answer is made of the question's hash, one in sixteen fails."""
+    import hashlib
+
+    hashed = hashlib.sha256(user.encode()).hexdigest()
+    question = hashlib.sha256(f"{system}\n{hashed}".encode()).hexdigest()
+    if question[0] == "0":
+        raise ValueError(f"refused {question[:6]}")
+    return f"True ({question[:6]})"
+
+
+@query(
+    "mdl7_second_run_asks_only_new",
+    f"""{o.WITH}, {LINKS}, {TITLE_LINE},
+    asked AS (SELECT path, request_id FROM links UNION ALL SELECT path, request_id FROM title_asked),
+    firsts AS (SELECT DISTINCT request_id FROM asked JOIN nb USING (path) JOIN documents ON doc_id = d WHERE lang IS DISTINCT FROM 'fr'),
+    everything AS (SELECT DISTINCT request_id FROM asked)
+    SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM firsts) THEN 'first' ELSE 'second' END AS run,
+      CASE WHEN request_id[1] <> '0' THEN 'True (' || request_id[:6] || ')' END AS content,
+      CASE WHEN request_id[1] = '0' THEN 'refused ' || request_id[:6] END AS error FROM everything""",
+)
+def mdl7_second(spark, sf_dir):
+    """Two nights with one store; in the first, French documents were not there yet."""
+    now = documents(spark, sf_dir)
+    before = now.filter(~F.col("lang").eqNullSafe("fr"))
+    store = ResponseStore(spark, shared.new_location(spark, "store"))
+    audit.open_audit(notebooks_from(before), run_id="first").ask(store, digest_model, 8, per_task=64)
+    audit.open_audit(notebooks_from(now), run_id="second").ask(store, digest_model, 8, per_task=64)
+    # every row that was ever written: a question asked twice would be here twice
+    asked_in = store.slices().select("slice", "run")
+    return store.rows().join(asked_in, "slice").select("request_id", "run", "content", "error")
