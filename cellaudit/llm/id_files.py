@@ -19,10 +19,8 @@ share of the document's checksum.  Shares of one document are put together by ex
 or, so a document that spans many blocks is summed before anything is shuffled.  Starts
 are the ids of the parts before, from the narrow columns alone.
 
-Ids are those of the tokenizers library (tests hold them against it).  Words are looked up
-among those that the process remembers, within a bound of bytes; new ones are encoded
-together.  Where white space follows white space, words are cut only where that can't
-change their ids.
+Ids are those of the tokenizers library: ``packing.Encoder`` computes them some three times
+faster, and tests hold them against the library.
 
 Defined results: null and empty texts are the end id alone; texts of any length are coded
 whole; rows with equal doc_id are each a document, in order of their text's hash; rows
@@ -32,14 +30,12 @@ at, whatever their names.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,81 +46,12 @@ from .tables import workspace
 
 END = 0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Bytes of words and ids that a process remembers at most, and the longest word among them.
-REMEMBERED, LONGEST = 48 << 20, 64
 #: Blocks that are coded side by side.
 GROUP = range_coder.LANES
 
 PIECE = "struct<doc_id:long,row:long,offset:long,length:long,total:long>"
 SCHEMA = f"part int, block long, start long, n_ids long, docs array<{PIECE}>, data binary"
 
-_RUN = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_INNER = re.compile(r"\S(.*\S)?", re.S)
-
-
-class WordIds(dict):
-    """Ids, as bytes, of words with a space before them; missing ones are encoded."""
-
-    def __init__(self, vocabulary: str) -> None:
-        super().__init__()
-        self.encoder = packing.encoder(vocabulary)
-        self._bytes = 0
-
-    def __missing__(self, word: str) -> bytes:
-        return self.encoder.encode(" " + word)
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        marks = self.encoder._marks
-        words = [None if any(m in t for m in marks) else _CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        self._learn({w for split in words if split for w in split[1:]}.difference(self))
-        encode, known = self.encoder.encode, self.__getitem__
-        return [encode(t) if w is None else encode(w[0]) + b"".join(map(known, w[1:])) for t, w in zip(texts, words, strict=True)]
-
-    def _learn(self, new: Iterable[str]) -> None:
-        """Encodes new words as one text, where each begins and ends without white space."""
-        new = [w for w in new if len(w) <= LONGEST and (m := _INNER.match(w)) and m.end() == len(w) and not _RUN.search(w)]
-        if not new:
-            return
-        ids = np.frombuffer(self.encoder.encode(" " + " ".join(new)), "<u4")
-        ends = np.cumsum(_widths(self.encoder)[ids])
-        words = np.cumsum([len(w.encode()) + 1 for w in new])
-        upto = np.searchsorted(ends, words) + 1
-        if (ends[upto - 1] != words).any():  # an id across words, which no known vocabulary has
-            return
-        size = int(4 * len(ids) + words[-1] + 200 * len(new))
-        if self._bytes + size > REMEMBERED:
-            self.clear()
-            self._bytes = 0
-        self._bytes += size
-        data, start = ids.tobytes(), 0
-        for word, end in zip(new, (4 * upto).tolist(), strict=True):
-            self[word] = data[start:end]
-            start = end
-
-
-_remembered: dict[str, WordIds] = {}
-_byte_widths: dict[int, np.ndarray] = {}
-
-
-def _widths(encoder: packing.Encoder) -> np.ndarray:
-    """How many bytes each id stands for."""
-    if id(encoder) not in _byte_widths:
-        ranks = encoder._any._mergeable_ranks
-        widths = np.zeros(max(ranks.values()) + 1, np.int64)
-        widths[list(ranks.values())] = [len(token) for token in ranks]
-        _byte_widths[id(encoder)] = widths
-    return _byte_widths[id(encoder)]
-
-
-def word_ids(vocabulary: str) -> WordIds:
-    """The process's words of a vocabulary file that every machine has."""
-    if vocabulary not in _remembered:
-        _remembered[vocabulary] = WordIds(vocabulary)
-    return _remembered[vocabulary]
-
-
 # ---- writing ------------------------------------------------------------------------
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in ranges of doc_id, sorted within each; rows of one id may span ranges."""
@@ -139,31 +66,16 @@ def coded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Data
     """The rows of the files, as in the module's text."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = word_ids(vocabulary).texts, np.array([end], "<u4").tobytes()
+        encode, last = packing.encoder(vocabulary).encode, np.array([end], "<u4").tobytes()
         group = _Group(TaskContext.get().partitionId())
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for start, stop in _slices(batch.column(1)):
-                for key, ids in zip(keys[start:stop], encode(batch.column(1)[start:stop].to_pylist()), strict=True):
-                    yield from group.add(key, ids + last)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from group.add(key, encode(text.as_py()) + last)
         yield from group.flush(range_coder.BLOCK - 1)
 
     return in_order(docs).mapInArrow(code, SCHEMA)
 
 
-def _slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most so many bytes of text, or one row that is longer."""
-    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
-    start = size = 0
-    for row, n in enumerate(sizes.tolist()):
-        if row > start and size + n > most:
-            yield start, row
-            start, size = row, 0
-        size += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 class _Group:
     """Ids of a part that are not coded yet, with the documents that they are of."""
 

@@ -41,7 +41,7 @@ LEAST = float(1 << 34)
 _WINDOW, _DIGIT = float(1 << 50), 65536.0
 #: What a guess of confidence q (0 to 7) becomes after a miss (q) or a hit (q + 8); a missed one of 0 is replaced.
 _NEXT = np.array([0, -1, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int16).view(np.uint16)
-_HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("listed", "<u2"), ("ids", "<u4"), ("kinds", "<u4"), ("digits", "<u4"), ("crc", "<u4")])
+_HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("listed", "<u2"), ("ids", "<u4"), ("kinds", "<u4"), ("digits", "<u4"), ("crc", "<u4"), ("body", "<u4")])
 
 
 class BlockError(ValueError):
@@ -239,8 +239,15 @@ def _framed(ids: np.ndarray, kinds: np.ndarray, digits: np.ndarray) -> bytes:
         spelt = bytes_[used].tobytes()
     if len(spelt) > 0xFFFF:
         raise ValueError("a block may hold at most some ten thousand different ids")
-    head = np.array([(MAGIC, VERSION, len(spelt), len(ids), len(kinds), len(digits), checksum(ids))], _HEAD)
-    return head.tobytes() + spelt + digits.tobytes()
+    body = spelt + digits.tobytes()
+    head = np.array([(MAGIC, VERSION, len(spelt), len(ids), len(kinds), len(digits), checksum(ids), 0)], _HEAD)
+    head["body"] = _whole(head[0], body)
+    return head.tobytes() + body
+
+
+def _whole(head: np.void, body: bytes) -> int:
+    """Checksum of all bytes of a block but this number, so that broken ones are never decoded."""
+    return zlib.crc32(body, zlib.crc32(head.tobytes()[:-4]))
 
 
 def _unframed(data: bytes) -> tuple[np.void, np.ndarray, np.ndarray]:
@@ -250,6 +257,8 @@ def _unframed(data: bytes) -> tuple[np.void, np.ndarray, np.ndarray]:
     listed, count = int(head["listed"]), int(head["digits"])
     if head["magic"] != MAGIC or head["version"] != VERSION or len(data) != _HEAD.itemsize + listed + 2 * count:
         raise BlockError("not a block of this format")
+    if head["body"] != _whole(head, data[_HEAD.itemsize :]):
+        raise BlockError("bytes don't fit the checksum")
     spelt = np.frombuffer(data, np.uint8, listed, _HEAD.itemsize).astype(np.int64)
     ends = np.flatnonzero(spelt < 128)
     first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends

@@ -134,7 +134,7 @@ def minres(product: Callable[[np.ndarray], np.ndarray], right: np.ndarray, steps
     """
     beta = np.linalg.norm(right, axis=0)
     first = np.where(beta > 0, beta, 1.0)
-    x, w, w2, r1, r2 = (np.zeros_like(right) for _ in range(5))
+    x, w, w2 = (np.zeros_like(right) for _ in range(3))
     r1, r2, y = right.copy(), right.copy(), right.copy()
     old_beta, dbar, epsilon, phibar = np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(beta), beta.copy()
     cs, sn, going = -np.ones_like(beta), np.zeros_like(beta), beta > 0
@@ -160,6 +160,8 @@ def minres(product: Callable[[np.ndarray], np.ndarray], right: np.ndarray, steps
         going = solvable & (beta > 1e-14 * first) & (np.abs(phibar) > aim * first)
         if not going.any():
             break
+        for columns in (y, r1, r2, w, w2):
+            columns[:, ~going] = 0.0
     return x
 
 
