@@ -57,9 +57,11 @@ _PREFIX = r"(?:[bB][rR]?|[rR][bBfF]?|[fF][rR]?|[uU])"
 _BEFORE = "|".join(rf"(?<=\b{w})" for w in ("return", "case", "typeof", "yield", "import", "from", "print", "echo", "else", "and", "or", "not", "in", "of", "if", "is"))
 #: Not behind a backslash that stands alone.
 _EVEN = r"(?:(?<!\\)|(?<=\\\\))"
+#: A quote behind a backslash opens nothing.  So a line has one quote of a kind at most from
+#: which no literal is found: every later one stands behind a backslash, or it would end it.
 _LEX = re.compile(
-    rf"""(?P<string>(?:(?<!\w){_PREFIX})?(?:(?<!\\)\"{{3}}(?s:.*?){_EVEN}\"{{3}}|"(?:[^"\\\n]|\\.)*")
-        |(?:(?<!\w)(?:{_PREFIX})?|{_BEFORE})(?:(?<!\\)'{{3}}(?s:.*?){_EVEN}'{{3}}|'(?:[^'\\\n]|\\.)*')|`[^`\\\n]*`)
+    rf"""(?P<string>(?:(?<!\w){_PREFIX})?(?:(?<!\\)\"{{3}}(?s:.*?){_EVEN}\"{{3}}|(?<!\\)"(?:[^"\\\n]|\\.)*")
+        |(?:(?<!\w)(?:{_PREFIX})?|{_BEFORE})(?:(?<!\\)'{{3}}(?s:.*?){_EVEN}'{{3}}|(?<!\\)'(?:[^'\\\n]|\\.)*')|`[^`\\\n]*`)
     |(?P<op>:=|=>|[=!<>]=|[=:+])
     |(?P<word>[^\W\d][\w.\-/@$]*)
     |(?P<bare>[^\s"'`=:+,;(){{}}\[\]]+)
@@ -171,17 +173,20 @@ def literals(text: str) -> list[tuple[int, int]]:
     for name, spans, refs in pairs(text):
         own.setdefault(name, []).extend(spans)
         uses.setdefault(name, []).extend(refs)
+    # constants reach names over any number of steps; the most sensitive names come first,
+    # so what a name reaches is looked at once
     scores: dict[tuple[int, int], float] = {}
-    for name in own:
-        if not (weight := sensitivity(name)):
-            continue
-        seen, left = {name}, [name]
-        while left:  # constants reach the name over any number of steps
+    weights = {name: weight for name in own if (weight := sensitivity(name))}
+    seen: set[str] = set()
+    for name in sorted(weights, key=weights.__getitem__, reverse=True):
+        left = [] if name in seen else [name]
+        seen.add(name)
+        while left:
             at = left.pop()
-            for span in own.get(at, ()):
-                scores[span] = max(scores.get(span, 0.0), weight)
-            new = [x for x in uses.get(at, ()) if x not in seen and x in own]
-            seen.update(new)
+            for span in own[at]:
+                scores[span] = max(scores.get(span, 0.0), weights[name])
+            new = {x for x in uses[at] if x not in seen and x in own}
+            seen |= new
             left += new
     return sorted(s for s, weight in scores.items() if weight * strength(text[s[0] : s[1]]) >= MIN_SCORE)
 

@@ -41,6 +41,7 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert len(found) == len(rows)
     good = {i: np.array(v, float) / np.max(np.abs(v)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)}
     good = {i: v / np.linalg.norm(v) for i, v in good.items()}
+    assert embedding_dedup.TILE < len(good) / 4  # some tiles
     pairs = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= 0.9]
     group = brute.groups(pairs, [i for i, _ in rows])
     for i, _ in rows:
@@ -48,6 +49,59 @@ def test_vectors_against_brute_force(spark, monkeypatch):
         assert (found[i].n_links, found[i].component_id, found[i].kept) == (links, group[i], group[i] == i)
 
 
+def test_cosines_of_exactly_the_threshold(spark):
+    """90 / (10 * 10): the turned vectors would miss half of these pairs."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(150):
+        places, signs, scale = rng.permutation(12)[:4], rng.choice([-1.0, 1.0], 4), float(rng.integers(1, 1000))
+        a, b = np.zeros(12), np.zeros(12)
+        a[places[0]], b[places] = 10 * signs[0], signs * [9, 3, 3, 1]
+        rows += [(2 * k, (a * scale).tolist()), (2 * k + 1, (b * scale).tolist())]
+    found = {r.vec_id: r for r in embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    exact = {i: [j for j, w in rows if j != i and 100 * np.dot(v, w) ** 2 >= 81 * np.dot(v, v) * np.dot(w, w) and np.dot(v, w) > 0] for i, v in rows}
+    assert all(exact.values()) and {i: r.n_links for i, r in found.items()} == {i: len(x) for i, x in exact.items()}
+    just_below = [(0, [10.0, 0.0, 0.0, 0.0]), (1, [9.0, 3.0, 3.0, 1.0 + 1e-13])]
+    assert {r.n_links for r in embedding_dedup.linked(spark.createDataFrame(just_below, "vec_id long, embedding array<double>")).collect()} == {0}
+
+
+def test_one_id_on_two_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (3, [0.01, 1.0, 0.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0]), (None, [0.0, 0.1, 1.0]), (None, None)]
+    given = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, digest int, VECTOR string")
+    found = sorted((tuple(r) for r in embedding_dedup.linked(given).collect()), key=str)
+    assert found == sorted([(1, 0, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, True), (None, 0, None, True)], key=str)
+
+
+def test_cells_hold_every_row_once():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 20)) * np.linspace(3, 0.1, 20)
+    for parts in (1, 2, 3, 8, 20):
+        cuts = embedding_dedup.splits(x, parts)
+        found = embedding_dedup.cells(x, cuts)
+        count = 2 ** int(np.ceil(np.log2(parts)))
+        assert len(cuts) == count - 1 and set(found) == set(range(count)) and np.bincount(found).max() <= 1000 / count + 2
+    assert len(embedding_dedup.cells(x[:0], embedding_dedup.splits(x[:0], 4))) == 0
+
+
+@pytest.mark.parametrize("few", [0.0, 0.02, 1.0])
+def test_pairs_left_are_those_of_all_products(monkeypatch, few):
+    """Whether blocks are looked at whole or pair by pair."""
+    monkeypatch.setattr(embedding_dedup, "FEW", few)
+    monkeypatch.setattr(embedding_dedup, "ROWS", 50)
+    monkeypatch.setattr(embedding_dedup, "OTHERS", 70)
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    for size in (2, 8, 9, 40):
+        x = np.repeat(rng.normal(size=(40, size)), 5, axis=0) + rng.normal(size=(200, size)) * 0.2
+        frame = pd.DataFrame({"vector": [v.tobytes() for v in x], "node": np.arange(200), "n": 1})
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        turn = embedding_dedup.rotation(unit)
+        tile = embedding_dedup.Tile(frame, turn)
+        found = {tuple(sorted((tile.node[i], tile.node[j]))) for u, v in embedding_dedup.links(tile, tile, True, 0.9) for i, j in zip(u, v, strict=True)}
+        assert found == {(i, j) for i in range(200) for j in range(i + 1, 200) if unit[i] @ unit[j] >= 0.9}
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.linked(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert [r.n_links for r in embedding_dedup.linked(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [0]

@@ -154,6 +154,46 @@ def test_lexer_is_linear():
         start = time.process_time()
         list(secret_scan.pairs("password = " + part * 30_000))
         assert time.process_time() - start < 5
+    for line in ('token = x ' + '\\"a\\":' * 30_000, "token = x " + "\\'a\\' " * 30_000, "token = x " + '\\\\\\"a' * 30_000):
+        start = time.process_time()
+        secret_scan.spans(line)
+        assert time.process_time() - start < 5
+
+
+def test_chains_of_constants_are_linear():
+    """Every name is sensitive and refers to the next; the last one holds the literal."""
+    n = 20_000
+    chain = "".join(f"token_{i} = token_{i + 1}\n" for i in range(n)) + f'token_{n} = "kX9$pLm2Qw7Zr"\n'
+    start = time.process_time()
+    found = secret_scan.literals(chain)
+    assert time.process_time() - start < 5 and [chain[a:b] for a, b in found][-1] == "kX9$pLm2Qw7Zr"
+    crossed = "".join(f"password_{i} = a_{i % 7}\na_{i % 7} = password_{(i * 31) % n}\n" for i in range(n))
+    start = time.process_time()
+    secret_scan.literals(crossed)
+    assert time.process_time() - start < 5
+
+
+def test_the_most_sensitive_name_counts():
+    """As by walking from every sensitive name apart."""
+    rng = random.Random(5)
+    names = ["password", "connection_string", "x", "y", "z", "pwd", "other", "token_a"]
+    for _ in range(500):
+        text = "".join(f"{rng.choice(names)} = {rng.choice([*names, chr(34) + rng.choice(['kX9$pLm2Qw7Zr', 'abcdefg1', 'hunter22', 'aaaaaa']) + chr(34)])}\n" for _ in range(rng.randrange(1, 12)))
+        own, uses = {}, {}
+        for name, spans, refs in secret_scan.pairs(text):
+            own.setdefault(name, []).extend(spans)
+            uses.setdefault(name, []).extend(refs)
+        best = {}
+        for name in own:
+            seen, left = {name}, [name]
+            while left:
+                at = left.pop()
+                for span in own.get(at, ()):
+                    best[span] = max(best.get(span, 0.0), secret_scan.sensitivity(name))
+                left += [x for x in uses.get(at, ()) if x in own and x not in seen]
+                seen.update(uses.get(at, ()))
+        expected = sorted(s for s, w in best.items() if w * secret_scan.strength(text[s[0] : s[1]]) >= secret_scan.MIN_SCORE)
+        assert secret_scan.literals(text) == expected
 
 
 def test_random_spans():
