@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import shared
+from ..functions import fixed, shared
+from ..sources.findings import masked
 from . import verdicts
 from .catalog import DEFAULT_CATALOG, Setting
 from .engine import FINDING, labelled
@@ -71,7 +72,11 @@ def open_audit(
     *,
     extra: Sequence[Rule] = (),
     run_id: str = "",
+    redact: bool = True,
 ) -> Audit:
-    """Evaluates the corpus once; the rows are stored by kind."""
+    """Evaluates the corpus once; the rows are stored by kind, found secrets masked."""
     rows, slots = verdicts.tagged(notebooks, catalog, extra=extra)
+    secrets = [k for k, slot in enumerate(slots) if slot[2] == fixed.LABEL_SECRETS]
+    if redact and secrets:
+        rows = rows.withColumn("details", masked(F.col("details"), F.col("slot").isin(secrets)))
     return Audit(notebooks, shared.stored(rows, "audit", by="tag"), tuple(slots), tuple(catalog), run_id)

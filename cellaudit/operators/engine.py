@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, shared, text
 from ..functions.rows import repeated
 from ..sources import notebooks as source
+from ..sources.findings import redact_secrets
 from . import summary
 from .catalog import DEFAULT_CATALOG, Setting
 from .cells import cell_text, first_n_cells, with_code
@@ -40,8 +41,14 @@ class Active:
 
 
 def active_rules(catalog: Iterable[Setting], extra: Sequence[Rule] = ()) -> list[Active]:
-    """Enabled rules in evaluation order.  A rule not listed in the catalog is off."""
-    listed = {row.rule_key: row for row in catalog if row.enabled}
+    """Enabled rules in evaluation order.  A built-in rule not listed in the catalog is off.
+
+    A rule of one's own (``extra``) is on with severity "warning" unless the catalog lists
+    its key: then the catalog says whether it is on, how severe it is and its parameters.
+    """
+    every = {row.rule_key: row for row in catalog}
+    own = {rule.rule_key for rule in extra}
+    listed = {key: row for key, row in every.items() if row.enabled and key not in own}
     active = [
         Active(rule, listed[rule.rule_key].severity, listed[rule.rule_key].parameters)
         for rule in BUILT_IN
@@ -50,7 +57,12 @@ def active_rules(catalog: Iterable[Setting], extra: Sequence[Rule] = ()) -> list
     for row in listed.values():
         if row.domain == fixed.CUSTOM:
             active.append(Active(custom.rule_from_setting(row.domain, row.rule_key, row.label), row.severity, row.parameters))
-    active += [Active(rule, "warning", {}) for rule in extra]
+    for rule in extra:
+        row = every.get(rule.rule_key)
+        if row is None:
+            active.append(Active(rule, "warning", {}))
+        elif row.enabled:
+            active.append(Active(rule, row.severity, row.parameters))
     return sorted(active, key=lambda a: DOMAIN_ORDER.index(a.rule.domain))
 
 
@@ -149,9 +161,9 @@ def domain_reads(catalog: Iterable[Setting], active: Sequence[Active]) -> dict[s
     reads: dict[str, dict[str, dict]] = {}
     for a in active:
         reads.setdefault(a.rule.domain, {}).setdefault(a.rule.reads, a.parameters)
-    built_in = {rule.rule_key for rule in BUILT_IN}
+    known = {rule.rule_key for rule in BUILT_IN} | {a.rule.rule_key for a in active}
     for row in catalog:
-        if row.enabled and row.rule_key not in built_in and row.domain != fixed.CUSTOM:
+        if row.enabled and row.rule_key not in known and row.domain != fixed.CUSTOM:
             reads.setdefault(row.domain, {}).setdefault(CODE, {})
     return reads
 
@@ -327,10 +339,15 @@ def run_validation(
     *,
     extra: Sequence[Rule] = (),
     run_id: str = "",
+    redact: bool = True,
 ) -> dict[str, DataFrame]:
-    """Findings and their summaries; findings are computed and stored once."""
+    """Findings and their summaries; findings are computed and stored once.
+
+    As in every stored form, found secrets are masked unless told otherwise.
+    """
     chosen = corpus if paths is None else source.select_paths(corpus, paths)
-    findings = shared.stored(validate(chosen, catalog, extra=extra, run_id=run_id), "findings")
+    found = validate(chosen, catalog, extra=extra, run_id=run_id)
+    findings = shared.stored(redact_secrets(found) if redact else found, "findings")
     return {
         "findings": findings,
         "total": summary.summary_total(findings),

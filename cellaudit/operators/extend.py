@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,15 +17,21 @@ __all__ = ["python_rule", "register_rule"]
 
 
 # ---- UDX2 ------------------------------------------------------------------------
-def python_rule(rule_key: str, label: str, fn: Callable[[str], list[tuple[str, str]]], domain: str = fixed.CUSTOM) -> Rule:
-    """A rule in Python: ``fn(code)`` gives ``[(status, details), ...]``.
+def python_rule(rule_key: str, label: str, fn: Callable[..., list[tuple[str, str]]], domain: str = fixed.CUSTOM) -> Rule:
+    """A rule in Python: ``fn(code)``, or ``fn(code, parameters)``, gives ``[(status, details), ...]``.
 
-    Code reaches Python in Arrow batches and only in audits that have such a
+    Parameters are those that the catalog lists for ``rule_key``.  Code reaches Python in Arrow batches and only in audits that have such a
     rule; the built-in rules stay as they are.
     """
 
-    def rows(code: pd.Series) -> pd.Series:
-        return pd.Series([[{"status": s, "details": d} for s, d in fn(c)] for c in code])
+    more = len(inspect.signature(fn).parameters) > 1
 
-    udf = F.pandas_udf(rows, ROWS)
-    return Rule(domain, rule_key, label, CODE, lambda _p: Check(lambda m: m["rows"], {"rows": udf(F.col("code"))}))
+    def check(parameters: dict) -> Check:
+        given = (parameters,) if more else ()
+
+        def rows(code: pd.Series) -> pd.Series:
+            return pd.Series([[{"status": s, "details": d} for s, d in fn(c, *given)] for c in code])
+
+        return Check(lambda m: m["rows"], {"rows": F.pandas_udf(rows, ROWS)(F.col("code"))})
+
+    return Rule(domain, rule_key, label, CODE, check)

@@ -5,6 +5,7 @@ A catalog row of the custom domain needs no code: its parameters say what to che
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -65,10 +66,12 @@ def rule_from_setting(domain: str, rule_key: str, label: str) -> Rule:
 
 
 # ---- UDX1 --------------------------------------------------------------------
-def register_rule(rule_key: str, label: str, rows: Callable[[], Column], domain: str = fixed.CUSTOM) -> Rule:
+def register_rule(rule_key: str, label: str, rows: Callable[..., Column], domain: str = fixed.CUSTOM) -> Rule:
     """A rule of one's own from a Column ``array<struct<status,details>>``.
 
     ``rows`` may use the columns ``path``, ``language``, ``cells``, ``code`` and
-    ``folded``; build rows with ``passed`` and ``failed``.
+    ``folded``; build rows with ``passed`` and ``failed``.  If it takes an argument, it
+    is given the parameters that the catalog lists for ``rule_key``.
     """
-    return Rule(domain, rule_key, label, CODE, lambda _p: Check(lambda m: m["rows"], {"rows": rows()}))
+    takes = len(inspect.signature(rows).parameters)
+    return Rule(domain, rule_key, label, CODE, lambda p: Check(lambda m: m["rows"], {"rows": rows(p) if takes else rows()}))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.days import utc_day
+from ..functions.rows import repeated
 from ..operators.catalog import attach_severity
 
 DAYS = 30
@@ -102,13 +103,87 @@ def top_offenders_by_domain(findings: DataFrame, k: int) -> DataFrame:
 
 
 # ---- RPT7 --------------------------------------------------------------------------
-def failure_tickets(findings: DataFrame, filed: DataFrame | None = None, by: Sequence[str] = ("audit_id",)) -> DataFrame:
-    """One ticket per failed finding that none was filed for yet.
+TICKET_OPEN, TICKET_CLOSED = "open", "closed"
+LEDGER = (
+    "ticket_id string, title string, notebook string, domain string, rule_key string, rule string, details string, occurrence int, "
+    "state string, opened_run string, closed_run string, reopened int, action string"
+)
 
-    ``by``: what two findings of one failure share, found in ``filed`` as well.  Ids
-    differ from run to run; ``SAME_FAILURE`` knows a failure again in later runs, and
-    one that a notebook has several times is one ticket then.
+
+def open_failures(findings: DataFrame) -> DataFrame:
+    """Failures as tickets know them: ``(ticket_id, title, notebook, domain, rule_key, rule, details, occurrence)``.
+
+    The id is made of what a failure is about, not of the run that saw it: domain, rule
+    key, notebook, details, and which of several equal failures of the notebook it is.
+    Equal failures are counted first, so a notebook with very many is no group.
+    """
+    names = {"domain": F.lit(""), "rule_key": F.col("rule")}
+    about = {name: F.coalesce(F.col(name), default) if name in findings.columns else default for name, default in names.items()}
+    failed = findings.filter(F.col("status") == fixed.FAILED).select(
+        F.col("notebook_path").alias("notebook"), "rule", "details", *[column.alias(name) for name, column in about.items()]
+    )
+    keys = ["notebook", "domain", "rule_key", "rule", "details"]
+    each = repeated(failed.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")), keys)
+    texts = [F.coalesce(name, F.lit("")) for name in ("domain", "rule_key", "notebook", "details")]
+    parts = [part for text in texts for part in (F.length(text).cast("string"), text)]
+    ticket = F.sha2(F.concat_ws("|", *parts, F.col("details").isNull().cast("string"), F.col("copy").cast("string")), 256)
+    title = F.concat(F.lit(fixed.TICKET_TITLE), F.col("rule"))
+    return each.select(ticket.alias("ticket_id"), title.alias("title"), *keys, F.col("copy").cast("int").alias("occurrence"))
+
+
+def ticket_ledger(
+    findings: DataFrame, ledger: DataFrame | None = None, run_id: str = "", audited: DataFrame | None = None
+) -> DataFrame:
+    """The ledger of tickets after a run, with what the run did to each (``action``).
+
+    A failure without ticket opens one, one whose ticket is closed reopens it.  A ticket
+    whose failure is gone is closed if its notebook was looked at: ``audited`` (paths),
+    by default the notebooks that have findings.  Others stay as they are.
+    """
+    now = open_failures(findings).withColumn("failing", F.lit(True))
+    looked = (findings.select(F.col("notebook_path").alias("path")) if audited is None else audited.select("path")).distinct()
+    before = findings.sparkSession.createDataFrame([], LEDGER) if ledger is None else ledger
+    old = before.drop("action").withColumnsRenamed({c: f"old_{c}" for c in before.columns})
+    joined = now.join(old, F.col("ticket_id") == F.col("old_ticket_id"), "full_outer")
+    names = ["ticket_id", "title", "notebook", "domain", "rule_key", "rule", "details", "occurrence"]
+    known = joined.select(
+        *[F.coalesce(c, f"old_{c}").alias(c) for c in names], "old_state", "old_opened_run", "old_closed_run", "old_reopened",
+        F.coalesce("failing", F.lit(False)).alias("failing"),
+    )
+    seen = known.join(looked.withColumn("seen", F.lit(True)), F.col("notebook") == F.col("path"), "left")
+    was, failing = F.col("old_state"), F.col("failing")
+    action = (
+        F.when(failing & was.isNull(), "opened")
+        .when(failing & (was == TICKET_CLOSED), "reopened")
+        .when(failing, "still open")
+        .when((was == TICKET_OPEN) & F.col("seen").isNotNull(), "closed")
+        .otherwise("unchanged")
+    )
+    acted = seen.withColumn("action", action)
+    did = F.col("action")
+    return acted.select(
+        *names,
+        F.when(failing, TICKET_OPEN).when(did == "closed", TICKET_CLOSED).otherwise(was).alias("state"),
+        F.when(did == "opened", F.lit(run_id)).otherwise(F.col("old_opened_run")).alias("opened_run"),
+        F.when(did == "closed", F.lit(run_id)).when(did == "reopened", F.lit(None)).otherwise(F.col("old_closed_run")).alias("closed_run"),
+        (F.coalesce("old_reopened", F.lit(0)) + (did == "reopened").cast("int")).alias("reopened"),
+        "action",
+    )
+
+
+def failure_tickets(findings: DataFrame, filed: DataFrame | None = None, by: Sequence[str] | None = None) -> DataFrame:
+    """One ticket per failure that none was filed for yet.
+
+    ``filed`` holds tickets as this returns them, or a ledger; a failure of an earlier
+    night is known by its ``ticket_id``.  With ``by``, columns of ``findings`` and
+    ``filed``, findings are compared by these instead and come with their ``audit_id``.
     """
+    if by is None:
+        failures = open_failures(findings)
+        if filed is not None:
+            still = filed.filter(F.col("state") == TICKET_OPEN) if "state" in filed.columns else filed
+            failures = failures.join(still.select("ticket_id"), "ticket_id", "left_anti")
+        return failures.select("ticket_id", "title", "notebook", "details", "occurrence")
     failed = findings.filter(F.col("status") == fixed.FAILED)
     if filed is not None:
         known = filed.select(*[F.col(name).alias(f"filed_{name}") for name in by])
@@ -181,21 +256,31 @@ def multi_repo_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 # ---- RPT11 -------------------------------------------------------------------------
-def regressions(history: DataFrame) -> DataFrame:
+def regressions(history: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """Rules of a notebook that newly fail or are newly fixed against the run before.
 
     Runs are told apart by ``validation_run_id`` and follow one another by their
-    latest time; a history without ids has one run per ``run_date``.  A run's findings are first reduced to one row per notebook, rule and run, so a
-    window group has as many rows as there were runs, however many findings.
+    latest time; a history without ids has one run per ``run_date``.
+
+    Many rules give rows only where they fail.  So every run that looked at a notebook
+    says something about each rule that the notebook has ever had rows of: without a
+    row, the rule does not fail.  ``roster`` (``notebook_path`` and the columns of its
+    run) says what runs looked at; by default that is every notebook they have rows of.
+    Findings are first reduced to one row per notebook, rule and run, so a window group
+    has as many rows as there were runs, however many findings.
     """
     key = ["notebook_path", "rule"]
     named = "validation_run_id" in history.columns
-    run = "validation_run_id" if named else "run_date"
-    per_run = history.groupBy(*key, run).agg(
-        F.bool_or(F.col("status") == fixed.FAILED).alias("failed"), F.max("validation_timestamp" if named else "run_date").alias("at")
-    )
+    run, when = ("validation_run_id", "validation_timestamp") if named else ("run_date", "run_date")
+    per_run = history.groupBy(*key, run).agg(F.bool_or(F.col("status") == fixed.FAILED).alias("failed"), F.max(when).alias("at"))
+    looked = per_run.groupBy("notebook_path", run).agg(F.max("at").alias("at"))
+    if roster is not None:
+        more = roster.groupBy("notebook_path", run).agg(F.max(when).alias("at"))
+        looked = looked.unionByName(more).groupBy("notebook_path", run).agg(F.max("at").alias("at"))
+    ever = per_run.select(*key).distinct()
+    every = looked.join(ever, "notebook_path").join(per_run.drop("at"), [*key, run], "left")
+    dense = every.withColumn("failed", F.coalesce("failed", F.lit(False)))
     before = F.lag("failed").over(Window.partitionBy(*key).orderBy("at", run))
-    compared = per_run.withColumn("failed_before", before)
-    changed = compared.filter(F.col("failed") != F.col("failed_before"))
+    changed = dense.withColumn("failed_before", before).filter(F.col("failed") != F.col("failed_before"))
     days = [utc_day(F.col("at")).alias("run_date")] if named else []
     return changed.select(*key, run, *days, F.when(F.col("failed"), "newly failing").otherwise("newly fixed").alias("change"))

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import fixed
+from ..functions import fixed, shared
 from ..functions.days import utc_day
 
 FIELDS = ["rule", "status", "details", "notebook_path", "audit_time", "audit_id"]
+MASK = "***"
+
+
+def redact_secrets(findings: DataFrame) -> DataFrame:
+    """Masks found secrets in the details, the whole match."""
+    return findings.withColumn("details", masked(F.col("details"), F.col("rule") == fixed.LABEL_SECRETS))
 
 
-def redact_secrets(findings: DataFrame, shown: int = 4) -> DataFrame:
-    """Masks found secrets in the details, all but their first characters."""
-    prefix = fixed.SECRET_FOUND
-    hit = (F.col("rule") == fixed.LABEL_SECRETS) & F.startswith(F.col("details"), F.lit(prefix))
-    masked = F.concat(F.left(F.col("details"), F.lit(len(prefix) + shown)), F.lit("***"))
-    return findings.withColumn("details", F.when(hit, masked).otherwise(F.col("details")))
+def masked(details: Column, from_secrets: Column) -> Column:
+    """Details that are fit to be stored."""
+    hit = from_secrets & F.startswith(details, F.lit(fixed.SECRET_FOUND))
+    return F.when(hit, F.lit(fixed.SECRET_FOUND + MASK)).otherwise(details)
 
 
 def _stored_form(findings: DataFrame | None, redact: bool) -> DataFrame:
@@ -50,20 +58,95 @@ def of_run(
 
 
 def append_history(
-    findings: DataFrame, location: str, run_id: str, run_source: str, timestamp: Column | None = None, redact: bool = True
+    findings: DataFrame,
+    location: str,
+    run_id: str,
+    run_source: str,
+    timestamp: Column | None = None,
+    redact: bool = True,
+    audited: DataFrame | None = None,
 ) -> None:
     """Appends a run to the history, partitioned by date.
 
-    ``timestamp`` defaults to now.  Tasks write straight into the day's folder: a
-    run mostly is one day, so a shuffle by date would leave one task to write it.
+    ``timestamp`` defaults to now.  Rows are rebalanced by day: a day's files grow with
+    its rows, not with the number of tasks, and a large day is still written by many.
+    Beside the history stands its schema, so that no reader opens every file for it.
+
+    ``audited``: paths that the run looked at; they are kept as the run's roster, for
+    rules that give rows only where they fail.
     """
-    of_run(findings, run_id, run_source, timestamp, redact).write.mode("append").partitionBy("run_date").parquet(location)
+    run = of_run(findings, run_id, run_source, timestamp, redact)
+    run.hint("rebalance", "run_date").write.mode("append").partitionBy("run_date").parquet(location)
+    keep_schema(run, location)
+    if audited is not None:
+        rows = of_run(audited.select(F.col("path").alias("notebook_path")).distinct(), run_id, run_source, timestamp, redact=False)
+        rows.hint("rebalance", "run_date").write.mode("append").partitionBy("run_date").parquet(_beside(location, "roster"))
+
+
+def _beside(location: str, what: str) -> str:
+    return f"{location.rstrip('/')}.{what}"
+
+
+def keep_schema(run: DataFrame, location: str) -> None:
+    """Notes columns that the history did not have before; a line per change."""
+    known = _kept_schema(run.sparkSession, location)
+    have = {field.name: field.dataType for field in known.fields} if known else {}
+    for field in run.schema.fields:
+        if field.name in have and have[field.name] != field.dataType:
+            raise ValueError(f"column {field.name} of the history is {have[field.name].simpleString()}, not {field.dataType.simpleString()}")
+    new = [field for field in run.schema.fields if field.name not in have]
+    if new:
+        line = run.sparkSession.range(1).select(F.lit(T.StructType(new).json()).alias("value"))
+        line.coalesce(1).write.mode("append").text(_beside(location, "schema"))
+
+
+def _kept_schema(spark: SparkSession, location: str) -> T.StructType | None:
+    try:
+        lines = spark.read.text(_beside(location, "schema")).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    fields: dict[str, T.StructField] = {}
+    for line in lines:
+        for field in T.StructType.fromJson(json.loads(line["value"])).fields:
+            fields.setdefault(field.name, T.StructField(field.name, field.dataType, True))
+    return T.StructType(list(fields.values()))
 
 
 # ---- SRC7 ------------------------------------------------------------------------
 def load_findings(spark: SparkSession, location: str) -> DataFrame:
-    """The history; columns that only some runs have are null in the others."""
-    return spark.read.option("mergeSchema", True).parquet(location)
+    """The history; columns that only some runs have are null in the others.
+
+    The schema is read from beside the history; only one that was written without it is
+    put together from the files.
+    """
+    schema = _kept_schema(spark, location)
+    if schema is None:
+        return spark.read.option("mergeSchema", True).parquet(location)
+    return spark.read.schema(schema).parquet(location)
+
+
+def load_roster(spark: SparkSession, location: str) -> DataFrame:
+    """``(notebook_path, validation_run_id, validation_timestamp, ...)`` that runs looked at."""
+    return spark.read.parquet(_beside(location, "roster"))
+
+
+def compact_history(spark: SparkSession, location: str, most_files: int = 1) -> list[str]:
+    """Rewrites days that lie in more than ``most_files`` files and returns them.
+
+    The rows of those days are first stored elsewhere; then only these days are
+    replaced.  Files of a day hold rebalanced rows, so a large day keeps several.
+    """
+    history = load_findings(spark, location)
+    files = history.groupBy("run_date").agg(F.count_distinct("_metadata.file_path").alias("files"))
+    days = [row["run_date"] for row in files.filter(F.col("files") > most_files).select("run_date").collect()]
+    if not days:
+        return []
+    rows = shared.stored(history.filter(F.col("run_date").isin(days)), "compacted")
+    writer = rows.hint("rebalance", "run_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date").parquet(location)
+    return sorted(str(day) for day in days)
 
 
 # ---- SNK4, SNK5 ------------------------------------------------------------------

@@ -11,6 +11,7 @@ from cellaudit.functions import shared
 from cellaudit.operators import audit, engine, verdicts
 from cellaudit.operators.catalog import DEFAULT_CATALOG, enable_rules
 from cellaudit.operators.responses import ResponseStore
+from cellaudit.sources import findings as store
 
 BOOKS = [
     notebook(code_cell("x = 1", title="load")), notebook(code_cell("x = 1", title="load")), notebook(code_cell("df.cache()", title="a"), code_cell("y", title="b")),
@@ -64,8 +65,9 @@ def model(tmp_path):
 
 def test_one_pass_equals_three(spark):
     books = corpus(spark, BOOKS)
-    whole = audit.open_audit(books, run_id="r")
+    whole = audit.open_audit(books, run_id="r", redact=False)
     assert plain(whole.findings()) == plain(engine.validate(books, run_id="r"))
+    assert plain(audit.open_audit(books, run_id="r").findings()) == plain(store.redact_secrets(engine.validate(books, run_id="r")))
     asked = whole.requests()
     assert plain(asked) == plain(verdicts.all_requests(books))
     answers = asked.select("request_id", F.lit("1. True (x)\n2. False (y)").alias("content"), F.lit(None).cast("string").alias("error"))
@@ -80,7 +82,7 @@ def test_other_catalogs_in_one_pass(spark):
         [], enable_rules(DEFAULT_CATALOG, only=["valid_languages_only"]), enable_rules(DEFAULT_CATALOG, only=["cache_usage"]),
         enable_rules(DEFAULT_CATALOG, off=["descriptive_cell_titles"]), enable_rules(DEFAULT_CATALOG, only=["descriptive_cell_titles", "efficient_joins"]),
     ):
-        whole = audit.open_audit(books, catalog)
+        whole = audit.open_audit(books, catalog, redact=False)
         assert plain(whole.findings()) == plain(engine.validate(books, catalog))
         nothing = spark.createDataFrame([], verdicts.RESPONSE_SCHEMA)
         found = whole.verdicts(nothing)
@@ -129,24 +131,24 @@ def test_repeated_paths_and_copies_are_asked_about_once(spark):
 
 
 def test_only_new_questions_are_asked(spark, tmp_path, model):
-    store = ResponseStore(spark, str(tmp_path / "store"))
-    assert store.answers().count() == 0 and store.known().count() == 0
+    kept = ResponseStore(spark, str(tmp_path / "store"))
+    assert kept.answers().count() == 0 and kept.known().count() == 0
     first = audit.open_audit(corpus(spark, BOOKS[:3]))
     n = first.requests().count()
-    found = first.ask(store, model, 2)
+    found = first.ask(kept, model, 2)
     assert model.calls() == n and found.filter("status = 'Pending'").count() == 0
-    assert plain(first.ask(store, model, 2)) == plain(found) and model.calls() == n
+    assert plain(first.ask(kept, model, 2)) == plain(found) and model.calls() == n
     second = audit.open_audit(corpus(spark, BOOKS))
-    new = second.requests(store.known()).count()
+    new = second.requests(kept.known()).count()
     assert 0 < new < second.requests().count()
-    second.ask(store, model, 2)
-    assert model.calls() == n + new == store.answers().count() == store.rows().count()
-    assert second.requests(store.known()).count() == 0
+    second.ask(kept, model, 2)
+    assert model.calls() == n + new == kept.answers().count() == kept.rows().count()
+    assert second.requests(kept.known()).count() == 0
 
 
 def test_a_run_that_dies_loses_only_its_open_slice(spark, tmp_path, model, monkeypatch):
     requests = spark.range(60).select(F.sha2(F.col("id").cast("string"), 256).alias("request_id"), F.lit("s").alias("system"), F.col("id").cast("string").alias("user"))
-    store = ResponseStore(spark, str(tmp_path / "store"))
+    kept = ResponseStore(spark, str(tmp_path / "store"))
     committed, commit = [], ResponseStore._commit
 
     def dying(self, *given):
@@ -157,8 +159,8 @@ def test_a_run_that_dies_loses_only_its_open_slice(spark, tmp_path, model, monke
 
     monkeypatch.setattr(ResponseStore, "_commit", dying)
     with pytest.raises(KeyboardInterrupt):
-        store.score(requests, model, 2, per_task=5)  # six slices; the third is scored but never complete
-    done, before = store.known().count(), model.calls()
+        kept.score(requests, model, 2, per_task=5)  # six slices; the third is scored but never complete
+    done, before = kept.known().count(), model.calls()
     assert done == sum(committed) > 0 and before > done
     monkeypatch.setattr(ResponseStore, "_commit", commit)
     again = ResponseStore(spark, str(tmp_path / "store"))
@@ -169,13 +171,13 @@ def test_a_run_that_dies_loses_only_its_open_slice(spark, tmp_path, model, monke
 
 def test_errors_can_be_asked_again(spark, tmp_path, model):
     requests = spark.createDataFrame([(str(i), "s", u) for i, u in enumerate(["fine", "bad", "fine too"])], verdicts.REQUEST_SCHEMA)
-    store = ResponseStore(spark, str(tmp_path / "store"))
+    kept = ResponseStore(spark, str(tmp_path / "store"))
     refusing = Model(model.folder, ["bad"])
-    assert {r["request_id"]: r["error"] for r in store.score(requests, refusing, 1).collect()} == {"0": None, "1": "refused", "2": None}
-    assert store.score(requests, model, 1).filter("error IS NOT NULL").count() == 1 and model.calls() == 3
-    assert store.score(requests, model, 1, retry_errors=True).filter("error IS NOT NULL").count() == 0 and model.calls() == 4
-    assert store.rows().count() == 4 and store.answers().count() == 3
-    before = plain(store.answers())
-    store.compact()
-    assert plain(store.answers()) == before and store.slices().count() == 1 and store.rows().count() == 3
-    assert verdicts.score_requests(requests, model, 1, store).count() == 3 and model.calls() == 4
+    assert {r["request_id"]: r["error"] for r in kept.score(requests, refusing, 1).collect()} == {"0": None, "1": "refused", "2": None}
+    assert kept.score(requests, model, 1).filter("error IS NOT NULL").count() == 1 and model.calls() == 3
+    assert kept.score(requests, model, 1, retry_errors=True).filter("error IS NOT NULL").count() == 0 and model.calls() == 4
+    assert kept.rows().count() == 4 and kept.answers().count() == 3
+    before = plain(kept.answers())
+    kept.compact()
+    assert plain(kept.answers()) == before and kept.slices().count() == 1 and kept.rows().count() == 3
+    assert verdicts.score_requests(requests, model, 1, kept).count() == 3 and model.calls() == 4

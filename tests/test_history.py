@@ -63,7 +63,7 @@ def secret(spark):
 
 def test_secrets_are_masked_where_stored(spark, secret):
     masked = store.redact_secrets(secret).filter(F.col("rule") == fixed.LABEL_SECRETS).first()["details"]
-    assert masked == fixed.SECRET_FOUND + "pass***"
+    assert masked == fixed.SECRET_FOUND + "***"
     assert "hunter2" in secret.filter(F.col("rule") == fixed.LABEL_SECRETS).first()["details"]
 
 
@@ -140,21 +140,59 @@ def test_latest_keeps_n_per_task(spark):
     assert [r["audit_id"] for r in latest.collect()][:2] == ["499", "498"]
 
 
-def test_tickets_are_filed_once(spark):
-    found = spark.createDataFrame([("R", "Failed", "a", "d", "1"), ("R", "Failed", "b", "d", "2"), ("R", "Passed", "c", "d", "3")],
-                                  "rule string, status string, notebook_path string, details string, audit_id string")
+FAILED = "rule string, status string, notebook_path string, details string, audit_id string"
+
+
+def failures(spark, *rows):
+    """(notebook, rule, details), each a failure; ids differ from call to call."""
+    return spark.createDataFrame([(r, "Failed", n, d, str(i)) for i, (n, r, d) in enumerate(rows)], FAILED)
+
+
+def test_tickets_by_given_columns(spark):
+    found = spark.createDataFrame([("R", "Failed", "a", "d", "1"), ("R", "Failed", "b", "d", "2"), ("R", "Passed", "c", "d", "3")], FAILED)
     filed = spark.createDataFrame([("1",)], "audit_id string")
-    assert [r["notebook"] for r in reports.failure_tickets(found, filed).collect()] == ["b"]
-    assert reports.failure_tickets(found).count() == 2
+    assert [r["notebook"] for r in reports.failure_tickets(found, filed, ["audit_id"]).collect()] == ["b"]
+    first, second = found, spark.createDataFrame([("R", "Failed", "a", "d", "7"), ("R", "Failed", "a", None, "8")], FAILED)
+    assert [r["details"] for r in reports.failure_tickets(second, first, reports.SAME_FAILURE).collect()] == [None]
 
 
-def test_a_failure_of_another_night_has_its_ticket(spark):
-    rows = "rule string, status string, notebook_path string, details string, audit_id string"
-    first = spark.createDataFrame([("R", "Failed", "a", "d", "1"), ("R", "Failed", "a", None, "2")], rows)
-    night = [("R", "Failed", "a", "d", "3"), ("R", "Failed", "a", None, "4"), ("R", "Failed", "a", "e", "5"), ("R", "Failed", "a", "e", "6")]
-    second = spark.createDataFrame(night, rows)
-    assert [r["details"] for r in reports.failure_tickets(second, first, reports.SAME_FAILURE).collect()] == ["e"]
-    assert reports.failure_tickets(second, first).count() == 4
+def test_a_failure_is_filed_once_whatever_run_sees_it(spark):
+    first = failures(spark, ("a", "R", "d"), ("a", "R", None), ("a", "R", "e"))
+    second = failures(spark, ("a", "R", None), ("a", "R", "e"), ("a", "R", "e"), ("a", "S", "e"), ("b", "R", "d"))
+    filed = reports.failure_tickets(first)
+    assert filed.count() == 3
+    new = reports.failure_tickets(second, filed).collect()
+    assert sorted((r["notebook"], r["title"][-1], r["details"], r["occurrence"]) for r in new) == [("a", "R", "e", 2), ("a", "S", "e", 1), ("b", "R", "d", 1)]
+    assert reports.failure_tickets(second, filed.unionByName(reports.failure_tickets(second, filed))).count() == 0
+
+
+def test_own_rules_with_one_label_have_tickets_of_their_own(spark):
+    rows = [("custom", k, "Same", "Failed", "n", "d") for k in ("one", "two")]
+    found = spark.createDataFrame(rows, "domain string, rule_key string, rule string, status string, notebook_path string, details string")
+    assert reports.failure_tickets(found).select("ticket_id").distinct().count() == 2
+
+
+def test_ledger(spark):
+    nights = [
+        failures(spark, ("a", "R", "d"), ("a", "R", "e"), ("b", "R", "d")),
+        failures(spark, ("a", "R", "e")).unionByName(spark.createDataFrame([("R", "Passed", "c", "x", "9")], FAILED)),
+        failures(spark, ("a", "R", "d"), ("c", "R", "n")),
+    ]
+    ledger, seen = None, []
+    for i, night in enumerate(nights):
+        ledger = shared.stored(reports.ticket_ledger(night, ledger, f"n{i}"), "ledger")
+        seen.append({(r["notebook"], r["details"]): (r["state"], r["action"], r["opened_run"], r["closed_run"], r["reopened"]) for r in ledger.collect()})
+    assert seen[0] == {k: ("open", "opened", "n0", None, 0) for k in (("a", "d"), ("a", "e"), ("b", "d"))}
+    assert seen[1] == {("a", "d"): ("closed", "closed", "n0", "n1", 0), ("a", "e"): ("open", "still open", "n0", None, 0), ("b", "d"): ("open", "unchanged", "n0", None, 0)}
+    assert seen[2] == {
+        ("a", "d"): ("open", "reopened", "n0", None, 1), ("a", "e"): ("closed", "closed", "n0", "n2", 0),
+        ("b", "d"): ("open", "unchanged", "n0", None, 0), ("c", "n"): ("open", "opened", "n2", None, 0),
+    }
+    everything = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    closed = reports.ticket_ledger(nights[1].filter("status = 'Passed'"), ledger, "n3", audited=everything)
+    assert {r["state"] for r in closed.collect()} == {"closed"}
+    # closed failures are filed again
+    assert reports.failure_tickets(nights[2], closed).count() == 2
 
 
 def test_ids_tell_rules_with_one_label_apart(spark):
@@ -171,9 +209,47 @@ def test_scheduled_audit_sees_each_notebook_once(spark, tmp_path):
         wave.write.mode("append").parquet(incoming)
         arriving = spark.readStream.schema(CORPUS).parquet(incoming)
         jobs.scheduled_audit(arriving, out, progress).awaitTermination()
-    written = spark.read.parquet(out)
+    written = store.load_findings(spark, out)
     assert {"validation_run_id", "validation_timestamp", "run_date"} <= set(written.columns)
-    assert plain(written.select(*engine.FINDING_COLUMNS)) == plain(engine.validate(books(spark, a="x", b="SELECT *", c="y")))
+    shown = [c for c in engine.FINDING_COLUMNS if c != "audit_id"]
+    assert plain(written.select(*shown)) == plain(engine.validate(books(spark, a="x", b="SELECT *", c="y")).select(*shown))
+    assert {r["validation_run_id"] for r in written.select("validation_run_id").distinct().collect()} == {"schedule-0", "schedule-1"}
+    assert written.select("audit_id").distinct().count() == written.count()
+    # reports read it like any history
+    as_of = str(written.first()["run_date"])
+    assert reports.daily_success_trend(written, as_of).agg(F.sum("total_validations")).first()[0] == written.count()
+
+
+def test_two_scheduled_runs_are_two_runs_in_regressions(spark, tmp_path):
+    incoming, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for code in ("CREATE TABLE t (a VARCHAR(3))", "x = 1"):
+        books(spark, a=code).write.mode("append").parquet(incoming)
+        jobs.scheduled_audit(spark.readStream.schema(CORPUS).parquet(incoming), out, progress).awaitTermination()
+    changes = reports.regressions(store.load_findings(spark, out)).collect()
+    assert {(r["rule"], r["change"], r["validation_run_id"]) for r in changes} >= {(fixed.LABEL_STRING_TYPES, "newly fixed", "schedule-1")}
+
+
+def test_a_batch_delivered_again_adds_nothing(spark, tmp_path):
+    """Files of a batch are there, but the run was not noted as done when the driver died."""
+    import shutil
+
+    incoming, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    books(spark, a="x", b="SELECT *").write.parquet(incoming)
+
+    def run():
+        jobs.scheduled_audit(spark.readStream.schema(CORPUS).parquet(incoming), out, progress).awaitTermination()
+        return store.load_findings(spark, out).collect()
+
+    first = run()
+    shutil.rmtree(f"{progress}/commits")
+    assert sorted(run()) == sorted(first)  # the ledger of runs knows it
+    shutil.rmtree(f"{progress}/commits")
+    open_ = shared.stored(jobs.runs_of(spark, out).filter("NOT done"), "begun")  # only that it was begun
+    shutil.rmtree(f"{out}.runs")
+    open_.write.parquet(f"{out}.runs")
+    again = run()
+    keys = ["audit_id", "validation_run_id", "validation_timestamp", "run_date", "details"]
+    assert sorted(tuple(r[k] for k in keys) for r in again) == sorted(tuple(r[k] for k in keys) for r in first)
 
 
 def test_streaming_trend(spark, tmp_path):
@@ -193,3 +269,63 @@ def test_streaming_trend(spark, tmp_path):
         jobs.run_trend(arriving, out, progress).awaitTermination()
     found = spark.read.parquet(out).collect()
     assert sorted((str(r["date"]), r["total_validations"], r["passed"]) for r in found) == [("2024-01-01", 2, 1), ("2024-01-02", 1, 1)]
+
+
+def test_a_rule_without_a_row_is_fixed_and_fails_again(spark):
+    """Titles give rows only where they are missing."""
+    schema = "notebook_path string, rule string, status string, run_date string"
+    rows = [("a", "T", "Failed", "2024-01-01"), ("a", "L", "Passed", "2024-01-01"), ("a", "L", "Passed", "2024-01-02"), ("a", "T", "Failed", "2024-01-03"), ("b", "L", "Passed", "2024-01-02")]
+    history = spark.createDataFrame(rows, schema).withColumn("run_date", F.to_date("run_date"))
+    found = sorted((r["notebook_path"], r["rule"], str(r["run_date"]), r["change"]) for r in reports.regressions(history).collect())
+    assert found == [("a", "T", "2024-01-02", "newly fixed"), ("a", "T", "2024-01-03", "newly failing")]
+    # a run that looked at a notebook and found nothing at all is known by its roster only
+    only = history.filter("rule = 'T'")
+    assert reports.regressions(only).count() == 0
+    roster = history.select("notebook_path", "run_date").distinct()
+    assert reports.regressions(only, roster).count() == 2
+
+
+def test_history_layout(spark, secret, tmp_path):
+    location = str(tmp_path / "history")
+    stamp = F.lit("2024-01-01 02:00:00").cast("timestamp")
+    many = secret.repartition(8)
+    for run in ("r1", "r2"):
+        store.append_history(many, location, run, "test", stamp, audited=books(spark, a="x"))
+    store.append_history(secret.withColumn("pr_number", F.lit(3)), location, "r3", "test", stamp)
+    files = list((tmp_path / "history").glob("run_date=*/*.parquet"))
+    assert len(files) == 3  # a day of a run is one file, whatever the number of tasks
+    history = store.load_findings(spark, location)
+    assert "pr_number" in history.columns and history.filter("pr_number = 3").count() == secret.count() and history.count() == 3 * secret.count()
+    before = plain(history.select("audit_id", "details", "validation_run_id", "pr_number"))
+    assert store.compact_history(spark, location) == ["2024-01-01"] and store.compact_history(spark, location) == []
+    assert len(list((tmp_path / "history").glob("run_date=*/*.parquet"))) == 1
+    assert plain(store.load_findings(spark, location).select("audit_id", "details", "validation_run_id", "pr_number")) == before
+    assert sorted(r["validation_run_id"] for r in store.load_roster(spark, location).collect()) == ["r1", "r2"]
+    with pytest.raises(ValueError, match="pr_number"):
+        store.append_history(secret.withColumn("pr_number", F.lit("3")), location, "r4", "test", stamp)
+
+
+def test_stored_runs_hold_no_secret(spark, tmp_path):
+    found = engine.run_validation(books(spark, a='password = "hunter2"\nh = "Bearer abcdefgh"'))
+    details = [r["details"] for r in found["findings"].collect()]
+    assert not any("hunter2" in d or "abcdefgh" in d for d in details) and details.count(fixed.SECRET_FOUND + "***") == 2
+
+
+def test_own_rules_are_governed_by_the_catalog(spark):
+    from cellaudit.operators.catalog import Setting
+    from cellaudit.operators.extend import python_rule, register_rule
+    from cellaudit.operators.rules.base import failed, one, passed
+
+    long = register_rule("long", "Long", lambda p: one(F.length("code") > p.get("most", 10), failed("long"), passed("short")))
+    words = python_rule("words", "Words", lambda code, p: [("Failed" if w in code else "Passed", w) for w in p.get("words", [])])
+    corpus = books(spark, a="SELECT * FROM t")
+
+    def run(*settings):
+        found = engine.validate(corpus, [*settings], extra=[long, words]).filter("rule_key IN ('long', 'words')").collect()
+        return sorted((r["rule_key"], r["severity"], r["status"], r["details"]) for r in found)
+
+    assert run() == [("long", "warning", "Failed", "long")]
+    assert run(Setting("custom", "long", "Long", "error", parameters={"most": 100}), Setting("custom", "words", "Words", "info", parameters={"words": ["SELECT", "x"]})) == [
+        ("long", "error", "Passed", "short"), ("words", "info", "Failed", "SELECT"), ("words", "info", "Passed", "x"),
+    ]
+    assert run(Setting("custom", "long", "Long", enabled=False)) == []

@@ -234,7 +234,49 @@ def rpt7(spark, sf_dir):
     """Tickets were filed up to the middle of the month."""
     all_findings = history(spark, sf_dir)
     filed = all_findings.filter(F.col("run_date") < F.lit("2024-01-15").cast("date")).select("audit_id")
-    return reports.failure_tickets(all_findings, filed)
+    return reports.failure_tickets(all_findings, filed, by=["audit_id"])
+
+
+def _lengths(*values: str) -> str:
+    return ", ".join(f"length(coalesce({v}, ''))::VARCHAR, coalesce({v}, '')" for v in values)
+
+
+# Failures of two nights, numbered among equal ones of the same notebook.
+TICKETS = f"""{WITH}, failed AS (SELECT notebook_path AS notebook, rule, rule_key, details, run_date < DATE '2024-01-15' AS early FROM history WHERE status = 'Failed'),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY early, notebook, rule, rule_key, details)::INT AS occurrence FROM failed),
+  tickets AS (SELECT *, sha256(concat_ws('|', {_lengths("''", 'rule_key', 'notebook', 'details')}, (details IS NULL)::VARCHAR, occurrence::VARCHAR)) AS ticket_id FROM numbered),
+  early AS (SELECT * FROM tickets WHERE early), late AS (SELECT * FROM tickets WHERE NOT early)"""
+
+
+def nights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found, middle = history(spark, sf_dir), F.lit("2024-01-15").cast("date")
+    return found.filter(F.col("run_date") < middle), found.filter(F.col("run_date") >= middle)
+
+
+@query(
+    "rpt7_second_night_files_only_new",
+    f"""{TICKETS} SELECT ticket_id, {o.lit(fixed.TICKET_TITLE)} || rule AS title, notebook, details, occurrence FROM late WHERE ticket_id NOT IN (SELECT ticket_id FROM early)""",
+)
+def rpt7_second(spark, sf_dir):
+    """What was filed in the first night is known in the second, whatever run saw it."""
+    first, second = nights(spark, sf_dir)
+    return reports.failure_tickets(second, reports.failure_tickets(first))
+
+
+@query(
+    "rpt7_ticket_ledger",
+    f"""{TICKETS}, looked AS (SELECT DISTINCT notebook_path AS notebook FROM history WHERE run_date >= DATE '2024-01-15')
+    SELECT coalesce(l.ticket_id, e.ticket_id) AS ticket_id, coalesce(l.notebook, e.notebook) AS notebook, coalesce(l.occurrence, e.occurrence) AS occurrence,
+      CASE WHEN l.ticket_id IS NULL AND coalesce(l.notebook, e.notebook) IN (SELECT notebook FROM looked) THEN 'closed' ELSE 'open' END AS state,
+      CASE WHEN e.ticket_id IS NULL THEN 'second' ELSE 'first' END AS opened_run,
+      CASE WHEN l.ticket_id IS NULL AND e.notebook IN (SELECT notebook FROM looked) THEN 'second' END AS closed_run, 0::INT AS reopened,
+      CASE WHEN e.ticket_id IS NULL THEN 'opened' WHEN l.ticket_id IS NOT NULL THEN 'still open' WHEN e.notebook IN (SELECT notebook FROM looked) THEN 'closed' ELSE 'unchanged' END AS action
+    FROM late l FULL OUTER JOIN early e ON l.ticket_id = e.ticket_id""",
+)
+def rpt7_ledger(spark, sf_dir):
+    first, second = nights(spark, sf_dir)
+    ledger = reports.ticket_ledger(second, reports.ticket_ledger(first, run_id="first"), "second")
+    return ledger.select("ticket_id", "notebook", "occurrence", "state", "opened_run", "closed_run", "reopened", "action")
 
 
 def _payload_counts(prefix: str = "") -> str:
@@ -284,7 +326,9 @@ def rpt10(spark, sf_dir):
 
 @query(
     "rpt11_regressions",
-    f"""{WITH}, runs AS (SELECT notebook_path, rule, run_date, bool_or(status = 'Failed') AS failed FROM history GROUP BY ALL),
+    f"""{WITH}, seen AS (SELECT notebook_path, rule, run_date, bool_or(status = 'Failed') AS failed FROM history GROUP BY ALL),
+    runs AS (SELECT notebook_path, rule, run_date, coalesce(failed, FALSE) AS failed
+      FROM (SELECT DISTINCT notebook_path, run_date FROM seen) JOIN (SELECT DISTINCT notebook_path, rule FROM seen) USING (notebook_path) LEFT JOIN seen USING (notebook_path, rule, run_date)),
     compared AS (SELECT *, lag(failed) OVER (PARTITION BY notebook_path, rule ORDER BY run_date) AS before FROM runs)
     SELECT notebook_path, rule, run_date::VARCHAR AS run_date, CASE WHEN failed THEN 'newly failing' ELSE 'newly fixed' END AS change FROM compared WHERE failed <> before""",
 )
@@ -297,7 +341,10 @@ RUN = "'run-' || run_date || CASE WHEN hour(validation_timestamp) < 12 THEN '-2'
 
 @query(
     "rpt11_regressions_by_run",
-    f"""{WITH}, runs AS (SELECT notebook_path, rule, {RUN} AS validation_run_id, bool_or(status = 'Failed') AS failed, max(validation_timestamp) AS latest FROM history GROUP BY ALL),
+    f"""{WITH}, seen AS (SELECT notebook_path, rule, {RUN} AS validation_run_id, bool_or(status = 'Failed') AS failed, max(validation_timestamp) AS latest FROM history GROUP BY ALL),
+    looked AS (SELECT notebook_path, validation_run_id, max(latest) AS latest FROM seen GROUP BY ALL),
+    runs AS (SELECT notebook_path, rule, validation_run_id, latest, coalesce(failed, FALSE) AS failed
+      FROM looked JOIN (SELECT DISTINCT notebook_path, rule FROM seen) USING (notebook_path) LEFT JOIN (SELECT * EXCLUDE latest FROM seen) USING (notebook_path, rule, validation_run_id)),
     compared AS (SELECT *, lag(failed) OVER (PARTITION BY notebook_path, rule ORDER BY latest, validation_run_id) AS before FROM runs)
     SELECT notebook_path, rule, validation_run_id, latest::DATE::VARCHAR AS run_date, CASE WHEN failed THEN 'newly failing' ELSE 'newly fixed' END AS change FROM compared WHERE failed <> before""",
 )
@@ -318,6 +365,76 @@ def rpt5_corpus(spark, sf_dir):
     return reports.failures_by_category(engine.validate(corpus(spark, sf_dir)), rule_catalog(spark))
 
 
+# ---- reports on a history that audits wrote -------------------------------------------
+RUNS_WRITTEN = {"run-a": "2024-01-30 08:00:00", "run-c": "2024-01-31 08:00:00", "run-b": "2024-01-31 20:00:00"}
+
+
+def written_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three audits on two days: the corpus as it was before, as it is, and as it was before again."""
+    location = shared.new_location(spark, "history")
+    for run, time in RUNS_WRITTEN.items():
+        books = corpus(spark, sf_dir) if run == "run-c" else corpus_before(spark, sf_dir)
+        stamp = F.from_utc_timestamp(F.to_timestamp_ntz(F.lit(time)).cast("timestamp"), F.current_timezone())
+        store.append_history(engine.validate(books, run_id=run), location, run, "nightly", stamp, audited=books)
+    return store.load_findings(spark, location), store.load_roster(spark, location)
+
+
+BEFORE = """(SELECT doc_id, CASE WHEN n_chars > 3000 THEN text || chr(10) || 'GRANT x' ELSE text END AS text FROM documents WHERE lang <> 'fr'
+  UNION ALL SELECT doc_id + 100000000, text FROM documents WHERE lang = 'de')"""
+
+
+def _run_sql(run: str) -> str:
+    books = o.NOTEBOOKS if run == "run-c" else o.NOTEBOOKS.replace("FROM documents", f"FROM {BEFORE}")
+    return (
+        f"SELECT path AS notebook_path, rule, rule_key, domain, severity, status, '{run}' AS validation_run_id, TIMESTAMP '{RUNS_WRITTEN[run]}' AS validation_timestamp "
+        f"FROM (WITH {books.strip()}, found AS {o.findings_sql()} SELECT * FROM found)"
+    )
+
+
+WRITTEN_HISTORY = f"WITH written AS MATERIALIZED ({' UNION ALL '.join(_run_sql(run) for run in RUNS_WRITTEN)})"
+
+
+@query(
+    "rpt11_regressions_of_written_history",
+    f"""{WRITTEN_HISTORY}, seen AS (SELECT notebook_path, rule, validation_run_id, bool_or(status = 'Failed') AS failed, max(validation_timestamp) AS latest FROM written GROUP BY ALL),
+    looked AS (SELECT notebook_path, validation_run_id, max(latest) AS latest FROM seen GROUP BY ALL),
+    runs AS (SELECT notebook_path, rule, validation_run_id, looked.latest AS latest, coalesce(failed, FALSE) AS failed
+      FROM looked JOIN (SELECT DISTINCT notebook_path, rule FROM seen) USING (notebook_path) LEFT JOIN (SELECT * EXCLUDE latest FROM seen) USING (notebook_path, rule, validation_run_id)),
+    compared AS (SELECT *, lag(failed) OVER (PARTITION BY notebook_path, rule ORDER BY latest) AS before FROM runs)
+    SELECT notebook_path, rule, validation_run_id, latest::DATE::VARCHAR AS run_date, CASE WHEN failed THEN 'newly failing' ELSE 'newly fixed' END AS change FROM compared WHERE failed <> before""",
+)
+def rpt11_written(spark, sf_dir):
+    """Rules that give rows only where they fail are fixed by giving none, and fail again."""
+    found, roster = written_history(spark, sf_dir)
+    return printed(reports.regressions(found, roster))
+
+
+@query(
+    "rpt1_trend_of_written_history",
+    f"""{WRITTEN_HISTORY} SELECT validation_timestamp::DATE::VARCHAR AS date, count(*) AS total_validations, count(*) FILTER (WHERE status = 'Passed') AS passed, {rate()} AS success_rate
+    FROM written GROUP BY ALL""",
+)
+def rpt1_written(spark, sf_dir):
+    return printed(reports.daily_success_trend(written_history(spark, sf_dir)[0], AS_OF))
+
+
+@query(
+    "agg5_severity_of_written_history",
+    f"{WRITTEN_HISTORY} SELECT severity, domain, grouping_id(severity, domain) AS level, {COUNTS} FROM written GROUP BY ROLLUP (severity, domain)",
+)
+def agg5_written(spark, sf_dir):
+    return summary.summary_by_severity_category(written_history(spark, sf_dir)[0])
+
+
+@query(
+    "agg7_gate_of_written_history",
+    f"""{WRITTEN_HISTORY}, gates AS (SELECT validation_run_id, count(*) FILTER (WHERE status = 'Failed' AND severity = 'error') AS blocking FROM written GROUP BY ALL)
+    SELECT validation_run_id, blocking, blocking = 0 AS gate_open, CASE WHEN blocking = 0 THEN 0 ELSE 1 END AS exit_code FROM gates""",
+)
+def agg7_written(spark, sf_dir):
+    return summary.quality_gate(written_history(spark, sf_dir)[0], ["validation_run_id"], severity_floor="error")
+
+
 # ---- increments ------------------------------------------------------------------------
 def corpus_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus of the run before: French documents were not there yet, long ones
@@ -367,12 +484,7 @@ def inc4(spark, sf_dir):
 
 
 # ---- sinks and the history table -------------------------------------------------------
-def _masked(details: str = "details") -> str:
-    prefix = o.lit(fixed.SECRET_FOUND)
-    return f"CASE WHEN starts_with({details}, {prefix}) THEN {details}[:length({prefix}) + 4] || '***' ELSE {details} END"
-
-
-WRITTEN = f"{o.WITH}, found AS {o.findings_sql()} SELECT rule, status, {_masked()} AS details, path AS notebook_path, {o.audit_id()} AS audit_id FROM found"
+WRITTEN = f"{o.WITH}, found AS {o.findings_sql()} SELECT rule, status, {o.masked()} AS details, path AS notebook_path, {o.audit_id()} AS audit_id FROM found"
 FIELDS = ["rule", "status", "details", "notebook_path", "audit_id"]
 
 
@@ -455,7 +567,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str, schema: str | T.StructTy
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
 
 
-@query("str1_scheduled_audit", o.all_findings_sql())
+@query("str1_scheduled_audit", o.all_findings_sql("schedule-0"))
 def str1(spark, sf_dir):
     """Notebooks arriving on a stream, audited in one scheduled run."""
     arriving = notebooks_from(stream(spark, sf_dir, "documents", DOCUMENTS))

@@ -245,6 +245,11 @@ def findings_sql(settings=tuple(ON_BY_DEFAULT), domains=tuple(DOMAINS), override
     return "(" + " UNION ALL ".join(f"({part})" for part in parts) + ")"
 
 
+def masked(details: str = "details") -> str:
+    prefix = lit(f.SECRET_FOUND)
+    return f"CASE WHEN starts_with({details}, {prefix}) THEN {prefix} || '***' ELSE {details} END"
+
+
 def audit_id(
     run_id: str = "", path: str = "path", copy: str = "'1'", domain: str = "domain", key: str = "rule_key", rule: str = "rule", seq: str = "seq"
 ) -> str:

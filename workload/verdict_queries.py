@@ -396,7 +396,7 @@ def all_responses(asked: DataFrame) -> DataFrame:
     return responses(asked.select("request_id"))
 
 
-@query("fnd2_all_rules_in_one_pass", f"{WHOLE_AUDIT} SELECT {SHOWN}, {o.audit_id()} AS audit_id FROM everything")
+@query("fnd2_all_rules_in_one_pass", f"{WHOLE_AUDIT} SELECT {SHOWN.replace('details', o.masked() + ' AS details', 1)}, {o.audit_id()} AS audit_id FROM everything")
 def all_rules(spark, sf_dir):
     """Text rules, code verdicts and title verdicts: the corpus is read and searched once."""
     whole = audit.open_audit(corpus(spark, sf_dir))
