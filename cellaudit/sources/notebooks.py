@@ -116,10 +116,6 @@ def _at(variant: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(variant, f"$.{name}", kind)
 
 
-def _present_but_not(variant: Column, name: str, kind: str) -> Column:
-    return _at(variant, name, "variant").isNotNull() & _at(variant, name, kind).isNull()
-
-
 def _looks_like_object(content: Column) -> Column:
     # The parser accepts any JSON value; an object opens and closes the text.  Texts
     # are trimmed only where needed.
@@ -129,17 +125,51 @@ def _looks_like_object(content: Column) -> Column:
     return opens & closes
 
 
-def notebook_language(document: Column) -> Column:
+# Notebooks are read in one of two ways.  Most have the usual shape: their cells are a list
+# of objects.  Of these only the parts that are used are kept, each as a value of its own,
+# and whatever else there is (outputs above all) is skipped as it is read, so its size does
+# not matter.  Others, and texts that are no JSON at all, are read whole, as one value.
+#
+# The parser stops after the first value.  So a text is read as the first element of a list
+# whose second one holds the text's length: whatever follows the object is an error or makes
+# the list another one.  A text that holds the list's own name is read the other way.
+_NAME, _ODD = "whole notebook and its length", "other shape"
+_CELL = "struct<cell_type:variant,source:variant,title:variant>"
+_USUAL = f"struct<`{_NAME}`:array<struct<metadata:variant,cells:array<{_CELL}>,length:bigint>>,`{_ODD}`:string>"
+
+
+def _usual_shape(content: Column, size: Column) -> Column:
+    """The notebook's used parts beside its length; ``_ODD`` is set where the shape is another one."""
+    around = (F.lit('{"' + _NAME + '":['), F.lit(',{"length":'), F.lit("}]}"))
+    options = {**JSON_OPTIONS, "columnNameOfCorruptRecord": _ODD}
+    return F.from_json(F.concat(around[0], content, around[1], size.cast("string"), around[2]), _USUAL, options)
+
+
+def _whole_value(content: Column, size: Column) -> Column:
+    listed = F.concat(F.lit("["), content, F.lit(","), size.cast("string"), F.lit("]"))
+    return F.from_json(listed, "array<variant>", JSON_OPTIONS)
+
+
+def notebook_language(metadata: Column) -> Column:
     """Language the kernel names, lower-cased; ``python`` where none is given."""
-    return F.lower(F.coalesce(_at(document, "metadata.kernelspec.language", "string"), F.lit("python")))
+    return F.lower(F.coalesce(_at(metadata, "kernelspec.language", "string"), F.lit("python")))
 
 
-def _language_is_text(document: Column) -> Column:
-    name = "metadata.kernelspec.language"
-    given = _at(document, name, "variant")
+def _language_is_text(metadata: Column) -> Column:
+    given = _at(metadata, "kernelspec.language", "variant")
     return given.isNull() | (F.schema_of_variant(given) == "STRING")
 
 
+def _is_map(value: Column) -> Column:
+    """Of a value that may be missing."""
+    return value.isNull() | F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def _usual_parts(cell: Column) -> Column:
+    kind = F.try_variant_get(cell["cell_type"], "$", "string")
+    return F.struct(kind.alias("cell_type"), cell["source"].alias("source"), cell["title"].alias("title"), F.lit(False).alias("not_a_cell"))
+
+
 def _cell_parts(cell: Column) -> Column:
     return F.struct(
         _at(cell, "cell_type", "string").alias("cell_type"),
@@ -199,35 +229,47 @@ def parse_notebooks(corpus: DataFrame) -> DataFrame:
     ``readable`` is false for text that is no JSON object or whose language
     cannot be read; such a notebook gets one access finding and nothing else.
     ``cells_problem`` says why cells cannot be walked at all; problems of single
-    cells sit in the cells.  Other columns (``copies``) pass through.
+    cells sit in the cells.  Other columns (``copies``) pass through.  Sets the session
+    option by which the last one of keys given twice counts.
     """
     # Of keys given twice the last one counts.
     corpus.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     carried = [c for c in corpus.columns if c not in ("path", "content")]
 
-    # The parser stops after the first value.  So the text is read as the first element
-    # of a list whose second one is the text's length: whatever follows the object is
-    # an error or makes the list another one.
-    content = F.col("content")
-    size = F.length(content)
-    listed = F.from_json(F.concat(F.lit("["), content, F.lit(","), size.cast("string"), F.lit("]")), "array<variant>", JSON_OPTIONS)
-    read = corpus.select("path", *carried, size.alias("size"), F.when(_looks_like_object(content), listed).alias("listed"))
-    whole = (F.size("listed") == 2) & (F.try_variant_get(F.get("listed", F.lit(1)), "$", "bigint") == F.col("size"))
-    parsed = read.select("path", *carried, F.when(whole, F.get("listed", F.lit(0))).alias("document"))
-    doc = F.col("document")
+    content, size = F.col("content"), F.col("size")
+    sized = corpus.select("path", *carried, content, F.length(content).alias("size"), _looks_like_object(content).alias("object"))
+    read = sized.select("*", F.when(F.col("object"), _usual_shape(content, size)).alias("usual"))
+    listed = F.col("usual")[_NAME]
+    first = F.get(listed, F.lit(0))
+    usual = (
+        F.col("usual")[_ODD].isNull()
+        & (F.size(listed) == 2)
+        & (F.get(listed, F.lit(1))["length"] == size)
+        & ~F.exists(first["cells"], lambda cell: cell.isNull())
+        & ~F.contains(content, F.lit(_NAME))
+    )
+    split = read.select("path", *carried, "content", "size", "object", F.when(usual, first).alias("kept"))
+    odd = F.col("object") & F.col("kept").isNull()
+    valued = split.select("path", *carried, "size", "kept", F.when(odd, _whole_value(content, size)).alias("listed"))
+    whole = (F.size("listed") == 2) & (F.try_variant_get(F.get("listed", F.lit(1)), "$", "bigint") == size)
+    parsed = valued.select("path", *carried, "kept", F.when(whole, F.get("listed", F.lit(0))).alias("document"))
+    kept, doc = F.col("kept"), F.col("document")
+    described = parsed.select(
+        "path", *carried, "kept", "document", F.when(kept.isNotNull(), kept["metadata"]).otherwise(_at(doc, "metadata", "variant")).alias("metadata")
+    )
+    metadata = F.col("metadata")
     readable = (
-        doc.isNotNull()
-        & ~_present_but_not(doc, "metadata", "map<string,variant>")
-        & ~_present_but_not(doc, "metadata.kernelspec", "map<string,variant>")
-        & _language_is_text(doc)
+        (kept.isNotNull() | doc.isNotNull()) & _is_map(metadata) & _is_map(_at(metadata, "kernelspec", "variant")) & _language_is_text(metadata)
     )
-    unpacked = parsed.select(
+    unpacked = described.select(
         "path",
         *carried,
         readable.alias("readable"),
-        notebook_language(doc).alias("language"),
-        _at(doc, "cells", "variant").isNotNull().alias("has_cells"),
-        F.transform(_at(doc, "cells", "array<variant>"), _cell_parts).alias("parts"),
+        notebook_language(metadata).alias("language"),
+        (kept.isNotNull() | _at(doc, "cells", "variant").isNotNull()).alias("has_cells"),
+        F.when(kept.isNotNull(), F.transform(kept["cells"], _usual_parts))
+        .otherwise(F.transform(_at(doc, "cells", "array<variant>"), _cell_parts))
+        .alias("parts"),
     )
     cells = F.transform(F.transform("parts", _cell_kinds), _cell)
     none = F.array().cast("array<struct<pos:int,cell_type:string,source:array<string>,title:string,"

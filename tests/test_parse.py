@@ -34,6 +34,42 @@ def test_readable(spark):
     assert [r["language"] for r in rows] == ["python"] * len(good) + [None] * len(bad)
 
 
+def read_whole(spark, contents):
+    """The same notebooks, none of them in the usual way."""
+    before = source._NAME
+    source._NAME, usual = "cell", source._USUAL
+    source._USUAL = usual.replace(before, "cell")
+    try:
+        return parsed(spark, contents)
+    finally:
+        source._NAME, source._USUAL = before, usual
+
+
+def test_both_ways_of_reading_agree(spark):
+    cells = [
+        {"cell_type": "code", "source": ["a"]}, {"cell_type": "code", "source": "a", "title": None}, {"cell_type": 5, "source": ["a", 1]}, {"cell_type": None},
+        {"Source": ["x"]}, {}, {"cell_type": "markdown", "source": None, "title": 3, "outputs": [{"text": ["x" * 50]}]}, {"title": {"a": []}, "source": []}, None, 5, [1], "s",
+    ]
+    books = [json.dumps({"cells": [c]}) for c in cells] + [json.dumps({"cells": cells[:k]}) for k in range(9)]
+    books += [json.dumps({"metadata": m, "cells": [cells[0]]}) for m in (None, [], {}, {"kernelspec": None}, {"kernelspec": {"language": "SQL"}}, {"kernelspec": {"language": 3}}, 7, "m")]
+    books += ['{"cells":null}', '{"cells":{}}', '{"cells":"s"}', '{"cells":[]}', "{}", '{"cells":[{"source":["a"]}]', '{"cells":[]},{"cells":[]}', '{"cells":[{"outputs":01}]}', '{"cells":[{"source":["a"],"source":["b"]}],"cells":[{"source":["c"]}]}']
+    books += ['{"cells":[]}],"%s":[{"cells":[]}' % source._NAME, json.dumps({"cells": [code_cell(source._NAME)]}), '{"cells":[{"source":["\\u0041\\n"]}],"x":[NaN,-Infinity]}', '{"cells":[{"outputs":"\t"}]}']
+    assert parsed(spark, books) == read_whole(spark, books)
+    by_path = {r["path"]: r for r in parsed(spark, books)}
+    trick = books.index('{"cells":[]}],"%s":[{"cells":[]}' % source._NAME)
+    assert not by_path[str(trick)]["readable"] and by_path[str(trick + 1)]["cells"][0]["source"] == [source._NAME]
+
+
+def test_outputs_of_any_size_are_skipped(spark):
+    """More than one value may hold; only the cells' own parts are kept."""
+    rows = spark.range(1).select(
+        F.lit("/big").alias("path"),
+        F.concat(F.lit('{"cells":[{"cell_type":"code","source":["SELECT * FROM t"],"outputs":[{"data":"'), F.repeat(F.lit("0123456789"), 20_000_000), F.lit('"}]}]}')).alias("content"),
+    )
+    found = engine.validate(rows).filter(F.col("status") == fixed.FAILED).select("rule").collect()
+    assert fixed.LABEL_SELECT_STAR in {r["rule"] for r in found} and fixed.ACCESS_LABEL not in {r["rule"] for r in found}
+
+
 def test_last_of_repeated_keys_counts(spark):
     (row,) = parsed(spark, ['{"cells": [{"cell_type": "markdown", "cell_type": "code", "source": ["a"], "source": ["b"]}]}'])
     assert [(c["cell_type"], c["source"]) for c in row["cells"]] == [("code", ["b"])]
