@@ -185,17 +185,17 @@ TAGGED = "struct<status:string,details:string,request_id:string,batch:int,titles
 FINDING, QUESTION, TITLES_ASKED = "finding", "question", "titles"
 
 
-def evaluated(
+def slotted(
     notebooks: DataFrame,
     catalog: Sequence[Setting],
     extra: Sequence[Rule] = (),
     *,
     text_rules: bool = True,
     questions: Sequence[Question] = (),
-) -> tuple[DataFrame, list[tuple]]:
-    """``(notebook_path, slot, seq, row)`` of one narrow pass, and what the slots stand for.
+) -> tuple[DataFrame, list[tuple[tuple, Column]]]:
+    """Notebooks with what was found in them, and the slots: labels and rows made of it.
 
-    Order of slots is domain, rule; ``seq`` counts the rows of one slot.
+    Order of slots is domain, rule.
     """
     active = active_rules(catalog, extra)
     reads = domain_reads(catalog, active)
@@ -246,10 +246,25 @@ def evaluated(
     coded = prepared(base.withColumns(cell_scans) if cell_scans else base)
     if questions:
         scans["code_hash"] = F.sha2("code", 256)
-    searched = coded.withColumns(scans) if scans else coded
-    copies = copies_of(searched)
     if not slots:
         slots.append((ACCESS, F.array().cast(f"array<{TAGGED}>")))
+    return (coded.withColumns(scans) if scans else coded), slots
+
+
+def evaluated(
+    notebooks: DataFrame,
+    catalog: Sequence[Setting],
+    extra: Sequence[Rule] = (),
+    *,
+    text_rules: bool = True,
+    questions: Sequence[Question] = (),
+) -> tuple[DataFrame, list[tuple]]:
+    """``(notebook_path, slot, seq, row)`` of one narrow pass, and what the slots stand for.
+
+    ``seq`` counts the rows of one slot.
+    """
+    searched, slots = slotted(notebooks, catalog, extra, text_rules=text_rules, questions=questions)
+    copies = copies_of(searched)
     by_slot = searched.select(
         F.col("path").alias("notebook_path"), *copies, F.posexplode(F.array(*[rows for _, rows in slots])).alias("slot", "rows")
     )

@@ -13,6 +13,9 @@ from .engine import validate
 from .rules.base import Rule
 
 
+SNAPSHOT = ["path", "content_hash", "rules_version"]
+
+
 def snapshot(
     corpus: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), extra: Sequence[Rule] = ()
 ) -> DataFrame:
@@ -22,18 +25,47 @@ def snapshot(
     )
 
 
+def write_snapshot(seen: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Keeps a snapshot as a table of the session's catalog, bucketed by path.
+
+    ``buckets`` should be no fewer than the session's shuffle partitions: then the next
+    run compares bucket by bucket, and only its own paths and hashes are shuffled.
+    """
+    writer = seen.select(*SNAPSHOT).write.bucketBy(buckets, "path").sortBy("path").mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def upserted(before: DataFrame, seen: DataFrame) -> DataFrame:
+    """The snapshot after a run that looked at some notebooks: theirs replaced, others kept."""
+    now = seen.select(*[F.col(c).alias(f"now_{c}") for c in SNAPSHOT])
+    joined = before.select(*SNAPSHOT).join(now, F.col("path") == F.col("now_path"), "full_outer")
+    return joined.select(*[F.when(F.col("now_path").isNotNull(), F.col(f"now_{c}")).otherwise(F.col(c)).alias(c) for c in SNAPSHOT])
+
+
 # ---- INC1 ------------------------------------------------------------------------
+def unlike_before(seen: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows of a snapshot that ``before`` doesn't have, compared path by path.
+
+    The join is on the path alone; hashes are compared in its condition, in a form that
+    isn't taken for a key, so that a snapshot bucketed by path needs no shuffle.
+    """
+    was = before.select(*[F.col(c).alias(f"was_{c}") for c in SNAPSHOT])
+    same = F.col("path") == F.col("was_path")
+    for name in ("content_hash", "rules_version"):
+        same = same & (F.col(name) <= F.col(f"was_{name}")) & (F.col(name) >= F.col(f"was_{name}"))
+    return seen.select(*SNAPSHOT).join(was, same, "left_anti")
+
+
 def changed_paths(
     corpus: DataFrame, before: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), extra: Sequence[Rule] = ()
 ) -> DataFrame:
     """Paths that are new, have new content, or were last audited under other rules.
 
-    Only paths and hashes are shuffled.  The result is stored: it is used more
-    than once, and its true size then decides how notebooks are joined to it.
+    Only paths and hashes are shuffled, those of ``before`` not at all if it is bucketed
+    (``write_snapshot``).  The result is stored: it is used more than once, and its true
+    size then decides how notebooks are joined to it.
     """
-    keys = ["path", "content_hash", "rules_version"]
-    changed = snapshot(corpus, catalog, extra).join(before.select(*keys), keys, "left_anti")
-    return shared.stored(changed.select("path"), "changed")
+    return shared.stored(unlike_before(snapshot(corpus, catalog, extra), before).select("path"), "changed")
 
 
 def changed_only(corpus: DataFrame, changed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _counts() -> list[Column]:
     ]
 
 
-def _pass_rate(total: Column, passed: Column) -> Column:
+def pass_rate(total: Column, passed: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(passed / total)
 
 
@@ -33,7 +33,7 @@ def summary_total(findings: DataFrame) -> DataFrame:
     counted = findings.agg(F.count(F.lit(1)).alias("total_results"), *_counts())
     return counted.withColumnsRenamed(
         {"passed": "passed_results", "failed": "failed_results", "pending": "pending_results"}
-    ).withColumn("pass_rate", _pass_rate(F.col("total_results"), F.col("passed_results")))
+    ).withColumn("pass_rate", pass_rate(F.col("total_results"), F.col("passed_results")))
 
 
 # ---- AGG2, AGG3 ------------------------------------------------------------------

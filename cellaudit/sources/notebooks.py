@@ -6,6 +6,10 @@ projection: no shuffle and no Python, whatever the number of notebooks.
 
 from __future__ import annotations
 
+import os
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +29,34 @@ BAD_TITLE = "cell title is not a string"
 
 
 # ---- SRC1 ------------------------------------------------------------------
-def load_notebook_files(spark: SparkSession, location: str, suffix: str = ".ipynb") -> DataFrame:
-    """One row per notebook file under ``location``; path as seen from there."""
+def load_notebook_files(spark: SparkSession, *locations: str, suffix: str = ".ipynb") -> DataFrame:
+    """One row per notebook file under the locations; path as seen from its location.
+
+    A location is a folder, or a pattern that names folders (``/exports/*/nightly``), in
+    any store that Spark reads.  Spark lists folders, in parallel where there are many,
+    and every task reads its share of the files.
+    """
+    if not locations:
+        raise ValueError("name a folder of notebooks")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
-    # Spark names files by their qualified, encoded path; the root is put in that form, too.
-    where = spark._jvm.org.apache.hadoop.fs.Path(location)
-    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    full = F.regexp_replace(decoded, "^file:/+", "file:/")
-    after_root = F.substr(full, F.lit(len(root) + 1))
-    return files.text(location, wholetext=True).select(
-        F.regexp_replace(after_root, rf"\Q{suffix}\E$", "").alias("path"), F.col("value").alias("content")
-    )
+    found = []
+    for location in locations:
+        # Spark names files by their qualified, encoded path; the parts behind the location's own are kept.
+        decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        parts = F.split(F.regexp_replace(decoded, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", ""), "/")
+        below = F.slice(parts, F.lit(_depth(location) + 1), F.size(parts))
+        path = F.concat(F.lit("/"), F.regexp_replace(F.array_join(below, "/"), rf"\Q{suffix}\E$", ""))
+        found.append(files.text(location, wholetext=True).select(path.alias("path"), F.col("value").alias("content")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _depth(location: str) -> int:
+    """How many parts the path of a location has; one without a store is a local path if relative."""
+    named = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", location)
+    path = location[named.end() :] if named else location
+    if not path.startswith("/") and not named:
+        path = os.path.abspath(path)
+    return len([part for part in path.split("/") if part not in ("", ".")])
 
 
 def decode_notebooks(exported: DataFrame, encoded: str = "content_b64") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.helpers import code_cell, corpus, findings, notebook
 
 from cellaudit.functions import fixed, shared
-from cellaudit.operators import engine, extend, summary
+from cellaudit.operators import counts, engine, extend, summary
 from cellaudit.operators.catalog import DEFAULT_CATALOG, Setting, attach_severity, enable_rules, read_catalog, rule_catalog, rules_version
 from cellaudit.operators.rules import failed, passed
 from workload.fixture import corpus as made_corpus
@@ -206,3 +206,20 @@ def test_listing_order(spark):
     assert [r["seq"] for r in listed if r["rule"] == fixed.LABEL_NULLABILITY] == [0, 1]
     names = [f"{name} Error" for domain, name in fixed.DOMAIN_NAMES.items() if domain != fixed.CUSTOM]
     assert set(names) <= set(fixed.LABEL_ORDER)
+
+
+def test_counts_equal_the_summaries_of_findings(spark, stored):
+    found = engine.validate(stored)
+    for whole in (counts.counted(stored), counts.counted(stored).stored()):
+        for a, b in (
+            (whole.by_rule(), summary.summary_by_rule(found)), (whole.by_notebook(), summary.summary_by_notebook(found)),
+            (whole.total(), summary.summary_total(found)), (whole.cube(), summary.summary_cube(found)),
+        ):
+            assert a.columns == b.columns and sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+    plan = plan_of(counts.counted(stored).by_rule())
+    assert "Generate" not in plan and "Expand" in plan
+    # notebooks that were requested more often than once
+    twice = stored.withColumn("copies", F.lit(2).cast("long"))
+    assert sorted(counts.counted(twice).by_rule().collect()) == sorted(summary.summary_by_rule(engine.validate(twice)).collect())
+    nothing = counts.counted(stored.limit(0))
+    assert nothing.by_rule().count() == 0 and tuple(nothing.total().first()) == tuple(summary.summary_total(found.limit(0)).first())

@@ -49,13 +49,31 @@ def test_small_change_lists_do_not_move_notebooks(spark):
 
 def test_only_hashes_are_shuffled_to_find_changes(spark):
     now = shared.stored(books(spark, a="x"), "corpus")
-    keys = ["path", "content_hash", "rules_version"]
-    joined = incremental.snapshot(now).join(incremental.snapshot(now), keys, "left_anti")
+    joined = incremental.unlike_before(incremental.snapshot(now), incremental.snapshot(now))
     plan = joined._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanges and all("content#" not in line for line in exchanges)
 
 
+def test_a_bucketed_snapshot_is_not_shuffled(spark, tmp_path):
+    first, second = books(spark, a="x", b="y", gone="z"), books(spark, a="x", b="other", new="w")
+    incremental.write_snapshot(incremental.snapshot(first), "seen_before", 8, str(tmp_path / "seen"))
+    before, now = spark.table("seen_before"), shared.stored(second, "corpus")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (incremental.unlike_before(incremental.snapshot(now), before), incremental.upserted(before, incremental.snapshot(now))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "SelectedBucketsCount: 8 out of 8" in plan
+        assert sorted(r["path"] for r in incremental.changed_paths(now, before).collect()) == ["b", "new"]
+        after = incremental.upserted(before, incremental.snapshot(second))
+        assert sorted(r["path"] for r in after.collect()) == ["a", "b", "gone", "new"]
+        assert incremental.changed_paths(second, shared.stored(after, "after")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE seen_before")
+
+
 @pytest.fixture(scope="module")
 def secret(spark):
     return engine.validate(books(spark, a='password = "hunter2, & \'more"\nCREATE TABLE "x" (a VARCHAR(3))'))

@@ -1,6 +1,7 @@
 """Cases found in review: trailing text, long words, days, runs, file names, versions."""
 
 import datetime
+import os
 import re
 import time
 
@@ -123,8 +124,13 @@ def test_file_names(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(GOOD)
     want = {"/my dir/a b", "/a+b", "/100%", "/nb/x", "/nb/nb/x", "/x"}
-    for location in (str(root), f"{root}/", f"file://{root}"):
+    for location in (str(root), f"{root}/", f"file://{root}", f"file:{root}", os.path.relpath(root)):
         assert {r.path for r in notebooks.load_notebook_files(spark, location).collect()} == want
+    several = notebooks.load_notebook_files(spark, f"{root}/my dir", f"file://{root}/n*")
+    assert sorted(r.path for r in several.collect()) == ["/a b", "/nb/x", "/x"]
+    assert [r.path for r in notebooks.load_notebook_files(spark, f"{root}/{{nb,none}}/nb").collect()] == ["/x"]
+    with pytest.raises(ValueError):
+        notebooks.load_notebook_files(spark)
 
 
 def test_version_ignores_order(spark):

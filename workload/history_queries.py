@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cellaudit.functions import fixed, shared
 from cellaudit.functions.days import utc_day, utc_time
-from cellaudit.operators import engine, incremental, summary
+from cellaudit.operators import counts, engine, incremental, summary
 from cellaudit.operators.catalog import DEFAULT_CATALOG, rule_catalog
 from cellaudit.plans import reports
 from cellaudit.sources import findings as store
@@ -110,8 +110,18 @@ def agg2(spark, sf_dir):
 
 @query("agg2_rules_of_the_corpus", f"{o.WITH}, found AS {o.findings_sql()} SELECT rule, {COUNTS} FROM found GROUP BY rule")
 def agg2_corpus(spark, sf_dir):
-    """Summary of an audit as it is evaluated."""
-    return summary.summary_by_rule(engine.validate(corpus(spark, sf_dir)))
+    """Summary of an audit, counted where findings would be made."""
+    return counts.counted(corpus(spark, sf_dir)).by_rule()
+
+
+@query(
+    "agg4_cube_of_the_corpus",
+    f"""{o.WITH}, found AS {o.findings_sql()} SELECT CASE grouping_id(rule, path) WHEN 3 THEN 'total' WHEN 1 THEN 'rule' ELSE 'notebook' END AS level, rule, path AS notebook_path, {COUNTS}
+    FROM found GROUP BY GROUPING SETS ((), (rule), (path))""",
+)
+def agg4_corpus(spark, sf_dir):
+    """All three summaries of an audit from its counters."""
+    return counts.counted(corpus(spark, sf_dir)).stored().cube()
 
 
 @query("agg3_summary_by_notebook", f"{WITH} SELECT notebook_path, {COUNTS} FROM history GROUP BY notebook_path")
@@ -458,6 +468,18 @@ def inc1(spark, sf_dir):
     return incremental.changed_only(now, changed).select("path")
 
 
+@query(
+    "inc1_changed_against_a_bucketed_snapshot",
+    f"{o.WITH} SELECT path FROM nb JOIN documents ON doc_id = d WHERE lang = 'fr' OR (n_chars > 3000 AND k <> {o.fx.CELLS_OBJECT})",
+)
+def inc1_bucketed(spark, sf_dir):
+    """The snapshot kept as a bucketed table; compared without shuffling it."""
+    location = shared.new_location(spark, "snapshot")
+    name = "snapshot_" + location.rsplit("-", 1)[1]
+    incremental.write_snapshot(incremental.snapshot(corpus_before(spark, sf_dir)), name, 16, location)
+    return incremental.changed_paths(corpus(spark, sf_dir), spark.table(name))
+
+
 @query("inc2_reuse_unchanged", o.all_findings_sql())
 def inc2(spark, sf_dir):
     """Old findings kept and changed notebooks audited again: as if all had been."""

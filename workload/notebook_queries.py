@@ -51,6 +51,25 @@ def src1(spark, sf_dir):
     return books.select("path", "readable", F.when(fine, F.sha2("code", 256)).alias("code_sha"))
 
 
+@query(
+    "src1_load_notebook_files",
+    f"{o.WITH} SELECT path, readable, CASE WHEN {INTACT} THEN sha256(code) END AS code_sha FROM nb",
+)
+def src1_files(spark, sf_dir):
+    """Every notebook written as a file of its own, in folders by user, and read back from two patterns."""
+    location = shared.new_location(spark, "exports")
+    user = F.regexp_extract("path", "/u([0-9]+)/", 1).cast("int")
+    half = F.when(user < 10, "low").otherwise("high")
+    files = corpus(spark, sf_dir).select(half.alias("half"), user.alias("user"), F.col("path").alias("name"), F.col("content").alias("value"))
+    files.repartition("user").write.partitionBy("half", "user", "name").text(location)
+    books = source.load_notebook_files(spark, f"{location}/half=low/user=*", f"{location}/half=h*/*", suffix=".txt")
+    # what is left of the path is the folder named by the notebook, and Spark's name of the file
+    named = F.url_decode(F.replace(F.regexp_extract("path", "^/name=([^/]+)/part-[^/]+$", 1), F.lit("+"), F.lit("%2B")))
+    found = engine.prepared(books.select(named.alias("path"), "content"))
+    fine = F.col("readable") & engine.code_problem().isNull()
+    return found.select("path", "readable", F.when(fine, F.sha2("code", 256)).alias("code_sha"))
+
+
 CHOSEN = ["/Workspace/Users/u0/nb0", "/Users/u7/nb7", "/Users/u11/nb111", "/Users/u1/nb1"]
 
 
