@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, shared
 from .catalog import DEFAULT_CATALOG, Setting
 from .engine import copies_of, slotted
-from .rules.base import Rule
+from .rules.base import Rule, no_rows
 from .summary import pass_rate
 
 COUNTS = [status.lower() for status in fixed.STATUSES]
@@ -26,11 +26,16 @@ COUNTS = [status.lower() for status in fixed.STATUSES]
 def _counted(rows: Column, copies: Column | None) -> Column:
     """How many rows of a slot have each status."""
 
-    def number(status: str) -> Column:
-        n = F.when(rows.isNull(), 0).otherwise(F.size(F.filter(rows, lambda row: row["status"] == status))).cast("long")
-        return n if copies is None else n * copies
+    def numbers(found: Column) -> Column:
+        def number(status: str) -> Column:
+            n = F.size(F.filter(found, lambda one: one == status)).cast("long")
+            return n if copies is None else n * copies
 
-    return F.struct(*[number(status).alias(status.lower()) for status in fixed.STATUSES])
+        return F.struct(*[number(status).alias(status.lower()) for status in fixed.STATUSES])
+
+    statuses = F.transform(F.coalesce(rows, no_rows()), lambda row: row["status"])
+    # One-element array: binds the statuses so they are gathered once.
+    return F.get(F.transform(F.array(statuses), numbers), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -44,17 +49,17 @@ class Counted:
         return [f"slot_{k}" for k in range(len(self.rules))]
 
     def by_rule(self) -> DataFrame:
-        sums = {c: lambda slot, c=c: F.coalesce(F.sum(F.col(slot)[c]), F.lit(0)) for c in COUNTS}
-        whole = self.counters.agg(*[F.struct(*[total(slot).alias(c) for c, total in sums.items()]).alias(slot) for slot in self._slots()])
+        sums = [", ".join(f"coalesce(sum({slot}.{c}), 0L) AS {c}" for c in COUNTS) for slot in self._slots()]
+        whole = self.counters.agg(*[F.expr(f"struct({listed}) AS {slot}") for listed, slot in zip(sums, self._slots(), strict=True)])
         rule = F.create_map(*[F.lit(x) for pair in zip(self._slots(), self.rules, strict=True) for x in pair])
         each = whole.unpivot([], self._slots(), "slot", "counts").select(F.element_at(rule, F.col("slot")).alias("rule"), "counts.*")
         summed = each.groupBy("rule").agg(*[F.sum(c).alias(c) for c in COUNTS])
-        return summed.filter(sum((F.col(c) for c in COUNTS), F.lit(0)) > 0)
+        return summed.filter(" + ".join(COUNTS) + " > 0")
 
     def by_notebook(self) -> DataFrame:
-        own = [sum((F.col(slot)[c] for slot in self._slots()), F.lit(0)).alias(c) for c in COUNTS]
+        own = [F.expr(" + ".join(f"{slot}.{c}" for slot in self._slots()) + f" AS {c}") for c in COUNTS]
         summed = self.counters.select("notebook_path", *own).groupBy("notebook_path").agg(*[F.sum(c).alias(c) for c in COUNTS])
-        return summed.filter(sum((F.col(c) for c in COUNTS), F.lit(0)) > 0)
+        return summed.filter(" + ".join(COUNTS) + " > 0")
 
     def total(self) -> DataFrame:
         summed = self.by_rule().agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_results") for c in COUNTS])
