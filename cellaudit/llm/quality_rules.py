@@ -116,15 +116,15 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).pivot("rate", list(SLACK)).agg(F.first("fence"))
 
 
-def judged(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with one more column, a struct of measures and ``kept``; and its name.
+def judged(docs: DataFrame, unused: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """``docs`` without ``unused``, with a struct of measures and ``kept``; and its name.
 
-    The measures are computed once, with the columns of ``docs`` beside them, into the
-    shared folder.  Fences are few rows, one per language and source, written too, so
+    The measures are computed once, with the other columns of ``docs`` beside them, into
+    the shared folder; texts that nobody asks for afterwards needn't be written there.  Fences are few rows, one per language and source, written too, so
     that the join knows their size.
     """
     name = fresh(docs, "measures")
-    df = stored(measured(docs, name), "measured")
+    df = stored(measured(docs, name).drop(*unused), "measured")
     sketch = stored(sketches(df, name), "sketch")
     own, wide = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"])
     both = own.alias("o").join(wide.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")))
@@ -144,7 +144,7 @@ def judged(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """One row per document with its counts and whether it is kept."""
-    df, name = judged(docs.select("doc_id", "text", "lang", "source"))
+    df, name = judged(docs.select("doc_id", "text", "lang", "source"), unused=("text",))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return df.select("doc_id", *(f"{name}.{c}" for c in counts))
 

@@ -3,13 +3,16 @@
 A rule names a host and the start of a path; it fits that host and its subdomains, and
 the longest rule that fits a url decides.  Other urls get their host's verdict.  Hosts
 form a graph: a host is tied to each host that its pages link to, and to the domain one
-label above it, both ways, since neighbours on one domain have one owner.  Trust is a
+label above it, both ways, since neighbours on one domain have one owner.
+Names under which anyone can register (``SUFFIXES``, a parameter) tie nobody.  Trust is a
 personalised PageRank that starts from hosts in the measure in which rules allow their
 pages; distrust is one over reversed edges that starts where rules block them.  A host
 whose distrust exceeds its trust is blocked, all others are allowed.
 
-Both ranks are columns of the same rounds: an edge-host join and a sum by host.  Rounds
-are written to the shared folder every few steps.
+Both ranks are columns of the same rounds: an edge-host join and a sum by host.  Rounds go
+on until no new host is reached and no rank moves by more than a stated part of itself
+(``SETTLED``), so a host is judged however far it lies from the rules.  Rounds are written
+to the shared folder every few steps.
 
 Defined results: a null url or one without ``://`` has empty host and path and, like
 every host that no rank reaches, is allowed unless a rule fits; null html has no links;
@@ -34,9 +37,18 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
+#: Names whose subdomains belong to different owners.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "me.uk", "net.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "org.nz", "co.jp", "ne.jp", "or.jp",
+    "com.br", "org.br", "com.cn", "net.cn", "org.cn", "co.in", "co.kr", "or.kr", "co.za", "com.mx", "com.tr", "com.ar", "com.pl", "com.tw",
+    "blogspot.com", "github.io", "wordpress.com", "herokuapp.com", "netlify.app", "pages.dev",
+)
 DAMPING = 0.85
-ROUNDS = 12
-WRITTEN = 4
+#: Rounds between two looks at whether ranks have settled, and the part of itself by which a settled rank still moves.
+WRITTEN = 8
+SETTLED = 1e-3
+#: Rounds of the SQL beside the query: 0.85 to the 48th is less than a thousandth.
+SQL_ROUNDS = 48
 #: Ranks that differ by less than this part of them are equal: room for the order of sums.
 TIE = 1e-9
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^"'/?#\s>]+)"""
@@ -71,18 +83,19 @@ def fitting(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return own.join(rules, "rule_host").groupBy("host").agg(F.collect_set(fits).alias("rules"))
 
 
-def edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+def edges(pages: DataFrame, hosts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(src, dst, weight) between different hosts."""
     target = F.regexp_replace(_lower(F.col("target")), r"^[^@]*@|:\d+$", "")
     linked = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("target"))
     linked = linked.select("src", target.alias("dst")).where("src <> '' AND dst <> ''")
     chain = hosts.where("host <> ''").select(F.explode(F.filter(_suffixes(F.col("host")), lambda d: F.contains(d, F.lit(".")))).alias("src")).distinct()
     above = chain.select("src", F.expr("substring(src, instr(src, '.') + 1)").alias("dst")).where("contains(dst, '.')")
+    above = above.where(~F.col("dst").isin(*suffixes)) if suffixes else above
     both = linked.unionByName(above).unionByName(above.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust); ``seeds``: host, allowed, blocked, as numbers of pages.
 
     What arrives at a host without edges to go on is lost; only comparisons of the two
@@ -98,13 +111,19 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
         F.col("host").alias("src"), F.lit(kind).alias("kind"), (F.col(column) / F.lit(float(total[kind] or 1))).alias("rank")
     )
     start = stored(part("allowed", "trust").unionByName(part("blocked", "distrust")), "seeds")
-    rank = start
-    for k in range(1, rounds + 1):
-        moved = graph.join(rank, ["src", "kind"]).select(F.col("dst").alias("src"), "kind", (damping * F.col("share") * F.col("rank")).alias("rank"))
-        stays = start.select("src", "kind", ((1 - damping) * F.col("rank")).alias("rank"))
-        rank = moved.unionByName(stays).groupBy("src", "kind").agg(F.sum("rank").alias("rank"))
-        if k % WRITTEN == 0 and k < rounds:
-            rank = stored(rank, "rank")
+    stays = start.select("src", "kind", ((1 - damping) * F.col("rank")).alias("rank"))
+    rank, last, moving = start, start, True
+    while moving:
+        for _ in range(WRITTEN):
+            last = rank
+            moved = graph.join(rank, ["src", "kind"]).select(F.col("dst").alias("src"), "kind", (damping * F.col("share") * F.col("rank")).alias("rank"))
+            rank = moved.unionByName(stays).groupBy("src", "kind").agg(F.sum("rank").alias("rank"))
+        # the last two rounds, side by side; the round before is not kept
+        both = rank.join(last.withColumnRenamed("rank", "was"), ["src", "kind"], "left")
+        both = stored(both, "rank")
+        moves = F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > settled * F.col("rank"))
+        moving = not both.where(moves).isEmpty()
+        rank = both.select("src", "kind", "rank")
     value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return rank.groupBy(F.col("src").alias("host")).agg(value("trust"), value("distrust"))
 
@@ -129,16 +148,17 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in SQL, round by round."""
+    """The same in SQL, round by round; as many as ranks need to settle to ``SETTLED``."""
     rules = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in RULES)
     rounds = "".join(
         f""", r{k} AS MATERIALIZED (
   SELECT src, kind, sum(rank) AS rank FROM (
     SELECT g.dst AS src, g.kind, {DAMPING} * g.share * r.rank AS rank FROM graph g JOIN r{k - 1} r ON g.src = r.src AND g.kind = r.kind
     UNION ALL SELECT src, kind, {1 - DAMPING} * rank FROM r0) GROUP BY src, kind)"""
-        for k in range(1, ROUNDS + 1)
+        for k in range(1, SQL_ROUNDS + 1)
     )
     link = LINK.replace("'", "''")
+    suffixes = ", ".join(f"'{x}'" for x in SUFFIXES)
     return f"""
 WITH RECURSIVE rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 rest AS (
@@ -153,7 +173,8 @@ rest AS (
   SELECT host FROM parts WHERE contains(host, '.') UNION
   SELECT substring(src, instr(src, '.') + 1) FROM up WHERE contains(substring(src, instr(src, '.') + 1), '.')
 ), above AS (
-  SELECT src, substring(src, instr(src, '.') + 1) AS dst FROM up WHERE contains(substring(src, instr(src, '.') + 1), '.')
+  SELECT src, substring(src, instr(src, '.') + 1) AS dst FROM up
+  WHERE contains(substring(src, instr(src, '.') + 1), '.') AND substring(src, instr(src, '.') + 1) NOT IN ({suffixes})
 ), linked AS (
   SELECT src, regexp_replace(translate(t, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '^[^@]*@|:\\d+$', '', 'g') AS dst
   FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS t FROM parts)
@@ -170,8 +191,8 @@ rest AS (
 ), r0 AS MATERIALIZED (
   SELECT src, kind, n / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds
 ){rounds}, bad AS (
-  SELECT src FROM r{ROUNDS} GROUP BY src
-  HAVING round(coalesce(sum(rank) FILTER (kind = 'distrust'), 0), 9) > round(coalesce(sum(rank) FILTER (kind = 'trust'), 0), 9)
+  SELECT src FROM r{SQL_ROUNDS} GROUP BY src
+  HAVING coalesce(sum(rank) FILTER (kind = 'distrust'), 0) > coalesce(sum(rank) FILTER (kind = 'trust'), 0) * (1 + {TIE})
 )
 SELECT page_id, host, path, rule,
   coalesce(rule_verdict, CASE WHEN host IN (SELECT src FROM bad) THEN 'block' ELSE 'allow' END) AS verdict

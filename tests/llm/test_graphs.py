@@ -144,3 +144,20 @@ def test_many_hosts_of_a_name(spark):
     rules = url_rank.rule_table(spark, [("b.org/", "block"), ("a.b.org/", "allow")])
     pages = spark.createDataFrame([(1, "http://b.org/x", ""), (2, "http://x.a.b.org/y", ""), (3, "http://ab.org/", "")], "page_id long, url string, html string")
     assert [(r.rule, r.verdict) for r in url_rank.judged(pages, rules).orderBy("page_id").collect()] == [("b.org/", "block"), ("a.b.org/", "allow"), (None, "allow")]
+
+
+def test_hosts_far_from_every_rule(spark):
+    """However many links away, and whatever the direction of the ones between."""
+    rules = url_rank.rule_table(spark, [("h40.org/", "block"), ("good.org/", "allow")])
+    chain = [(i, f"http://h{i}.org/", f'<a href="//h{i + 1}.org/">') for i in range(40)] + [(40, "http://h40.org/", ""), (41, "http://good.org/", '<a href="//kept.net/">'), (42, "http://kept.net/", "")]
+    pages = spark.createDataFrame(chain, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in url_rank.judged(pages, rules).collect()}
+    assert {found[i] for i in range(41)} == {"block"} and found[41] == found[42] == "allow"
+
+
+def test_nothing_leaks_over_public_suffixes(spark):
+    rules = url_rank.rule_table(spark, [("evil.co.uk/", "block"), ("bad.example.org/", "block")])
+    urls = ["evil.co.uk", "bbc.co.uk", "deep.shop.co.uk", "a.evil.co.uk", "bad.example.org", "next.example.org"]
+    pages = spark.createDataFrame([(i, f"http://{h}/", "") for i, h in enumerate(urls)], "page_id long, url string, html string")
+    found = {urls[r.page_id]: r.verdict for r in url_rank.judged(pages, rules).collect()}
+    assert found == {h: "allow" if h in ("bbc.co.uk", "deep.shop.co.uk") else "block" for h in urls}
