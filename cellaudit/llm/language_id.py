@@ -14,8 +14,9 @@ which at most ``ERROR`` of the predictions are wrong.
 Defined results: null texts and texts without a letter are ``und`` with score 0 and are
 rejected; languages are what the learnable rows name, null ones are not learned; with a
 single language every text with a letter is that one, with none ``und``; texts of any
-length are read in pieces of bounded memory; repeated rows get equal results; an empty
-table gives none.
+length are read in pieces of bounded memory; of languages that tie, the first by name is
+predicted; repeated rows get equal results; an empty table gives none; further columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations

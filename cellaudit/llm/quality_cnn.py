@@ -12,8 +12,9 @@ sample is balanced, the scores are shifted back to the labels' true shares.
 
 Defined results: null and empty texts are one chunk of padding; texts of any length are
 read in pieces of bounded memory; repeated rows get equal scores; without rows of both
-labels every score is the share of label 1, 0.5 if there are no labels at all; further
-columns are handed on.
+labels every score is the share of label 1, 0.5 if there are no labels at all; a score of
+exactly 0.5 counts as good; an empty table gives no rows; further columns are handed on by
+``kept_documents``, whatever their names, and not looked at by ``scored``.
 """
 
 from __future__ import annotations

@@ -86,6 +86,16 @@ def test_odd(spark, docs, labels, odd):
     assert all(found[k].lang_pred == "und" and found[k].score == 0 for k in (1, 2, 3, 4)) and found[5].lang_pred == "en" and found[7].lang_pred != "und"
 
 
+def test_empty_tables_and_clashing_names(spark, docs, labels):
+    few = docs.limit(300)
+    clash = few.withColumnsRenamed({"source": "score", "n_chars": "predicted"}).selectExpr("*", "1 AS held_out", "'x' AS lang_pred", "2 AS label", "3 AS apart", "4 AS whole")
+    net, model, names = quality_cnn.train(docs, labels, per_label=40), toxicity.train(docs, labels, per_label=40), language_id.train(docs, per_language=40)
+    for score in (lambda d: quality_cnn.scored(d, net), lambda d: toxicity.scored(d, model), lambda d: language_id.identified(d, names)):
+        assert score(docs.where("1 = 0")).count() == 0
+        assert sorted(score(clash).collect()) == sorted(score(few).collect())
+    assert toxicity.train(clash, labels).constant is None and quality_cnn.kept_documents(clash, labels).columns == clash.columns
+
+
 def test_nothing_to_learn(spark, docs, labels, odd):
     none = labels.where("1 = 0")
     assert {r.score for r in quality_cnn.scored(odd, quality_cnn.train(docs, none)).collect()} == {0.5}
@@ -134,3 +144,68 @@ def test_model_holds_all_common_words_and_bigrams(spark):
     held = set(model.pairs.tolist())
     assert {number[a.encode()] * size + number[b.encode()] for a in some for b in some} <= held
     assert number[b"w7"] * size + number[b"bad"] in held
+
+
+def plain_kneser_ney(rows):
+    """Both classes' probabilities by loops and dictionaries: (p(class, history, word), vocabulary)."""
+    common = toxicity.COMMON
+    texts = [(label, toxicity.words(t)) for label, t in rows]
+    often = Counter(w for _, x in texts for w in x)
+    listed = {w for w, n in often.items() if n >= common}
+    counts = ({}, {})
+    for label, x in texts:
+        for pair in set(zip(["<s>", *x], x, strict=False)):
+            counts[label][pair] = counts[label].get(pair, 0) + 1
+    types = set(counts[0]) | set(counts[1])
+    before = Counter(w for _, w in types)
+    vocabulary = {w for w in listed if before[w] >= common}
+    total, different = sum(before.values()), len(before)
+    shared = lambda w: (2 * before[w] + 1 if w in vocabulary else 1) * 0.5 / (total + 0.5 * (different + 1))
+    off = lambda values: toxicity.discounts(*(sum(v == k for v in values) for k in range(1, 5)))
+    less = lambda n, d: max(n - d[min(n, 3)], 0)
+    models = []
+    for c in (0, 1):
+        own = Counter(w for _, w in counts[c])
+        d_own, d_pairs = off(own.values()), off(counts[c].values())
+        kept = {w: less(own[w], d_own) for w in vocabulary}
+        mass = max(sum(own.values()), 1)
+        follows = Counter()
+        for (h, _), n in counts[c].items():
+            follows[h] += n
+        known = {p for p in types if counts[0].get(p, 0) + counts[1].get(p, 0) >= common and p[1] in vocabulary and (p[0] == "<s>" or p[0] in vocabulary)}
+        seen = {p: less(counts[c].get(p, 0), d_pairs) / max(follows[p[0]], 1) for p in known}
+        left = Counter()
+        for (h, _), x in seen.items():
+            left[h] += x
+        models.append((kept, mass, seen, left))
+
+    def probability(c, h, w):
+        kept, mass, seen, left = models[c]
+        h = h if h == "<s>" or h in vocabulary else None
+        below = (kept.get(w, 0) + (mass - sum(kept.values())) * shared(w)) / mass
+        return seen.get((h, w), 0) + (1 - left[h]) * below
+
+    return probability, vocabulary
+
+
+def test_probabilities_and_windows_by_plain_loops(spark):
+    rng = np.random.default_rng(12)
+    common = [f"w{i}" for i in range(12)]
+    rows = []
+    for k in range(400):
+        label = k % 2
+        weights = np.arange(1, 13) ** (1.5 if label else 0.5)
+        found = list(rng.choice(common, rng.integers(0, 9), p=weights / weights.sum()))
+        rows.append((label, " ".join([*found, *(["bad thing"] if label and k % 3 == 0 else []), f"rare{k % 90}"])))
+    model = toxicity._count(spark.createDataFrame(rows, "label int, text string").repartition(3))
+    probability, vocabulary = plain_kneser_ney(rows)
+    assert set(model.vocabulary) == vocabulary and b"bad" in vocabulary and b"thing" not in vocabulary  # it follows one word only
+    texts = [t for _, t in rows[:40]] + ["", "w1", "w1 w1 w1 w2", "rare1 rare2 w3", "bad thing w5 w6 w7 w8 w9 unknown", "W3, w4!"]
+    for text, (whole, worst) in zip(texts, model.differences(texts), strict=True):
+        x = toxicity.words(text)
+        h = ["<s>", *x]
+        place = lambda w: w if w == "<s>" or w in vocabulary else None
+        value = [0.0 if place(a) == place(b) else np.log(probability(1, a, b)) - np.log(probability(0, a, b)) for a, b in zip(h, x, strict=False)]
+        assert whole == pytest.approx(sum(value) / len(x) if x else 0.0, abs=1e-9)
+        spans = [value[i : i + toxicity.WINDOW] for i in range(max(len(x) - toxicity.WINDOW, 0) + 1)]
+        assert worst == pytest.approx(max(np.mean(s) for s in spans) if x else 0.0, abs=1e-9)

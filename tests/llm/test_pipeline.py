@@ -62,3 +62,16 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, SF)
     assert df.count() == 0
+
+
+def test_clashing_columns(spark):
+    """Further columns, whatever their names, go through all stages but the last."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["measures", "Kept", "score", "masked_text", "digest", "component_id", "n_shingles", "predicted", "held_out", "f_lang", "label", "ids"]
+    df = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    plain, wide = docs, df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = (corpus_pipeline.stored(stage(spark, x, SF), "stage") for x in (plain, wide))
+        assert wide.columns == df.columns
+    assert sorted(wide.select(docs.columns).collect(), key=str) == sorted(plain.collect(), key=str)
+    assert all(r[n] == f"{n}{r.doc_id}" for r in wide.collect() for n in names)
