@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet to the shared folder and read back as the next one's documents.  All stages but
-the last return the columns that they were given.  Empty tables pass through; what the
-stages make of nulls, ties and repeated rows is written in their operators.
+the last return the columns that they were given, whatever their names.  Empty tables
+pass through; what the stages make of nulls, ties and repeated rows is written in their
+operators.
 """
 
 from __future__ import annotations
