@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from cellaudit.functions import fixed, shared
 from cellaudit.functions.days import utc_day, utc_time
 from cellaudit.operators import counts, engine, incremental, summary
-from cellaudit.operators.catalog import DEFAULT_CATALOG, rule_catalog
+from cellaudit.operators.catalog import rule_catalog
 from cellaudit.plans import reports
 from cellaudit.sources import findings as store
 from cellaudit.streaming import jobs
