@@ -20,8 +20,9 @@ model, which the driver gathers and every task holds, grows with the different w
 bigrams found so often.  Scores read whole texts.
 
 Defined results: null texts and texts without words have difference 0; texts of any
-length are read; repeated rows get equal scores; without rows of both labels every score
-is the share of label 1, 0 without labels; an empty table gives no rows.
+length are read; repeated rows get equal scores, and so do texts of equal differences;
+without rows of both labels every score is the share of label 1, 0 without labels; an
+empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -284,7 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     quarter = F.pmod(F.shiftright(F.xxhash64("doc_id"), 9), F.lit(4)) == 0
     marked = marked.withColumn("apart", chosen(marked, "doc_id", "label", per_label) & quarter)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = stored(texts.join(marked, "doc_id"), "learned")
+    # at every size a hash join that builds the narrow side: labels are never sent whole, texts never sorted
+    rows = stored(texts.join(marked.hint("shuffle_hash"), "doc_id"), "learned")
     model = _count(rows.where("NOT apart"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
