@@ -62,8 +62,9 @@ class _Lanes:
         # a guess and its confidence: 12 and 3 bits
         self.one, self.two = np.zeros(n * self.most, np.uint16), np.zeros(n * CONTEXTS, np.uint16)
         lane = np.arange(n)
-        self.at_one, self.at_two, self.at_weight, self.at_slot = lane * self.most, lane * CONTEXTS, lane * 24, lane * PARTS
-        self.weight, self.tries, self.hits = np.full(n * 24, START), np.zeros(n * 24), np.zeros(n * 24)
+        self.at_one, self.at_two, self.at_weight, self.at_slot = lane * self.most, lane * CONTEXTS, lane * 48, lane * PARTS
+        # two places for each order, confidence and agreement: what missed and what hit
+        self.weight, self.found = np.full(n * 48, START), np.zeros(n * 48)
         self.last, self.older = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.counts = np.zeros((n, self.most), np.int32)
         self.slots = np.empty((n, PARTS), np.uint16) if slots else None
@@ -76,11 +77,10 @@ class _Lanes:
             return
         if t:
             for tried in self.tried[:, : t - self.renewed, :a]:
-                found = np.bincount(tried.reshape(-1), minlength=48 * len(self.kinds))
-                self.tries += found[0::2] + found[1::2]
-                self.hits += found[1::2]
-            share = (self.hits + START) / (self.tries + 1.0)
-            self.weight = np.clip(share, LOWEST, HIGHEST)
+                self.found += np.bincount(tried.reshape(-1), minlength=len(self.found))
+            hits = self.found[1::2]
+            share = (hits + START) / (self.found[0::2] + hits + 1.0)
+            self.weight = np.repeat(np.clip(share, LOWEST, HIGHEST), 2)
             places = (steps[self.renewed : t, :a] + self.at_one[:a]).reshape(-1)
             self.counts[:a] += np.bincount(places, minlength=a * self.most).reshape(a, self.most).astype(np.int32)
         # one part for each id, the others by count; what rounding leaves goes to the first id
@@ -108,10 +108,10 @@ class _Lanes:
         self.q1, self.q2 = self.e1 & 7, self.e2 & 7
         self.other = self.c1 != self.c2
         k1, k2 = self.tried[0, t - self.renewed, :a], self.tried[1, t - self.renewed, :a]
-        np.add(self.at_weight[:a], self.q1, k1)
-        k1 += 16
-        np.add(self.at_weight[:a], self.q2, k2)
-        k2 += self.other.view(np.int8) << 3
+        np.add(self.at_weight[:a], self.e1 << 1 & 14, k1)
+        k1 += 32
+        np.add(self.at_weight[:a], self.e2 << 1 & 14, k2)
+        k2 += self.other.view(np.int8) << 4
         self.k1, self.k2 = k1, k2
         self.s2 = self.weight.take(k2)
         self.s2 *= span
@@ -128,17 +128,15 @@ class _Lanes:
     def learn(self, a: int, ids: np.ndarray, wide: np.ndarray, hit2: np.ndarray) -> None:
         """``ids``: the places as 16-bit numbers; ``wide``: the same as 64-bit ones."""
         hit1 = self.c1 == ids
-        for k, hit in ((self.k1, hit1), (self.k2, hit2)):
-            k += k
-            k += hit
+        self.k1 += hit1
+        self.k2 += hit2
         fresh = ids << 3
         for table, at, e, q, hit in ((self.one, self.i1, self.e1, self.q1, hit1), (self.two, self.i2, self.e2, self.q2, hit2)):
             q += hit.view(np.uint8) << 3
             e += _NEXT.take(q)
             np.copyto(e, fresh, where=q == 0)
             table[at] = e
-        self.older[:a] = self.last[:a]
-        self.last[:a] = wide
+        self.older, self.last = self.last, wide
 
 
 def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
