@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, shared
@@ -23,19 +23,11 @@ from .summary import pass_rate
 COUNTS = [status.lower() for status in fixed.STATUSES]
 
 
-def _counted(rows: Column, copies: Column | None) -> Column:
-    """How many rows of a slot have each status."""
-
-    def numbers(found: Column) -> Column:
-        def number(status: str) -> Column:
-            n = F.size(F.filter(found, lambda one: one == status)).cast("long")
-            return n if copies is None else n * copies
-
-        return F.struct(*[number(status).alias(status.lower()) for status in fixed.STATUSES])
-
-    statuses = F.transform(F.coalesce(rows, no_rows()), lambda row: row["status"])
-    # One-element array: binds the statuses so they are gathered once.
-    return F.get(F.transform(F.array(statuses), numbers), F.lit(0))
+def _counted(slot: int, copies: bool) -> str:
+    """How many rows of a slot have each status, from the column of its statuses."""
+    times = " * copies" if copies else ""
+    numbers = [f"cast(size(filter(statuses_{slot}, s -> s = '{status}')) AS bigint){times} AS {status.lower()}" for status in fixed.STATUSES]
+    return f"struct({', '.join(numbers)}) AS slot_{slot}"
 
 
 @dataclass(frozen=True)
@@ -82,6 +74,9 @@ class Counted:
 def counted(notebooks: DataFrame, catalog: Sequence[Setting] = tuple(DEFAULT_CATALOG), *, extra: Sequence[Rule] = ()) -> Counted:
     """Counts what the text of the notebooks decides, as ``engine.validate`` would find it."""
     searched, slots = slotted(notebooks, catalog, extra)
-    copies = F.col("copies") if copies_of(searched) else None
-    counters = searched.select(F.col("path").alias("notebook_path"), *[_counted(rows, copies).alias(f"slot_{k}") for k, (_, rows) in enumerate(slots)])
+    copies = copies_of(searched)
+    # Statuses are columns of their own, so that a slot's rows are made once.
+    statuses = [F.coalesce(rows, no_rows())["status"].alias(f"statuses_{k}") for k, (_, rows) in enumerate(slots)]
+    found = searched.select(F.col("path").alias("notebook_path"), *copies, *statuses)
+    counters = found.select("notebook_path", *[F.expr(_counted(k, bool(copies))) for k in range(len(slots))])
     return Counted(counters, tuple(label[2] for label, _ in slots))
