@@ -9,7 +9,8 @@ night that asks the same.  The store is a folder:
 New questions are found by an anti-join on ids.  They are scored in slices; a slice is one
 job whose files count from the moment its row stands in the manifest.  A run that dies
 leaves all complete slices; the next one asks only what they lack.  Within a slice a lost
-task asks again what was its own part, ``per_task`` questions at most.
+task asks again what was its own part: ``per_task`` questions at most, or, in a run of more
+than ``MOST_SLICES`` such slices, its share of so many larger ones.
 
 One run writes to a store at a time.  Answers that are errors are kept; ``retry_errors``
 asks those questions again, and a later answer takes the place of an error.
@@ -30,6 +31,19 @@ SCHEMA = "request_id string, content string, error string"
 MANIFEST = "slice string, run string, number int, questions long, at timestamp"
 #: Questions of one task, and tasks at once, unless told otherwise.
 PER_TASK, PARALLELISM = 256, 32
+#: Slices of one run.  Each costs three short jobs, whatever it holds; more questions make them larger.
+MOST_SLICES = 64
+#: Text, in bytes, that one task is given where answers go to no store.
+TASK_BYTES = 256 << 20
+
+
+def dealt(requests: DataFrame, slices: int) -> list[DataFrame]:
+    """Stored requests in ``slices`` parts, told apart by the hash of the id: repeatable, and even whatever the texts are."""
+    if slices <= 1:
+        return [requests] * slices
+    number = F.pmod(F.xxhash64("request_id"), F.lit(slices)).cast("int")
+    rows = shared.stored(requests.withColumn("number", number), "slices", by="number")
+    return [rows.filter(F.col("number") == k).select(*requests.columns) for k in range(slices)]
 
 
 def answered_by(answer: Callable[[str, str], str]) -> Callable[[Iterator], Iterator]:
@@ -111,18 +125,15 @@ class ResponseStore:
         """Asks what the store can't answer yet, and returns all its answers.
 
         ``requests``: ``(request_id, system, user)``, each question once.  They are put
-        into slices of ``parallelism`` tasks and stored, then scored slice by slice.
+        into slices of ``parallelism`` tasks, ``MOST_SLICES`` at most, and stored, then
+        scored slice by slice.
         """
         pending = requests.join(self.known(retry_errors), "request_id", "left_anti")
         pending = shared.stored(pending.select("request_id", "system", "user"), "pending")
         total = pending.count()
-        slices = -(-total // (parallelism * per_task))
-        # told apart by the hash of the id: repeatable, and even whatever the texts are
-        number = F.pmod(F.xxhash64("request_id"), F.lit(max(slices, 1))).cast("int")
-        dealt = shared.stored(pending.withColumn("number", number), "slices", by="number") if slices > 1 else pending.withColumn("number", F.lit(0))
-        for k in range(slices):
+        slices = min(-(-total // (parallelism * per_task)), MOST_SLICES)
+        for k, part in enumerate(dealt(pending, slices)):
             name = uuid.uuid4().hex
-            part = dealt.filter(F.col("number") == k).select("request_id", "system", "user")
             scored = part.repartition(parallelism, "request_id").mapInPandas(answered_by(answer), SCHEMA)
             target = f"{self.location}/answers/slice={name}"
             scored.write.parquet(target)
