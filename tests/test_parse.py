@@ -114,6 +114,23 @@ def test_notebook_files(spark, tmp_path):
     assert sorted((r["path"], r["code"]) for r in books.collect()) == [("/Users/me/b", "Users/me/b.ipynb"), ("/a", "a.ipynb")]
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.ipynb").write_text(notebook(code_cell(f"x = {i}")))
+    context, before = spark.sparkContext, spark.conf.get(source.LISTING)
+    context.setJobGroup("listing", "")
+    try:
+        books = source.load_notebook_files(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup("listing") for k in tracker.getJobInfo(job).stageIds]
+    assert 0 < sum(stage.numTasks for stage in stages) <= 4 * context.defaultParallelism
+    assert spark.conf.get(source.LISTING) == before
+    assert sorted(r["path"] for r in books.collect()) == sorted(f"/f{i}/a" for i in range(120))
+
+
 def test_requested_paths(spark, tmp_path):
     lines = tmp_path / "paths.txt"
     lines.write_text("  /Workspace/a \n\n/a\n/a\n\t/b \n   \n/missing\n")
