@@ -177,6 +177,17 @@ def test_many_questions_make_larger_slices(spark, tmp_path, model, monkeypatch):
     assert kept.slices().count() == 3
 
 
+def test_answers_without_a_store_are_asked_in_rounds_of_bounded_text(spark, model, monkeypatch):
+    monkeypatch.setattr(responses, "TASK_BYTES", 200, raising=False)
+    requests = spark.range(60).select(F.col("id").cast("string").alias("request_id"), F.lit("s").alias("system"), F.lit("x" * 40).alias("user"))
+    scored = verdicts.score_requests(requests, model, 2)
+    assert sorted(int(r["request_id"]) for r in scored.collect()) == list(range(60)) and model.calls() == 60
+    # a file for each task of each round: 2,460 bytes are seven rounds of two tasks
+    assert 7 <= len(scored.inputFiles()) <= 14
+    empty = verdicts.score_requests(requests.limit(0), model, 2)
+    assert empty.count() == 0 and empty.columns == ["request_id", "content", "error"]
+
+
 def test_errors_can_be_asked_again(spark, tmp_path, model):
     requests = spark.createDataFrame([(str(i), "s", u) for i, u in enumerate(["fine", "bad", "fine too"])], verdicts.REQUEST_SCHEMA)
     kept = ResponseStore(spark, str(tmp_path / "store"))
