@@ -266,21 +266,33 @@ def regressions(history: DataFrame, roster: DataFrame | None = None) -> DataFram
     says something about each rule that the notebook has ever had rows of: without a
     row, the rule does not fail.  ``roster`` (``notebook_path`` and the columns of its
     run) says what runs looked at; by default that is every notebook they have rows of.
-    Findings are first reduced to one row per notebook, rule and run, so a window group
-    has as many rows as there were runs, however many findings.
+    Runs of a notebook are numbered.  Only failures are compared then: a rule newly fails
+    where its failure has none in the run before, and is newly fixed in the run after one
+    that has no other.  Failures are first reduced to one row per notebook, rule and run, so
+    a window group has at most as many rows as there were runs, however many findings.
     """
     key = ["notebook_path", "rule"]
     named = "validation_run_id" in history.columns
     run, when = ("validation_run_id", "validation_timestamp") if named else ("run_date", "run_date")
-    per_run = history.groupBy(*key, run).agg(F.bool_or(F.col("status") == fixed.FAILED).alias("failed"), F.max(when).alias("at"))
-    looked = per_run.groupBy("notebook_path", run).agg(F.max("at").alias("at"))
-    if roster is not None:
-        more = roster.groupBy("notebook_path", run).agg(F.max(when).alias("at"))
-        looked = looked.unionByName(more).groupBy("notebook_path", run).agg(F.max("at").alias("at"))
-    ever = per_run.select(*key).distinct()
-    every = looked.join(ever, "notebook_path").join(per_run.drop("at"), [*key, run], "left")
-    dense = every.withColumn("failed", F.coalesce("failed", F.lit(False)))
-    before = F.lag("failed").over(Window.partitionBy(*key).orderBy("at", run))
-    changed = dense.withColumn("failed_before", before).filter(F.col("failed") != F.col("failed_before"))
-    days = [utc_day(F.col("at")).alias("run_date")] if named else []
-    return changed.select(*key, run, *days, F.when(F.col("failed"), "newly failing").otherwise("newly fixed").alias("change"))
+
+    def seen(rows: DataFrame) -> DataFrame:
+        return rows.select("notebook_path", F.col(run).alias("run"), F.col(when).alias("at"))
+
+    looked = (seen(history) if roster is None else seen(history).unionByName(seen(roster))).groupBy("notebook_path", "run").agg(F.max("at").alias("at"))
+    in_turn = Window.partitionBy("notebook_path").orderBy("at", "run")
+    runs = looked.select("*", F.row_number().over(in_turn).alias("n"), F.lead(F.struct("run", "at")).over(in_turn).alias("next"))
+    # a rule or run without a name is never compared, as it equals no other
+    failures = history.filter((F.col("status") == fixed.FAILED) & F.col("rule").isNotNull()).select(*key, F.col(run).alias("run")).distinct()
+    by_rule = Window.partitionBy(*key).orderBy("n")
+    compared = failures.join(runs, ["notebook_path", "run"]).select(
+        "*", F.lag("n").over(by_rule).eqNullSafe(F.col("n") - 1).alias("failed_before"), F.lead("n").over(by_rule).eqNullSafe(F.col("n") + 1).alias("fails_after")
+    )
+    changes = F.array_compact(
+        F.array(
+            F.when((F.col("n") > 1) & ~F.col("failed_before"), F.struct("run", "at", F.lit("newly failing").alias("change"))),
+            F.when(F.col("next").isNotNull() & ~F.col("fails_after"), F.struct("next.run", "next.at", F.lit("newly fixed").alias("change"))),
+        )
+    )
+    changed = compared.select(*key, F.explode(changes).alias("c"))
+    days = [utc_day(F.col("c.at")).alias("run_date")] if named else []
+    return changed.select(*key, F.col("c.run").alias(run), *days, "c.change")
