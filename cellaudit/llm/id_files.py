@@ -19,8 +19,8 @@ share of the document's checksum.  Shares of one document are put together by ex
 or, so a document that spans many blocks is summed before anything is shuffled.  Starts
 are the ids of the parts before, from the narrow columns alone.
 
-Ids are those of the tokenizers library: ``packing.Encoder`` computes them some three times
-faster, and tests hold them against the library.
+Ids are those of the tokenizers library: ``packing.Encoder`` computes them several times
+faster, words that texts share only once, and tests hold them against the library.
 
 Defined results: null and empty texts are the end id alone; texts of any length are coded
 whole; rows with equal doc_id are each a document, in order of their text's hash; rows
@@ -42,12 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packing, range_coder
-from .tables import workspace
+from .tables import in_slices, workspace
 
 END = 0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Blocks that are coded side by side.
 GROUP = range_coder.LANES
+#: Bytes of text whose words are encoded together.
+TEXTS = 1 << 23
 
 PIECE = "struct<doc_id:long,row:long,offset:long,length:long,total:long>"
 SCHEMA = f"part int, block long, start long, n_ids long, docs array<{PIECE}>, data binary"
@@ -66,11 +68,11 @@ def coded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Data
     """The rows of the files, as in the module's text."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = packing.encoder(vocabulary).encode, np.array([end], "<u4").tobytes()
+        encode_all = packing.encoder(vocabulary).encode_all
         group = _Group(TaskContext.get().partitionId())
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from group.add(key, encode(text.as_py()) + last)
+        for some in (part for batch in batches for part in in_slices(batch, "text", TEXTS)):
+            for key, ids in zip(some.column(0).to_pylist(), encode_all(some.column(1).to_pylist(), end), strict=True):
+                yield from group.add(key, ids)
         yield from group.flush(range_coder.BLOCK - 1)
 
     return in_order(docs).mapInArrow(code, SCHEMA)

@@ -39,8 +39,12 @@ START, LOWEST, HIGHEST = 0.25, 0.02, 0.97
 #: The range's lower end.
 LEAST = float(1 << 34)
 _WINDOW, _DIGIT = float(1 << 50), 65536.0
-#: What a guess of confidence q (0 to 7) becomes after a miss (q) or a hit (q + 8); a missed one of 0 is replaced.
-_NEXT = np.array([0, -1, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int16).view(np.uint16)
+#: What a confidence is changed by: two numbers for each from 0 to 7, after a miss and after a hit.
+_CHANGE = np.array([0, 1, -1, 1, -1, 1, -2, 1, -2, 1, -3, 1, -3, 1, -4, 0], np.int16).view(np.uint16)
+#: Constants as arrays, which take less time in each operation than Python's numbers.
+_THREE, _SEVEN, _FIFTEEN = np.array(3, np.uint16), np.array(7, np.uint16), np.array(15)
+#: Steps that are prepared and counted together.
+_COUNTED = 64
 _HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("listed", "<u2"), ("ids", "<u4"), ("kinds", "<u4"), ("digits", "<u4"), ("crc", "<u4"), ("body", "<u4")])
 
 
@@ -59,83 +63,102 @@ class _Lanes:
         n = len(lengths)
         self.active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         self.kinds, self.most = kinds, int(kinds.max())
-        # a guess and its confidence: 12 and 3 bits
-        self.one, self.two = np.zeros(n * self.most, np.uint16), np.zeros(n * CONTEXTS, np.uint16)
+        # a guess and its confidence: 12 and 3 bits; first those of order 1, then those of order 2
+        self.table = np.zeros(n * (self.most + CONTEXTS), np.uint16)
         lane = np.arange(n)
-        self.at_one, self.at_two, self.at_weight, self.at_slot = lane * self.most, lane * CONTEXTS, lane * 48, lane * PARTS
+        self.at_one, self.at_slot = lane * self.most, lane * PARTS
+        self.at_guess = np.stack([self.at_one, n * self.most + lane * CONTEXTS])
+        self.at_weight = np.stack([lane * 48 + 32, lane * 48])
         # two places for each order, confidence and agreement: what missed and what hit
         self.weight, self.found = np.full(n * 48, START), np.zeros(n * 48)
         self.last, self.older = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.counts = np.zeros((n, self.most), np.int32)
         self.slots = np.empty((n, PARTS), np.uint16) if slots else None
-        self.renewed, self.next = 0, 0
-        self.tried = np.zeros((2, 0, n), np.int64)
+        self.renewed, self.next, self.counted = 0, 0, 0
+        self.tried = np.empty((_COUNTED, 2, n), np.int64)
+        self.moved, self.kept = np.full(n, _DIGIT), np.ones(n)
 
-    def renew(self, t: int, a: int, steps: np.ndarray) -> None:
-        """Weighs orders 1 and 2 and shares out order 0 anew by the ids before the t-th."""
+    def count(self, t: int, a: int) -> None:
+        """Counts what the guesses before the t-th id were worth."""
+        self.found += np.bincount(self.tried[: t - self.counted, :, :a].reshape(-1), minlength=len(self.found))
+        self.counted = t
+
+    def renew(self, t: int, a: int, rows: np.ndarray) -> None:
+        """Weighs orders 1 and 2 and shares out order 0 anew by the ids before the t-th; a row is a block."""
         if t < self.next:
+            if t - self.counted == _COUNTED:
+                self.count(t, a)
             return
         if t:
-            for tried in self.tried[:, : t - self.renewed, :a]:
-                self.found += np.bincount(tried.reshape(-1), minlength=len(self.found))
+            self.count(t, a)
             hits = self.found[1::2]
             share = (hits + START) / (self.found[0::2] + hits + 1.0)
             self.weight = np.repeat(np.clip(share, LOWEST, HIGHEST), 2)
-            places = (steps[self.renewed : t, :a] + self.at_one[:a]).reshape(-1)
+            places = (rows[:a, self.renewed : t] + self.at_one[:a, None]).reshape(-1)
             self.counts[:a] += np.bincount(places, minlength=a * self.most).reshape(a, self.most).astype(np.int32)
         # one part for each id, the others by count; what rounding leaves goes to the first id
-        free = (PARTS - self.kinds[:a])[:, None]
-        own = self.counts[:a] * free // max(t, 1) + (np.arange(self.most)[None, :] < self.kinds[:a, None])
-        own[:, 0] += PARTS - own.sum(axis=1)
+        free = (PARTS - self.kinds[:a]).astype(np.int32)[:, None]
+        own = self.counts[:a] * free
+        own //= np.int32(max(t, 1))
+        own += np.arange(self.most)[None, :] < self.kinds[:a, None]
+        own[:, 0] += PARTS - own.sum(axis=1, dtype=np.int32)
         if self.slots is not None:
             ids = np.broadcast_to(np.arange(self.most, dtype=np.uint16), (a, self.most)).reshape(-1)
             self.slots[:a] = np.repeat(ids, own.reshape(-1)).reshape(a, PARTS)
         # cumulated parts and an id's own in one number
-        self.shares = ((np.cumsum(own, axis=1) - own) << 13 | own).astype(np.int32).reshape(-1)
+        shares = np.cumsum(own, axis=1, dtype=np.int32)
+        shares -= own
+        shares <<= 13
+        shares |= own
+        self.shares = shares.reshape(-1)
         self.renewed, self.next = t, t + max(32, t // 2)
-        self.tried = np.empty((2, self.next - t, len(self.kinds)), np.int64)
+
+    def shared(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of order 0 of known ids start, and their widths, by step; a row is a block."""
+        shares = _turned(self.shares.take(places + self.at_one[: len(places), None]))
+        return (shares >> 13).astype(float), (shares & 0x1FFF).astype(float)
 
     def predict(self, t: int, a: int, span: np.ndarray) -> None:
         """Guesses, and the widths that they and each part of order 0 have within the range."""
-        last = self.last[:a]
-        self.i1 = self.at_one[:a] + last
-        self.i2 = self.older[:a] * 2741
-        self.i2 += last
-        self.i2 &= CONTEXTS - 1
-        self.i2 += self.at_two[:a]
-        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
-        self.q1, self.q2 = self.e1 & 7, self.e2 & 7
-        self.other = self.c1 != self.c2
-        k1, k2 = self.tried[0, t - self.renewed, :a], self.tried[1, t - self.renewed, :a]
-        np.add(self.at_weight[:a], self.e1 << 1 & 14, k1)
-        k1 += 32
-        np.add(self.at_weight[:a], self.e2 << 1 & 14, k2)
-        k2 += self.other.view(np.int8) << 4
-        self.k1, self.k2 = k1, k2
-        self.s2 = self.weight.take(k2)
-        self.s2 *= span
-        np.floor(self.s2, self.s2)
-        rest = span - self.s2
-        self.s1 = self.weight.take(k1)
-        self.s1 *= rest
-        np.floor(self.s1, self.s1)
-        self.s1 *= self.other
-        rest -= self.s1
+        at = self.at = np.empty((2, a), np.int64)
+        at[0] = self.last[:a]
+        context = self.older[:a] * 2741
+        context += at[0]
+        np.bitwise_and(context, CONTEXTS - 1, at[1])
+        at += self.at_guess[:, :a]
+        self.guess = self.table.take(at.reshape(-1)).reshape(2, a)
+        self.ids = self.guess >> _THREE
+        self.other = self.ids[0] != self.ids[1]
+        # numbers are widened by copies, since operations on mixed kinds of numbers are slow
+        k = self.k = self.tried[t - self.counted, :, :a]
+        place = self.guess & _SEVEN
+        place[1] |= self.other.astype(np.uint16) << _THREE
+        np.copyto(k, place)
+        k += k
+        k += self.at_weight[:, :a]
+        weight = self.weight.take(k.reshape(-1))
+        s1, s2 = self.s1, self.s2 = weight[:a], weight[a:]
+        s2 *= span
+        np.floor(s2, s2)
+        rest = span - s2
+        s1 *= rest
+        np.floor(s1, s1)
+        s1 *= self.other
+        rest -= s1
         rest *= 1 / PARTS
         self.part = np.floor(rest, rest)
 
-    def learn(self, a: int, ids: np.ndarray, wide: np.ndarray, hit2: np.ndarray) -> None:
-        """``ids``: the places as 16-bit numbers; ``wide``: the same as 64-bit ones."""
-        hit1 = self.c1 == ids
-        self.k1 += hit1
-        self.k2 += hit2
-        fresh = ids << 3
-        for table, at, e, q, hit in ((self.one, self.i1, self.e1, self.q1, hit1), (self.two, self.i2, self.e2, self.q2, hit2)):
-            q += hit.view(np.uint8) << 3
-            e += _NEXT.take(q)
-            np.copyto(e, fresh, where=q == 0)
-            table[at] = e
+    def learn(self, ids: np.ndarray, wide: np.ndarray, hit: np.ndarray) -> None:
+        """``ids``: the places as 16-bit numbers; ``wide``: the same as 64-bit ones; ``hit``: which guesses fit."""
+        self.k += hit
+        state = self.k & _FIFTEEN
+        guess = self.guess
+        guess += _CHANGE.take(state)
+        # a guess without confidence that misses is replaced
+        change = (ids << _THREE) - guess
+        change *= (state == 0).astype(np.uint16)
+        guess += change
+        self.table[self.at.reshape(-1)] = guess.reshape(-1)
         self.older, self.last = self.last, wide
 
 
@@ -144,7 +167,7 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
     out: list[bytes] = [b""] * len(blocks)
     order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
     for i in set(range(len(blocks))) - set(order):
-        out[i] = _framed(np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.uint16))
+        out[i] = _framed(np.empty(0, np.uint32), 0, b"", b"")
     for start in range(0, len(order), LANES):
         lanes = order[start : start + LANES]
         for i, coded in zip(lanes, _encode([np.ascontiguousarray(blocks[i], np.uint32) for i in lanes]), strict=True):
@@ -152,93 +175,135 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _kinds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ids, ascending, and each id's place among them."""
-    top = int(ids.max())
-    if top >= 1 << 20:
+def _kinds(ids: np.ndarray, there: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, ascending, and each id's place among them; ``there`` is all false, also afterwards."""
+    if len(there) <= int(ids.max()):
         kinds, places = np.unique(ids, return_inverse=True)
-        return kinds.astype(np.int64), places
-    there = np.zeros(top + 1, bool)
-    there[ids] = True
+        return kinds.astype(np.int64), places.astype(np.uint16)
+    wide = ids.astype(np.int64)
+    there[wide] = True
     kinds = np.flatnonzero(there)
-    rank = np.empty(top + 1, np.int32)
-    rank[kinds] = np.arange(len(kinds), dtype=np.int32)
-    return kinds, rank[ids]
+    there[kinds] = False
+    rank[kinds] = np.arange(len(kinds), dtype=np.uint16)
+    return kinds, rank.take(wide)
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """Columns as rows, some rows at a time, which stay in the processor's cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for i in range(0, len(rows), 32):
+        out[:, i : i + 32] = rows[i : i + 32].T
+    return out
+
+
+def _written(digits: np.ndarray, at: np.ndarray, due: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Puts the digits of some steps that are due behind those written; how many each block got."""
+    due, digit = _turned(due), _turned(digit)
+    counts = np.count_nonzero(due, axis=1)
+    stops = np.cumsum(counts)
+    places = np.repeat(at - (stops - counts), counts)
+    places += np.arange(len(places))
+    digits[places] = digit[due]
+    return counts
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     n, lengths = len(blocks), np.array([len(b) for b in blocks])
-    listed = [_kinds(b) for b in blocks]
+    top = max(int(b.max()) for b in blocks) + 1
+    scratch = min(top, 1 << 20)
+    there, rank = np.zeros(scratch, bool), np.empty(scratch, np.uint16)
+    listed = [_kinds(b, there, rank) for b in blocks]
     model = _Lanes(lengths, np.array([len(kinds) for kinds, _ in listed]), slots=False)
     rows = np.zeros((n, int(lengths[0])), np.uint16)
     for lane, (_, places) in enumerate(listed):
         rows[lane, : len(places)] = places
-    steps = np.ascontiguousarray(rows.T)
+    steps = _turned(rows)
     low, span = np.zeros(n), np.full(n, _WINDOW)
-    digits, at = np.zeros((n, BLOCK // 2 + 8), np.uint32), np.zeros(n, np.int64)
+    # an id takes two digits at most, as shares are no smaller than (1 - HIGHEST) ** 2 / PARTS
+    width = 2 * int(lengths[0]) + 8
+    digits, first = np.zeros(n * width, np.uint32), np.arange(n) * width
+    at = first.copy()
+    begun = ended = row = 0
     for t, a in enumerate(model.active):
-        model.renew(t, a, steps)
+        model.renew(t, a, rows)
+        if t == ended:
+            if t:
+                at += _written(digits, at, due[:row], digit[:row])
+            begun, ended, row = t, min(t + _COUNTED, model.next, len(steps)), 0
+            starts, widths = model.shared(rows[:a, begun:ended])
+            due, digit = np.zeros((2 * _COUNTED, n), bool), np.empty((2 * _COUNTED, n), np.uint32)
         model.predict(t, a, span[:a])
         ids = steps[t, :a]
-        hit2, hit1 = model.c2 == ids, model.c1 == ids
-        hit1 &= model.other
-        full = ids.astype(np.int64)
-        shares = model.shares.take(model.at_one[:a] + full)
-        below, wide = (shares >> 13).astype(float), (shares & 0x1FFF).astype(float)
-        below *= model.part
-        below += model.s1
-        below += model.s2
-        wide *= model.part
-        np.copyto(below, model.s2, where=hit1)
-        np.copyto(wide, model.s1, where=hit1)
-        np.copyto(below, 0.0, where=hit2)
-        np.copyto(wide, model.s2, where=hit2)
+        hit = model.ids == ids
+        s1, s2, hit1, hit2 = model.s1, model.s2, hit[0] & model.other, hit[1]
+        below, wide = starts[t - begun, :a] * model.part, widths[t - begun, :a] * model.part
+        below += s1
+        below += s2
+        below = np.where(hit1, s2, below)
+        wide = np.where(hit1, s1, wide)
+        below *= ~hit2
+        wide = np.where(hit2, s2, wide)
         below += low[:a]
-        due = np.flatnonzero(wide < LEAST)
-        while len(due):
-            x, p = below.take(due), at.take(due)
-            digit = np.floor(x * (_DIGIT / _WINDOW))
-            if p.max() >= digits.shape[1] - 4:
-                digits = np.concatenate([digits, np.zeros_like(digits)], axis=1)
-            digits[due, p] = digit
-            at[due] = p + 1
-            digit *= _WINDOW / _DIGIT
-            x -= digit
-            x *= _DIGIT
-            below[due] = x
-            x = wide.take(due) * _DIGIT
-            wide[due] = x
-            due = due[x < LEAST]
+        # every block has a digit here, but only those that are due are written
+        small = wide < LEAST
+        due[row, :a] = small
+        x = below * (_DIGIT / _WINDOW)
+        np.floor(x, x)
+        x *= small
+        digit[row, :a] = x
+        x *= _WINDOW / _DIGIT
+        below -= x
+        scale = np.where(small, model.moved[:a], model.kept[:a])
+        below *= scale
+        wide *= scale
+        row += 1
+        if wide.min() < LEAST:
+            again = np.flatnonzero(wide < LEAST)
+            x = np.floor(below[again] * (_DIGIT / _WINDOW))
+            due[row, again], digit[row, again] = True, x
+            below[again] = (below[again] - x * (_WINDOW / _DIGIT)) * _DIGIT
+            wide[again] *= _DIGIT
+            row += 1
         low[:a], span[:a] = below, wide
-        model.learn(a, ids, full, hit2)
+        model.learn(ids, ids.astype(np.int64), hit)
+    at += _written(digits, at, due[:row], digit[:row])
     # the last digits: any number in the range names it
     low += span - 1
     for _ in range(4):
-        if at.max() >= digits.shape[1]:
-            digits = np.concatenate([digits, np.zeros((n, 8), np.uint32)], axis=1)
         digit = np.floor(low / (_WINDOW / _DIGIT))
-        digits[np.arange(n), at] = digit
+        digits[at] = digit
         at += 1
         low = (low - digit * (_WINDOW / _DIGIT)) * _DIGIT
-    settled = np.ascontiguousarray(digits[:, : int(at.max())].T)
+    at -= first
+    settled = _turned(digits.reshape(n, width)[:, : int(at.max())])
     for k in range(len(settled) - 1, 0, -1):
         settled[k - 1] += settled[k] >> 16
-    settled = np.ascontiguousarray(settled.T.astype(">u2"))
-    return [_framed(blocks[i], listed[i][0], settled[i, : at[i]]) for i in range(n)]
-
-
-def _framed(ids: np.ndarray, kinds: np.ndarray, digits: np.ndarray) -> bytes:
-    gaps = np.diff(kinds, prepend=-1) - 1
-    spelt = b""
-    if len(kinds):  # seven bits a byte, the lowest first; the highest bit says that more follow
-        left = gaps[:, None] >> np.arange(0, max(1, int(gaps.max()).bit_length()), 7)[None, :]
-        bytes_ = (left & 127 | np.where(left >= 128, 128, 0)).astype(np.uint8)
-        used = np.concatenate([np.ones((len(kinds), 1), bool), left[:, 1:] > 0], axis=1)
-        spelt = bytes_[used].tobytes()
+    settled = _turned(settled.astype(">u2"))
+    spelt = [x for i in range(0, n, 64) for x in _spelt([kinds for kinds, _ in listed[i : i + 64]])]
+    return [_framed(blocks[i], len(listed[i][0]), spelt[i], settled[i, : at[i]].tobytes()) for i in range(n)]
+
+
+def _spelt(listed: list[np.ndarray]) -> list[bytes]:
+    """Each list of ids as the gaps between them: seven bits a byte, the lowest first; the highest bit says that more follow."""
+    lengths = [len(kinds) for kinds in listed]
+    first = np.cumsum([0, *lengths])
+    every = np.concatenate(listed)
+    gaps = np.diff(every, prepend=-1) - 1
+    gaps[first[:-1]] = every[first[:-1]]
+    left = gaps[:, None] >> np.arange(0, max(1, int(gaps.max()).bit_length()), 7)[None, :]
+    bytes_ = (left & 127 | np.where(left >= 128, 128, 0)).astype(np.uint8)
+    used = left > 0
+    used[:, 0] = True
+    data = bytes_[used].tobytes()
+    ends = np.append(0, np.cumsum(np.count_nonzero(used, axis=1)))[first]
+    return [data[low:high] for low, high in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _framed(ids: np.ndarray, kinds: int, spelt: bytes, digits: bytes) -> bytes:
     if len(spelt) > 0xFFFF:
         raise ValueError("a block may hold at most some ten thousand different ids")
-    body = spelt + digits.tobytes()
-    head = np.array([(MAGIC, VERSION, len(spelt), len(ids), len(kinds), len(digits), checksum(ids), 0)], _HEAD)
+    body = spelt + digits
+    head = np.array([(MAGIC, VERSION, len(spelt), len(ids), kinds, len(digits) // 2, checksum(ids), 0)], _HEAD)
     head["body"] = _whole(head[0], body)
     return head.tobytes() + body
 
@@ -293,44 +358,49 @@ def _decode(opened: list[tuple]) -> list[np.ndarray]:
     value = (digits[:, 0] >> 14).astype(float)
     for k in range(3):
         value = value * _DIGIT + shifted[:, k]
-    left, last = np.full(n, 3, np.int64), shifted.shape[1] - 1
+    # an id takes two digits at most, so that nothing is read beyond these
+    left = np.arange(n) * shifted.shape[1] + 3
+    shifted = np.append(shifted, np.zeros(2 * int(lengths[0]) + 8, np.uint16))
     span = np.full(n, _WINDOW)
     steps = np.zeros((int(lengths[0]), n), np.uint16)
     slots = model.slots.reshape(-1)
     for t, a in enumerate(model.active):
-        model.renew(t, a, steps)
+        model.renew(t, a, steps.T)
         model.predict(t, a, span[:a])
-        hit2 = value[:a] < model.s2
-        rest = value[:a] - model.s2
-        hit1 = rest < model.s1
+        s1, s2 = model.s1, model.s2
+        hit2 = value[:a] < s2
+        past = value[:a] - s2
+        hit1 = past < s1
         hit1 &= ~hit2
-        rest -= model.s1
+        rest = past - s1
         slot = rest / model.part
-        np.clip(slot, 0, PARTS - 1, slot)
+        np.maximum(slot, 0, slot)
+        np.minimum(slot, PARTS - 1, slot)
         ids = slots.take(model.at_slot[:a] + slot.astype(np.int64))
         shares = model.shares.take(model.at_one[:a] + ids)
         wide, below = (shares & 0x1FFF).astype(float), (shares >> 13).astype(float)
         wide *= model.part
         below *= model.part
         rest -= below
-        np.copyto(ids, model.c1, where=hit1)
-        np.copyto(wide, model.s1, where=hit1)
-        np.copyto(rest, value[:a] - model.s2, where=hit1)
-        np.copyto(ids, model.c2, where=hit2)
-        np.copyto(wide, model.s2, where=hit2)
-        np.copyto(rest, value[:a], where=hit2)
-        due = np.flatnonzero(wide < LEAST)
-        while len(due):
-            p = left.take(due)
-            left[due] = p + 1
-            x = rest.take(due) * _DIGIT
-            x += shifted[due, np.minimum(p, last)]
-            rest[due] = x
-            x = wide.take(due) * _DIGIT
-            wide[due] = x
-            due = due[x < LEAST]
+        ids = np.where(hit1, model.ids[0], ids)
+        wide = np.where(hit1, s1, wide)
+        rest = np.where(hit1, past, rest)
+        ids = np.where(hit2, model.ids[1], ids)
+        wide = np.where(hit2, s2, wide)
+        rest = np.where(hit2, value[:a], rest)
+        small = wide < LEAST
+        scale = np.where(small, model.moved[:a], model.kept[:a])
+        rest *= scale
+        wide *= scale
+        rest += shifted.take(left[:a]) * small
+        left[:a] += small
+        while wide.min() < LEAST:
+            again = np.flatnonzero(wide < LEAST)
+            wide[again] *= _DIGIT
+            rest[again] = rest[again] * _DIGIT + shifted.take(left[again])
+            left[again] += 1
         value[:a], span[:a] = rest, wide
         steps[t, :a] = ids
-        model.learn(a, ids, ids.astype(np.int64), model.c2 == ids)
-    rows = np.ascontiguousarray(steps.T)
+        model.learn(ids, ids.astype(np.int64), model.ids == ids)
+    rows = _turned(steps)
     return [kinds[np.minimum(rows[i, : lengths[i]], len(kinds) - 1)].astype(np.uint32) for i, (_, kinds, _) in enumerate(opened)]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellaudit.llm import id_files, range_coder
+from cellaudit.llm import id_files, packing, range_coder
 from cellaudit.llm.tables import table
 
 TEXTS = [
@@ -64,6 +64,11 @@ def test_what_repeats_gets_short():
     assert sizes[0] < 1.15 * n and sizes[1] < 0.15 * n and sizes[2] < 0.35 * n
 
 
+def test_the_format_stays():
+    """A faster coder writes the same bytes, so that files written before can be read."""
+    assert zlib.crc32(b"".join(range_coder.encode(blocks_of(np.random.default_rng(7))))) == 1715837121
+
+
 @pytest.mark.parametrize("change", ["flip", "cut", "grow", "magic", "empty"])
 def test_broken_blocks_are_noticed(change):
     ids = np.random.default_rng(5).integers(0, 500, 2000).astype(np.uint32)
@@ -84,6 +89,31 @@ def test_checksums_of_parts_make_the_whole():
         assert crc == zlib.crc32(data)
 
 
+ODD = [*TEXTS, "\x85 b", "a\x85", "x\u3000y z", "a\xa0b c", "a\x1cb c", "\x1c", "'s 's", "a\nb\n\nc", "don't  <|endoftext|>", "a.\u2028 b", "\u2003", "w w w"]
+
+
+def test_texts_side_by_side_have_their_own_ids():
+    encoder = packing.encoder(packing.VOCABULARY)
+    for texts in (ODD, ODD[::-1], [t for t in ODD for _ in range(2)], ["a"], [""], []):
+        given = [t or "" for t in texts]
+        assert encoder.encode_all(given, 0) == [x.tobytes() for x in library(given)]
+    assert encoder.encode_all(["a b", "", "  "], 9) == [encoder.encode(t) + b"\x09\0\0\0" for t in ("a b", "", "  ")]
+
+
+def test_white_space_is_known():
+    blanks = {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    assert blanks == {chr(c) for c in range(128) if packing._BLANKS[c] == 0x20} | set(packing._OTHER_BLANKS)
+
+
+def test_shared_words_are_encoded_once(monkeypatch):
+    encoder, given = packing.Encoder(packing.VOCABULARY), []
+    library_call = encoder._single.encode_to_numpy
+    monkeypatch.setattr(encoder._single, "encode_to_numpy", lambda text, **more: given.append(len(text)) or library_call(text, **more), raising=False)
+    texts = ["the same words come again and again " * 200 + f"number {i}" for i in range(50)]
+    assert encoder.encode_all(texts, 0) == [x.tobytes() for x in library(texts)]
+    assert sum(given) < 1000 < sum(map(len, texts)) / 100
+
+
 def expected(rows):
     """rows in the order of the files."""
     out, start = [], 0
