@@ -45,6 +45,8 @@ _CHANGE = np.array([0, 1, -1, 1, -1, 1, -2, 1, -2, 1, -3, 1, -3, 1, -4, 0], np.i
 _THREE, _SEVEN, _FIFTEEN = np.array(3, np.uint16), np.array(7, np.uint16), np.array(15)
 #: Steps that are prepared and counted together.
 _COUNTED = 64
+#: Blocks of which all numbers of a kind stay in the processor's cache.
+_NEAR = 32
 _HEAD = np.dtype([("magic", "S4"), ("version", "<u2"), ("listed", "<u2"), ("ids", "<u4"), ("kinds", "<u4"), ("digits", "<u4"), ("crc", "<u4"), ("body", "<u4")])
 
 
@@ -68,12 +70,14 @@ class _Lanes:
         lane = np.arange(n)
         self.at_one, self.at_slot = lane * self.most, lane * PARTS
         self.at_guess = np.stack([self.at_one, n * self.most + lane * CONTEXTS])
-        self.at_weight = np.stack([lane * 48 + 32, lane * 48])
-        # two places for each order, confidence and agreement: what missed and what hit
-        self.weight, self.found = np.full(n * 48, START), np.zeros(n * 48)
+        self.at_weight = np.stack([lane * 24 + 16, lane * 24])
+        # a place for each order, confidence and agreement, and two for what missed and what hit
+        self.weight, self.found = np.full(n * 24, START), np.zeros(n * 48)
         self.last, self.older = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.counts = np.zeros((n, self.most), np.int32)
+        self.shares = np.empty(n * self.most, np.int32)
         self.slots = np.empty((n, PARTS), np.uint16) if slots else None
+        self.every = np.tile(np.arange(self.most, dtype=np.uint16), min(n, _NEAR))
         self.renewed, self.next, self.counted = 0, 0, 0
         self.tried = np.empty((_COUNTED, 2, n), np.int64)
         self.moved, self.kept = np.full(n, _DIGIT), np.ones(n)
@@ -93,29 +97,38 @@ class _Lanes:
             self.count(t, a)
             hits = self.found[1::2]
             share = (hits + START) / (self.found[0::2] + hits + 1.0)
-            self.weight = np.repeat(np.clip(share, LOWEST, HIGHEST), 2)
-            places = (rows[:a, self.renewed : t] + self.at_one[:a, None]).reshape(-1)
-            self.counts[:a] += np.bincount(places, minlength=a * self.most).reshape(a, self.most).astype(np.int32)
+            self.weight = np.clip(share, LOWEST, HIGHEST)
+        for low in range(0, a, _NEAR):
+            self._share(t, low, min(low + _NEAR, a), rows)
+        self.renewed, self.next = t, t + max(32, t // 2)
+
+    def _share(self, t: int, low: int, high: int, rows: np.ndarray) -> None:
+        """Shares out order 0 of some lanes anew."""
+        most, kinds, counts = self.most, self.kinds[low:high].astype(np.int32)[:, None], self.counts[low:high]
+        if t:
+            places = (rows[low:high, self.renewed : t] + self.at_one[: high - low, None]).reshape(-1)
+            counts += np.bincount(places, minlength=counts.size).reshape(-1, most).astype(np.int32)
         # one part for each id, the others by count; what rounding leaves goes to the first id
-        free = (PARTS - self.kinds[:a]).astype(np.int32)[:, None]
-        own = self.counts[:a] * free
+        own = counts * (PARTS - kinds)
         own //= np.int32(max(t, 1))
-        own += np.arange(self.most)[None, :] < self.kinds[:a, None]
+        own += np.arange(most, dtype=np.int32)[None, :] < kinds
         own[:, 0] += PARTS - own.sum(axis=1, dtype=np.int32)
         if self.slots is not None:
-            ids = np.broadcast_to(np.arange(self.most, dtype=np.uint16), (a, self.most)).reshape(-1)
-            self.slots[:a] = np.repeat(ids, own.reshape(-1)).reshape(a, PARTS)
+            self.slots[low:high] = np.repeat(self.every[: own.size], own.reshape(-1)).reshape(-1, PARTS)
         # cumulated parts and an id's own in one number
         shares = np.cumsum(own, axis=1, dtype=np.int32)
         shares -= own
         shares <<= 13
         shares |= own
-        self.shares = shares.reshape(-1)
-        self.renewed, self.next = t, t + max(32, t // 2)
+        self.shares[low * most : high * most] = shares.reshape(-1)
 
     def shared(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the shares of order 0 of known ids start, and their widths, by step; a row is a block."""
-        shares = _turned(self.shares.take(places + self.at_one[: len(places), None]))
+        shares = np.empty(places.shape[::-1], np.int32)
+        for i in range(0, len(places), _NEAR):
+            some = places[i : i + _NEAR].astype(np.int64)
+            some += self.at_one[i : i + len(some), None]
+            shares[:, i : i + _NEAR] = self.shares.take(some).T
         return (shares >> 13).astype(float), (shares & 0x1FFF).astype(float)
 
     def predict(self, t: int, a: int, span: np.ndarray) -> None:
@@ -134,7 +147,6 @@ class _Lanes:
         place = self.guess & _SEVEN
         place[1] |= self.other.astype(np.uint16) << _THREE
         np.copyto(k, place)
-        k += k
         k += self.at_weight[:, :a]
         weight = self.weight.take(k.reshape(-1))
         s1, s2 = self.s1, self.s2 = weight[:a], weight[a:]
@@ -150,6 +162,7 @@ class _Lanes:
 
     def learn(self, ids: np.ndarray, wide: np.ndarray, hit: np.ndarray) -> None:
         """``ids``: the places as 16-bit numbers; ``wide``: the same as 64-bit ones; ``hit``: which guesses fit."""
+        self.k += self.k
         self.k += hit
         state = self.k & _FIFTEEN
         guess = self.guess
@@ -175,24 +188,23 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _kinds(ids: np.ndarray, there: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different ids, ascending, and each id's place among them; ``there`` is all false, also afterwards."""
-    if len(there) <= int(ids.max()):
-        kinds, places = np.unique(ids, return_inverse=True)
-        return kinds.astype(np.int64), places.astype(np.uint16)
-    wide = ids.astype(np.int64)
-    there[wide] = True
-    kinds = np.flatnonzero(there)
-    there[kinds] = False
+def _kinds(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, ascending, and each id's place among them; ``rank`` is room for the places of small ids."""
+    ordered = np.sort(ids)
+    new = np.ones(len(ids), bool)
+    np.not_equal(ordered[1:], ordered[:-1], new[1:])
+    kinds = ordered[new].astype(np.int64)
+    if kinds[-1] >= len(rank):
+        return kinds, np.searchsorted(kinds, ids).astype(np.uint16)
     rank[kinds] = np.arange(len(kinds), dtype=np.uint16)
-    return kinds, rank.take(wide)
+    return kinds, rank.take(ids)
 
 
 def _turned(rows: np.ndarray) -> np.ndarray:
     """Columns as rows, some rows at a time, which stay in the processor's cache."""
     out = np.empty(rows.shape[::-1], rows.dtype)
-    for i in range(0, len(rows), 32):
-        out[:, i : i + 32] = rows[i : i + 32].T
+    for i in range(0, len(rows), _NEAR):
+        out[:, i : i + _NEAR] = rows[i : i + _NEAR].T
     return out
 
 
@@ -209,10 +221,8 @@ def _written(digits: np.ndarray, at: np.ndarray, due: np.ndarray, digit: np.ndar
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     n, lengths = len(blocks), np.array([len(b) for b in blocks])
-    top = max(int(b.max()) for b in blocks) + 1
-    scratch = min(top, 1 << 20)
-    there, rank = np.zeros(scratch, bool), np.empty(scratch, np.uint16)
-    listed = [_kinds(b, there, rank) for b in blocks]
+    rank = np.empty(min(max(int(b.max()) for b in blocks) + 1, 1 << 20), np.uint16)
+    listed = [_kinds(b, rank) for b in blocks]
     model = _Lanes(lengths, np.array([len(kinds) for kinds, _ in listed]), slots=False)
     rows = np.zeros((n, int(lengths[0])), np.uint16)
     for lane, (_, places) in enumerate(listed):
@@ -290,10 +300,14 @@ def _spelt(listed: list[np.ndarray]) -> list[bytes]:
     every = np.concatenate(listed)
     gaps = np.diff(every, prepend=-1) - 1
     gaps[first[:-1]] = every[first[:-1]]
-    left = gaps[:, None] >> np.arange(0, max(1, int(gaps.max()).bit_length()), 7)[None, :]
-    bytes_ = (left & 127 | np.where(left >= 128, 128, 0)).astype(np.uint8)
-    used = left > 0
-    used[:, 0] = True
+    bytes_ = np.empty((len(gaps), max(1, -(-int(gaps.max()).bit_length() // 7))), np.uint8)
+    used = np.ones(bytes_.shape, bool)
+    for k in range(bytes_.shape[1]):
+        follows = gaps >= 128
+        bytes_[:, k] = gaps & 127
+        bytes_[:, k] |= follows.view(np.uint8) << 7
+        used[:, k + 1 :] = follows[:, None]
+        gaps >>= 7
     data = bytes_[used].tobytes()
     ends = np.append(0, np.cumsum(np.count_nonzero(used, axis=1)))[first]
     return [data[low:high] for low, high in zip(ends[:-1], ends[1:], strict=True)]
@@ -322,13 +336,16 @@ def _unframed(data: bytes) -> tuple[np.void, np.ndarray, np.ndarray]:
         raise BlockError("not a block of this format")
     if head["body"] != _whole(head, data[_HEAD.itemsize :]):
         raise BlockError("bytes don't fit the checksum")
-    spelt = np.frombuffer(data, np.uint8, listed, _HEAD.itemsize).astype(np.int64)
+    spelt = np.frombuffer(data, np.uint8, listed, _HEAD.itemsize)
     ends = np.flatnonzero(spelt < 128)
-    first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    place = np.arange(listed) - np.repeat(first, ends - first + 1) if len(ends) else np.empty(0, np.int64)
-    if len(ends) != head["kinds"] or len(place) != listed or not 0 < len(ends) <= max(int(head["ids"]), 0) and head["ids"]:
+    if len(ends) != head["kinds"] or listed and (not len(ends) or ends[-1] != listed - 1) or not 0 < len(ends) <= max(int(head["ids"]), 0) and head["ids"]:
         raise BlockError("the list of ids is broken")
-    gaps = np.add.reduceat((spelt & 127) << (7 * place), first) if len(ends) else first
+    first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    gaps, some, k = (spelt[first] & 127).astype(np.int64), np.flatnonzero(ends > first), 1
+    while len(some):
+        gaps[some] += (spelt[first[some] + k] & 127).astype(np.int64) << 7 * k
+        k += 1
+        some = some[ends[some] - first[some] >= k]
     return head, np.cumsum(gaps + 1) - 1, np.frombuffer(data, ">u2", count, _HEAD.itemsize + listed)
 
 
