@@ -13,6 +13,7 @@ from cellaudit.operators.catalog import DEFAULT_CATALOG, enable_rules
 from cellaudit.plans import reports
 from cellaudit.sources import findings as store
 from cellaudit.streaming import jobs
+from workload import QUERIES
 
 CORPUS = "path string, content string"
 
@@ -85,6 +86,26 @@ def test_secrets_are_masked_where_stored(spark, secret):
     assert "hunter2" in secret.filter(F.col("rule") == fixed.LABEL_SECRETS).first()["details"]
 
 
+@pytest.fixture(scope="module")
+def three_kinds(spark, tmp_path_factory):
+    """Documents whose notebooks hold one secret of each kind: ``d % 11`` is 0 or 1."""
+    folder = tmp_path_factory.mktemp("kinds")
+    rows = [(d, f"x = {d}", "en", "src", 5) for d in (11, 12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def kinds_shown(spark, query, folder):
+    return sorted(r["details"] for r in QUERIES[query](spark, folder).filter(F.startswith("details", F.lit(fixed.SECRET_FOUND))).collect())
+
+
+KINDS = [fixed.SECRET_FOUND + kind + "***" for kind in ("Bear", "dapi", "pass")]
+
+
+def test_a_written_table_tells_kinds_of_secrets(spark, three_kinds):
+    assert kinds_shown(spark, "snk2_write_table", three_kinds) == KINDS
+
+
 def test_files(spark, secret, tmp_path):
     fields = secret.select(*store.FIELDS)
     store.write_json(secret, str(tmp_path / "json"), redact=False)
