@@ -106,6 +106,10 @@ def test_a_written_table_tells_kinds_of_secrets(spark, three_kinds):
     assert kinds_shown(spark, "snk2_write_table", three_kinds) == KINDS
 
 
+def test_written_csv_tells_kinds_of_secrets(spark, three_kinds):
+    assert kinds_shown(spark, "snk5_write_csv", three_kinds) == KINDS
+
+
 def test_files(spark, secret, tmp_path):
     fields = secret.select(*store.FIELDS)
     store.write_json(secret, str(tmp_path / "json"), redact=False)
