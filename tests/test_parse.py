@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import code_cell, corpus, notebook
@@ -131,6 +132,51 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert sorted(r["path"] for r in books.collect()) == sorted(f"/f{i}/a" for i in range(120))
 
 
+ODD_PATHS = ["/Users/u1/a", "/Users/u1/b c+d%2F e", "/Users/ü1/日本=1", "_hidden", ".hidden", "a:b?{c}[d]^*'\"#\\\t", "__HIVE_DEFAULT_PARTITION__x", "x._COPYING_", "y" * 240]
+
+
+def test_every_notebook_is_one_file(spark, tmp_path):
+    rows = [(p, f"{p}\nü", n % 3 or None, "k=/") for n, p in enumerate(ODD_PATHS)] + [("twice", "1", 1, ""), ("twice", "1", 1, None)]
+    rows += [(None, "no path", 2, "k"), ("no text", None, 2, "k"), ("", "none either", 2, "k")]
+    books = spark.createDataFrame(rows, "path string, content string, n int, k string")
+    want = sorted([*[(p, f"{p}\nü\n") for p in ODD_PATHS], ("twice", "1\n1\n"), ("no text", "\n")])
+
+    def read(location):
+        found = source.load_notebook_files(spark, f"{location}/n=*/k=*", suffix=".txt")
+        rows = sorted(map(tuple, found.select(source.written_path(), "content").collect()))
+        nameless = [row for row in rows if row[0] == "__HIVE_DEFAULT_PARTITION__"]
+        assert len(nameless) == 1 and sorted(nameless[0][1].splitlines()) == ["no path", "none either"]
+        return [row for row in rows if row not in nameless]
+
+    source.write_notebook_files(books, str(tmp_path / "a"), "n", "k")
+    assert read(tmp_path / "a") == want
+    files = [f for f in (tmp_path / "a").rglob("*") if f.is_file()]
+    assert len(files) == len(want) + 1  # nothing beside them, and no folder for each
+    assert len({f.parent for f in files}) == len({(r[2], r[3] or None) for r in rows})
+    source.write_notebook_files(books, f"file://{tmp_path}/b", "n", "k")
+    assert read(tmp_path / "b") == want
+    with pytest.raises(ValueError):
+        source.write_notebook_files(books, str(tmp_path / "a"), "n", "k")
+
+
+def test_notebook_files_in_other_stores(spark, tmp_path, monkeypatch):
+    # Spark takes folders whose names end like this for unfinished copies
+    seen = [p for p in ODD_PATHS if not p.endswith("._COPYING_")]
+    rows = [(p, f"{p}\nü", n % 3 or None) for n, p in enumerate(seen)] + [("twice", "1", 1), ("twice", "1", 1), (None, "no path", 2), ("no text", None, 2)]
+    books = spark.createDataFrame(rows, "path string, content string, n int")
+    assert source._mounted(spark, "s3://bucket/a") is None and source._mounted(spark, "hdfs:/a") is None
+    assert source._mounted(spark, "file:/a/b") == source._mounted(spark, "file:///a/b") == source._mounted(spark, "/a/b") == "/a/b"
+
+    def back(location):
+        source.write_notebook_files(books, str(location), "n")
+        found = source.load_notebook_files(spark, f"{location}/n=*", suffix=".txt")
+        return sorted(map(tuple, found.select(source.written_path(), "content").collect()))
+
+    here = back(tmp_path / "here")
+    monkeypatch.setattr(source, "_mounted", lambda spark, location: None)
+    assert back(tmp_path / "there") == here and len(here) == len(rows) - 1
+
+
 def test_requested_paths(spark, tmp_path):
     lines = tmp_path / "paths.txt"
     lines.write_text("  /Workspace/a \n\n/a\n/a\n\t/b \n   \n/missing\n")

@@ -60,15 +60,9 @@ def src1_files(spark, sf_dir):
     location = shared.new_location(spark, "exports")
     user = F.regexp_extract("path", "/u([0-9]+)/", 1).cast("int")
     half = F.when(user < 10, "low").otherwise("high")
-    files = corpus(spark, sf_dir).select(half.alias("half"), user.alias("user"), F.col("path").alias("name"), F.col("content").alias("value"))
-    # Making a file costs far more than its bytes: an own number of even tasks, which is not lowered by size.
-    # Rows of one notebook stay together.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    files.repartition(tasks, "user", "name").write.partitionBy("half", "user", "name").text(location)
+    source.write_notebook_files(corpus(spark, sf_dir).select("path", "content", half.alias("half"), user.alias("user")), location, "half", "user")
     books = source.load_notebook_files(spark, f"{location}/half=low/user=*", f"{location}/half=h*/*", suffix=".txt")
-    # what is left of the path is the folder named by the notebook, and Spark's name of the file
-    named = F.url_decode(F.replace(F.regexp_extract("path", "^/name=([^/]+)/part-[^/]+$", 1), F.lit("+"), F.lit("%2B")))
-    found = engine.prepared(books.select(named.alias("path"), "content"))
+    found = engine.prepared(books.select(source.written_path().alias("path"), "content"))
     fine = F.col("readable") & engine.code_problem().isNull()
     return found.select("path", "readable", F.when(fine, F.sha2("code", 256)).alias("code_sha"))
 
