@@ -1,5 +1,6 @@
 """Reading notebooks: what is readable, and what its cells hold."""
 
+import gzip
 import json
 
 import pytest
@@ -115,6 +116,22 @@ def test_notebook_files(spark, tmp_path):
     assert sorted((r["path"], r["code"]) for r in books.collect()) == [("/Users/me/b", "Users/me/b.ipynb"), ("/a", "a.ipynb")]
 
 
+def test_files_are_read_byte_by_byte(spark, tmp_path):
+    """As Spark's reader of texts gives them, whose every file copies the configuration; packed ones are unpacked."""
+    (tmp_path / "empty.ipynb").touch()  # Spark lists no empty files
+    texts = {"bytes": b"\xff\xfe\r\n\x00 \xc3", "mark": b"\xef\xbb\xbf{}\n", "plain": "{\"ü\"}".encode()}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.ipynb").write_bytes(text)
+        (tmp_path / f"{name}.ipynb.gz").write_bytes(gzip.compress(text))
+    for suffix in (".ipynb", ".ipynb.gz", "ipynb.gz"):
+        books = source.load_notebook_files(spark, str(tmp_path), suffix=suffix)
+        assert ("FileScan binaryFile" in books._jdf.queryExecution().executedPlan().toString()) == (suffix == ".ipynb")
+        found = books.select(F.regexp_replace("path", r"^/|\.$", "").alias("path"), F.hex(F.col("content").cast("binary")).alias("content"))
+        assert dict(map(tuple, found.collect())) == {name: text.hex().upper() for name, text in texts.items()}
+        files = spark.read.text(str(tmp_path), wholetext=True, pathGlobFilter=f"*{suffix}").select(F.hex(F.col("value").cast("binary")))
+        assert sorted(r[0] for r in files.collect()) == sorted(text.hex().upper() for text in texts.values())
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     for i in range(120):
         (tmp_path / f"f{i}").mkdir()
